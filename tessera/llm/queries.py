@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from tessera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tessera.llm.pieces import op9_sentencepiece
+from tessera.llm.quality import op10_quality_qda
 from tessera.llm.secrets import op5_secret_scans
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_secret_scans": op5_secret_scans,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality_qda": op10_quality_qda,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
