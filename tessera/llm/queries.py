@@ -6,8 +6,10 @@ from tessera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tessera.llm.pieces import op9_sentencepiece
 from tessera.llm.quality import op10_quality_qda
 from tessera.llm.secrets import op5_secret_scans
+from tessera.llm.token_files import op2_token_id_output
 
 QUERIES = {
+    "op2_token_id_output": op2_token_id_output,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op9_sentencepiece": op9_sentencepiece,
