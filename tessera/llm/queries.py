@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from tessera.llm.bit_sliced import OP8_SQL, op8_bit_sliced_topk
 from tessera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tessera.llm.pieces import op9_sentencepiece
 from tessera.llm.quality import op10_quality_qda
 from tessera.llm.secrets import op5_secret_scans
 from tessera.llm.token_files import op2_token_id_output
+from tessera.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op2_token_id_output": op2_token_id_output,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_secret_scans": op5_secret_scans,
+    "op7_warc": op7_warc,
+    "op8_bit_sliced_topk": op8_bit_sliced_topk,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_qda": op10_quality_qda,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op7_warc": OP7_SQL,
+    "op8_bit_sliced_topk": OP8_SQL,
 }
