@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.bit_sliced import OP8_SQL, op8_bit_sliced_topk
+from tessera.llm.chat import OP4_SQL, op4_chat_formatting
 from tessera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tessera.llm.pieces import op9_sentencepiece
 from tessera.llm.quality import op10_quality_qda
@@ -13,6 +14,7 @@ from tessera.llm.warc import OP7_SQL, op7_warc
 QUERIES = {
     "op2_token_id_output": op2_token_id_output,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_secret_scans": op5_secret_scans,
     "op7_warc": op7_warc,
     "op8_bit_sliced_topk": op8_bit_sliced_topk,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op4_chat_formatting": OP4_SQL,
     "op7_warc": OP7_SQL,
     "op8_bit_sliced_topk": OP8_SQL,
 }
