@@ -16,14 +16,6 @@ COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 PAD = max(COUNTS)
 _COUNTS = np.array(COUNTS)
-_POWERS = np.array([1 << k for k in range(64)], np.uint64)
-_SMALL_WIDTHS = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
-
-
-def _widths(ids: np.ndarray) -> np.ndarray:
-    if not ids.size or ids.max() < len(_SMALL_WIDTHS):
-        return _SMALL_WIDTHS[ids.astype(np.intp)]
-    return np.searchsorted(_POWERS, ids, side="right").astype(np.uint8)
 
 
 def _blocks(n: int) -> int:
@@ -32,54 +24,59 @@ def _blocks(n: int) -> int:
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, offset of each block's first word) of unsigned 64-bit ids."""
-    ids = np.asarray(ids, np.uint64)
+    ids = np.asarray(ids)
     n_blocks = _blocks(len(ids))
-    grid = np.zeros((n_blocks, BLOCK + PAD), np.uint64)
+    if not n_blocks:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    kind = np.uint32 if ids.max() < 1 << 32 else np.uint64
+    grid = np.zeros((n_blocks, BLOCK + PAD), kind)
     whole = len(ids) // BLOCK
     grid[:whole, :BLOCK] = ids[: whole * BLOCK].reshape(whole, BLOCK)
-    if whole < n_blocks:
-        grid[whole, : len(ids) - whole * BLOCK] = ids[whole * BLOCK :]
     sizes = np.full(n_blocks, BLOCK)
-    sizes[whole:] = len(ids) - whole * BLOCK
-    if not n_blocks:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    # widest[k]: the largest width among the 2**k ids from each place on
-    widest = [_widths(grid)]
-    while 2 ** len(widest) <= PAD:
-        last, step = widest[-1], 2 ** (len(widest) - 1)
-        wider = last.copy()
-        np.maximum(last[:, :-step], last[:, step:], out=wider[:, :-step])
-        widest.append(wider)
-    selector = np.where(widest[0][:, :BLOCK] > 60, 0, 15).astype(np.uint8)
-    for s in range(14, 0, -1):
-        count, k = COUNTS[s], COUNTS[s].bit_length() - 1
-        far = count - 2**k
-        width = np.maximum(widest[k][:, :BLOCK], widest[k][:, far : BLOCK + far])
-        fits = width <= BITS[s]
-        if not fits.any() and BITS[s] < 8:
-            break  # narrower selectors hold more ids and fit nowhere either
-        selector[fits] = s
+    if whole < n_blocks:
+        sizes[whole] = len(ids) - whole * BLOCK
+        grid[whole, : sizes[whole]] = ids[whole * BLOCK :]
 
-    # all blocks step from word to word together
-    rows, at = np.arange(n_blocks), np.zeros(n_blocks, np.int64)
-    steps, order = [], []
-    while len(rows):
-        steps.append((rows, at))
-        at = at + _COUNTS[selector[rows, at]]
-        if (more := at < sizes[rows]).all():
+    # Selectors with more ids have fewer bits: where one fits, so do all after it.
+    selector = np.full((n_blocks, BLOCK + 1), 15, np.uint8)
+    largest, reach = grid, 1  # the largest of the `reach` ids from each place on
+    for s in range(15, -1, -1):
+        count = COUNTS[s] if s else 1
+        while s and 2 * reach <= count:
+            wider = largest.copy()
+            np.maximum(largest[:, :-reach], largest[:, reach:], out=wider[:, :-reach])
+            largest, reach = wider, 2 * reach
+        if s == 15:
+            if kind is np.uint64:
+                selector[:, :BLOCK][grid[:, :BLOCK] >= 1 << 60] = 0
             continue
-        rows, at = rows[more], at[more]
-    order = np.concatenate([r for r, _ in steps])
-    place = np.concatenate([a for _, a in steps])
-    sort = np.argsort(order, kind="stable")
-    order, place = order[sort], place[sort]
+        if not s:
+            break
+        far = count - reach
+        fits = np.maximum(largest[:, :BLOCK], largest[:, far : BLOCK + far]) < kind(1 << BITS[s])
+        if BITS[s] < 8 and not fits.any():
+            break
+        selector[:, :BLOCK] -= fits.view(np.uint8)
+
+    # All blocks step from word to word together; what is over stays where it is.
+    counts = _COUNTS[selector]
+    counts[:, BLOCK] = 0
+    counts[-1, sizes[-1] :] = 0
+    counts, first = counts.ravel(), np.arange(n_blocks) * (BLOCK + 1)
+    at, steps = np.zeros(n_blocks, np.int64), []
+    while (at < sizes).any():
+        for _ in range(16):
+            steps.append(at)
+            at = np.minimum(at + counts[first + at], BLOCK)
+    place = np.array(steps).T
+    order, step = np.nonzero(place < sizes[:, None])
+    place = place[order, step]
     chosen = selector[order, place]
 
     lengths = np.where(chosen == 0, 2, 1)
     to = np.cumsum(lengths) - lengths
     words = np.zeros(int(lengths.sum()), np.uint64)
-    flat, base = grid.ravel(), order * (BLOCK + PAD) + place
+    flat, base = grid.ravel().astype(np.uint64), order * (BLOCK + PAD) + place
     for s in np.unique(chosen):
         own = np.flatnonzero(chosen == s)
         if s == 0:
@@ -95,29 +92,34 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
-    """The n ids that encode() has put into words."""
+    """The n ids that encode() has put into words; 32-bit integers where they suffice."""
     n_blocks = _blocks(n)
     if not n_blocks:
         return np.empty(0, np.uint64)
-    selector = (words >> np.uint64(60)).astype(np.int64)
-    raw = np.zeros(len(words), bool)
-    for k in np.flatnonzero(selector == 0):  # an escape, unless it is itself a raw word
-        if not raw[k] and k + 1 < len(words):
-            raw[k + 1] = True
-    coded = np.flatnonzero(~raw)
+    selector = (words >> np.uint64(60)).astype(np.uint8)
+    coded = np.arange(len(words))
+    if len(escapes := np.flatnonzero(selector == 0)):
+        raw = np.zeros(len(words), bool)
+        for k in escapes:  # unless it is itself a raw word
+            if not raw[k] and k + 1 < len(words):
+                raw[k + 1] = True
+        coded = np.flatnonzero(~raw)
     chosen = selector[coded]
-    block = np.searchsorted(offsets, coded, side="right") - 1
+    firsts = np.searchsorted(coded, offsets)
+    block = np.repeat(np.arange(n_blocks), np.diff(np.append(firsts, len(coded))))
     count = _COUNTS[chosen]
     upto = np.cumsum(count) - count
-    place = upto - upto[np.searchsorted(coded, offsets)][block]
-    grid = np.zeros(n_blocks * (BLOCK + PAD), np.uint64)
+    place = upto - upto[firsts][block]
+    wide = bool(len(escapes)) or bool(((words[coded[chosen == 15]] & np.uint64((1 << 60) - 1)) >> np.uint64(32)).any())
+    grid = np.zeros(n_blocks * (BLOCK + PAD), np.uint64 if wide else np.uint32)
     base = block * (BLOCK + PAD) + place
     for s in np.unique(chosen):
         own = np.flatnonzero(chosen == s)
+        to = base[own]
         if s == 0:
-            grid[base[own]] = words[coded[own] + 1]
+            grid[to] = words[coded[own] + 1]
         elif BITS[s]:
-            mask = np.uint64((1 << BITS[s]) - 1)
+            packed, mask = words[coded[own]], np.uint64((1 << BITS[s]) - 1)
             for j in range(COUNTS[s]):
-                grid[base[own] + j] = (words[coded[own]] >> np.uint64(j * BITS[s])) & mask
+                grid[to + j] = (packed >> np.uint64(j * BITS[s])) & mask
     return grid.reshape(n_blocks, -1)[:, :BLOCK].ravel()[:n]
