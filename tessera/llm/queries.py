@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.bit_sliced import OP8_SQL, op8_bit_sliced_topk
 from tessera.llm.chat import OP4_SQL, op4_chat_formatting
 from tessera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tessera.llm.mixing import OP6_SQL, op6_mixing
 from tessera.llm.pieces import op9_sentencepiece
 from tessera.llm.quality import op10_quality_qda
 from tessera.llm.secrets import op5_secret_scans
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_secret_scans": op5_secret_scans,
+    "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_bit_sliced_topk": op8_bit_sliced_topk,
     "op9_sentencepiece": op9_sentencepiece,
@@ -24,6 +26,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
     "op4_chat_formatting": OP4_SQL,
+    "op6_mixing": OP6_SQL,
     "op7_warc": OP7_SQL,
     "op8_bit_sliced_topk": OP8_SQL,
 }
