@@ -36,6 +36,11 @@ HEADER = struct.Struct("<4sIQQQ")  # magic, documents, ids, words, blocks
 SEGMENTS = "part int, seq int, before long, n_ids long, body binary"
 
 
+#: Byte-level symbols: visible Latin-1 characters stand for their own byte, the others are numbered on from 256.
+_OTHER = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_SYMBOLS = {b: 256 + n for n, b in enumerate(_OTHER)}
+
+
 class ChunkIds:
     """Ids of whole texts from a table of distinct chunks, with the tokenizers library.
 
@@ -57,6 +62,11 @@ class ChunkIds:
     def raw(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, letters: str) -> bytes:
+        """Ids of a space and letters, which are one pre-token: its byte symbols go to the model at once."""
+        symbols = f" {letters}".encode().decode("latin-1").translate(_SYMBOLS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
         if len(self.new) > self.bound:
@@ -68,6 +78,7 @@ class ChunkIds:
             return self.raw(text)
 
 
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: Letters with what follows them from the first character that is none: another place where the pre-tokeniser always cuts.
 _WORD = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-@\[-`{-~].*)", re.S)
 
@@ -89,7 +100,9 @@ class _Table(dict):
             visible = chunk.removeprefix("\n")[:1]
             if not ("!" <= visible <= "~" or "À" <= visible <= "ɏ"):
                 raise _Unsafe
-            if word := _WORD.fullmatch(chunk):
+            if _LETTERS.fullmatch(chunk):
+                value = self.owner.word(chunk)
+            elif word := _WORD.fullmatch(chunk):
                 value = self[word[1]] + self.owner.tail(word[2])
             else:
                 value = self.owner.raw(chunk if chunk[0] == "\n" else f" {chunk}")
