@@ -6,6 +6,7 @@ from tessera.llm.bit_sliced import OP8_SQL, op8_bit_sliced_topk
 from tessera.llm.chat import OP4_SQL, op4_chat_formatting
 from tessera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tessera.llm.mixing import OP6_SQL, op6_mixing
+from tessera.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from tessera.llm.pieces import op9_sentencepiece
 from tessera.llm.quality import op10_quality_qda
 from tessera.llm.secrets import op5_secret_scans
@@ -13,6 +14,7 @@ from tessera.llm.token_files import op2_token_id_output
 from tessera.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_id_output": op2_token_id_output,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_formatting": op4_chat_formatting,
@@ -24,6 +26,7 @@ QUERIES = {
     "op10_quality_qda": op10_quality_qda,
 }
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op4_chat_formatting": OP4_SQL,
     "op6_mixing": OP6_SQL,
