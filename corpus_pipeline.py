@@ -1 +1,51 @@
-STAGES = []
+"""From raw documents to token ids: five stages, each a whole-table operator of the training-data subpackage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm.common import materialize, table, work_path
+from tessera.llm.exact_dedup import DigestIndex, drop_copies
+from tessera.llm.mixing import mix_documents
+from tessera.llm.ngram_join import drop_near_copies
+from tessera.llm.pieces import token_rows
+from tessera.llm.quality import keep_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
+    return drop_copies(docs, DigestIndex(spark, work_path(spark, "digest-index")))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies the one with the least id stays."""
+    return drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled to the target weights of sources, languages and topics."""
+    return mix_documents(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become token ids."""
+    return token_rows(docs)
+
+
+STAGES = [("quality", quality), ("exact dedup", exact), ("near copies", near), ("mixing", mix), ("pieces", pieces)]
+
+#: The classifier and the tokeniser have no SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return docs

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -45,6 +46,23 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids (with a digest, some 50 bytes each) up to which a list is sent to all tasks.
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, *keys: tuple[Column, str]) -> DataFrame:
+    """The rows of docs that are not in `dropped`; keys pair a column of docs with the name of one of dropped.
+
+    Nulls are equal. A short list is broadcast, so that texts stay where they are; a longer one is
+    joined by shuffle.
+    """
+    dropped = materialize(dropped.select(*(name for _, name in keys)).toDF(*(f"_key{i}" for i in range(len(keys)))).distinct(), "dropped")
+    few = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.select(F.struct("*").alias("_row"), *(c.alias(f"_own{i}") for i, (c, _) in enumerate(keys)))
+    same = [F.col(f"_own{i}").eqNullSafe(F.col(f"_key{i}")) for i in range(len(keys))]
+    return rows.join(F.broadcast(dropped) if few else dropped, same, "left_anti").select("_row.*")
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package where the driver runs from a source checkout."""
     env = spark.sparkContext.environment

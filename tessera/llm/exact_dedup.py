@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table, work_path
+from tessera.llm.common import materialize, table, without, work_path
 
 BUCKETS = 64
 
@@ -61,7 +61,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
       document named there, and none of the batch's rows of it stay.
     * group_size counts the batch's rows of the text. Rows that repeat an id and its text are the
       same document: each is returned, with the same values.
-    * A null id never stays unless all ids of the text are null; then keep_id is null, kept false.
+    * A null id stays only if all ids of the text are null; such rows can't be told apart and all
+      stay, with a null keep_id.
     * An empty table gives an empty result; other columns are not read.
     * One text may be a third of all rows: it is pre-aggregated before the shuffle, and the join
       that hands results back has plain exchanges on both sides, whose large partitions Spark splits.
@@ -74,11 +75,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup() keeps, with all their columns."""
+    dropped = exact_dedup(docs, index, id_col, text_col).where(~F.col("kept"))
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return without(docs, dropped, (F.col(id_col).cast("bigint"), "doc_id"), (digest, "text_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents into a new index."""
     return exact_dedup(table(spark, sf_dir, "documents"), DigestIndex(spark, work_path(spark, "digest-index")))

@@ -76,6 +76,31 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], bounded: frozenset[str
     return weighted
 
 
+def _cells_of(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """doc_id, source, lang, topic, tokens and lang_cell of each row, and the row itself as `_row`."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lang = F.coalesce(F.col(lang_col), F.lit(""))
+    return docs.select(
+        F.struct("*").alias("_row"), F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"),
+        lang.alias("lang"), F.when(lang.isin(*LANG_TARGET), lang).otherwise("other").alias("lang_cell"), text.alias("text"), n_words(text).alias("tokens"),
+    ).select("_row", "doc_id", "source", "lang", "lang_cell", topic_of(F.col("text"), F.col("tokens")).alias("topic"), "tokens")
+
+
+def _with_rates(rows: DataFrame, drawn: DataFrame, keep_tokens: float, iterations: int, seed: int) -> DataFrame:
+    """drawn with `probability` and `kept`, from the cells of rows."""
+    spark = rows.sparkSession
+    cells = materialize(rows.groupBy("source", F.col("lang_cell").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens")), "mix-cells")
+    sources = cells.groupBy("source").agg(F.pow(F.sum("tokens").cast("double"), F.lit(SOURCE_POWER)).alias("target"))
+    targets = {"source": sources, "lang": _fixed(spark, "lang", LANG_TARGET | {"other": OTHER_LANG}), "topic": _fixed(spark, "topic", TOPIC_TARGET)}
+    raked = rake(cells, targets, frozenset({"lang", "topic"}), iterations)
+    total = float(raked.agg(F.sum("tokens")).first()[0] or 0)
+    rate = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(total) * keep_tokens / F.col("tokens"))).otherwise(1.0)
+    rates = materialize(raked.select("source", F.col("lang").alias("lang_cell"), "topic", rate.alias("probability")), "mix-rates")
+    small = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    joined = drawn.join(F.broadcast(rates) if small else rates, ["source", "lang_cell", "topic"])
+    return joined.withColumn("kept", hash_uniform(F.col("doc_id"), seed) < F.col("probability"))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     keep_tokens: float = KEEP_TOKENS, iterations: int = ITERATIONS, seed: int = SEED,
@@ -91,24 +116,18 @@ def mix_sources(
       words weigh nothing in the raking and have the probability of their cell, 1 if that has no tokens.
     * An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"),
-        F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text.alias("text"), n_words(text).alias("tokens"),
-    ).select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("tokens")).alias("topic"), "tokens")
-    rows = materialize(rows, "mix-rows")
-    lang = F.when(F.col("lang").isin(*LANG_TARGET), F.col("lang")).otherwise("other")
-    cells = materialize(rows.groupBy("source", lang.alias("lang"), "topic").agg(F.sum("tokens").alias("tokens")), "mix-cells")
-    sources = cells.groupBy("source").agg(F.pow(F.sum("tokens").cast("double"), F.lit(SOURCE_POWER)).alias("target"))
-    targets = {"source": sources, "lang": _fixed(spark, "lang", LANG_TARGET | {"other": OTHER_LANG}), "topic": _fixed(spark, "topic", TOPIC_TARGET)}
-    raked = rake(cells, targets, frozenset({"lang", "topic"}), iterations)
-    total = float(raked.agg(F.sum("tokens")).first()[0] or 0)
-    rate = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(total) * keep_tokens / F.col("tokens"))).otherwise(1.0)
-    rates = materialize(raked.select("source", F.col("lang").alias("lang_cell"), "topic", rate.alias("probability")), "mix-rates")
-    small = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    joined = rows.withColumn("lang_cell", lang).join(F.broadcast(rates) if small else rates, ["source", "lang_cell", "topic"])
-    return joined.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), (hash_uniform(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
+    rows = materialize(_cells_of(docs, id_col, text_col, source_col, lang_col).drop("_row"), "mix-rows")
+    mixed = _with_rates(rows, rows, keep_tokens, iterations, seed)
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    keep_tokens: float = KEEP_TOKENS, iterations: int = ITERATIONS, seed: int = SEED,
+) -> DataFrame:
+    """The rows of docs that mix_sources() keeps, with all their columns; texts are not shuffled while the cells fit a broadcast."""
+    rows = _cells_of(docs, id_col, text_col, source_col, lang_col)
+    return _with_rates(rows.drop("_row"), rows, keep_tokens, iterations, seed).where("kept").select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

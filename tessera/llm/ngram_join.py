@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_groups, importable, materialize, table
+from tessera.llm.common import arrow_groups, importable, materialize, table, without
 from tessera.llm.components import components
 
 WORDS = 5
@@ -301,6 +301,12 @@ def ngram_join(
     return with_words.unionByName(without)
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with all their columns, of each class of ngram_join() only that with the least id."""
+    dropped = ngram_join(docs, id_col, text_col).where("doc_id <> class_id")
+    return without(docs, dropped, (F.col(id_col).cast("bigint"), "doc_id"))
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and links of all documents."""
     return ngram_join(table(spark, sf_dir, "documents"))

@@ -16,6 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import importable, table
 
@@ -23,6 +24,7 @@ MODEL = "piece_bpe_32k.model"
 #: Characters of chunks (with their ids and decoded text) that a worker's table may hold.
 TABLE_CHARS = 24_000_000
 MARK = "▁"
+IDS = T.StructField("piece_ids", T.ArrayType(T.IntegerType()))
 
 
 def model_path(name: str = MODEL) -> str:
@@ -94,8 +96,23 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", path: str | None = No
     decoded to "". Every row is handled on its own, so repeated rows and ids, ties and an empty table
     need no rule; columns of these two names are replaced.
     """
-    schema = docs.drop("piece_ids", "piece_text").schema
-    return _mapped(docs.drop("piece_ids", "piece_text"), text_col, path, schema.add("piece_ids", "array<int>").add("piece_text", "string"), _whole)
+    rows = docs.drop("piece_ids", "piece_text")
+    return _mapped(rows, text_col, path, T.StructType([*rows.schema, IDS, T.StructField("piece_text", T.StringType())]), _whole)
+
+
+def token_rows(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """docs, without the text, with piece_ids, n_pieces and `exact`: whether the ids decode to the text."""
+    rows = docs.drop("piece_ids", "n_pieces", "exact")
+    schema = T.StructType([*rows.drop(text_col).schema, IDS, T.StructField("n_pieces", T.LongType()), T.StructField("exact", T.BooleanType())])
+    at = rows.columns.index(text_col)
+
+    def finish(batch: pa.RecordBatch, texts: Iterator[str], chunks: ChunkTable) -> pa.RecordBatch:
+        texts = list(texts)
+        found = [(ids, decoded == text) for text, (_, ids, decoded) in zip(texts, _encoded(texts, chunks), strict=True)]
+        added = [pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([len(x[0]) for x in found], pa.int64()), pa.array([x[1] for x in found], pa.bool_())]
+        return pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), *added], schema.names)
+
+    return _mapped(rows, text_col, path, schema, finish)
 
 
 def digest_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -139,6 +139,12 @@ def class_moments(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return moments[:, 0], moments[:, 1 : 1 + FEATURES], moments[:, 1 + FEATURES :].reshape(2, FEATURES, FEATURES)
 
 
+def fit_quality(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
+    """The classes' Gaussians from all labelled rows that are not held out."""
+    train = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    return Discriminant.fit(*class_moments(features.join(train.where(~held_out(F.col("doc_id"))), "doc_id").select("x", "label")))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Returns a row for each row of docs: doc_id, held_out, score, predicted.
 
@@ -150,9 +156,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     * predicted is 1 where score >= 0.5. An empty table gives an empty result.
     """
     features = materialize(featurize(docs, id_col, text_col), "quality-features")
-    train = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    labelled = features.join(train.where(~held_out(F.col("doc_id"))), "doc_id").select("x", "label")
-    model = Discriminant.fit(*class_moments(labelled))
+    model = fit_quality(features, labels, id_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +168,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs that score_quality() predicts as 1, with all their columns; texts are not shuffled."""
+    model = fit_quality(featurize(docs, id_col, text_col), labels, id_col, label_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([text_features(t.as_py() or "") for t in batch.column(text_col)])
+                yield batch.filter(pa.array(model.scores(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all documents, fitted on the labels that are not held out."""
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -55,7 +55,7 @@ class ChunkIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.bound = bound
+        self.model, self.bound = self.tokenizer.model, bound
         self.new, self.old = _Table(self), {}
         self.tail = lru_cache(10_000)(self.raw)
 
@@ -65,7 +65,7 @@ class ChunkIds:
     def word(self, letters: str) -> bytes:
         """Ids of a space and letters, which are one pre-token: its byte symbols go to the model at once."""
         symbols = f" {letters}".encode().decode("latin-1").translate(_SYMBOLS)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
