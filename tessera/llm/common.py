@@ -63,8 +63,16 @@ def without(docs: DataFrame, dropped: DataFrame, *keys: tuple[Column, str]) -> D
     return rows.join(F.broadcast(dropped) if few else dropped, same, "left_anti").select("_row.*")
 
 
+#: Rows of an Arrow batch: texts may be long, and a worker holds some copies of a batch.
+BATCH_ROWS = 1000
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver runs from a source checkout."""
+    """Readies the session for Python workers: this package is importable where the driver runs from a
+    source checkout, and Arrow batches have at most BATCH_ROWS rows."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in paths:

@@ -2,8 +2,8 @@
 
 No piece of the model crosses from a character into a following whitespace marker, so a text may be
 cut before every marker that follows another character: each distinct marked chunk is segmented once
-and its ids are joined back by position. The table lives in the Python worker, is shared by its
-tasks, and is emptied whenever it outgrows its bound, which costs time but never changes a result.
+and its ids are joined back by position. The table lives in the Python worker and is shared by its
+tasks; its older generation goes when the newer one is full, which costs time, never a result.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import importable, table
 
 MODEL = "piece_bpe_32k.model"
-#: Characters of chunks (with their ids and decoded text) that a worker's table may hold.
-TABLE_CHARS = 24_000_000
+#: Chunks in each of the two generations of a worker's table, some 220 bytes each.
+TABLE_CHUNKS = 200_000
 MARK = "▁"
 IDS = T.StructField("piece_ids", T.ArrayType(T.IntegerType()))
 
@@ -41,26 +41,28 @@ class ChunkTable(dict):
     at the end of a text.
     """
 
-    def __init__(self, path: str, bound: int = TABLE_CHARS):
+    def __init__(self, path: str, bound: int = TABLE_CHUNKS):
         import sentencepiece
 
         super().__init__()
-        self.model, self.bound, self.chars = sentencepiece.SentencePieceProcessor(model_file=path), bound, 0
+        self.model, self.bound = sentencepiece.SentencePieceProcessor(model_file=path), bound
+        self.old: dict[str, str] = {}
         check_model(self.model)
 
     def __missing__(self, chunk: str) -> str:
-        # the model puts the chunk's first marker in front of any text but the empty one
-        ids = self.model.encode(chunk) if chunk else [self.model.piece_to_id(MARK)]
-        value = ",".join(map(str, ids))
-        self.chars += len(chunk) + len(value)
+        value = self.old.get(chunk)
+        if value is None:
+            # the model puts the chunk's first marker in front of any text but the empty one
+            ids = self.model.encode(chunk) if chunk else [self.model.piece_to_id(MARK)]
+            value = ",".join(map(str, ids))
         self[chunk] = value
         return value
 
     def encode(self, text: str) -> str:
         """Decimal ids of the whole text, joined by commas."""
-        if self.chars > self.bound:
+        if len(self) > self.bound:
+            self.old = dict(self)
             self.clear()
-            self.chars = 0
         if not text:
             return ""
         text = text.replace(MARK, " ")
