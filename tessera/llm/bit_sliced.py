@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import importable, materialize, table
+from tessera.llm.common import bounded, importable, materialize, table
 
 SCALE = 256
 K = 5
@@ -152,7 +152,7 @@ def build_index(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id",
             if len(ids):
                 yield block(dim, ids, x)
 
-    return _valid(vectors, id_col, vector_col).mapInArrow(run, INDEX)
+    return _valid(vectors, id_col, vector_col).mapInArrow(bounded(run), INDEX)
 
 
 def batch_queries(queries: DataFrame, scale: int, id_col: str, vector_col: str, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -167,7 +167,7 @@ def batch_queries(queries: DataFrame, scale: int, id_col: str, vector_col: str,
                     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["dim", "batch", "ids", "x"])
 
-    return _valid(queries, id_col, vector_col).mapInArrow(run, QUERIES)
+    return _valid(queries, id_col, vector_col).mapInArrow(bounded(run), QUERIES)
 
 
 def topk_blocks(index: DataFrame, batches: DataFrame, k: int) -> DataFrame:
@@ -198,7 +198,7 @@ def topk_blocks(index: DataFrame, batches: DataFrame, k: int) -> DataFrame:
     shards = max(1, batches.count())
     sharded = batches.withColumnRenamed("ids", "query_ids").withColumn("shard", F.pmod(F.xxhash64("batch"), F.lit(shards)))
     copies = index.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-    return copies.join(sharded, ["dim", "shard"]).mapInArrow(run, "query_id long, vec_id long, score long")
+    return copies.join(sharded, ["dim", "shard"]).mapInArrow(bounded(run), "query_id long, vec_id long, score long")
 
 
 def bit_sliced_topk(

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_groups, importable, materialize, table, without
+from tessera.llm.common import arrow_groups, bounded, importable, materialize, table, without
 from tessera.llm.components import components
 
 WORDS = 5
@@ -101,6 +101,13 @@ def set_key(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: n-grams take more room than texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def runs_needed(recall: float = TARGET_RECALL, threshold: float = float(THRESHOLD), depth: int = DEPTH) -> int:
     """Runs after which a pair at the threshold is missed with a chance of 1 - recall at most.
 
@@ -113,7 +120,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, key (null for texts without words and rows without id), sig, bytes (the lowest byte of each token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             keys, sigs, low = [], [], []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 grams = ngrams(text.as_py() or "", words)
@@ -125,7 +132,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             arrays = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "sig", "bytes"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, sig binary, bytes binary")
+    return docs.mapInArrow(bounded(run), "doc_id long, key long, sig binary, bytes binary")
 
 
 def chosen_paths(sets: DataFrame, runs: int, depth: int, bucket: int, seed: int) -> DataFrame:
@@ -191,7 +198,7 @@ def candidate_links(buckets: DataFrame, sets: DataFrame, agreeing: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     dealt = in_chunks(buckets, "node", "size", BUCKET_CHUNK).join(sets.select("key", "bytes"), "key").select("block", "key", "bytes")
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(bounded(run), "a long, b long")
 
 
 def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -207,7 +214,7 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
     owner, gram = owner[order], gram[order]
     common = np.zeros((len(left), len(right)), np.float32)
     n = int(shared.sum())
-    for a, b in pairwise([*range(0, n, 4096), n]):
+    for a, b in pairwise([*range(0, n, 1024), n]):
         lo, hi = np.searchsorted(gram, [a, b])
         has = np.zeros((len(sets), b - a), np.float32)
         has[owner[lo:hi], gram[lo:hi] - a] = 1
@@ -247,7 +254,7 @@ def exact_links(members: DataFrame, threshold: Fraction) -> DataFrame:
             has = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(keys[has]), pa.array(keys[label[has]]), pa.array(links[has])], ["key", "root", "links"])
 
-    return members.repartition("block").sortWithinPartitions("block").mapInArrow(run, "key long, root long, links long")
+    return members.repartition("block").sortWithinPartitions("block").mapInArrow(bounded(run), "key long, root long, links long")
 
 
 def ngram_join(
@@ -279,7 +286,7 @@ def ngram_join(
     members = materialize(candidates.withColumnRenamed("node", "key").join(sizes, "label").join(sets.select("key", "first"), "key"), "families")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             found = [ngrams(t.as_py() or "", words) for t in batch.column("text")]
             own = np.array([set_key(g) == k for g, k in zip(found, batch.column("key").to_pylist(), strict=True)], bool)
             arrays = [batch.column("key"), batch.column("label"), batch.column("size"), pa.array([g.tobytes() for g in found], pa.binary())]
@@ -288,7 +295,7 @@ def ngram_join(
     few = members.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
     wanted = members.withColumnRenamed("first", "doc_id")
     texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "label", "size", "text")
-    full = texts.mapInArrow(grams, "key long, label long, size long, grams binary")
+    full = texts.mapInArrow(bounded(grams), "key long, label long, size long, grams binary")
     verified = materialize(exact_links(in_chunks(full, "label", "size", FAMILY_CHUNK), threshold), "verified")
     classes = components(verified, "key", "root")
     links = verified.groupBy("key").agg(F.sum("links").alias("n_links"))

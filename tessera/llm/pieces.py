@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import importable, table
+from tessera.llm.common import bounded, importable, table
 
 MODEL = "piece_bpe_32k.model"
 #: Chunks in each of the two generations of a worker's table, some 220 bytes each.
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 130_000
 MARK = "▁"
 IDS = T.StructField("piece_ids", T.ArrayType(T.IntegerType()))
 
@@ -130,10 +130,10 @@ def _mapped(rows: DataFrame, text_col: str, path: str | None, schema, finish) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = chunk_table(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                yield finish(part := batch.slice(at, 500), (x or "" for x in part.column(text_col).to_pylist()), chunks)
+            for at in range(0, batch.num_rows, 250):
+                yield finish(part := batch.slice(at, 250), (x or "" for x in part.column(text_col).to_pylist()), chunks)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(bounded(run), schema)
 
 
 def _encoded(texts: Iterator[str], chunks: ChunkTable) -> Iterator[tuple[str, list[int], str]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import importable, materialize, table
+from tessera.llm.common import bounded, importable, materialize, table
 
 #: Byte classes whose share of the text is a feature.
 BYTE_CLASSES = (
@@ -107,7 +107,7 @@ def featurize(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "x"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
+    return rows.mapInArrow(bounded(run), "doc_id long, x array<double>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -132,7 +132,7 @@ def class_moments(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
         label, at = np.repeat([0, 1], size), np.tile(np.arange(size), 2)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(at, pa.int32()), pa.array(np.column_stack([n, total]).ravel())], ["label", "at", "v"])
 
-    sums = labelled.mapInArrow(partial, "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v"))
+    sums = labelled.mapInArrow(bounded(partial), "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v"))
     moments = np.zeros((2, 1 + FEATURES + FEATURES**2))
     for r in sums.collect():  # two classes times the number of moments
         moments[r["label"], r["at"]] = r["v"]
@@ -164,7 +164,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             score = model.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    scored = features.mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = features.mapInArrow(bounded(run), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -178,7 +178,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 x = np.array([text_features(t.as_py() or "") for t in batch.column(text_col)])
                 yield batch.filter(pa.array(model.scores(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)
 
 
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.llm import simple8b
-from tessera.llm.common import importable, table, work_path
+from tessera.llm.common import bounded, importable, table, work_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -192,7 +192,7 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
             yield segment()
 
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SEGMENTS).write.option("compression", "none").parquet(out)
+    ordered.mapInArrow(bounded(run), SEGMENTS).write.option("compression", "none").parquet(out)
 
 
 def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFrame:
@@ -223,7 +223,7 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFra
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
     joined = segments.join(F.broadcast(firsts), "part")  # a row for each part
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(bounded(run), schema)
 
 
 def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:

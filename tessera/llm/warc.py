@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_groups, importable, table, work_path
+from tessera.llm.common import arrow_groups, bounded, importable, table, work_path
 
 #: Payloads with fewer bytes are never revisited.
 REVISIT_BYTES = 0
@@ -171,7 +171,7 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(out).select("path", "content")
-    return files.mapInArrow(run, ENTRIES)
+    return files.mapInArrow(bounded(run), ENTRIES)
 
 
 class LoserTree:
@@ -244,7 +244,7 @@ def merge_runs(entries: DataFrame, parts: int | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), [*types, pa.int64()], strict=True)], [*names, "place"])
 
     merged = ranged.withColumn("part", F.spark_partition_id()).sortWithinPartitions("run", *order)
-    return merged.drop("part").mapInArrow(run, ENTRIES + ", place long").withColumn("part", F.spark_partition_id())
+    return merged.drop("part").mapInArrow(bounded(run), ENTRIES + ", place long").withColumn("part", F.spark_partition_id())
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
