@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from tessera.plans import chunks, graphs, lifecycle, scalars, search
+
+_MODULES = (scalars, chunks, search, graphs, lifecycle)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+FLAGSHIP = search.hybrid_search
