@@ -27,7 +27,10 @@ def indexable(path: Column, size: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """file_path (below root), mtime_ms, bytes, content of all indexable files; contents of others are never read."""
+    """file_path (below root), mtime_ms, bytes, content of all indexable files; contents of others are never read.
+
+    Spark's file sources do not list hidden directories: name an allowed one (HIDDEN_ALLOWED) as a root of its own.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.col("path"), "^" + r"[a-z]+:/*" + root.strip("/").replace(".", r"\.") + "/", "")
     listed = found.where(F.col("length") <= MAX_BYTES).withColumn("file_path", path)
