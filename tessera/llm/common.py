@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -81,20 +82,44 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *paths])
 
 
+#: What empties the tables that a worker keeps between tasks, by the module that keeps them.
+_TABLES: dict[str, list[Callable[[], None]]] = {}
+_last_module = [""]
+
+
+def kept_table(make: Callable) -> Callable:
+    """Caches what `make` gives in the worker, until the worker runs a task of another module."""
+    cached = lru_cache(make)
+    _TABLES.setdefault(make.__module__, []).append(cached.cache_clear)
+    return cached
+
+
 def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """`run` for mapInArrow, such that the worker, which outlives its tasks, keeps no memory that they have freed."""
+    """`run` for mapInArrow, such that the worker, which outlives its tasks, keeps no memory that they have
+    freed, and no tables of another module than that of its last task."""
+    module = run.__module__
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
+        if _last_module[0] != module:
+            for clear in _TABLES.get(_last_module[0], []):
+                clear()
+            _last_module[0] = module
+            hand_back()
         yield from run(batches)
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        hand_back()
 
     return task
 
 
+def hand_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
     """Contiguous runs of equal `key` in a sorted stream, across batch borders.
 

@@ -28,8 +28,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(least, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
         loops = stars.where("hi = lo")
         stars = materialize(small.unionByName(least.withColumnRenamed("least", "lo")).unionByName(loops).distinct(), "small-star")
+    # a node with a loop has its own label as well
     roots = stars.select(F.col("lo").alias("node"), F.col("lo").alias("label"))
-    return stars.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots).distinct()
+    labels = stars.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots)
+    return labels.groupBy("node").agg(F.min("label").alias("label"))
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

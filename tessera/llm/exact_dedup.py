@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table, without, work_path
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 class DigestIndex:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded, importable, table
+from tessera.llm.common import bounded, importable, kept_table, table
 
 MODEL = "piece_bpe_32k.model"
 #: Chunks in each of the two generations of a worker's table, some 220 bytes each.
@@ -85,7 +85,7 @@ def check_model(model) -> None:
         raise ValueError("pieces of this model cross whitespace markers, or it normalises white space: encode whole texts instead")
 
 
-@lru_cache
+@kept_table
 def chunk_table(path: str) -> ChunkTable:
     """The worker's table, shared by the tasks that the worker runs."""
     return ChunkTable(path)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.llm import simple8b
-from tessera.llm.common import bounded, importable, table, work_path
+from tessera.llm.common import bounded, importable, kept_table, table, work_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -110,7 +110,7 @@ class _Table(dict):
         return value
 
 
-@lru_cache
+@kept_table
 def chunk_ids(path: str) -> ChunkIds:
     """The worker's table, shared by the tasks that the worker runs."""
     return ChunkIds(path)

@@ -243,8 +243,7 @@ def merge_runs(entries: DataFrame, parts: int | None = None) -> DataFrame:
         types = [pa.int64() if c.endswith("long") else pa.string() for c in ENTRIES.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), [*types, pa.int64()], strict=True)], [*names, "place"])
 
-    merged = ranged.withColumn("part", F.spark_partition_id()).sortWithinPartitions("run", *order)
-    return merged.drop("part").mapInArrow(bounded(run), ENTRIES + ", place long").withColumn("part", F.spark_partition_id())
+    return ranged.sortWithinPartitions("run", *order).mapInArrow(bounded(run), ENTRIES + ", place long").withColumn("part", F.spark_partition_id())
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
