@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +75,6 @@ class ChunkTable(dict):
 RUNS = re.compile(r"(?<=[^ ]) ")
 
 
-@lru_cache
 def check_model(model) -> None:
     """The chunk table is exact only for such models; others are refused."""
     crossing = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if re.search(f"[^{MARK}]{MARK}", p)]
