@@ -9,7 +9,7 @@ from tessera.llm.mixing import OP6_SQL, op6_mixing
 from tessera.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from tessera.llm.pieces import op9_sentencepiece
 from tessera.llm.quality import op10_quality_qda
-from tessera.llm.secrets import op5_secret_scans
+from tessera.llm.secrets import OP5_SQL, op5_secret_scans
 from tessera.llm.token_files import op2_token_id_output
 from tessera.llm.warc import OP7_SQL, op7_warc
 
@@ -29,6 +29,7 @@ ORACLE_SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op4_chat_formatting": OP4_SQL,
+    "op5_secret_scans": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op7_warc": OP7_SQL,
     "op8_bit_sliced_topk": OP8_SQL,

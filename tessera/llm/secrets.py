@@ -143,3 +143,36 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret scan of all whole documents."""
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same rows in DuckDB, the links by plain comparison of all parts of a document."""
+    quoted = [p.replace("'", "''") for p in PATTERNS]
+    scans = " UNION ALL ".join(
+        f"SELECT row, {k} AS kind, regexp_extract_all(text, '{p}', 0) AS hit, regexp_extract_all(text, '{p}', {2 if k == ASSIGN else 0}) AS value, regexp_split_to_array(text, '{p}') AS gap FROM d"
+        for k, p in enumerate(quoted)
+    )
+    has = lambda c: f"regexp_matches(hit, '{c}')"
+    kinds = ", ".join(f"'{k}'" for k in KINDS)
+    near = f"SELECT 1 FROM s o WHERE o.row = s.row AND o.kind IN {{}} AND abs(o.start - s.start) <= {SCOPE}"
+    shown = "string_agg([{0}][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop)".format(kinds)
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents), m AS ({scans}),
+u AS (SELECT row, kind, unnest(hit) AS hit, unnest(value) AS value, unnest(gap[1:len(hit)]) AS gap, generate_subscripts(hit, 1) AS n FROM m),
+p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY n) AS stop FROM u),
+s AS (
+  SELECT row, kind, stop - length(hit) AS start, stop FROM p WHERE CASE kind WHEN {ASSIGN} THEN length(value) >= 6
+    WHEN {ID_PART} THEN length(hit) <= 32 AND {has("[A-Z]")} AND {has("[0-9]")} AND NOT contains(hit, 'AKIA')
+    WHEN {KEY_PART} THEN length(hit) = 40 AND {has("[A-Z]")} AND {has("[a-z]")} AND {has("[0-9]")} ELSE true END
+), k AS (
+  SELECT * FROM s WHERE kind < {ID_PART} OR ((kind = {ID_PART} OR EXISTS ({near.format(IS_ID)})) AND (kind = {KEY_PART} OR EXISTS ({near.format(IS_KEY)})))
+), g AS (
+  SELECT row, count(*) FILTER (kind = {ASSIGN}) AS n_assign, count(*) FILTER (kind = {ACCESS}) AS n_access, count(*) FILTER (kind = {HEX}) AS n_hex,
+         coalesce({shown} FILTER (kind < {ID_PART}), '') AS base, {shown} AS spans FROM k GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)
+"""
+
+
+OP5_SQL = _sql()
