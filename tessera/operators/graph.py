@@ -143,6 +143,29 @@ def assemble(nodes: DataFrame, edges: DataFrame, of: DataFrame, strategy: str) -
     return found.join(nodes.select("node"), "node", "left_semi").withColumn("rank", rank)
 
 
+def public_nodes(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Nodes that are public: used from a test, or with a chunk (node, content) that starts with `pub `."""
+    from_tests = edges.where(F.contains("src", F.lit("test"))).select(F.col("dst").alias("node"))
+    declared = chunks.where(F.startswith("content", F.lit("pub "))).select("node")
+    return nodes.join(from_tests.unionByName(declared).distinct(), "node", "left_semi")
+
+
+def key_types(nodes: DataFrame, edges: DataFrame, among: int = 20, k: int = 10) -> DataFrame:
+    """name, degree: the k names of the largest degree among the first `among` nodes, without tests and nameless ones."""
+    top = hotspots(edges, among).join(nodes.select("node", "name"), "node")
+    kept = top.where((F.col("name") != "unknown") & ~F.contains(F.lower("node"), F.lit("test")))
+    return kept.groupBy("name").agg(F.max("degree").alias("degree")).orderBy(F.desc("degree"), "name").limit(k)
+
+
+def explain(nodes: DataFrame, edges: DataFrame, of: DataFrame) -> DataFrame:
+    """start, role, node, rel: definition, dependencies, dependents and tests of the nodes in `of`."""
+    own = of.select(F.col("node").alias("start"), F.lit("definition").alias("role"), "node", F.lit(None).cast("string").alias("rel"))
+    out = neighbours(edges, of).select("start", F.lit("dependency").alias("role"), "node", "rel")
+    back = neighbours(edges, of, forward=False).select("start", F.lit("dependent").alias("role"), "node", "rel")
+    tests = related_tests(nodes, edges, of).select("start", F.lit("test").alias("role"), "node", F.lit(None).cast("string").alias("rel"))
+    return own.unionByName(out).unionByName(back).unionByName(tests).distinct()
+
+
 def mermaid(edges: DataFrame, limit: int = 10) -> DataFrame:
     """One row `diagram`: a text graph of the first edges."""
     line = F.concat(F.lit("  "), F.col("src"), F.lit(" -->|"), F.col("rel"), F.lit("| "), F.col("dst"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions.paths import directory_key, entrypoint_rank, is_contract, layer_role
+from tessera.functions.paths import AREAS, changed_area, directory_key, entrypoint_rank, is_contract, layer_role
 from tessera.operators.lines import explode_lines
 
 # Kinds of anchors with their priority and the paths that qualify, in order of preference.
@@ -82,3 +82,61 @@ def notebook_staleness(pointers: DataFrame, files: DataFrame) -> DataFrame:
     now = files.select("file_path", F.sha2("content", 256).alias("_now"))
     met = pointers.join(now, "file_path", "left")
     return met.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("sha256").isNotNull() & ~F.col("sha256").eqNullSafe(F.col("_now"))).alias("stale"))
+
+
+def touched_areas(changes: DataFrame, k: int = 5) -> DataFrame:
+    """worktree, areas: distinct areas of changed paths (worktree, path), in the order of the areas, k at most."""
+    order = F.create_map(*(F.lit(x) for i, (name, _) in enumerate(AREAS) for x in (name, i)))
+    area = changed_area(F.col("path"))
+    found = changes.withColumn("area", area).where("area IS NOT NULL").select("worktree", F.struct(order[F.col("area")].alias("o"), "area").alias("a"))
+    return found.groupBy("worktree").agg(F.transform(F.slice(F.array_sort(F.collect_set("a")), 1, k), lambda a: a["area"]).alias("areas"))
+
+
+def asyncapi_flows(contracts: DataFrame, entries: DataFrame, limit: int = 10) -> DataFrame:
+    """file_path, channel, direction, actor: channels of AsyncAPI documents in JSON; the actor is the entry point that shares most directories.
+
+    contracts: file_path, content; entries: file_path.
+    """
+    channels = F.from_json(F.get_json_object("content", "$.channels"), "map<string,string>")
+    asyncapi = contracts.where(F.get_json_object("content", "$.asyncapi").isNotNull()).select("file_path", F.explode(channels).alias("channel", "body"))
+    first = F.row_number().over(W.partitionBy("file_path").orderBy("channel"))
+    kept = asyncapi.withColumn("_n", first).where(F.col("_n") <= limit)
+    sides = F.filter(F.array(*(F.when(F.get_json_object("body", f"$.{s}").isNotNull(), s) for s in ("publish", "subscribe"))), lambda x: x.isNotNull())
+    flows = kept.select("file_path", "channel", F.explode(sides).alias("direction"))
+
+    def prefixes(column: str):
+        """The directories above a path, from the top, each with all before it."""
+        parts = F.split(column, "/")
+        return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+    near = contracts.select("file_path", F.explode(prefixes("file_path")).alias("_dir")).distinct()
+    actors = entries.select(F.col("file_path").alias("actor"), F.explode(prefixes("file_path")).alias("_dir")).groupBy("_dir").agg(F.min("actor").alias("actor"))
+    actor = near.join(actors, "_dir").groupBy("file_path").agg(F.min_by("actor", F.struct((-F.length("_dir")).alias("n"), F.col("actor").alias("p"))).alias("actor"))
+    return flows.join(actor, "file_path", "left")
+
+
+# Protocols of message brokers with the words that name them.
+BROKERS = (("kafka", r"kafka"), ("amqp", r"rabbitmq|amqp"), ("nats", r"\bnats\b"), ("redis", r"\bredis\b"), ("mqtt", r"\bmqtt\b"))
+
+
+def brokers(files: DataFrame, limit: int = 4) -> DataFrame:
+    """file_path, protocol, confidence: configuration files that name a broker, the surest first."""
+    config = files.where(F.lower("file_path").rlike(r"compose|\.(ya?ml|toml|env|tf|properties)$"))
+    protocol = F.lit(None).cast("string")
+    for name, pattern in reversed(BROKERS):
+        protocol = F.when(F.lower("content").rlike(pattern), name).otherwise(protocol)
+    sure = F.when(F.contains(F.lower("file_path"), F.lit("compose")), 0.9).when(F.lower("content").rlike(r"(broker|bootstrap)[^\n]*://"), 0.85).otherwise(0.75)
+    found = config.select("file_path", protocol.alias("protocol"), sure.alias("confidence")).where("protocol IS NOT NULL")
+    return found.orderBy(F.desc("confidence"), "file_path").limit(limit)
+
+
+def meaning_focus(files: DataFrame, prefix: str, max_chars: int) -> DataFrame:
+    """meaning_pack() of what is below a directory, or of one file."""
+    below = (F.col("file_path") == prefix) | F.startswith("file_path", F.lit(prefix.rstrip("/") + "/"))
+    return meaning_pack(files.where(below), max_chars)
+
+
+def evidence_window(files: DataFrame, lines: int = 40) -> DataFrame:
+    """file_path, first, last: lines from the first heading or command on."""
+    first = explode_lines(files.select("file_path", "content")).where(F.col("line").rlike(r"^(#{1,3} |\$ |```|def |fn |class )"))
+    return first.groupBy("file_path").agg(F.min("n").alias("first")).withColumn("last", F.col("first") + lines - 1)

@@ -63,3 +63,41 @@ def delete_anchors(anchors: DataFrame, gone: DataFrame, runbooks: DataFrame) ->
     marked = anchors.join(gone.select("anchor_id").distinct().withColumn("_gone", F.lit(True)), "anchor_id", "left").join(used, "anchor_id", "left")
     bad = F.when(F.col("_gone") & F.col("_used"), F.raise_error(F.concat(F.lit("a runbook refers to anchor "), F.col("anchor_id")))).otherwise(F.col("_gone").isNull())
     return marked.where(bad).select(*anchors.columns)
+
+
+def must_reembed(stored: DataFrame, mode: str, model_id: str, template_hash: str, dimension: int) -> DataFrame:
+    """Vectors that were made in another mode, by another model or template, or of another length."""
+    same = (F.col("mode") == mode) & (F.col("model_id") == model_id) & (F.col("template_hash") == template_hash) & (F.size("vector") == dimension)
+    return stored.where(~F.coalesce(same, F.lit(False)))
+
+
+def health_snapshot(cycles: DataFrame, failures: int = 5) -> DataFrame:
+    """One row from the log of cycles (cycle, ts, ok, duration_ms, reason): last success and failure, p95 of the last 20 durations, last failures."""
+    last = cycles.orderBy(F.desc("cycle")).limit(20)
+    p95 = last.where("ok").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("p95_ms"))
+    bad = cycles.where("NOT ok").orderBy(F.desc("cycle")).limit(failures).agg(F.transform(F.sort_array(F.collect_list(F.struct("cycle", "reason")), asc=False), lambda x: x["reason"]).alias("failures"))
+    seen = cycles.agg(F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success"), F.max(F.when(~F.col("ok"), F.col("ts"))).alias("last_failure"))
+    return seen.join(p95).join(bad)  # three tables of one row
+
+
+def stage_and_commit(tables: dict[str, DataFrame], root: str, version: str) -> str:
+    """Writes all tables to a version of their own, and then the pointer to it: readers see all tables of a version or none.
+
+    An earlier version stays for rollback: write the pointer to it again with point_to().
+    """
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/versions/{version}/{name}")
+    point_to(spark, root, version)
+    return version
+
+
+def point_to(spark, root: str, version: str) -> None:
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+
+
+def read_version(spark, root: str, name: str) -> DataFrame:
+    """A table in the version that was pointed to last."""
+    pointer = spark.read.schema("version string").parquet(f"{root}/pointer").select("version", F.col("_metadata.file_modification_time").alias("at"))
+    version = pointer.orderBy(F.desc("at")).first().version
+    return spark.read.parquet(f"{root}/versions/{version}/{name}")

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text, vectors
-from tessera.operators import chunking, graph, lines, orient, packing, ranking, retrieval, vector
+from tessera.operators import anchors, chunking, graph, lines, orient, packing, ranking, retrieval, vector
 from tessera.profile import GENERAL, BARE, PathRule, load_profile
 from tessera.sources import files as sources
 from tessera.sources import sinks
@@ -256,3 +256,76 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("batches").where("key <> 'end'").collect()} == wanted
+
+
+@pytest.mark.parametrize(("query", "kind", "found"), [('where is "exact text" in src/a.rs', "quoted", "exact text"), ("see src/a.rs:12 and b.py#L3", "path", "src/a.rs"), ("what calls get_user or getAll", "identifier", "get_user"), ("plain words", None, None)])
+def test_anchor_detection(query, kind, found):
+    anchor = anchors.detect_anchor(query)
+    assert (anchor and anchor.kind, anchor and anchor.text) == (kind, found)
+
+
+@settings(max_examples=100)
+@given(st.text(max_size=40))
+def test_anchor_is_within_the_query(query):
+    anchor = anchors.detect_anchor(query)
+    assert anchor is None or anchor.text in query
+
+
+def test_directives():
+    d = anchors.parse_directives("deep k:3 in:src not:src/x fp:*.rs where is it lit:a: b c")
+    assert (d.mode, d.k, d.include, d.exclude, d.pattern, d.text, d.literal) == ("deep", 3, ["src"], ["src/x"], "*.rs", "where is it", "a: b c")
+    assert anchors.parse_directives("index:5s x").index_ms == 5000 and anchors.symbol_anchor("find get_user2 here") == "get_user2"
+
+
+def test_direct_matches(spark):
+    files = spark.createDataFrame([("src/a/b.rs",), ("x/a/b.rs",), ("src/a/bb.rs",)], "file_path string")
+    queries = spark.createDataFrame([(1, "a/b.rs"), (2, "src/a/b.rs"), (3, "bb.r"), (4, "no words")], "query_id int, query string")
+    assert {(r.query_id, r.file_path, r.tier) for r in anchors.direct_paths(files, queries).collect()} == {(1, "src/a/b.rs", 1), (1, "x/a/b.rs", 1), (2, "src/a/b.rs", 0), (3, "src/a/bb.rs", 2)}
+    chunks = spark.createDataFrame([(1, "s/mod.rs", "Engine"), (2, "s/engine.rs", "run"), (3, "t/x.rs", "run")], "item int, file_path string, symbol string")
+    asked = spark.createDataFrame([(1, "engine"), (2, "RUN")], "query_id int, query string")
+    assert {(r.query_id, r.item) for r in anchors.direct_symbols(chunks, asked).collect()} == {(1, 2), (2, 2), (2, 3)}
+
+
+def test_guard_and_focus(spark):
+    rows = spark.createDataFrame([(1, 0, "a", "has get_user x"), (1, 1, "b", "none"), (2, 0, "c", "forget_user")], "query_id int, rank int, file_path string, content string")
+    assert {r.file_path for r in anchors.guard(rows, anchors.Anchor("identifier", "get_user")).collect()} == {"a", "b"}
+    related = spark.createDataFrame([(1, "p", "a", 1, 0.5, "no"), (1, "p", "b", 2, 0.9, "word"), (1, "p", "c", 2, 0.8, "no"), (1, "p", "d", 3, 1.0, "word")], "query_id int, primary string, item string, distance int, relevance double, content string")
+    assert [r.item for r in anchors.focus_related(related, F.array(F.lit("word"))).orderBy("rank").collect()] == ["b", "a"]
+    firsts = [spark.createDataFrame(x, "question_id int, item string") for x in ([(1, "a")], [(1, "b"), (2, "c")])]
+    assert {(r.question_id, r.item, r.source) for r in anchors.first_source(firsts).collect()} == {(1, "a", 0), (2, "c", 1)}
+
+
+def test_graph_boost_and_explain(spark):
+    first = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "query_id int, item string, rank int")
+    hits = spark.createDataFrame([(1, "b", 0), (1, "c", 1), (1, "x", 2)], "query_id int, item string, rank int")
+    out = anchors.graph_boost(first, hits, spark.createDataFrame([("x",)], "item string"), 0.25, 10).orderBy("rank").collect()
+    assert [r.item for r in out] == ["b", "a", "c"] and (out[0].score, out[-1].score) == (1.0, 0.0)
+    nodes = spark.createDataFrame([("a", "a"), ("test_b", "test_b")], "node string, name string")
+    edges = spark.createDataFrame([("test_b", "a", "Calls", 1.0)], "src string, dst string, rel string, weight double")
+    of = spark.createDataFrame([("a",)], "node string")
+    assert {(r.role, r.node) for r in graph.explain(nodes, edges, of).collect()} == {("definition", "a"), ("dependent", "test_b"), ("test", "test_b")}
+    assert [r.node for r in graph.public_nodes(nodes, edges, nodes.withColumn("content", F.lit(""))).collect()] == ["a"]
+    assert [r.name for r in graph.key_types(nodes, edges).collect()] == ["a"]
+
+
+def test_versions_and_health(spark, tmp_path):
+    root = str(tmp_path)
+    for i in (1, 2):
+        sinks.stage_and_commit({"t": spark.range(i)}, root, f"v{i}")
+    assert sinks.read_version(spark, root, "t").count() == 2
+    sinks.point_to(spark, root, "v1")
+    assert sinks.read_version(spark, root, "t").count() == 1
+    log = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), True, 10, None), (2, dt.datetime(2024, 1, 2), False, 5, "x"), (3, dt.datetime(2024, 1, 3), True, 30, None)], "cycle int, ts timestamp, ok boolean, duration_ms int, reason string")
+    row = sinks.health_snapshot(log).first()
+    assert (row.p95_ms, row.failures, row.last_success.day) == (30, ["x"], 3)
+
+
+def test_more_orientation(spark):
+    changes = spark.createDataFrame([("w", "src/a.rs"), ("w", "docs/a.md"), ("w", "docs/b.md"), ("v", "zzz")], "worktree string, path string")
+    assert [(r.worktree, r.areas) for r in orient.touched_areas(changes).collect()] == [("w", ["docs", "core"])]
+    api = json.dumps({"asyncapi": "2", "channels": {"a/b": {"publish": {}}, "c": {"subscribe": {}, "publish": {}}}})
+    files = spark.createDataFrame([("svc/api.json", api), ("compose.yml", "image: redis"), ("x.yaml", "a: kafka")], "file_path string, content string")
+    entries = spark.createDataFrame([("svc/main.rs",), ("a/main.rs",)], "file_path string")
+    assert {(r.channel, r.direction, r.actor) for r in orient.asyncapi_flows(files, entries).collect()} == {("a/b", "publish", "svc/main.rs"), ("c", "publish", "svc/main.rs"), ("c", "subscribe", "svc/main.rs")}
+    assert [(r.protocol, r.confidence) for r in orient.brokers(files).collect()] == [("redis", 0.9), ("kafka", 0.75)]
+    assert orient.meaning_focus(files, "svc", 1000).count() >= 1 and orient.evidence_window(files).count() == 0
