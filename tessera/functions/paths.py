@@ -176,15 +176,19 @@ def is_secret_file(path: Column) -> Column:
     return F.coalesce(secret, F.lit(False)) & ~name.isin(*SECRET_EXEMPT)
 
 
+#: Paths of entry points, the likeliest first, and of descriptions of interfaces.
+ENTRY_PATTERNS = (r"(^|/)main\.(rs|py|go|ts|js)$", r"(^|/)(index|app|server)\.(ts|tsx|js|py)$", r"(^|/)(lib\.rs|__main__\.py|mod\.rs)$", r"(^|/)(cli|cmd)/")
+CONTRACT_PATTERN = r"\.(proto|avsc|graphql)$|(openapi|asyncapi|swagger)[^/]*\.(json|ya?ml)$|(^|/)contracts?/"
+
+
 def entrypoint_rank(path: Column) -> Column:
     """Rank of a file as an entry point, null if it is none."""
     low, out = F.lower(path), F.lit(None).cast("int")
-    patterns = (r"(^|/)main\.(rs|py|go|ts|js)$", r"(^|/)(index|app|server)\.(ts|tsx|js|py)$", r"(^|/)(lib\.rs|__main__\.py|mod\.rs)$", r"(^|/)(cli|cmd)/")
-    for rank, pattern in reversed(list(enumerate(patterns))):
+    for rank, pattern in reversed(list(enumerate(ENTRY_PATTERNS))):
         out = F.when(low.rlike(pattern), rank).otherwise(out)
     return out
 
 
 def is_contract(path: Column) -> Column:
     """Whether a file describes an interface."""
-    return F.lower(path).rlike(r"\.(proto|avsc|graphql)$|(openapi|asyncapi|swagger)[^/]*\.(json|ya?ml)$|(^|/)contracts?/")
+    return F.lower(path).rlike(CONTRACT_PATTERN)

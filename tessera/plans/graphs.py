@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
-from tessera.plans.base import CHUNK_LINES, files, table
+from tessera.plans.base import CHUNK_LINES, LOWERED, files, table
+from tessera.plans.chunks import CHUNKS
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,4 +131,7 @@ ORACLE_SQL = {
         k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node, side, rel ORDER BY other) AS n FROM s) WHERE n <= 12), l AS (SELECT node, side || ' ' || rel || ': ' || string_agg(other, ', ' ORDER BY other) AS line FROM k GROUP BY node, side, rel),
         b AS (SELECT node, string_agg(line, chr(10) ORDER BY line) AS body FROM l GROUP BY 1) SELECT node, 'symbol: ' || node || chr(10) || coalesce(body, '') AS doc FROM nodes LEFT JOIN b USING (node)""",
     "graph_mermaid": f"WITH {EDGES}, f AS (SELECT * FROM edges ORDER BY src, dst, rel LIMIT 10) SELECT 'graph LR' || chr(10) || string_agg('  ' || src || ' -->|' || rel || '| ' || dst, chr(10) ORDER BY '  ' || src || ' -->|' || rel || '| ' || dst) AS diagram FROM f",
+    "text_usages": f"""WITH {CHUNKS}, l AS (SELECT file_path, start_line, {LOWERED.format('content')} AS low FROM chunks WHERE NOT ends_with(file_path, '.md')),
+        h AS (SELECT file_path, start_line, regexp_extract(chr(10) || low || ' ', '(?s)^(.*?[^a-z0-9_])token[^a-z0-9_]', 1) AS before FROM l)
+        SELECT file_path, start_line + len(string_split(before, chr(10))) - 2 AS line FROM h WHERE before <> '' ORDER BY file_path, line LIMIT 200""",
 }
