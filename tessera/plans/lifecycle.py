@@ -178,11 +178,11 @@ _STATES = f"""{FILES}, st AS (SELECT doc_id, f.file_path, lang, n_chars AS mtime
   changed AS (SELECT l.* FROM live l LEFT JOIN stored s USING (file_path) WHERE s.file_path IS NULL OR l.mtime_ms > s.mtime_ms)"""
 
 
-def _cases(rules) -> str:
+def _when(rules) -> str:
     return " ".join(f"WHEN regexp_matches(low, '{pattern}') THEN {value}" for value, pattern in rules)
 
 
-_ANCHORS = f"""{FILES}, l AS (SELECT file_path, lower(file_path) AS low FROM files), k AS (SELECT file_path, CASE {_cases((f"'{n}'", p) for n, _, p in orient.ANCHORS)} END AS kind, CASE {_cases((v, p) for _, v, p in orient.ANCHORS)} END AS priority FROM l),
+_ANCHORS = f"""{FILES}, l AS (SELECT file_path, lower(file_path) AS low FROM files), k AS (SELECT file_path, CASE {_when((f"'{n}'", p) for n, _, p in orient.ANCHORS)} END AS kind, CASE {_when((v, p) for _, v, p in orient.ANCHORS)} END AS priority FROM l),
   anchors AS (SELECT kind, priority, arg_min(file_path, {{'depth': len(string_split(file_path, '/')), 'path': file_path}}) AS file_path FROM k WHERE kind IS NOT NULL GROUP BY ALL ORDER BY priority DESC LIMIT {orient.MAX_ANCHORS})"""
 ORACLE_SQL = {
     "eval_cases": f"WITH {_EVAL} SELECT case_id, round(mrr, 6) AS mrr, round(recall, 6) AS recall, round(overlap, 6) AS overlap FROM ca",
@@ -216,8 +216,8 @@ ORACLE_SQL = {
     "kind_order": f"""WITH {FILES}, f AS (SELECT doc_id, CASE WHEN ends_with(file_path, '.md') THEN 'docs' WHEN ends_with(file_path, '.yaml') THEN 'config' ELSE 'code' END AS kind, length(content) AS score FROM files),
         r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, doc_id) - 1 AS rank FROM f) SELECT * FROM r WHERE rank < 5""",
     "orient_files": f"""WITH f AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS file_path FROM pages), l AS (SELECT *, lower(file_path) AS low FROM f)
-        SELECT file_path, CASE {_cases((i, p) for i, p in enumerate(ENTRY_PATTERNS))} END AS entry_rank, regexp_matches(low, '{CONTRACT_PATTERN}') AS contract,
-          CASE {_cases((f"'{n}'", p) for n, p, _ in orient.BOUNDARIES)} END AS boundary, CAST(CASE {_cases((v, p) for _, p, v in orient.BOUNDARIES)} END AS DOUBLE) AS confidence FROM l""",
+        SELECT file_path, CASE {_when((i, p) for i, p in enumerate(ENTRY_PATTERNS))} END AS entry_rank, regexp_matches(low, '{CONTRACT_PATTERN}') AS contract,
+          CASE {_when((f"'{n}'", p) for n, p, _ in orient.BOUNDARIES)} END AS boundary, CAST(CASE {_when((v, p) for _, p, v in orient.BOUNDARIES)} END AS DOUBLE) AS confidence FROM l""",
     "orient_anchors": f"WITH {_ANCHORS} SELECT kind, file_path, priority FROM anchors",
     "meaning_pack": f"""WITH {_ANCHORS}, r AS (SELECT 0 AS s, 'ANCHORS' AS section, -priority AS o, 'A ' || kind || ' ' || file_path AS line FROM anchors
         UNION ALL SELECT 1, 'MAP', -count(*), 'M ' || string_split(file_path, '/')[1] || ' Core logic ' || count(*) FROM files GROUP BY string_split(file_path, '/')[1]),
