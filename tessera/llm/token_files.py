@@ -30,7 +30,7 @@ END_ID = 2
 #: A segment is closed when it has that many ids; one document never spans two segments.
 SEGMENT_IDS = 1 << 20
 #: Chunks in each of the two generations of a worker's table.
-TABLE_CHUNKS = 700_000
+TABLE_CHUNKS = 900_000
 MAGIC = b"TS8B"
 HEADER = struct.Struct("<4sIQQQ")  # magic, documents, ids, words, blocks
 SEGMENTS = "part int, seq int, before long, n_ids long, body binary"
@@ -64,7 +64,7 @@ class ChunkIds:
 
     def word(self, letters: str) -> bytes:
         """Ids of a space and letters, which are one pre-token: its byte symbols go to the model at once."""
-        symbols = f" {letters}".encode().decode("latin-1").translate(_SYMBOLS)
+        symbols = "Ġ" + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SYMBOLS))
         return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -78,7 +78,6 @@ class ChunkIds:
             return self.raw(text)
 
 
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: Letters with what follows them from the first character that is none: another place where the pre-tokeniser always cuts.
 _WORD = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-@\[-`{-~].*)", re.S)
 
@@ -97,18 +96,22 @@ class _Table(dict):
     def __missing__(self, chunk: str) -> bytes:
         value = self.owner.old.get(chunk)
         if value is None:
-            visible = chunk.removeprefix("\n")[:1]
-            if not ("!" <= visible <= "~" or "À" <= visible <= "ɏ"):
-                raise _Unsafe
-            if _LETTERS.fullmatch(chunk):
+            if chunk.isalpha() and (chunk.isascii() or "À" <= chunk[0] <= "ɏ" or "A" <= chunk[0] <= "z"):
                 value = self.owner.word(chunk)
-            elif word := _WORD.fullmatch(chunk):
-                value = self[word[1]] + self.owner.tail(word[2])
             else:
-                value = self.owner.raw(chunk if chunk[0] == "\n" else f" {chunk}")
+                value = self.rest(chunk)
         self[chunk] = value
         return value
 
+    def rest(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not letters alone."""
+        visible = chunk.removeprefix("\n")[:1]
+        if not ("!" <= visible <= "~" or "À" <= visible <= "ɏ"):
+            raise _Unsafe
+        if word := _WORD.fullmatch(chunk):
+            return self[word[1]] + self.owner.tail(word[2])
+        return self.owner.raw(chunk if chunk[0] == "\n" else f" {chunk}")
+
 
 @kept_table
 def chunk_ids(path: str) -> ChunkIds:
