@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import bit_sliced, chat, mixing, ngram_join, pieces, quality, secrets, simple8b, token_files, warc
-from tessera.llm.common import arrow_groups, work_path
+from tessera.llm.common import arrow_groups, clear_work, materialize, work_path
 from tessera.llm.components import components
 from tessera.llm.exact_dedup import DigestIndex, drop_copies, exact_dedup
 
@@ -259,3 +259,12 @@ def test_arrow_groups_cross_batches():
 
     batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64())], ["k"]) for x in ([1, 1, 2], [], [2, 2], [3], [3, 4])]
     assert [(k, t.num_rows) for k, t in arrow_groups(iter(batches), "k")] == [(1, 2), (2, 3), (3, 2), (4, 1)]
+
+
+def test_work_is_cleared(spark):
+    kept = materialize(spark.range(3), "test-kept")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0]
+    clear_work(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.text(path).count()
