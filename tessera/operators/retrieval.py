@@ -12,6 +12,7 @@ from tessera.functions import paths, text
 from tessera.operators.ranking import ADAPTIVE_K, against_all, normalize_scores, passes_thresholds, ranked, rrf, top_k
 from tessera.operators.vector import vector_topk
 from tessera.profile import GENERAL, Profile
+from tessera.sources.work import held
 
 PREVIEW = 200
 MIN_AVGDL = 1e-3
@@ -141,19 +142,20 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, lim
     queries: query_id, query, q (vector, null for none: then the fuzzy list stands alone). Both lists are
     cut to the query's pool, fused by rank with the weights of its kind, boosted, filtered, reranked by
     lexical statistics over the candidates, weighted by path and scaled per query.
-    Intermediate lists, a pool for each query, are persisted: each is read more than once.
+    Intermediate lists, a pool for each query, are written and read again: each is used more than once.
     In batch mode all queries have the largest pool, and candidates must share a term with the query.
     """
     weights = text.query_weights(F.col("query"))
-    asked = queries.select("query_id", "query", "q", text.query_kind(F.col("query")).alias("kind"), text.query_tokens(F.col("query")).alias("terms"), weights["semantic"].alias("w_sem"), weights["fuzzy"].alias("w_fuz"), (F.greatest(weights["multiplier"], F.lit(4)) * max(limit, 1)).alias("pool"))
+    asked = held(queries.select("query_id", "query", "q", text.query_kind(F.col("query")).alias("kind"), text.query_tokens(F.col("query")).alias("terms"), weights["semantic"].alias("w_sem"), weights["fuzzy"].alias("w_fuz"), (F.greatest(weights["multiplier"], F.lit(4)) * max(limit, 1)).alias("pool")), "queries")
     if batch:
         most = asked.agg(F.max("pool")).first()[0] or 0
         asked = asked.withColumn("pool", F.lit(most))
     allowed = chunks.where(~paths.any_rule(F.col("file_path"), profile.reject))
     pools = asked.select("query_id", "pool", "w_sem", "w_fuz")
     semantic = vector_topk(vectors, asked.where("q IS NOT NULL").select("query_id", "q"), 6 * max(limit, 1), "item").join(pools, "query_id").where(F.col("rank") < F.col("pool"))
-    semantic = semantic.join(allowed.select("item"), "item", "left_semi").persist()  # at most a pool for each query, read twice
-    fuzzy = fuzzy_match(chunks, asked.select("query_id", "query", "pool"), F.col("pool")).where(F.col("fuzzy") >= profile.min_fuzzy).join(allowed.select("item"), "item", "left_semi").persist()
+    semantic = held(semantic.join(allowed.select("item"), "item", "left_semi"), "semantic")
+    fuzzy = fuzzy_match(chunks, asked.select("query_id", "query", "pool"), F.col("pool")).where(F.col("fuzzy") >= profile.min_fuzzy)
+    fuzzy = held(fuzzy.join(allowed.select("item"), "item", "left_semi"), "fuzzy")
     # ranks count what is left of each list
     sem_list = top_k(semantic.select("query_id", "item", "score"), ["query_id"], 2**31 - 1, F.desc("score"), "item").join(pools, "query_id").select("query_id", "item", "rank", F.col("w_sem").alias("weight"))
     fuz_list = top_k(fuzzy.select("query_id", "item", "fuzzy", F.col("rank").alias("_r")), ["query_id"], 2**31 - 1, "_r").join(pools, "query_id").select("query_id", "item", "rank", F.col("w_fuz").alias("weight"))
@@ -161,15 +163,15 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, lim
     signals = fused.join(semantic.select("query_id", "item", F.col("score").alias("semantic")), ["query_id", "item"], "left").join(fuzzy.select("query_id", "item", "fuzzy"), ["query_id", "item"], "left")
     wanted = must_hits(allowed, asked, profile)
     kept = signals.join(wanted.select("query_id", "item", F.lit(True).alias("_must")), ["query_id", "item"], "left")
-    kept = kept.where(F.col("_must").isNotNull() | passes_thresholds(F.col("semantic"), F.col("fuzzy"), profile.min_semantic, profile.min_fuzzy)).persist()
+    kept = held(kept.where(F.col("_must").isNotNull() | passes_thresholds(F.col("semantic"), F.col("fuzzy"), profile.min_semantic, profile.min_fuzzy)), "candidates")
     rows = kept.join(chunks, "item").join(asked.select("query_id", "kind", "terms"), "query_id")
     if batch:
         rows = rows.where(has_overlap(F.col("file_path"), F.col("content"), F.col("symbol"), F.col("terms")))
-    hits = rows.select("query_id", "item", text.content_tokens(F.col("content"), F.col("terms"), profile.window).alias("hits")).persist()
+    hits = held(rows.select("query_id", "item", text.content_tokens(F.col("content"), F.col("terms"), profile.window).alias("hits")), "hits")
     lexical = bm25(hits, profile.k1, profile.b, profile.bm25_weight)
     boost = structure_boost(F.col("file_path"), F.col("chunk_type"), F.col("documented"), F.col("in_context"))
     base = rows.select("query_id", "item", (F.col("fused") * boost + lexical_bonus(F.col("file_path"), F.col("symbol"), F.col("terms"), profile)).alias("base"))
-    scored = base.join(lexical, ["query_id", "item"], "left").select("query_id", "item", (F.col("base") + F.coalesce("bm25", F.lit(0.0))).alias("score")).persist()
+    scored = held(base.join(lexical, ["query_id", "item"], "left").select("query_id", "item", (F.col("base") + F.coalesce("bm25", F.lit(0.0))).alias("score")), "scored")
     final = inject_must_hits(scored, wanted, profile.must_hit_bonus).join(chunks.select("item", "file_path"), "item").join(asked.select("query_id", "kind"), "query_id")
-    weighted = final.select("query_id", "item", (F.col("score") * paths.path_weight(F.col("file_path"), profile, F.col("kind"))).alias("score")).persist()
+    weighted = held(final.select("query_id", "item", (F.col("score") * paths.path_weight(F.col("file_path"), profile, F.col("kind"))).alias("score")), "weighted")
     return top_k(normalize_scores(weighted), ["query_id"], limit, F.desc("score"), "item")
