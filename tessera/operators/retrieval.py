@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from tessera.functions import paths, text
-from tessera.operators.ranking import ADAPTIVE_K, against_all, normalize_scores, passes_thresholds, ranked, rrf, top_k
+from tessera.operators.ranking import ADAPTIVE_K, QUERY_BLOCK, against_all, normalize_scores, passes_thresholds, ranked, rrf, top_k
 from tessera.operators.vector import vector_topk
 from tessera.profile import GENERAL, Profile
 from tessera.sources.work import held
@@ -70,6 +72,35 @@ def best_points(query: pd.Series, path: pd.Series, symbol: pd.Series, preview: p
     return pd.Series(found, dtype="int32")
 
 
+def fuzzy_pairs(small: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, item, _points, _exact of all matches of chunks (item, file_path, symbol, _preview) and queries.
+
+    A block of queries goes to the tasks as it is, so that a chunk moves once and only matches come back;
+    a larger set of queries meets the chunks block by block.
+    """
+    block = queries.limit(QUERY_BLOCK + 1).collect()
+    exact = F.coalesce(F.lower("symbol") == F.lower("query"), F.lit(False)).alias("_exact")
+    if len(block) > QUERY_BLOCK:
+        pairs = against_all(small, queries)
+        return pairs.select("query_id", "item", best_points("query", "file_path", "symbol", "_preview").alias("_points"), exact).where("_points > 0")
+    asked = [(r.query_id, r.query.lower(), r.query.lower().split()) for r in block]
+    schema = StructType([queries.schema["query_id"], small.schema["item"], StructField("_points", IntegerType()), StructField("_exact", BooleanType())])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for item, *targets in zip(part["item"], part["file_path"], part["symbol"], part["_preview"], strict=True):
+                targets = [t or "" for t in targets]
+                named = targets[1].lower()
+                for query_id, query, atoms in asked:
+                    points = max(target_points(t, atoms) for t in targets)
+                    if points:
+                        rows.append((query_id, item, points, named == query))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return small.mapInPandas(run, schema)
+
+
 def fuzzy_match(chunks: DataFrame, queries: DataFrame, limit: int | Column) -> DataFrame:
     """query_id, item, fuzzy, rank: path, symbol and the start of the content of each chunk against each query.
 
@@ -77,9 +108,7 @@ def fuzzy_match(chunks: DataFrame, queries: DataFrame, limit: int | Column) -> D
     query's best; an equal symbol is 1 and comes first; chunks without a match are left out.
     """
     small = chunks.select("item", "file_path", "symbol", F.substring("content", 1, PREVIEW).alias("_preview"))
-    pairs = against_all(small, queries.where(F.trim("query") != ""))
-    exact = F.coalesce(F.lower("symbol") == F.lower("query"), F.lit(False))
-    matched = pairs.select(*queries.columns, "item", best_points("query", "file_path", "symbol", "_preview").alias("_points"), exact.alias("_exact")).where("_points > 0")
+    matched = fuzzy_pairs(small, queries.select("query_id", "query").where(F.trim("query") != "")).join(queries, "query_id")
     first = ranked(matched, ["query_id"], F.desc("_exact"), F.desc("_points"), "item").withColumn("_most", F.max("_points").over(W.partitionBy("query_id")))
     share = F.when(F.col("_exact"), 1.0).otherwise(F.col("_points") / F.col("_most"))
     return first.where(F.col("rank") < limit).withColumn("fuzzy", share).drop("_points", "_exact", "_most")
