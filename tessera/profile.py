@@ -41,7 +41,7 @@ PENALTY = (
     *_contains(0.01, "transformer_engine_wheel"),
 )
 REJECT = _contains(
-    1.0, ".git/", ".agents/mcp/.context", ".context/cache", ".context-finder/cache", "node_modules", "dist/", "build/",
+    1.0, ".git/", ".agents/mcp/.context", ".context/cache", "node_modules", "dist/", "build/",
     "target/", ".venv/", "venv/", ".direnv/", "transformer_engine_wheel",
 )
 NOISE = (
