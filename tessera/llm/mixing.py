@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting (DataFrame operations only).
 
 Tokens are summed by cell (source, language, topic); the cells' weights are raked to the marginals in
-turn until all hold; a document is then kept with the probability of its cell. Documents never
-move: the cells, at most one for each combination, come to them.
+turn until all hold; a document is then drawn at the rate of its cell: whole copies, and one more
+by lot. Documents never move: the cells, at most one for each combination, come to them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ OTHER_LANG = 0.01
 TOPIC_TARGET = {"notice": 0.05, "table": 0.1, "contact": 0.1, "brief": 0.1, "article": 0.4, "long": 0.25}
 #: Sources get shares in proportion to their tokens to this power.
 SOURCE_POWER = 0.7
-#: Share of all tokens that the sample is to hold, before probabilities are capped at 1.
+#: Share of all tokens that the sample is to hold.
 KEEP_TOKENS = 0.8
 ITERATIONS = 8
 SEED = 7
@@ -87,52 +87,58 @@ def _cells_of(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang
 
 
 def _with_rates(rows: DataFrame, drawn: DataFrame, keep_tokens: float, iterations: int, seed: int) -> DataFrame:
-    """drawn with `probability` and `kept`, from the cells of rows."""
+    """drawn with `probability`, `copies` and `kept`, from the cells of rows."""
     spark = rows.sparkSession
     cells = materialize(rows.groupBy("source", F.col("lang_cell").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens")), "mix-cells")
     sources = cells.groupBy("source").agg(F.pow(F.sum("tokens").cast("double"), F.lit(SOURCE_POWER)).alias("target"))
     targets = {"source": sources, "lang": _fixed(spark, "lang", LANG_TARGET | {"other": OTHER_LANG}), "topic": _fixed(spark, "topic", TOPIC_TARGET)}
     raked = rake(cells, targets, frozenset({"lang", "topic"}), iterations)
     total = float(raked.agg(F.sum("tokens")).first()[0] or 0)
-    rate = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(total) * keep_tokens / F.col("tokens"))).otherwise(1.0)
-    rates = materialize(raked.select("source", F.col("lang").alias("lang_cell"), "topic", rate.alias("probability")), "mix-rates")
+    rate = F.when(F.col("tokens") > 0, F.col("w") * F.lit(total) * keep_tokens / F.col("tokens")).otherwise(1.0)
+    rates = materialize(raked.select("source", F.col("lang").alias("lang_cell"), "topic", rate.alias("rate")), "mix-rates")
     small = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     joined = drawn.join(F.broadcast(rates) if small else rates, ["source", "lang_cell", "topic"])
-    return joined.withColumn("kept", hash_uniform(F.col("doc_id"), seed) < F.col("probability"))
+    whole = F.floor("rate")
+    copies = whole + (hash_uniform(F.col("doc_id"), seed) < F.col("rate") - whole).cast("bigint")
+    return joined.withColumns({"probability": F.least(F.lit(1.0), F.col("rate")), "copies": copies}).withColumn("kept", F.col("copies") > 0)
 
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     keep_tokens: float = KEEP_TOKENS, iterations: int = ITERATIONS, seed: int = SEED,
 ) -> DataFrame:
-    """Returns a row for each row of docs: doc_id, source, lang, topic, tokens, probability, kept.
+    """Returns a row for each row of docs: doc_id, source, lang, topic, tokens, probability, kept, copies.
 
     * Tokens are words. Targets: sources by SOURCE_POWER, languages by LANG_TARGET (others together
       OTHER_LANG), topics by TOPIC_TARGET, each taken among the values that occur.
-    * probability is the cell's raked weight over its share of tokens, times keep_tokens, at most 1.
-      kept draws by a hash of the id, so a document's lot does not depend on other documents or on
-      partitions; rows that repeat an id share their lot as far as their cells are equal.
+    * The rate of a cell is its raked weight over its share of tokens, times keep_tokens. copies is
+      the whole part of the rate and one more with the chance of the rest, so that cells with too
+      few tokens for their weight are repeated and the sample has the target weights in expectation.
+      probability is the chance of one copy at least, kept whether there is one.
+    * The lot is a hash of the id, so it does not depend on other documents or on partitions; rows
+      that repeat an id share their lot as far as their cells are equal.
     * Null sources and languages are values of their own (""); a null text is empty. Texts without
       words weigh nothing in the raking and have the probability of their cell, 1 if that has no tokens.
     * An empty table gives an empty result.
     """
     rows = materialize(_cells_of(docs, id_col, text_col, source_col, lang_col).drop("_row"), "mix-rows")
     mixed = _with_rates(rows, rows, keep_tokens, iterations, seed)
-    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept", "copies")
 
 
 def mix_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     keep_tokens: float = KEEP_TOKENS, iterations: int = ITERATIONS, seed: int = SEED,
 ) -> DataFrame:
-    """The rows of docs that mix_sources() keeps, with all their columns; texts are not shuffled while the cells fit a broadcast."""
+    """The rows of docs that mix_sources() keeps, each as often as it has copies, with all their columns; texts are not shuffled while the cells fit a broadcast."""
     rows = _cells_of(docs, id_col, text_col, source_col, lang_col)
-    return _with_rates(rows.drop("_row"), rows, keep_tokens, iterations, seed).where("kept").select("_row.*")
+    drawn = _with_rates(rows.drop("_row"), rows, keep_tokens, iterations, seed).where("kept")
+    return drawn.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("_copy")).select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixes all documents to the standing targets."""
-    return mix_sources(table(spark, sf_dir, "documents"))
+    """Mixes all documents to the standing targets; the columns are those of the SQL twin, which has no copies."""
+    return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
 def _sql(relation: str = "documents", keep_tokens: float = KEEP_TOKENS, iterations: int = ITERATIONS, seed: int = SEED) -> str:

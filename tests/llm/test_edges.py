@@ -245,6 +245,21 @@ def test_mixing(spark, docs, nothing):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.kept}
 
 
+def test_drawn_sample_has_the_target_weights(spark):
+    """Topics that are rare in the data are repeated, so that the sample as drawn has the targets' shares and size."""
+    words = {"brief": 10, "article": 200, "long": 1600}
+    dealt = [(lang, topic) for lang, n in (("en", 18), ("fr", 6)) for topic, m in (("brief", 40), ("article", 100), ("long", 2)) for _ in range(n * m)]
+    docs = spark.createDataFrame([(i, "word " * words[topic], lang, "ab"[i % 2]) for i, (lang, topic) in enumerate(dealt)], "doc_id long, text string, lang string, source string")
+    rows, mixed = mixing.mix_sources(docs).collect(), mixing.mix_documents(docs)
+    drawn = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert drawn == {r.doc_id: r.copies for r in rows if r.copies} and max(drawn.values()) > 5
+    total = sum(r.tokens * r.copies for r in rows)
+    assert total == pytest.approx(mixing.KEEP_TOKENS * sum(r.tokens for r in rows), rel=0.05)
+    for name, wanted in (("topic", {t: mixing.TOPIC_TARGET[t] / 0.75 for t in words}), ("lang", {x: mixing.LANG_TARGET[x] / 0.67 for x in ("en", "fr")}), ("source", {"a": 0.5, "b": 0.5})):
+        for value, share in wanted.items():
+            assert sum(r.tokens * r.copies for r in rows if r[name] == value) / total == pytest.approx(share, abs=0.03)
+
+
 def test_raking_meets_its_marginals(spark):
     cells = spark.createDataFrame([(s, l, t, 1 + 7 * i + 3 * j + k) for i, s in enumerate("ab") for j, l in enumerate(("en", "fr")) for k, t in enumerate(("article", "long"))], "source string, lang string, topic string, tokens long")
     share = lambda name, **s: spark.createDataFrame(list(s.items()), f"{name} string, target double")
