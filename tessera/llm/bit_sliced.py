@@ -156,7 +156,7 @@ def build_index(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id",
 
 
 def batch_queries(queries: DataFrame, scale: int, id_col: str, vector_col: str, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """Valid queries, quantised, in batches of at most query_rows of one dimension."""
+    """Valid queries, one for each id, quantised, in batches of at most query_rows of one dimension."""
     importable(queries.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,8 @@ def batch_queries(queries: DataFrame, scale: int, id_col: str, vector_col: str,
                     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["dim", "batch", "ids", "x"])
 
-    return _valid(queries, id_col, vector_col).mapInArrow(bounded(run), QUERIES)
+    once = _valid(queries, id_col, vector_col).groupBy("id").agg(F.min("x").alias("x"))
+    return once.mapInArrow(bounded(run), QUERIES)
 
 
 def topk_blocks(index: DataFrame, batches: DataFrame, k: int) -> DataFrame:
@@ -211,12 +212,13 @@ def bit_sliced_topk(
       its own candidate: rows with its id are left out.
     * Vectors that are null or empty, or hold null or non-finite components, and rows without an id
       take no part; queries meet vectors of their own dimension only.
-    * Rows that repeat an id are candidates each; a repeated query is answered once. Fewer than k
-      candidates are all returned; an empty table gives an empty result. Other columns are not read.
+    * Rows that repeat an id are candidates each; a repeated query is answered once, for the
+      least of its valid vectors. Fewer than k candidates are all returned; an empty table gives an
+      empty result. Other columns are not read.
     * |scale * x| must be below 2**31.
     """
     index = materialize(build_index(vectors, scale, id_col, vector_col, block_rows), "bit-slices", compression="none")
-    batches = materialize(batch_queries(queries.dropDuplicates([id_col]), scale, id_col, vector_col, query_rows), "bit-queries")
+    batches = materialize(batch_queries(queries, scale, id_col, vector_col, query_rows), "bit-queries")
     best = topk_blocks(index, batches, k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

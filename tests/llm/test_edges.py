@@ -186,6 +186,16 @@ def test_bit_sliced(spark):
     assert bit_sliced.bit_sliced_topk(vectors.limit(0), asked.limit(0)).count() == 0
 
 
+def test_bit_sliced_takes_the_valid_one_of_repeated_queries(spark):
+    schema = "vec_id long, embedding array<double>"
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], schema)
+    asked = spark.createDataFrame([(50, None), (50, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [math.nan, 0.0]), (150, [2.0, 0.0]), (150, [0.0, 2.0])], schema)
+    for order in (F.asc("n"), F.desc("n")):
+        given = asked.withColumn("n", F.monotonically_increasing_id()).coalesce(1).sortWithinPartitions(order)
+        found = bit_sliced.bit_sliced_topk(vectors, given, k=1).collect()
+        assert {(r.query_id, r.vec_id) for r in found} == {(50, 1), (100, 1), (150, 2)} and len(found) == 3
+
+
 def test_quality(spark, docs, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (5, None, 0), (None, 1, 0), (99, 1, 0), (4, 7, 0)], "doc_id long, quality int, toxic int")
     assert quality.score_quality(docs, labels).count() == len(ROWS)
