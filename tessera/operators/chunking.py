@@ -1,7 +1,7 @@
 """Chunkers and the post-processing of chunks.
 
 Files are rows, so chunking needs no shuffle. What folds over the chunks of one file runs on that
-file's array of chunks; files are bounded (FILE_BYTES), and so are these arrays.
+file's array of chunks; scans bound files, and so these arrays.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from tessera.functions.paths import language_of
 from tessera.functions.text import lines_of, token_estimate
 from tessera.schemas import CHUNKS
 
-FILE_BYTES = 1 << 20
 # Caps on imports, lines read for them, and tokens of the presets (target, maximum).
 MAX_IMPORTS, IMPORT_LINES, FILE_IMPORTS = 10, 300, 20
 PRESETS = {"default": (512, 1024), "embedding": (384, 512), "large": (1024, 2048)}
@@ -317,7 +316,7 @@ def chunk_source(path: str, language: str, content: str, config: ChunkConfig) ->
 
 
 def chunk_files(files: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
-    """Chunks of all files (file_path, content) by their language; files over FILE_BYTES and empty ones have none."""
+    """Chunks of all files (file_path, content) by their language; empty ones have none."""
     config = config or ChunkConfig()
     names = [c.split()[0] for c in CHUNKS.split(", ")]
 
@@ -326,5 +325,5 @@ def chunk_files(files: DataFrame, config: ChunkConfig | None = None) -> DataFram
             rows = [c for p, lang, text in zip(part["file_path"], part["language"], part["content"], strict=True) for c in chunk_source(p, lang, text, config)]
             yield pd.DataFrame(rows, columns=names)
 
-    read = files.where((F.octet_length("content") <= FILE_BYTES) & (F.col("content") != ""))
+    read = files.where(F.col("content") != "")
     return read.select("file_path", "content", language_of(F.col("file_path")).alias("language")).mapInPandas(run, CHUNKS)

@@ -329,3 +329,9 @@ def test_more_orientation(spark):
     assert {(r.channel, r.direction, r.actor) for r in orient.asyncapi_flows(files, entries).collect()} == {("a/b", "publish", "svc/main.rs"), ("c", "publish", "svc/main.rs"), ("c", "subscribe", "svc/main.rs")}
     assert [(r.protocol, r.confidence) for r in orient.brokers(files).collect()] == [("redis", 0.9), ("kafka", 0.75)]
     assert orient.meaning_focus(files, "svc", 1000).count() >= 1 and orient.evidence_window(files).count() == 0
+
+
+def test_long_files_are_chunked_whole(spark):
+    files = spark.createDataFrame([("long.txt", "\n".join(["word " * 200] * 1100))], "file_path string, content string")
+    assert files.where(F.octet_length("content") > 1 << 20).count() == 1
+    assert max(r.end_line for r in chunking.chunk_files(files).collect()) == 1100
