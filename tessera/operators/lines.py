@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from tessera.functions.text import lines_of, word_jaccard
 
-SEARCH_BYTES = 2_000_000
 WINDOW = 20
 
 
@@ -51,7 +50,7 @@ def enclosing_chunks(points: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def literal_search(files: DataFrame, pattern: str, max_results: int = 50) -> DataFrame:
     """file_path, n, column (1-based characters), line: the first match of each line, in path order, max_results at most."""
-    found = explode_lines(files.where(F.octet_length("content") <= SEARCH_BYTES)).withColumn("column", F.instr("line", pattern)).where("column > 0")
+    found = explode_lines(files).withColumn("column", F.instr("line", pattern)).where("column > 0")
     return found.select("file_path", "n", "column", "line").orderBy("file_path", "n").limit(max(1, min(max_results, 1000)))
 
 

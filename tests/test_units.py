@@ -335,3 +335,10 @@ def test_long_files_are_chunked_whole(spark):
     files = spark.createDataFrame([("long.txt", "\n".join(["word " * 200] * 1100))], "file_path string, content string")
     assert files.where(F.octet_length("content") > 1 << 20).count() == 1
     assert max(r.end_line for r in chunking.chunk_files(files).collect()) == 1100
+
+
+def test_long_texts_are_searched_whole(spark):
+    content = "\n".join(["word " * 200] * 2300 + ["the needle"])
+    files = spark.createDataFrame([("long.txt", content)], "file_path string, content string")
+    assert len(content) > 2_000_000
+    assert [(r.n, r.column) for r in lines.literal_search(files, "needle").collect()] == [(2301, 5)]
