@@ -117,7 +117,9 @@ def runs_needed(recall: float = TARGET_RECALL, threshold: float = float(THRESHOL
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, key (null for texts without words and rows without id), sig, bytes (the lowest byte of each token)."""
+    """The columns of docs but text, with key (null for texts without words and rows without id), sig, bytes (the lowest byte of each token)."""
+    schema = docs.drop("text").schema.add("key", "long").add("sig", "binary").add("bytes", "binary")
+    rest = docs.drop("text").columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
@@ -129,10 +131,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     continue
                 sig = signature(grams)
                 keys.append(set_key(grams)), sigs.append(sig.tobytes()), low.append(sig.astype(np.uint8).tobytes())
-            arrays = [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "sig", "bytes"])
+            arrays = [*map(batch.column, rest), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*rest, "key", "sig", "bytes"])
 
-    return docs.mapInArrow(bounded(run), "doc_id long, key long, sig binary, bytes binary")
+    return docs.mapInArrow(bounded(run), schema)
 
 
 def chosen_paths(sets: DataFrame, runs: int, depth: int, bucket: int, seed: int) -> DataFrame:
@@ -275,9 +277,14 @@ def ngram_join(
     * A third of all documents may be copies (aggregated before anything else) or near copies of each
       other (compared in chunks, without writing pairs).
     """
-    spark = docs.sparkSession
-    importable(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return _classes(rows, words, threshold, recall, seed)
+
+
+def _classes(rows: DataFrame, words: int, threshold: Fraction, recall: float, seed: int) -> DataFrame:
+    """ngram_join() of rows of doc_id and text; further columns are carried along."""
+    importable(rows.sparkSession)
+    named = rows.drop("text").columns
     drawn = materialize(sketches(rows, words), "sketches")
     sets = materialize(drawn.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes")), "sets")
     buckets = chosen_paths(sets, runs_needed(recall, float(threshold)), DEPTH, BUCKET, seed)
@@ -303,15 +310,20 @@ def ngram_join(
     own = own.withColumn("label", F.coalesce("label", "key"))
     least = own.groupBy("label").agg(F.min("first").alias("class_id"))
     info = materialize(own.join(least, "label").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "classes")
-    with_words = drawn.where("key IS NOT NULL").select("doc_id", "key").join(info, "key").select("doc_id", "class_id", "n_links", "n_copies")
-    without = drawn.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
+    with_words = drawn.where("key IS NOT NULL").select(*named, "key").join(info, "key").select(*named, "class_id", "n_links", "n_copies")
+    without = drawn.where("key IS NULL").select(*named, F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
     return with_words.unionByName(without)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with all their columns, of each class of ngram_join() only that with the least id."""
-    dropped = ngram_join(docs, id_col, text_col).where("doc_id <> class_id")
-    return without(docs, dropped, (F.col(id_col).cast("bigint"), "doc_id"))
+    """The rows of docs with all their columns, of each class of ngram_join() only that with the least id.
+
+    Rows go by id and text: of an id with several texts only those go that are near copies of another's.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest"))
+    dropped = _classes(rows, WORDS, THRESHOLD, TARGET_RECALL, SEED).where("doc_id <> class_id")
+    return without(docs, dropped, (F.col(id_col).cast("bigint"), "doc_id"), (digest, "digest"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

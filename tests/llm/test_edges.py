@@ -213,6 +213,13 @@ def test_ngram_join(spark, docs, nothing):
     assert kept.columns == docs.columns and kept.where("doc_id = 2").count() == 0 and kept.count() == len(ROWS) - 2
 
 
+def test_near_copies_go_by_id_and_text(spark):
+    base, other = [f"w{i}" for i in range(60)], " ".join(f"v{i}" for i in range(60))
+    texts = [(1, " ".join(base)), (2, other), (2, " ".join([*base[:-1], "x"])), (3, None), (3, " ".join(base))]
+    kept = ngram_join.drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([texts[0], texts[1], texts[3]], key=str)
+
+
 def test_ngram_join_on_a_large_family_equals_brute_force(spark):
     """Near copies of one text, in buckets and families beyond a chunk, and chains of them."""
     rng = random.Random(3)
