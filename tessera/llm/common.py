@@ -5,9 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -26,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) is a temporary folder set.
+    Only where the session names none and all runs on one machine (tests) is a temporary folder set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -41,15 +45,44 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tessera-work/{spark.sparkContext.applicationId}"
 
 
+#: Folders below work_dir() that are deleted when their step is over, the innermost last.
+_scratch: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([work_dir(spark), *_scratch, f"{name}-{uuid.uuid4().hex}"])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_work(spark: SparkSession) -> None:
     """Deletes what this application has written between steps; call it once results are saved, as they read from there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, work_dir(spark))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written in its block goes at its end; results must be written outside of it by then (see saved())."""
+    _scratch.append(f"scratch-{uuid.uuid4().hex}")
+    path = "/".join([work_dir(spark), *_scratch])
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        _delete(spark, path)
+
+
+def saved(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` gives, written to the shared folder, without the tables that it has left on its way."""
+    path = work_path(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -77,6 +110,23 @@ def without(docs: DataFrame, dropped: DataFrame, *keys: tuple[Column, str]) -> D
     return rows.join(F.broadcast(dropped) if few else dropped, same, "left_anti").select("_row.*")
 
 
+#: A key that has more than this part of all rows is heavy, so that there are fewer heavy keys than that.
+HEAVY = 1000
+
+
+def to_keys(rows: DataFrame, info: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows joined with info by key; info is a written table with a row for each key, its `weight` the number of rows that have the key.
+
+    The heavy keys, fewer than HEAVY whatever the size, are broadcast; the others are joined by
+    shuffle, where no key has more than a HEAVY-th of all rows.
+    """
+    total = info.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) > total / HEAVY
+    few = info.where(heavy)  # < HEAVY rows, as their weights add up to the total at most
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(info.where(~heavy), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
 #: Rows of an Arrow batch: texts may be long, and a worker holds some copies of a batch.
 BATCH_ROWS = 1000
 

@@ -2,11 +2,11 @@
 
 Texts with equal n-gram sets are one set; what follows handles sets. A min-hash signature turns a set
 into COORDINATES tokens. In every run the sets are split on a few sampled coordinates: those that share
-the token there go down the same path, small buckets are compared all with all, larger ones are
-split again on other coordinates. Runs are repeated until a pair at the threshold is met with the
-target probability. The comparisons in buckets use signatures, with a margin, and leave a spanning
-forest of candidate links; the components of that forest are small families in which all pairs are
-then compared exactly, block by block, counting links without ever writing pairs.
+the token there go down the same path. Buckets that are small, or whose sets are alike in the mean, are
+compared all with all; the others are split again on other coordinates. Runs are repeated until a pair
+at the threshold is met with the target probability. The comparisons in buckets use signatures, with a
+margin, and leave a spanning forest of candidate links; the components of that forest are families in
+which all pairs are then compared exactly, block by block, counting links without ever writing pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_groups, bounded, importable, materialize, table, without
+from tessera.llm.common import arrow_groups, bounded, importable, materialize, table, to_keys, without
 from tessera.llm.components import components
 
 WORDS = 5
@@ -32,13 +32,19 @@ THRESHOLD = Fraction(4, 5)
 #: agree in the mean with a deviation of 3.2, so a true link has fewer with a chance of about 2e-6.
 COORDINATES = 64
 AGREEING = 36
-#: Splits below the root; buckets up to BUCKET are compared at once, others after the last split.
-DEPTH = 3
+#: Buckets up to BUCKET sets are compared at once. Larger ones are split again unless their sets agree in
+#: ALIKE of the tokens in the mean, so that splitting them would only multiply them; after SPLITS splits
+#: pairs of sets that are not alike are rare, and what is left is compared.
 BUCKET = 256
+ALIKE = 0.6
+SPLITS = 8
 TARGET_RECALL = 0.9999
 SEED = 11
-#: Sets that a task holds of one bucket or family; larger ones are compared chunk by chunk.
-BUCKET_CHUNK, FAMILY_CHUNK = 4096, 1024
+#: Sets of a bucket (72 bytes each), and bytes of a family's n-grams, that make a chunk; a task holds two
+#: chunks. Beyond, every pair of chunks is a block, so that members are sent once for each chunk.
+BUCKET_CHUNK, FAMILY_BYTES = 16_384, 16_000_000
+#: Sets that are compared by one matrix product.
+PIECE = 512
 #: Sets in families up to this number are sent to all tasks (16 bytes each); beyond it the join shuffles texts.
 BROADCAST_SETS = 500_000
 
@@ -96,9 +102,9 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
-def set_key(grams: np.ndarray) -> int:
-    """Signed 64-bit hash of a set, taken as its identity."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
+def set_digest(grams: np.ndarray) -> bytes:
+    """128-bit hash of a set, taken as its identity."""
+    return xxhash.xxh3_128_digest(grams.tobytes())
 
 
 def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
@@ -108,50 +114,76 @@ def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def runs_needed(recall: float = TARGET_RECALL, threshold: float = float(THRESHOLD), depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold is missed with a chance of 1 - recall at most.
+def followed(similarity: float, splits: int = SPLITS) -> float:
+    """Chance that at least one path follows a pair through all splits.
 
-    A path follows a pair through one split with a chance of its similarity.
+    A split is on one coordinate, or on two for 1 / THRESHOLD - 1 of the nodes, so that a pair at the
+    threshold is followed by one path in the mean.
     """
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+    two, lost = 1 / float(THRESHOLD) - 1, 0.0
+    for _ in range(splits):
+        other = 1 - similarity + similarity * lost
+        lost = (1 - two) * other + two * other**2
+    return 1 - lost
+
+
+def runs_needed(recall: float = TARGET_RECALL, threshold: float = float(THRESHOLD), splits: int = SPLITS) -> int:
+    """Runs after which a pair at the threshold is missed with a chance of 1 - recall at most, if all its buckets are split to the end."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - followed(threshold, splits)))
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """The columns of docs but text, with key (null for texts without words and rows without id), sig, bytes (the lowest byte of each token)."""
-    schema = docs.drop("text").schema.add("key", "long").add("sig", "binary").add("bytes", "binary")
+    """The columns of docs but text, with digest (null for texts without words and rows without id), n_grams,
+    sig, bytes (the lowest byte of each token) and signs (the lowest bit of each)."""
+    kinds = {"digest": ("binary", pa.binary()), "n_grams": ("long", pa.int64()), "sig": ("binary", pa.binary()), "bytes": ("binary", pa.binary()), "signs": ("long", pa.int64())}
+    schema = docs.drop("text").schema
+    for name, (kind, _) in kinds.items():
+        schema = schema.add(name, kind)
     rest = docs.drop("text").columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            keys, sigs, low = [], [], []
+            rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 grams = ngrams(text.as_py() or "", words)
                 if not len(grams) or not doc_id.is_valid:
-                    keys.append(None), sigs.append(None), low.append(None)
+                    rows.append((None,) * len(kinds))
                     continue
-                sig = signature(grams)
-                keys.append(set_key(grams)), sigs.append(sig.tobytes()), low.append(sig.astype(np.uint8).tobytes())
-            arrays = [*map(batch.column, rest), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, [*rest, "key", "sig", "bytes"])
+                low = (sig := signature(grams)).astype(np.uint8)
+                rows.append((set_digest(grams), len(grams), sig.tobytes(), low.tobytes(), int(np.packbits(low & 1).view("<i8")[0])))
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            arrays = [*map(batch.column, rest), *(pa.array(c, t) for c, (_, t) in zip(columns, kinds.values(), strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return docs.mapInArrow(bounded(run), schema)
 
 
-def chosen_paths(sets: DataFrame, runs: int, depth: int, bucket: int, seed: int) -> DataFrame:
+def mean_agreement(size: Column, ones: list[Column]) -> Column:
+    """Unbiased estimate of the share of tokens in which two sets of a bucket agree, from the number of one-bits of each sign."""
+    excess = sum(((2 * n - size) * (2 * n - size) - size for n in ones), F.lit(0))
+    return excess / (len(ones) * size * (size - 1))
+
+
+def chosen_paths(sets: DataFrame, runs: int, splits: int, bucket: int, seed: int) -> DataFrame:
     """(key, node, size): the buckets of all runs whose sets are to be compared, of two sets at least."""
     rng = random.Random(seed)
     roots = [(r, c) for r in range(runs) for c in rng.sample(range(COORDINATES), 1 + (rng.random() < 1 / float(THRESHOLD) - 1))]
     token = "substring(sig, 4 * {} + 1, 4)"
     paths = sets.select("key", F.explode(F.array(*(F.xxhash64(F.lit(r * COORDINATES + c), F.expr(token.format(c))) for r, c in roots))).alias("node"))
     done = None
-    for level in range(1, depth + 1):
-        sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        paths = materialize(paths.join(sizes, "node").select("key", "node", "size"), f"paths-{level}")
-        ready = paths if level == depth else paths.where(F.col("size") <= bucket)
+    for level in range(1, splits + 1):
+        sizes = materialize(paths.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes-{level}")
+        paths = materialize(to_keys(paths, sizes, "node", "size").select("key", "node", "size"), f"paths-{level}")
+        ready = paths if level == splits else paths.where(F.col("size") <= bucket)
         done = ready if done is None else done.unionByName(ready)
         paths = paths.where(F.col("size") > bucket)
-        if level == depth or not paths.limit(1).count():
+        if level == splits or not paths.limit(1).count():
             break
+        signed = paths.join(sets.select("key", "signs"), "key")
+        ones = signed.groupBy("node", "size").agg(*(F.sum(F.shiftright("signs", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(COORDINATES)))
+        alike = mean_agreement(F.col("size").cast("double"), [F.col(f"s{i}") for i in range(COORDINATES)]) >= ALIKE
+        paths = to_keys(paths.drop("size"), materialize(ones.select("node", "size", alike.alias("alike")), f"alike-{level}"), "node", "size")
+        done, paths = done.unionByName(paths.where("alike").select("key", "node", "size")), paths.where("NOT alike")
         # one coordinate, or two for every fourth node
         more = F.when(F.pmod(F.xxhash64("node"), F.lit(4)) == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         split = paths.join(sets.select("key", "sig"), "key").select("key", "node", "sig", F.explode(more).alias("j"))
@@ -160,9 +192,12 @@ def chosen_paths(sets: DataFrame, runs: int, depth: int, bucket: int, seed: int)
     return done
 
 
-def in_chunks(members: DataFrame, group: str, size: str, chunk: int) -> DataFrame:
-    """members with `block` and `side`: each pair of chunks of a group is a block, also a chunk with itself."""
-    chunks = F.ceil(F.col(size) / chunk).cast("int")
+def n_chunks(size: Column | str, chunk: int) -> Column:
+    return F.ceil(F.col(size) / chunk).cast("int")
+
+
+def in_chunks(members: DataFrame, group: str, chunks: Column) -> DataFrame:
+    """members with `block` and `side`: each pair of a group's chunks is a block, also a chunk with itself."""
     dealt = members.withColumn("chunk", F.pmod(F.xxhash64("key", group), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     block = F.xxhash64(group, F.least("chunk", "other"), F.greatest("chunk", "other"))
     return dealt.withColumn("block", block).withColumn("side", F.when(F.col("chunk") == F.col("other"), -1).otherwise((F.col("chunk") > F.col("other")).cast("int"))).drop("chunk", "other")
@@ -199,7 +234,7 @@ def candidate_links(buckets: DataFrame, sets: DataFrame, agreeing: int) -> DataF
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    dealt = in_chunks(buckets, "node", "size", BUCKET_CHUNK).join(sets.select("key", "bytes"), "key").select("block", "key", "bytes")
+    dealt = in_chunks(buckets, "node", n_chunks("size", BUCKET_CHUNK)).join(sets.select("key", "bytes"), "key").select("block", "key", "bytes")
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(bounded(run), "a long, b long")
 
 
@@ -224,6 +259,14 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
     return common * (threshold.numerator + threshold.denominator) >= threshold.numerator * (sizes[left][:, None] + sizes[right][None, :])
 
 
+def join_labels(label: np.ndarray, linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Gives places left[i] and right[j] with linked[i, j], and all that share their labels, the least of those labels."""
+    for i in np.flatnonzero(linked.any(1)):
+        met = np.unique(label[np.append(right[linked[i]], left[i])])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+
+
 def exact_links(members: DataFrame, threshold: Fraction) -> DataFrame:
     """(key, root, links): per block and set with links, their number and a set that it is connected to.
 
@@ -235,24 +278,24 @@ def exact_links(members: DataFrame, threshold: Fraction) -> DataFrame:
             keys, at = np.unique(rows.column("key").to_numpy(), return_index=True)
             side = rows.column("side").to_numpy()[at]
             raw = rows.column("grams")
-            sets = [np.frombuffer(raw[int(i)].as_py(), "<u8") for i in at]
-            left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
-            if not len(left) or not len(right) or len(keys) < 2:
-                continue
-            linked = linked_pairs(sets, left, right, threshold)
-            linked &= keys[left][:, None] != keys[right][None, :]
+            sets = [np.frombuffer(raw[int(i)].as_buffer(), "<u8") for i in at]
+            # sets of like sizes come together: pieces that differ too much in size have no links
+            order = np.argsort([len(s) for s in sets], kind="stable")
+            left, right = order[side[order] <= 0], order[side[order] != 0]
             links, label = np.zeros(len(keys), np.int64), np.arange(len(keys))
-            links[left] += linked.sum(1)
-            if side[0] >= 0:
-                links[right] += linked.sum(0)
-            while True:  # the least place among the neighbours, until nothing changes
-                new = label.copy()
-                np.minimum.at(new, left, np.where(linked, label[right][None, :], len(keys)).min(1))
-                np.minimum.at(new, right, np.where(linked, label[left][:, None], len(keys)).min(0))
-                new = np.minimum(new, new[new])
-                if (new == label).all():
-                    break
-                label = new
+            for i in range(0, len(left), PIECE):
+                for j in range(i if len(side) and side[0] < 0 else 0, len(right), PIECE):
+                    a, b = left[i : i + PIECE], right[j : j + PIECE]
+                    smaller, larger = sorted([(len(sets[a[0]]), len(sets[a[-1]])), (len(sets[b[0]]), len(sets[b[-1]]))])
+                    if smaller[1] * threshold.denominator < larger[0] * threshold.numerator:
+                        continue
+                    own = np.unique(np.concatenate([a, b]))
+                    linked = linked_pairs([sets[k] for k in own], np.searchsorted(own, a), np.searchsorted(own, b), threshold)
+                    linked &= a[:, None] != b[None, :]
+                    links[a] += linked.sum(1)
+                    if side[0] >= 0 or i != j:
+                        links[b] += linked.sum(0)
+                    join_labels(label, linked, a, b)
             has = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(keys[has]), pa.array(keys[label[has]]), pa.array(links[has])], ["key", "root", "links"])
 
@@ -274,8 +317,11 @@ def ngram_join(
       if their texts are equal, else each text stands for itself.
     * Links found are verified exactly; a pair is met with a chance of `recall` at least, and its
       documents still get one class if others connect them. An empty table gives an empty result.
+    * Whole texts are read, of any length: a text's n-grams are hashed block by block, and 8 bytes for
+      each distinct one are held by the tasks that compare it.
     * A third of all documents may be copies (aggregated before anything else) or near copies of each
-      other (compared in chunks, without writing pairs).
+      other. Those are compared without writing pairs: a family of n bytes of n-grams is cut into
+      n / FAMILY_BYTES chunks and sent once for each of them.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return _classes(rows, words, threshold, recall, seed)
@@ -286,33 +332,39 @@ def _classes(rows: DataFrame, words: int, threshold: Fraction, recall: float, se
     importable(rows.sparkSession)
     named = rows.drop("text").columns
     drawn = materialize(sketches(rows, words), "sketches")
-    sets = materialize(drawn.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes")), "sets")
-    buckets = chosen_paths(sets, runs_needed(recall, float(threshold)), DEPTH, BUCKET, seed)
-    candidates = components(candidate_links(buckets, sets, AGREEING), "a", "b")
-    sizes = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = materialize(candidates.withColumnRenamed("node", "key").join(sizes, "label").join(sets.select("key", "first"), "key"), "families")
+    given = drawn.where("digest IS NOT NULL")
+    sets = given.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies"), *(F.first(c).alias(c) for c in ("n_grams", "sig", "bytes", "signs")))
+    # numbered as they are written, so that the number can't change
+    sets = materialize(sets.withColumn("key", F.monotonically_increasing_id()), "sets")
+    buckets = chosen_paths(sets, runs_needed(recall, float(threshold)), SPLITS, BUCKET, seed)
+    candidates = components(candidate_links(buckets, sets, AGREEING), "a", "b").withColumnRenamed("node", "key")
+    candidates = materialize(candidates.join(sets.select("key", "first", "digest", "n_grams"), "key"), "candidates")
+    sizes = materialize(candidates.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum(8 * F.col("n_grams")).alias("bytes")), "family-sizes")
+    members = materialize(to_keys(candidates, sizes, "label", "size").select("key", "label", "first", "digest", n_chunks("bytes", FAMILY_BYTES).alias("chunks")), "families")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
             found = [ngrams(t.as_py() or "", words) for t in batch.column("text")]
-            own = np.array([set_key(g) == k for g, k in zip(found, batch.column("key").to_pylist(), strict=True)], bool)
-            arrays = [batch.column("key"), batch.column("label"), batch.column("size"), pa.array([g.tobytes() for g in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "label", "size", "grams"]).filter(pa.array(own))
+            # a repeated id may have other texts as well
+            own = np.array([set_digest(g) == d for g, d in zip(found, batch.column("digest").to_pylist(), strict=True)], bool)
+            arrays = [batch.column("key"), batch.column("label"), batch.column("chunks"), pa.array([g.tobytes() for g in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "label", "chunks", "grams"]).filter(pa.array(own))
 
     few = members.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
     wanted = members.withColumnRenamed("first", "doc_id")
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "label", "size", "text")
-    full = texts.mapInArrow(bounded(grams), "key long, label long, size long, grams binary")
-    verified = materialize(exact_links(in_chunks(full, "label", "size", FAMILY_CHUNK), threshold), "verified")
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "label", "chunks", "digest", "text")
+    full = texts.mapInArrow(bounded(grams), "key long, label long, chunks int, grams binary")
+    verified = materialize(exact_links(in_chunks(full, "label", F.col("chunks")), threshold), "verified")
     classes = components(verified, "key", "root")
     links = verified.groupBy("key").agg(F.sum("links").alias("n_links"))
-    own = sets.select("key", "first", "n_copies").join(classes.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
-    own = own.withColumn("label", F.coalesce("label", "key"))
-    least = own.groupBy("label").agg(F.min("first").alias("class_id"))
-    info = materialize(own.join(least, "label").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "classes")
-    with_words = drawn.where("key IS NOT NULL").select(*named, "key").join(info, "key").select(*named, "class_id", "n_links", "n_copies")
-    without = drawn.where("key IS NULL").select(*named, F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
-    return with_words.unionByName(without)
+    own = sets.select("key", "digest", "first", "n_copies").join(classes.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
+    own = materialize(own.withColumn("label", F.coalesce("label", "key")), "own-classes")
+    least = materialize(own.groupBy("label").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("size")), "class-ids")
+    info = to_keys(own, least, "label", "size").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    out = [*named, "class_id", "n_links", "n_copies"]
+    with_words = to_keys(given.select(*named, "digest"), materialize(info, "classes"), "digest", "n_copies").select(out)
+    without_words = drawn.where("digest IS NULL").select(*named, F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
+    return with_words.unionByName(without_words)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,9 +373,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows go by id and text: of an id with several texts only those go that are near copies of another's.
     """
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), digest.alias("text_digest"))
     dropped = _classes(rows, WORDS, THRESHOLD, TARGET_RECALL, SEED).where("doc_id <> class_id")
-    return without(docs, dropped, (F.col(id_col).cast("bigint"), "doc_id"), (digest, "digest"))
+    return without(docs, dropped, (F.col(id_col).cast("bigint"), "doc_id"), (digest, "text_digest"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import bit_sliced, chat, mixing, ngram_join, pieces, quality, secrets, simple8b, token_files, warc
-from tessera.llm.common import arrow_groups, clear_work, materialize, work_path
+from tessera.llm.common import arrow_groups, clear_work, materialize, to_keys, work_path
 from tessera.llm.components import components
 from tessera.llm.exact_dedup import DigestIndex, drop_copies, exact_dedup
 
@@ -232,12 +232,15 @@ def test_ngram_join_on_a_large_family_equals_brute_force(spark):
         texts.append(" ".join(words))
     texts += [" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(50)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    old = ngram_join.BUCKET, ngram_join.BUCKET_CHUNK, ngram_join.FAMILY_CHUNK
-    ngram_join.BUCKET, ngram_join.BUCKET_CHUNK, ngram_join.FAMILY_CHUNK = 16, 40, 30
+    names = "BUCKET", "ALIKE", "BUCKET_CHUNK", "FAMILY_BYTES", "PIECE"
+    old = [getattr(ngram_join, n) for n in names]
+    for n, v in zip(names, (16, 0.8, 40, 30_000, 13), strict=True):
+        setattr(ngram_join, n, v)
     try:
         found = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.ngram_join(docs).collect()}
     finally:
-        ngram_join.BUCKET, ngram_join.BUCKET_CHUNK, ngram_join.FAMILY_CHUNK = old
+        for n, v in zip(names, old, strict=True):
+            setattr(ngram_join, n, v)
     sets = [frozenset(ngram_join.ngrams(t).tolist()) for t in texts]
     distinct = set(sets)
     links = {s: {o for o in distinct if o != s and len(o & s) * 9 >= 4 * (len(o) + len(s))} for s in distinct}
@@ -248,9 +251,62 @@ def test_ngram_join_on_a_large_family_equals_brute_force(spark):
         assert found[i] == (label[s], len(links[s]), sets.count(s))
 
 
+def test_a_large_family_moves_few_bytes(spark):
+    """5,000 near copies: all linked to the text that they come from, and moved once for each of two chunks."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(500)]
+    texts = [" ".join(base)] + [" ".join([*base[: (at := rng.randrange(500))], f"x{i}", *base[at + 1 :]]) for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    grams = sum(8 * len(ngram_join.ngrams(t)) for t in texts)
+    written = lambda: sum(e.totalShuffleWrite() for e in _scala(spark, spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    docs.count()
+    before = written()
+    found = {r.doc_id: r for r in ngram_join.ngram_join(docs).collect()}
+    assert written() - before < 3 * grams
+    assert {r.class_id for r in found.values()} == {0} and found[0].n_links == 5000 and all(r.n_links == 5000 for r in found.values())
+
+
+def _scala(spark, seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_followed_pairs_by_simulation():
+    rng = random.Random(6)
+    for splits in (1, 3, 8):
+        met = 0
+        for _ in range(4000):
+            paths = 1
+            for _ in range(splits):
+                paths = sum(rng.random() < 0.8 for _ in range(paths) for _ in range(1 + (rng.random() < 0.25)))
+            met += paths > 0
+        assert met / 4000 == pytest.approx(ngram_join.followed(0.8, splits), abs=0.03)
+
+
+def test_mean_agreement(spark):
+    """Of sets in two halves that agree within them, every other pair agrees."""
+    signs = [rng.getrandbits(63) for rng in [random.Random(8)] for _ in range(2)]
+    rows = spark.createDataFrame([(signs[i % 2],) for i in range(1000)], "signs long")
+    ones = rows.agg(*(F.sum(F.shiftright("signs", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(63)))
+    agreed = ones.select(ngram_join.mean_agreement(F.lit(1000.0), [F.col(f"s{i}") for i in range(63)])).first()[0]
+    assert agreed == pytest.approx(0.5, abs=0.2)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (2, 2), (None, 1), (7, 7), (5, 4)], "a long, b long")
     assert {tuple(r) for r in components(edges, "a", "b").collect()} == {(2, 2), (3, 2), (4, 2), (5, 2), (8, 8), (9, 8), (7, 7)}
+    # a hub with nearly all edges, and a path
+    hub = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(10_000, 10_020)]
+    found = components(spark.createDataFrame(hub, "a long, b long"), "a", "b").groupBy("label").count().collect()
+    assert {tuple(r) for r in found} == {(0, 3000), (10_000, 21)}
+
+
+def test_to_keys_joins_heavy_and_light_keys(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(9000)], "k long, v long")
+    info = materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")), "test-info")
+    expected = rows.join(info, "k").select("k", "v", "n", "top")
+    found = to_keys(rows, info, "k", "n").select("k", "v", "n", "top")
+    assert found.count() == 9000 and not found.exceptAll(expected).count()
+    assert to_keys(rows.limit(0), info.limit(0), "k", "n").count() == 0
 
 
 def test_mixing(spark, docs, nothing):
