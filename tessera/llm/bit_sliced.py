@@ -3,13 +3,15 @@
 The index holds the vectors in row blocks. Within a block each quantised attribute is a stack of
 bitmaps, one for each binary digit (slice). A query's score is the sum of its attributes times its
 own digits: the slices of the attributes with a digit set are added with bitmap arithmetic (ripple
-carries over whole bitmaps, pairs of attributes at a time), which gives the slices of the scores. The
+carries over whole bitmaps, pairs of attributes at a time), which gives the slices of the scores; the
+query's digits are 1, 0 and -1 with no two others side by side, which leaves the fewest to add. The
 k best rows are then selected from the most significant slice downward; rows that tie on the border
 are resolved exactly, by their integer scores and ids.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,12 @@ K = 5
 #: Rows of an index block (a multiple of 64) and queries that are scored together.
 BLOCK_ROWS = 32_768
 QUERY_ROWS = 256
+#: Components of an index block at most, so that one of long vectors has fewer rows (64 at least).
+BLOCK_CELLS = 1 << 21
+#: Tiles of the grid on which blocks meet batches of queries; a block takes about BLOCK_WEIGHT times the bytes of a batch.
+TILES, BLOCK_WEIGHT = 4096, 20
+#: Magnitudes from which integers are refused.
+LIMIT = 1 << 62
 INDEX = "dim int, n int, ids binary, lows binary, digits int, slices binary"
 QUERIES = "dim int, batch long, ids binary, x binary"
 
@@ -59,21 +67,31 @@ def add_slices(terms: np.ndarray) -> np.ndarray:
     return terms[0]
 
 
-def score_slices(slices: np.ndarray, lows: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, int]:
-    """(slices of score - offset, offset) of the integer query q against a block.
+def signed_digits(q: np.ndarray) -> list[np.ndarray]:
+    """Digits 1, 0 and -1 of integers, the least first; of two neighbours one is 0."""
+    out = []
+    while q.any():
+        digit = np.where(q & 1, 2 - (q & 3), 0)
+        out.append(digit)
+        q = (q - digit) >> 1
+    return out
 
-    Attributes that the query has negative are complemented, so that only non-negative terms add up.
+
+def score_slices(slices: np.ndarray, inverted: np.ndarray, lows: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, int]:
+    """(slices of score - offset, offset) of the integer query q against a block; inverted is ~slices.
+
+    Attributes with a negative digit are complemented, so that only non-negative terms add up.
     """
-    digits = slices.shape[1]
-    signed = np.where((q < 0)[:, None, None], ~slices, slices)
-    size = np.abs(q)
-    offset = int(q @ lows) - ((1 << digits) - 1) * int(size[q < 0].sum())
+    most = (1 << slices.shape[1]) - 1
+    offset = int(q @ lows)
     total = np.zeros((1, slices.shape[2]), np.uint64)
-    for d in range(int(size.max(initial=0)).bit_length() - 1, -1, -1):  # Horner's rule over the query's digits
+    digits = signed_digits(q)
+    for d in range(len(digits) - 1, -1, -1):  # Horner's rule over the query's digits
         total = np.concatenate([np.zeros((1, slices.shape[2]), np.uint64), total])
-        having = np.flatnonzero((size >> d) & 1)
-        if len(having):
-            part = add_slices(signed[having])
+        more, less = np.flatnonzero(digits[d] > 0), np.flatnonzero(digits[d] < 0)
+        if len(more) or len(less):
+            offset -= (len(less) << d) * most
+            part = add_slices(np.concatenate([slices[more], inverted[less]]))
             width = max(len(total), len(part))
             both = np.zeros((2, width, slices.shape[2]), np.uint64)
             both[0, : len(total)], both[1, : len(part)] = total, part
@@ -120,7 +138,10 @@ def _matrix(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[int, np.ndarray
     for dim in np.unique(dims):
         own = np.flatnonzero(dims == dim)
         values = x.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim)
-        yield int(dim), ids[own], np.floor(values * scale).astype(np.int64)
+        scaled = np.floor(values * scale)
+        if not (np.abs(scaled) < LIMIT).all():
+            raise ValueError(f"a component times {scale} has a magnitude of {LIMIT} or more")
+        yield int(dim), ids[own], scaled.astype(np.int64)
 
 
 def build_index(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -139,13 +160,13 @@ def build_index(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id",
 
         for batch in batches:
             for dim, ids, x in _matrix(batch, scale):
-                own = held.setdefault(dim, [])
+                own, most = held.setdefault(dim, []), min(block_rows, max(64, BLOCK_CELLS // dim // 64 * 64))
                 own.append((ids, x))
-                if sum(len(i) for i, _ in own) >= block_rows:
+                if sum(len(i) for i, _ in own) >= most:
                     ids, x = (np.concatenate(p) for p in zip(*own, strict=True))
-                    whole = len(ids) // block_rows * block_rows
-                    for at in range(0, whole, block_rows):
-                        yield block(dim, ids[at : at + block_rows], x[at : at + block_rows])
+                    whole = len(ids) // most * most
+                    for at in range(0, whole, most):
+                        yield block(dim, ids[at : at + most], x[at : at + most])
                     held[dim] = [(ids[whole:], x[whole:])]
         for dim, own in held.items():
             ids, x = (np.concatenate(p) for p in zip(*own, strict=True))
@@ -171,8 +192,20 @@ def batch_queries(queries: DataFrame, scale: int, id_col: str, vector_col: str,
     return once.mapInArrow(bounded(run), QUERIES)
 
 
+def grid(blocks: int, batches: int, tiles: int = TILES) -> tuple[int, int]:
+    """(rows, columns) into which blocks and batches are dealt, about `tiles` tiles at most.
+
+    Blocks are copied for each column and batches for each row, so the grid that moves the fewest bytes
+    has columns to rows as the batches' bytes are to the blocks'.
+    """
+    tiles = max(1, min(tiles, blocks * batches))
+    columns = min(batches, max(1, round(math.sqrt(tiles * batches / max(1, BLOCK_WEIGHT * blocks)))))
+    rows = max(1, min(blocks, tiles // max(1, columns)))
+    return rows, max(1, min(batches, tiles // rows))
+
+
 def topk_blocks(index: DataFrame, batches: DataFrame, k: int) -> DataFrame:
-    """Each query's k best rows of each block; blocks meet all batches of queries of their dimension."""
+    """Each query's k best rows of each block; blocks meet all batches of queries of their dimension, tile by tile of a grid."""
 
     def run(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pair in pairs:
@@ -181,12 +214,15 @@ def topk_blocks(index: DataFrame, batches: DataFrame, k: int) -> DataFrame:
                 dim, n, digits = get("dim"), get("n"), get("digits")
                 ids, lows = np.frombuffer(get("ids"), "<i8"), np.frombuffer(get("lows"), "<i8")
                 slices = np.frombuffer(get("slices"), "<u8").reshape(dim, digits, -1)
+                inverted, largest = ~slices, np.maximum(np.abs(lows.astype(float)), np.abs(lows + float((1 << digits) - 1)))
                 everything = np.packbits(np.arange(slices.shape[2] * 64) < n, bitorder="little").view("<u8")
                 query_ids = np.frombuffer(get("query_ids"), "<i8")
                 queries = np.frombuffer(get("x"), "<i8").reshape(len(query_ids), dim)
                 out: list[tuple[np.ndarray, ...]] = []
                 for query_id, q in zip(query_ids, queries, strict=True):
-                    total, _ = score_slices(slices, lows, q)
+                    if np.abs(q.astype(float)) @ largest >= LIMIT:
+                        raise ValueError(f"scores of vector {query_id} may have a magnitude of {LIMIT} or more")
+                    total, _ = score_slices(slices, inverted, lows, q)
                     rows = everything.copy()
                     for own in range(*np.searchsorted(ids, [query_id, query_id + 1])):
                         rows[own >> 6] &= ~np.uint64(1 << (own & 63))
@@ -195,11 +231,12 @@ def topk_blocks(index: DataFrame, batches: DataFrame, k: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-    # A copy of each block for every shard of queries; shards are as many as there are batches.
-    shards = max(1, batches.count())
-    sharded = batches.withColumnRenamed("ids", "query_ids").withColumn("shard", F.pmod(F.xxhash64("batch"), F.lit(shards)))
-    copies = index.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-    return copies.join(sharded, ["dim", "shard"]).mapInArrow(bounded(run), "query_id long, vec_id long, score long")
+    rows, columns = grid(index.count(), batches.count())
+    tile = lambda name, n, key: F.pmod(F.xxhash64(key), F.lit(n)).alias(name)
+    every = lambda name, n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(name)
+    dealt = batches.withColumnRenamed("ids", "query_ids").select("*", tile("column", columns, "batch")).select("*", every("row", rows))
+    copies = index.select("*", tile("row", rows, "ids")).select("*", every("column", columns))
+    return copies.join(dealt, ["dim", "row", "column"]).mapInArrow(bounded(run), "query_id long, vec_id long, score long")
 
 
 def bit_sliced_topk(
@@ -215,7 +252,8 @@ def bit_sliced_topk(
     * Rows that repeat an id are candidates each; a repeated query is answered once, for the
       least of its valid vectors. Fewer than k candidates are all returned; an empty table gives an
       empty result. Other columns are not read.
-    * |scale * x| must be below 2**31.
+    * All arithmetic is exact: components and scores that might reach 2**62 raise an error. Vectors
+      may have any length; a block of the index has BLOCK_CELLS components at most, or 64 rows.
     """
     index = materialize(build_index(vectors, scale, id_col, vector_col, block_rows), "bit-slices", compression="none")
     batches = materialize(batch_queries(queries, scale, id_col, vector_col, query_rows), "bit-queries")
