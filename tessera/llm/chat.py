@@ -4,6 +4,10 @@ A template is only ever called: successive prefixes of a conversation are render
 outputs compared. What a turn adds is its span; two probes of one character each locate its text in the
 span. A template whose output for a longer prefix does not begin with that for the shorter one
 rewrites history; such conversations are found and kept apart.
+
+A template may state that a turn depends on few turns before it. Then prefixes start with those turns,
+which makes rendering linear, and the statement is put to the proof: the spans must join to what the
+template gives for the whole prefix of 1, 2, 4, 8, ... and all turns.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ FORMATTED = "conv_id long, part long, text string, loss array<struct<start:long,
 
 class Template(Protocol):
     """Renders whole conversations. `context` is the number of preceding turns on which a turn's
-    output may depend; None means all of them, and then every whole prefix is rendered."""
+    output is said to depend; None means all of them, and then every whole prefix is rendered."""
 
     context: int | None
 
@@ -77,13 +81,13 @@ class Span(NamedTuple):
 
 
 class Renderer:
-    """Renders one conversation turn by turn."""
+    """Renders one conversation turn by turn, on prefixes that start `context` turns before, one at least; None: whole ones."""
 
-    def __init__(self, template: Template):
+    def __init__(self, template: Template, context: int | None):
         self.template = template
+        self.keep = None if context is None else max(1, context)
         self.window: list[Turn] = []
-        self.before = template.render([])
-        self.opening = self.before
+        self.before = self.opening = template.render([])
         self.rewritten = False
 
     def add(self, role: str, text: str) -> Span | None:
@@ -92,10 +96,10 @@ class Renderer:
         span = self._span(after, self._with(role, "x"), self._with(role, "y"))
         self.rewritten |= span is None
         self.window.append((role, text))
-        if (keep := self.template.context) is None:
+        if self.keep is None or len(self.window) <= self.keep:
             self.before = after
         else:
-            self.window = self.window[len(self.window) - keep :] if keep else []
+            self.window = self.window[-self.keep :]
             self.before = self.template.render(self.window)
         return span
 
@@ -122,7 +126,11 @@ def format_conversations(
 
     * Turns are ordered by turn, those that tie by role and text; repeated rows are turns each. Nulls
       come first; a null role or text is empty; rows without conv_id are one conversation.
-    * A conversation is streamed in order and never held, unless the template depends on all turns.
+    * A conversation is streamed in order, and its turns are held until its first part is complete,
+      as long as the stated context is put to the proof; those of a template that depends on all turns
+      are always held. Texts may have any length; a turn is rendered as a whole.
+    * Where a stated context proves wrong, all whole prefixes of the conversation are rendered; if its
+      first part is written already, that is an error.
     * Of a template that rewrites history only the last rendering of the conversation is written, as
       one part without a mask, rewritten set. A text that can't be located in its span has no mask.
     * An empty table gives no parts; other columns are not read.
@@ -159,34 +167,70 @@ def _parts(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
 
 
-def _formatted(turns: Iterator[tuple], template: Template, learn_role: str) -> Iterator[tuple]:
-    """Parts of all conversations of a sorted stream of (conv_id, role, text)."""
-    renderer, conv = None, None
-    part, texts, loss, size = 0, [], [], 0
+class _Conversation:
+    """The parts of one conversation, as its turns come in."""
+
+    def __init__(self, conv_id: int | None, template: Template, learn_role: str):
+        self.conv_id, self.template, self.learn_role = conv_id, template, learn_role
+        self.turns: list[Turn] = []  # until the first part is complete
+        self.part, self.added = 0, 0
+        self._start(template.context)
+
+    def _start(self, context: int | None) -> None:
+        self.context, self.renderer = context, Renderer(self.template, context)
+        self.texts, self.loss, self.size = [self.renderer.opening], [], len(self.renderer.opening)
+
+    def add(self, role: str, text: str) -> Iterator[tuple]:
+        """A part, if the turn completes one."""
+        if not self.part:
+            self.turns.append((role, text))
+        self.added += 1
+        self._render(role, text)
+        if self.context is None:
+            return  # what the template has given may yet be rewritten
+        complete = self.size >= PART_CHARS
+        if self.renderer.rewritten or (not self.part and (complete or not self.added & (self.added - 1))):
+            self._prove()
+        if complete and self.context is not None:
+            yield self.conv_id, self.part, "".join(self.texts), self.loss, False
+            self.part, self.texts, self.loss, self.size, self.turns = self.part + 1, [], [], 0, []
+
+    def _render(self, role: str, text: str) -> None:
+        if span := self.renderer.add(role, text):
+            if role == self.learn_role and span.text_start >= 0:
+                self.loss.append({"start": self.size + span.text_start, "end": self.size + span.text_end})
+            self.texts.append(span.added)
+            self.size += len(span.added)
+
+    def _prove(self) -> None:
+        """Holds the joined spans against the whole prefix, and renders all whole prefixes if they differ."""
+        if self.part:
+            raise ValueError(f"the template depends on more than the {self.template.context} turns that it states")
+        if self.renderer.rewritten or "".join(self.texts) != self.template.render(self.turns):
+            self._start(None)
+            for turn in self.turns:
+                self._render(*turn)
+
+    def close(self) -> Iterator[tuple]:
+        if self.context is not None and not self.part:
+            self._prove()
+        if self.renderer.rewritten:
+            yield self.conv_id, 0, self.renderer.before, [], True
+        elif self.texts:
+            yield self.conv_id, self.part, "".join(self.texts), self.loss, False
 
-    def close() -> Iterator[tuple]:
-        if renderer and renderer.rewritten:
-            last = renderer.before if template.context is None else "".join(texts)
-            yield conv, 0, last, [], True
-        elif texts:
-            yield conv, part, "".join(texts), loss, False
 
+def _formatted(turns: Iterator[tuple], template: Template, learn_role: str) -> Iterator[tuple]:
+    """Parts of all conversations of a sorted stream of (conv_id, role, text)."""
+    now = None
     for conv_id, role, text in turns:
-        if renderer is None or conv_id != conv:
-            yield from close()
-            renderer, conv = Renderer(template), conv_id
-            part, texts, loss, size = 0, [renderer.opening], [], len(renderer.opening)
-        role, text = role or "", text or ""
-        if span := renderer.add(role, text):
-            if role == learn_role and span.text_start >= 0:
-                loss.append({"start": size + span.text_start, "end": size + span.text_end})
-            texts.append(span.added)
-            size += len(span.added)
-        # what a template with unbounded context has given may yet be rewritten
-        if size >= PART_CHARS and template.context is not None and not renderer.rewritten:
-            yield conv, part, "".join(texts), loss, False
-            part, texts, loss, size = part + 1, [], [], 0
-    yield from close()
+        if now is None or conv_id != now.conv_id:
+            if now:
+                yield from now.close()
+            now = _Conversation(conv_id, template, learn_role)
+        yield from now.add(role or "", text or "")
+    if now:
+        yield from now.close()
 
 
 def digest_formatted(spark: SparkSession, out: str, template: type[MarkedTurns] = MarkedTurns) -> DataFrame:

@@ -114,6 +114,21 @@ class Rewriting:
         return "".join(f"{r}: {t if i == len(turns) - 1 else t[:1]}\n" for i, (r, t) in enumerate(turns))
 
 
+class Mistaken(Rewriting):
+    """States a context that is wrong."""
+
+    context = 0
+
+
+class Numbered(chat.MarkedTurns):
+    """Turns have their number and say whether the first turn was a system's, whatever context is stated."""
+
+    context = 1
+
+    def render(self, turns):
+        return "".join(f"{i} {turns[0][0] == 'system'} " + super(Numbered, self).render([t]) for i, t in enumerate(turns))
+
+
 class Opening(chat.MarkedTurns):
     """Says something before the first turn, and more where a turn is the first in a window."""
 
@@ -136,6 +151,9 @@ def test_chat(spark):
     row = spark.read.parquet(out).first()
     assert row.rewritten and row.loss == [] and row.text.endswith("assistant: <turn x>\n")
     out = work_path(spark, "test-chat")
+    chat.format_conversations(turns.where("conv_id = 1"), out, Mistaken())
+    assert spark.read.parquet(out).first() == row
+    out = work_path(spark, "test-chat")
     chat.format_conversations(turns.where("conv_id = 1"), out, Opening())
     row = spark.read.parquet(out).first()
     assert not row.rewritten and row.text.startswith("<s><turn") and [chat.MarkedTurns.unescape(row.text[s.start : s.end]) for s in row.loss] == ["<turn x>"] * 2
@@ -144,6 +162,28 @@ def test_chat(spark):
     assert chat.digest_formatted(spark, out).count() == 0
 
 
+def test_stated_context_is_proved():
+    for n in range(1, 12):
+        said = [("system" if not i else "assistant", f"t{i}") for i in range(n)]
+        (row,) = chat._formatted(((7, *t) for t in said), Numbered(), "assistant")
+        assert row == (7, 0, Numbered().render(said), row[3], False) and [row[2][s["start"] : s["end"]] for s in row[3]] == [t for _, t in said[1:]]
+        (row,) = chat._formatted(((7, *t) for t in said), Mistaken(), "assistant")
+        assert row == ((7, 0, Mistaken().render(said), [], True) if n > 1 else (7, 0, "system: t0\n", [], False))
+    # what is wrong only after the first part is refused
+    late = [("user", "x")] * 2 + [("user", "y" * chat.PART_CHARS), ("user", "long"), ("user", "long")]
+    with pytest.raises(ValueError, match="states"):
+        list(chat._formatted(((7, *t) for t in late), Late(), "assistant"))
+
+
+class Late(chat.MarkedTurns):
+    """Rewrites from the fifth turn on."""
+
+    context = 2
+
+    def render(self, turns):
+        return super().render([(r, "" if t == "long" and i < len(turns) - 1 else t) for i, (r, t) in enumerate(turns)])
+
+
 def test_warc(spark):
     rows = [(1, "http://b.a/x", "p"), (2, "http://b.a/x", "p"), (2, "http://b.a/x", "p"), (3, None, None), (4, "http://a.a/\r\nX: y", ""), (None, "u", "p"), (None, "u", "q"), (5, "http://c.a", "\r\n\r\nWARC/1.1\r\n" + "é" * 70_000)]
     pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string")
@@ -196,6 +236,29 @@ def test_bit_sliced_takes_the_valid_one_of_repeated_queries(spark):
         assert {(r.query_id, r.vec_id) for r in found} == {(50, 1), (100, 1), (150, 2)} and len(found) == 3
 
 
+def test_bit_sliced_is_exact_or_refuses(spark):
+    schema = "vec_id long, embedding array<double>"
+    vectors = spark.createDataFrame([(50, [1.0, 1.0]), (1, [1e12, 0.0]), (2, [-1e12, 5e11]), (3, [0.0, 3.0])], schema)
+    found = bit_sliced.bit_sliced_topk(vectors, vectors.where("vec_id = 50")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(1, 256 * 256 * 10**12), (3, 3 * 256 * 256), (2, -256 * 256 * 5 * 10**11)]
+    for x in (1e18, 1e17):
+        large = vectors.union(spark.createDataFrame([(4, [x, 0.0]), (100, [x, 0.0])], schema))
+        with pytest.raises(Exception, match="magnitude"):
+            bit_sliced.bit_sliced_topk(large, large.where("vec_id = 100")).collect()
+
+
+def test_grid_and_signed_digits():
+    for blocks, batches in ((1, 1), (6, 5), (30_000, 80_000), (3, 10_000), (10_000, 1), (0, 0)):
+        rows, columns = bit_sliced.grid(blocks, batches)
+        assert 1 <= rows <= max(1, blocks) and 1 <= columns <= max(1, batches) and rows * columns <= bit_sliced.TILES
+    rows, columns = bit_sliced.grid(30_000, 80_000)
+    assert columns < 30 and rows * columns > bit_sliced.TILES / 2
+    q = np.random.default_rng(1).integers(-(2**40), 2**40, 500)
+    digits = bit_sliced.signed_digits(q)
+    assert (sum(d.astype(np.int64) << k for k, d in enumerate(digits)) == q).all()
+    assert not any((a * b).any() for a, b in zip(digits, digits[1:], strict=False))
+
+
 def test_quality(spark, docs, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (5, None, 0), (None, 1, 0), (99, 1, 0), (4, 7, 0)], "doc_id long, quality int, toxic int")
     assert quality.score_quality(docs, labels).count() == len(ROWS)
