@@ -22,7 +22,9 @@ TOPIC_TARGET = {"notice": 0.05, "table": 0.1, "contact": 0.1, "brief": 0.1, "art
 SOURCE_POWER = 0.7
 #: Share of all tokens that the sample is to hold.
 KEEP_TOKENS = 0.8
-ITERATIONS = 8
+#: The raking ends when no marginal is off its target by that share, or after ITERATIONS rounds.
+TOLERANCE = 1e-12
+ITERATIONS = 20
 SEED = 7
 #: Cells up to this number are broadcast to the documents (about 64 bytes each); more are joined by shuffle.
 BROADCAST_CELLS = 100_000
@@ -55,17 +57,37 @@ def _fixed(spark: SparkSession, name: str, shares: dict[str, float]) -> DataFram
     return spark.range(1).select(F.explode(F.create_map(*(F.lit(x) for p in shares.items() for x in p))).alias(name, "target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], bounded: frozenset[str], iterations: int = ITERATIONS) -> DataFrame:
-    """cells (one column for each dimension, tokens) with w, raked to the targets (dimension, target).
+def marginals(cells: DataFrame, weight: str, targets: dict[str, DataFrame]) -> DataFrame:
+    """dimension, value, target, share: what the weights of cells add up to, as a share of all, for each value with a target."""
+    whole = cells.agg(F.sum(weight).cast("double").alias("whole"))  # one row
+    found = None
+    for name, target in targets.items():
+        sums = target.join(cells.groupBy(name).agg(F.sum(weight).cast("double").alias("s")), name, "left")
+        rows = sums.select(F.lit(name).alias("dimension"), F.col(name).alias("value"), "target", F.coalesce("s", F.lit(0.0)).alias("s"))
+        found = rows if found is None else found.unionByName(rows)
+    share = F.when(F.col("whole") > 0, F.col("s") / F.col("whole")).otherwise(0.0)
+    return found.join(F.broadcast(whole)).select("dimension", "value", "target", share.alias("share"))
 
-    Shares of a target are taken among the values that occur, so they need not add up to 1. A value
-    without a target keeps nothing. Dimensions in `bounded` have a proven number of values.
-    """
-    # a target is spread over the values that have tokens
+
+def present_targets(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The targets (dimension, target) spread over the values that have tokens, written."""
+    out = {}
     for name, target in targets.items():
         present = cells.groupBy(name).agg(F.sum("tokens").alias("n")).where("n > 0").join(target, name)
         whole = present.agg(F.sum("target")).first()[0] or 1.0
-        targets[name] = materialize(present.select(name, (F.col("target") / whole).alias("target")), f"target-{name}")
+        out[name] = materialize(present.select(name, (F.col("target") / whole).alias("target")), f"target-{name}")
+    return out
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], bounded: frozenset[str], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (one column for each dimension, tokens) with w, raked to the targets (dimension, target).
+
+    Shares of a target are taken among the values that occur, so they need not add up to 1. A value
+    without a target keeps nothing. Dimensions in `bounded` have a proven number of values. Where
+    cells without tokens make targets impossible the rounds end with what they have reached; marginals()
+    tells how far that is.
+    """
+    targets = present_targets(cells, targets)
     weighted = cells.withColumn("w", F.col("tokens").cast("double"))
     for _ in range(iterations):
         for name, target in targets.items():
@@ -73,6 +95,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], bounded: frozenset[str
             factor = F.broadcast(factor) if name in bounded else factor
             weighted = weighted.join(factor, name, "left").withColumn("w", F.coalesce(F.col("w") * F.col("factor"), F.lit(0.0))).drop("factor")
         weighted = materialize(weighted, "raked")
+        off = marginals(weighted, "w", targets).agg(F.max(F.abs(F.col("share") / F.col("target") - 1))).first()[0]
+        if off is None or off <= tolerance:
+            break
     return weighted
 
 
@@ -86,12 +111,25 @@ def _cells_of(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang
     ).select("_row", "doc_id", "source", "lang", "lang_cell", topic_of(F.col("text"), F.col("tokens")).alias("topic"), "tokens")
 
 
+def standing_targets(cells: DataFrame) -> dict[str, DataFrame]:
+    """The targets of sources, languages and topics for these cells."""
+    sources = cells.groupBy("source").agg(F.pow(F.sum("tokens").cast("double"), F.lit(SOURCE_POWER)).alias("target"))
+    spark = cells.sparkSession
+    return {"source": sources, "lang": _fixed(spark, "lang", LANG_TARGET | {"other": OTHER_LANG}), "topic": _fixed(spark, "topic", TOPIC_TARGET)}
+
+
+def sample_marginals(mixed: DataFrame) -> DataFrame:
+    """dimension, value, target, share: the shares of tokens in the sample that mix_sources() has drawn, beside the targets."""
+    lang = F.when(F.col("lang").isin(*LANG_TARGET), F.col("lang")).otherwise("other")
+    cells = mixed.groupBy("source", lang.alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn"))
+    cells = materialize(cells, "drawn-cells")
+    return marginals(cells, "drawn", present_targets(cells, standing_targets(cells)))
+
+
 def _with_rates(rows: DataFrame, drawn: DataFrame, keep_tokens: float, iterations: int, seed: int) -> DataFrame:
     """drawn with `probability`, `copies` and `kept`, from the cells of rows."""
-    spark = rows.sparkSession
     cells = materialize(rows.groupBy("source", F.col("lang_cell").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens")), "mix-cells")
-    sources = cells.groupBy("source").agg(F.pow(F.sum("tokens").cast("double"), F.lit(SOURCE_POWER)).alias("target"))
-    targets = {"source": sources, "lang": _fixed(spark, "lang", LANG_TARGET | {"other": OTHER_LANG}), "topic": _fixed(spark, "topic", TOPIC_TARGET)}
+    targets = standing_targets(cells)
     raked = rake(cells, targets, frozenset({"lang", "topic"}), iterations)
     total = float(raked.agg(F.sum("tokens")).first()[0] or 0)
     rate = F.when(F.col("tokens") > 0, F.col("w") * F.lit(total) * keep_tokens / F.col("tokens")).otherwise(1.0)
@@ -117,7 +155,9 @@ def mix_sources(
       probability is the chance of one copy at least, kept whether there is one.
     * The lot is a hash of the id, so it does not depend on other documents or on partitions; rows
       that repeat an id share their lot as far as their cells are equal.
-    * Null sources and languages are values of their own (""); a null text is empty. Texts without
+    * The targets are met in expectation as far as cells with tokens allow; sample_marginals() gives
+      the shares that a draw has reached.
+    * Whole texts are read, of any length; they don't leave their tasks. Null sources and languages are values of their own (""); a null text is empty. Texts without
       words weigh nothing in the raking and have the probability of their cell, 1 if that has no tokens.
     * An empty table gives an empty result.
     """
@@ -137,8 +177,8 @@ def mix_documents(
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixes all documents to the standing targets; the columns are those of the SQL twin, which has no copies."""
-    return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+    """Mixes all documents to the standing targets."""
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def _sql(relation: str = "documents", keep_tokens: float = KEEP_TOKENS, iterations: int = ITERATIONS, seed: int = SEED) -> str:
@@ -179,12 +219,14 @@ WITH d AS (
   SELECT source, lang_cell AS lang, topic, sum(tokens) AS tokens FROM r GROUP BY 1, 2, 3
 ), {", ".join(targets)}, w0 AS (SELECT *, CAST(tokens AS DOUBLE) AS w FROM cells), {", ".join(steps)}, rates AS (
   SELECT source, lang AS lang_cell, topic,
-         CASE WHEN tokens > 0 THEN least(1.0, w * CAST(sum(tokens) OVER () AS DOUBLE) * {keep_tokens} / tokens) ELSE 1.0 END AS probability
+         CASE WHEN tokens > 0 THEN w * CAST(sum(tokens) OVER () AS DOUBLE) * {keep_tokens} / tokens ELSE 1.0 END AS rate
   FROM {last}
+), drawn AS (
+  SELECT doc_id, source, lang, topic, r.tokens, rate,
+         CAST(floor(rate) AS BIGINT) + CAST(CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / {float(16**13)!r} < rate - floor(rate) AS BIGINT) AS copies
+  FROM r JOIN rates USING (source, lang_cell, topic)
 )
-SELECT doc_id, source, lang, topic, r.tokens, round(probability, 6) AS probability,
-       CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / {float(16**13)!r} < probability AS kept
-FROM r JOIN rates USING (source, lang_cell, topic)
+SELECT doc_id, source, lang, topic, tokens, round(least(1.0, rate), 6) AS probability, copies > 0 AS kept, copies FROM drawn
 """
 
 

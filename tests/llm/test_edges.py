@@ -391,6 +391,8 @@ def test_drawn_sample_has_the_target_weights(spark):
     assert drawn == {r.doc_id: r.copies for r in rows if r.copies} and max(drawn.values()) > 5
     total = sum(r.tokens * r.copies for r in rows)
     assert total == pytest.approx(mixing.KEEP_TOKENS * sum(r.tokens for r in rows), rel=0.05)
+    shares = {(r.dimension, r.value): (r.target, r.share) for r in mixing.sample_marginals(mixing.mix_sources(docs)).collect()}
+    assert len(shares) == 7 and all(share == pytest.approx(target, abs=0.03) for target, share in shares.values())
     for name, wanted in (("topic", {t: mixing.TOPIC_TARGET[t] / 0.75 for t in words}), ("lang", {x: mixing.LANG_TARGET[x] / 0.67 for x in ("en", "fr")}), ("source", {"a": 0.5, "b": 0.5})):
         for value, share in wanted.items():
             assert sum(r.tokens * r.copies for r in rows if r[name] == value) / total == pytest.approx(share, abs=0.03)
@@ -400,7 +402,8 @@ def test_raking_meets_its_marginals(spark):
     cells = spark.createDataFrame([(s, l, t, 1 + 7 * i + 3 * j + k) for i, s in enumerate("ab") for j, l in enumerate(("en", "fr")) for k, t in enumerate(("article", "long"))], "source string, lang string, topic string, tokens long")
     share = lambda name, **s: spark.createDataFrame(list(s.items()), f"{name} string, target double")
     targets = {"source": share("source", a=0.5, b=0.5), "lang": share("lang", en=0.9, fr=0.1), "topic": share("topic", article=0.3, long=0.7, brief=9.0).where("topic <> 'brief'")}
-    raked = mixing.rake(cells, targets, frozenset({"lang", "topic"}), 12)
+    raked = mixing.rake(cells, targets, frozenset({"lang", "topic"}))
+    assert {n: t.columns for n, t in targets.items()} == {n: [n, "target"] for n in targets}  # the caller's targets stay
     for name, wanted in (("lang", {"en": 0.9, "fr": 0.1}), ("topic", {"article": 0.3, "long": 0.7}), ("source", {"a": 0.5, "b": 0.5})):
         assert {r[0]: round(r[1], 6) for r in raked.groupBy(name).agg(F.sum("w")).collect()} == wanted
 
