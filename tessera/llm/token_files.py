@@ -29,8 +29,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: A segment is closed when it has that many ids; one document never spans two segments.
 SEGMENT_IDS = 1 << 20
-#: Chunks in each of the two generations of a worker's table.
-TABLE_CHUNKS = 900_000
+#: Chunks and bytes (chunks, ids and some ENTRY_BYTES for each) in each of the two generations of a worker's
+#: table; longer chunks than LONG_CHUNK characters are not kept.
+TABLE_CHUNKS, TABLE_BYTES, ENTRY_BYTES, LONG_CHUNK = 900_000, 250_000_000, 190, 200
 MAGIC = b"TS8B"
 HEADER = struct.Struct("<4sIQQQ")  # magic, documents, ids, words, blocks
 SEGMENTS = "part int, seq int, before long, n_ids long, body binary"
@@ -46,18 +47,21 @@ class ChunkIds:
 
     The byte-level pre-tokeniser always cuts before a space or line feed that a visible character
     follows, so texts are cut there and each distinct chunk is tokenised once. Texts with any other
-    run of white space are tokenised whole. Of the table, the older generation goes when the newer
-    one is full; that costs time, never a result.
+    run of white space, or with the string of an added token, are tokenised whole. Of the table, the
+    older generation goes when the newer one is full; that costs time, never a result.
     """
 
-    def __init__(self, path: str, bound: int = TABLE_CHUNKS):
+    def __init__(self, path: str, bound: int = TABLE_CHUNKS, size_bound: int = TABLE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.bound = self.tokenizer.model, bound
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.model, self.bound, self.size_bound = self.tokenizer.model, bound, size_bound
         self.new, self.old = _Table(self), {}
-        self.tail = lru_cache(10_000)(self.raw)
+        self.kept_tail = lru_cache(10_000)(self.raw)
+
+    def tail(self, chunk: str) -> bytes:
+        return self.kept_tail(chunk) if len(chunk) <= LONG_CHUNK else self.raw(chunk)
 
     def raw(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -69,8 +73,10 @@ class ChunkIds:
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
-        if len(self.new) > self.bound:
+        if len(self.new) > self.bound or self.new.size > self.size_bound:
             self.old, self.new = self.new, _Table(self)
+        if any(t in text for t in self.added):
+            return self.raw(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         try:
             return self.tail(first) + b"".join(map(self.new.__getitem__, rest))
@@ -91,7 +97,7 @@ class _Table(dict):
 
     def __init__(self, owner: ChunkIds):
         super().__init__()
-        self.owner = owner
+        self.owner, self.size = owner, 0
 
     def __missing__(self, chunk: str) -> bytes:
         value = self.owner.old.get(chunk)
@@ -100,7 +106,9 @@ class _Table(dict):
                 value = self.owner.word(chunk)
             else:
                 value = self.rest(chunk)
-        self[chunk] = value
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = value
+            self.size += len(chunk) + len(value) + ENTRY_BYTES
         return value
 
     def rest(self, chunk: str) -> bytes:
@@ -156,6 +164,8 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
     * Each document's ids end with end_id; a null or empty text has that id alone.
     * Documents are written in ascending id order, null ids first; rows that repeat an id are each
       written, in order of their texts. An empty table gives a dataset without segments.
+    * Texts are read whole, of any length; a document's ids lie in one segment, however many they are.
+      The string of a special token in a text becomes that token, as the library has it.
     * Other columns are not read.
     """
     spark = docs.sparkSession

@@ -26,7 +26,6 @@ def test_token_ids(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     found = {r.doc_id: tuple(r)[1:] for r in QUERIES["op2_token_id_output"](spark, sf_dir).collect()}
     start = 0
     for doc_id, text in texts:
