@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from tessera.llm.common import bounded, importable, kept_table, table
 
 MODEL = "piece_bpe_32k.model"
-#: Chunks in each of the two generations of a worker's table, some 220 bytes each.
-TABLE_CHUNKS = 130_000
+#: Chunks in each of the two generations of a worker's table, some 220 bytes each; longer ones than LONG_CHUNK
+#: characters (at most some 6 bytes of ids each) are not kept.
+TABLE_CHUNKS, LONG_CHUNK = 130_000, 200
 MARK = "▁"
 IDS = T.StructField("piece_ids", T.ArrayType(T.IntegerType()))
 
@@ -54,7 +55,8 @@ class ChunkTable(dict):
             # the model puts the chunk's first marker in front of any text but the empty one
             ids = self.model.encode(chunk) if chunk else [self.model.piece_to_id(MARK)]
             value = ",".join(map(str, ids))
-        self[chunk] = value
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = value
         return value
 
     def encode(self, text: str) -> str:
@@ -93,7 +95,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", path: str | None = No
     """docs with the columns piece_ids (array of int) and piece_text (what the library decodes them to).
 
     Ids are those of the whole text without begin or end ids. A null text is the empty text: no ids,
-    decoded to "". Every row is handled on its own, so repeated rows and ids, ties and an empty table
+    decoded to "". Texts may have any length. Every row is handled on its own, so repeated rows and ids, ties and an empty table
     need no rule; columns of these two names are replaced.
     """
     rows = docs.drop("piece_ids", "piece_text")
@@ -101,7 +103,10 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", path: str | None = No
 
 
 def token_rows(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """docs, without the text, with piece_ids, n_pieces and `exact`: whether the ids decode to the text."""
+    """docs, without the text, with piece_ids, n_pieces and `exact`: whether the ids decode to the text.
+
+    Nulls, empty and long texts are as in encode_pieces(); columns of these three names are replaced.
+    """
     rows = docs.drop("piece_ids", "n_pieces", "exact")
     schema = T.StructType([*rows.drop(text_col).schema, IDS, T.StructField("n_pieces", T.LongType()), T.StructField("exact", T.BooleanType())])
     at = rows.columns.index(text_col)
