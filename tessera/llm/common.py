@@ -110,6 +110,8 @@ def without(docs: DataFrame, dropped: DataFrame, *keys: tuple[Column, str]) -> D
     return rows.join(F.broadcast(dropped) if few else dropped, same, "left_anti").select("_row.*")
 
 
+#: Rows of (key, few numbers) up to which a list of keys is broadcast, some 3 MB.
+BROADCAST_KEYS = 100_000
 #: A key that has more than this part of all rows is heavy, so that there are fewer heavy keys than that.
 HEAVY = 1000
 
@@ -117,10 +119,13 @@ HEAVY = 1000
 def to_keys(rows: DataFrame, info: DataFrame, key: str, weight: str) -> DataFrame:
     """rows joined with info by key; info is a written table with a row for each key, its `weight` the number of rows that have the key.
 
-    The heavy keys, fewer than HEAVY whatever the size, are broadcast; the others are joined by
-    shuffle, where no key has more than a HEAVY-th of all rows.
+    Up to BROADCAST_KEYS keys are broadcast. Of more, the heavy ones, fewer than HEAVY whatever the
+    size, are broadcast, and the others joined by shuffle, where no key has more than a HEAVY-th of
+    all rows.
     """
-    total = info.agg(F.sum(weight)).first()[0] or 0
+    n, total = info.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if n <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(info), key)
     heavy = F.col(weight) > total / HEAVY
     few = info.where(heavy)  # < HEAVY rows, as their weights add up to the total at most
     rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(info.where(~heavy), key)

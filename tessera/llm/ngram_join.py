@@ -36,8 +36,8 @@ AGREEING = 36
 #: ALIKE of the tokens in the mean, so that splitting them would only multiply them; after SPLITS splits
 #: pairs of sets that are not alike are rare, and what is left is compared.
 BUCKET = 256
-ALIKE = 0.6
-SPLITS = 8
+ALIKE = 0.5
+SPLITS = 6
 TARGET_RECALL = 0.9999
 SEED = 11
 #: Sets of a bucket (72 bytes each), and bytes of a family's n-grams, that make a chunk; a task holds two
@@ -174,16 +174,19 @@ def chosen_paths(sets: DataFrame, runs: int, splits: int, bucket: int, seed: int
     for level in range(1, splits + 1):
         sizes = materialize(paths.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes-{level}")
         paths = materialize(to_keys(paths, sizes, "node", "size").select("key", "node", "size"), f"paths-{level}")
-        ready = paths if level == splits else paths.where(F.col("size") <= bucket)
+        largest = sizes.agg(F.max("size")).first()[0] or 0
+        ready = paths if level == splits or largest <= bucket else paths.where(F.col("size") <= bucket)
         done = ready if done is None else done.unionByName(ready)
-        paths = paths.where(F.col("size") > bucket)
-        if level == splits or not paths.limit(1).count():
+        if level == splits or largest <= bucket:
             break
-        signed = paths.join(sets.select("key", "signs"), "key")
-        ones = signed.groupBy("node", "size").agg(*(F.sum(F.shiftright("signs", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(COORDINATES)))
+        large = paths.where(F.col("size") > bucket)
+        ones = large.join(sets.select("key", "signs"), "key").groupBy("node", "size").agg(*(F.sum(F.shiftright("signs", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(COORDINATES)))
         alike = mean_agreement(F.col("size").cast("double"), [F.col(f"s{i}") for i in range(COORDINATES)]) >= ALIKE
-        paths = to_keys(paths.drop("size"), materialize(ones.select("node", "size", alike.alias("alike")), f"alike-{level}"), "node", "size")
+        told = materialize(ones.select("node", "size", alike.alias("alike")), f"alike-{level}")
+        paths = to_keys(large.drop("size"), told, "node", "size")
         done, paths = done.unionByName(paths.where("alike").select("key", "node", "size")), paths.where("NOT alike")
+        if not told.where("NOT alike").limit(1).count():
+            break
         # one coordinate, or two for every fourth node
         more = F.when(F.pmod(F.xxhash64("node"), F.lit(4)) == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         split = paths.join(sets.select("key", "sig"), "key").select("key", "node", "sig", F.explode(more).alias("j"))

@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking (DataFrame operations only).
 
-Strong patterns are reported as they stand. Weak candidates (bare identifiers, bare 40-character
-keys, endpoints) are reported only when complementary parts lie within the same scope: an
-interval join on position buckets, where each side is first reduced to one row per bucket.
+Strong patterns are reported as they stand. Weak candidates (bare identifiers, bare keys of 40
+characters or more, endpoints) are reported only when complementary parts lie within the same scope, apart
+from them: an interval join on position buckets. Parts are runs of characters, so that a scope has few.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ PATTERNS = (
 SCOPE = 400
 #: What must lie in the scope of a weak candidate, by kind: identifiers need a key, keys an identifier, endpoints both.
 NEEDS = ((ID_PART, "key"), (KEY_PART, "id"), (ENDPOINT, "id"), (ENDPOINT, "key"))
-IS_ID, IS_KEY = (ACCESS, ID_PART), (ASSIGN, KEY_PART)
+IS_ID, IS_KEY = (ACCESS, ID_PART), (ASSIGN, HEX, KEY_PART)
 
 
 def _may_match(text: Column) -> tuple[Column, ...]:
@@ -54,7 +54,7 @@ def _accepted(kind: int, hit: Column, value: Column) -> Column:
     if kind == ID_PART:
         return (F.length(hit) <= 32) & hit.rlike("[A-Z]") & hit.rlike("[0-9]") & ~F.contains(hit, F.lit("AKIA"))
     if kind == KEY_PART:
-        return (F.length(hit) == 40) & hit.rlike("[A-Z]") & hit.rlike("[a-z]") & hit.rlike("[0-9]")
+        return (F.length(hit) >= 40) & hit.rlike("[A-Z]") & hit.rlike("[a-z]") & hit.rlike("[0-9]")
     return F.lit(True)
 
 
@@ -71,15 +71,21 @@ def _matches(text: Column, kind: int) -> Column:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """Returns a row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+    """Returns a row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, links.
 
     * Positions are code points, end exclusive. A null text is the empty text; texts without spans
       have zero counts, an empty `spans` and the digest of the empty string.
     * Base kinds (assign, access, hex) are always reported; id_part, key_part and endpoint only
-      with complementary parts whose start lies within `scope` of theirs.
-    * Rows that repeat an id are scanned each on its own, and a null id is passed through.
+      with complementary parts whose start lies within `scope` of theirs and that share no
+      character with them: an identifier inside an assigned value does not go with that value.
+    * links names what each of those goes with, as `candidate>part` in order of the candidates: of
+      identifiers the nearest key, of keys the nearest identifier, of endpoints both, identifier
+      first; of parts as near the first.
+    * Rows that repeat an id are scanned each on its own, and a null id is passed through. Texts may
+      have any length; an empty table gives an empty result, and other columns are not read.
     * Matches of one document are numbered by a window over that document alone; parts meet by
-      (document, bucket) after one row per bucket is left, so no pairs within a document arise.
+      (document, bucket). Parts of a kind don't overlap, and all of them have 6 characters or more, so a
+      candidate meets at most 2 * scope / 6 parts whatever the size of the document.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     may = _may_match(text)
@@ -102,33 +108,35 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     bucket = F.floor(F.col("start") / scope)
     part = F.when(F.col("kind").isin(*IS_ID), "id").when(F.col("kind").isin(*IS_KEY), "key")
-    parts = (
-        spans.withColumn("part", part).where("part IS NOT NULL").groupBy("row", "part", bucket.alias("bucket"))
-        .agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    )
+    parts = spans.withColumn("part", part).where("part IS NOT NULL").select("row", "part", bucket.alias("bucket"), F.struct("start", "kind", "end").alias("p"))
     needs = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(p).alias("part")) for k, p in NEEDS))
-    near = F.array(*(F.struct((bucket + i).alias("bucket"), F.lit(i).alias("side")) for i in (-1, 0, 1)))
+    near = F.array(*(bucket + i for i in (-1, 0, 1)))
     wanted = (
         spans.where(F.col("kind") >= ID_PART)
         .select("*", F.explode(F.filter(needs, lambda x: x["kind"] == F.col("kind"))["part"]).alias("part"))
-        .select("*", F.explode(near).alias("n")).select("row", "kind", "start", "end", "part", "n.*")
+        .select("row", "kind", "start", "end", "part", F.explode(near).alias("bucket"))
     )
-    within = (
-        F.when(F.col("side") == -1, F.col("last") >= F.col("start") - scope)
-        .when(F.col("side") == 1, F.col("first") <= F.col("start") + scope).otherwise(True)
+    distance = F.abs(F.col("p.start") - F.col("start"))
+    apart = (F.col("p.end") <= F.col("start")) | (F.col("end") <= F.col("p.start"))
+    nearest = (
+        wanted.join(parts, ["row", "part", "bucket"]).where((distance <= scope) & apart)
+        .groupBy("row", "kind", "start", "end", "part").agg(F.min(F.struct(distance.alias("d"), "p"))["p"].alias("p"))
     )
     linked = (
-        wanted.join(parts, ["row", "part", "bucket"]).where(within)
-        .groupBy("row", "kind", "start", "end").agg(F.count_distinct("part").alias("n"))
-        .where(F.col("n") >= F.when(F.col("kind") == ENDPOINT, 2).otherwise(1)).drop("n")
+        nearest.groupBy("row", "kind", "start", "end").agg(F.array_sort(F.collect_list(F.struct("part", "p"))).alias("with"))
+        .where(F.size("with") >= F.when(F.col("kind") == ENDPOINT, 2).otherwise(1))
+        .withColumn("with", F.transform("with", lambda x: x["p"]))
     )
+    spans = spans.where(F.col("kind") < ID_PART).withColumn("with", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
-    listed = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
+    listed = F.array_sort(F.collect_list(F.struct("start", "kind", "end", "with")))
     names = F.array(*map(F.lit, KINDS))
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
+    shown = lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])
+    joined = lambda spans: F.array_join(F.transform(spans, shown), ",")
+    pairs = F.flatten(F.transform("all", lambda s: F.transform(s["with"], lambda p: F.concat_ws(">", shown(s), shown(p)))))
     count = lambda kind: F.count_if(F.col("kind") == kind)
     per_row = (
-        spans.where(F.col("kind") < ID_PART).unionByName(linked).groupBy("row")
+        spans.unionByName(linked).groupBy("row")
         .agg(count(ASSIGN).alias("n_assign"), count(ACCESS).alias("n_access"), count(HEX).alias("n_hex"), listed.alias("all"))
     )
     base = joined(F.filter("all", lambda s: s["kind"] < ID_PART))
@@ -137,6 +145,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", n("n_assign"), n("n_access"), n("n_hex"),
         F.sha2(F.coalesce(base, F.lit("")), 256).alias("base_sha256"),
         F.coalesce(joined(F.col("all")), F.lit("")).alias("spans"),
+        F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("links"),
     )
 
 
@@ -154,7 +163,11 @@ def _sql() -> str:
     )
     has = lambda c: f"regexp_matches(hit, '{c}')"
     kinds = ", ".join(f"'{k}'" for k in KINDS)
-    near = f"SELECT 1 FROM s o WHERE o.row = s.row AND o.kind IN {{}} AND abs(o.start - s.start) <= {SCOPE}"
+    at = "list_value({0})[{1}.kind + 1] || ':' || {1}.start || ':' || {1}.stop"
+    near = (
+        f"(SELECT min_by({at.format(kinds, 'o')}, [abs(o.start - s.start), o.start, o.kind, o.stop]) FROM s o "
+        f"WHERE o.row = s.row AND o.kind IN {{}} AND abs(o.start - s.start) <= {SCOPE} AND (o.stop <= s.start OR s.stop <= o.start))"
+    )
     shown = "string_agg([{0}][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop)".format(kinds)
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents), m AS ({scans}),
@@ -163,14 +176,17 @@ p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDE
 s AS (
   SELECT row, kind, stop - length(hit) AS start, stop FROM p WHERE CASE kind WHEN {ASSIGN} THEN length(value) >= 6
     WHEN {ID_PART} THEN length(hit) <= 32 AND {has("[A-Z]")} AND {has("[0-9]")} AND NOT contains(hit, 'AKIA')
-    WHEN {KEY_PART} THEN length(hit) = 40 AND {has("[A-Z]")} AND {has("[a-z]")} AND {has("[0-9]")} ELSE true END
+    WHEN {KEY_PART} THEN length(hit) >= 40 AND {has("[A-Z]")} AND {has("[a-z]")} AND {has("[0-9]")} ELSE true END
+), w AS (
+  SELECT *, CASE WHEN kind IN ({KEY_PART}, {ENDPOINT}) THEN {near.format(IS_ID)} END AS id, CASE WHEN kind IN ({ID_PART}, {ENDPOINT}) THEN {near.format(IS_KEY)} END AS key FROM s
 ), k AS (
-  SELECT * FROM s WHERE kind < {ID_PART} OR ((kind = {ID_PART} OR EXISTS ({near.format(IS_ID)})) AND (kind = {KEY_PART} OR EXISTS ({near.format(IS_KEY)})))
+  SELECT * FROM w WHERE kind < {ID_PART} OR ((kind = {ID_PART} OR id IS NOT NULL) AND (kind = {KEY_PART} OR key IS NOT NULL))
 ), g AS (
   SELECT row, count(*) FILTER (kind = {ASSIGN}) AS n_assign, count(*) FILTER (kind = {ACCESS}) AS n_access, count(*) FILTER (kind = {HEX}) AS n_hex,
-         coalesce({shown} FILTER (kind < {ID_PART}), '') AS base, {shown} AS spans FROM k GROUP BY row
+         coalesce({shown} FILTER (kind < {ID_PART}), '') AS base, {shown} AS spans,
+         string_agg(concat_ws(',', {at.format(kinds, "k")} || '>' || id, {at.format(kinds, "k")} || '>' || key), ',' ORDER BY start, kind, stop) FILTER (id IS NOT NULL OR key IS NOT NULL) AS links FROM k GROUP BY row
 )
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(links, '') AS links
 FROM d LEFT JOIN g USING (row)
 """
 

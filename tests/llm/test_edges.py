@@ -57,6 +57,13 @@ def test_secrets_link_only_complementary_parts(spark, docs, nothing):
     assert rows[1] == rows[2] == rows[3] == ""
     assert "assign:0:51" in rows[4] and "id_part" in rows[4]
     assert "assign" not in rows[5] and "access" in rows[5]
+    # an identifier does not go with the value that it is in, and every kind of key counts
+    mine, hexes, long = "password = ABCD1234EFGH5678", "0123456789abcdef" * 2, "aB3/" * 16
+    texts = [mine, f"{mine} and {hexes}", f"{ident} {hexes} https://x.example", f"{ident} {long}", f"{hexes} https://x.example"]
+    rows = [(r.spans, r.links) for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert rows[0] == ("assign:0:27", "") and rows[1] == ("assign:0:27,id_part:11:27,hex:32:64", "id_part:11:27>hex:32:64")
+    assert rows[2] == ("id_part:0:18,hex:19:51,endpoint:52:69", "id_part:0:18>hex:19:51,endpoint:52:69>id_part:0:18,endpoint:52:69>hex:19:51")
+    assert rows[3][1] == "id_part:0:18>key_part:19:83,key_part:19:83>id_part:0:18" and rows[4] == ("hex:0:32", "")
     assert secrets.scan_secrets(docs).count() == len(ROWS) and secrets.scan_secrets(nothing).count() == 0
 
 
@@ -82,11 +89,25 @@ def test_token_files(spark, docs, nothing):
 
 def test_chunk_ids_equal_the_tokenizer():
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     chunks, rng = token_files.ChunkIds(public_tokenizers.path("byte_bpe_50k.json"), 40), random.Random(5)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = [*"  ab'stéÉ\n\t1é　 😀\x1c\x85,.!ñ\r", "<|endoftext|>", "x" * 250, "." * 250]
     for _ in range(4000):
-        text = "".join(rng.choice("  ab'stéÉ\n\t1é　 😀\x1c\x85,.!ñ\r") for _ in range(rng.randrange(14)))
-        assert np.frombuffer(chunks.encode(text), "<u4").tolist() == chunks.tokenizer.encode(text, add_special_tokens=False).ids
+        text = "".join(rng.choice(parts if rng.random() < 0.3 else parts[:-3]) for _ in range(rng.randrange(14)))
+        assert np.frombuffer(chunks.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*chunks.new, *chunks.old])) <= token_files.LONG_CHUNK
+    assert np.frombuffer(chunks.encode("a <|endoftext|>"), "<u4").tolist()[-1] == 50256
+
+
+def test_tables_are_bounded_by_bytes():
+    import public_tokenizers
+
+    chunks = token_files.ChunkIds(public_tokenizers.path("byte_bpe_50k.json"), size_bound=20_000)
+    for i in range(500):
+        chunks.encode(f"word number {i} of {i * i}")
+    assert 0 < chunks.new.size <= 22_000 and chunks.old
 
 
 def test_chunk_table_equals_the_model():
