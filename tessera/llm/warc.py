@@ -1,9 +1,10 @@
 """WARC archives with revisit records, and the merge of their capture indexes.
 
 Pages become records of archive files that Spark's text sink writes (any file system, committed as a
-whole). Read back, each file yields a run of index entries sorted by URL key and timestamp; an
-external merge puts the runs together: entries are dealt to ranges of the key, and each range merges
-its pieces of the runs with a loser tree, so that ranges in order hold the capture histories in order.
+whole). Read back, each file yields a run of index entries sorted by URL key and timestamp, and the
+runs are written. An external merge puts them together: entries are dealt to ranges of the key, of a
+bounded number of entries each, and each range merges its pieces of the runs with a loser tree, so that
+ranges in order hold the capture histories in order.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tessera.llm.common import arrow_groups, bounded, importable, table, work_path
+from tessera.llm.common import arrow_groups, bounded, importable, materialize, table, work_path
 
 #: Payloads with fewer bytes are never revisited.
 REVISIT_BYTES = 0
+#: Records of an archive file at most, and entries that a task merges in the mean at most.
+ARCHIVE_RECORDS, RANGE_ROWS = 10_000, 200_000
 #: Seconds since 1970 of the capture with id 0; captures are a second apart.
 FIRST_CAPTURE = 1_704_067_200
 BASE32_HEX, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -39,7 +43,7 @@ def base32_sha1(text: Column) -> Column:
 
 
 def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = REVISIT_BYTES) -> None:
-    """Writes a WARC record per row of pages to gzip-compressed archive files in the folder `out`.
+    """Writes a WARC record per row of pages to gzip-compressed archive files of ARCHIVE_RECORDS at most in the folder `out`.
 
     * Of rows with equal payloads of at least min_bytes bytes the one with the largest id is a
       response and the others are revisits that refer to it; all others are responses. Null payloads
@@ -49,7 +53,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
       all rows; ids are pre-aggregated, and the join that hands the response's id back has plain
       exchanges on both sides, which Spark splits where they are skewed. Payloads then move at most
       once, by id and digest, to meet the ids they refer to.
-    * An empty table gives no records; other columns are not read.
+    * Payloads may have any length. An empty table gives no records; other columns are not read.
     """
     spark = pages.sparkSession
     payload, url = F.coalesce(F.col(payload_col), F.lit("")), F.coalesce(F.col(url_col), F.lit(""))
@@ -82,7 +86,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block), F.lit(CRLF * 2),
     )
     record = F.concat(head, block, F.lit(CRLF)).alias("value")  # the sink's line end closes the record
-    page.join(older, ["key", "none", "digest"], "left").select(record).write.option("lineSep", CRLF).option("compression", "gzip").text(out)
+    page.join(older, ["key", "none", "digest"], "left").select(record).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(out)
 
 
 def records(stream: io.BufferedIOBase) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -146,7 +150,9 @@ def _page(urn: str | None) -> int | None:
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
     """Index entries of all records in the archives of `out`; each file is one run, sorted by (url_key, ts, page_id).
 
-    Size and digest of a response come from its payload, those of a revisit from its headers.
+    Size and digest of a response come from its payload, those of a revisit from its headers. offset and
+    length are those in the inflated archive. A folder without archives gives no entries; a record
+    that is cut short is an error. A task holds one archive, inflated record by record.
     """
     importable(spark)
     names = [c.split()[0] for c in ENTRIES.split(", ")]
@@ -210,15 +216,21 @@ class LoserTree:
             self._replay(i)
 
 
-def merge_runs(entries: DataFrame, parts: int | None = None) -> DataFrame:
-    """The entries of all runs in global order of (url_key, ts, page_id), with `part` and `place`.
+def merge_runs(entries: DataFrame, parts: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The entries of all runs in global order of (url_key, ts, page_id), with `part`, `place` and `position`.
 
-    Ranges are cut on all three columns, so that one URL with a third of all captures still spreads
-    over many ranges. `part` numbers the ranges in order; `place` counts from 0 within a range.
+    Ranges are cut on all three columns, run and offset, so that one URL with a third of all captures
+    still spreads over many ranges, and there are so many that a range has about range_rows entries
+    at most: that is what a task holds, whatever the number of runs. `part` numbers the ranges in order;
+    `place` counts from 0 within a range, `position` over all. Null ids come first; entries that tie
+    are in order of their runs. No entries give an empty result.
     """
     importable(entries.sparkSession)
     order = ["url_key", "ts", "page_id"]
-    ranged = entries.repartitionByRange(parts, *order) if parts else entries.repartitionByRange(*order)
+    entries = materialize(entries, "capture-runs")
+    if parts is None:
+        parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // range_rows))
+    ranged = entries.repartitionByRange(parts, *order, "run", "offset")
     names = [c.split()[0] for c in ENTRIES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,26 +255,38 @@ def merge_runs(entries: DataFrame, parts: int | None = None) -> DataFrame:
         types = [pa.int64() if c.endswith("long") else pa.string() for c in ENTRIES.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), [*types, pa.int64()], strict=True)], [*names, "place"])
 
-    return ranged.sortWithinPartitions("run", *order).mapInArrow(bounded(run), ENTRIES + ", place long").withColumn("part", F.spark_partition_id())
+    merged = ranged.sortWithinPartitions("run", *order).mapInArrow(bounded(run), ENTRIES + ", place long").withColumn("part", F.spark_partition_id())
+    merged = materialize(merged, "captures")
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")  # a row for each range
+    starts = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
+    return merged.join(F.broadcast(starts), "part").withColumn("position", F.col("before") + F.col("place")).drop("before")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives all pages, reads the archives back and merges their indexes."""
     out = work_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), out)
-    return merge_runs(read_warc(spark, out)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return merge_runs(read_warc(spark, out)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "position")
 
 
-OP7_SQL = """
+OP7_SQL = r"""
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest, lower(regexp_replace(coalesce(url, ''), '[\r\n]', '', 'g')) AS url,
+         strftime(make_timestamp((1704067200 + coalesce(page_id, 0)) * 1000000), '%Y%m%d%H%M%S') AS ts
+  FROM pages
+), u AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '') AS host,
+         regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS query
+  FROM p
+), k AS (
+  SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key FROM u
 ), f AS (
-  SELECT *, max(page_id) OVER (PARTITION BY html) AS first, CAST(unhex(digest) AS BIT)::VARCHAR AS bits FROM p
+  SELECT *, row_number() OVER (ORDER BY url_key, ts, page_id NULLS FIRST) - 1 AS position, max(page_id) OVER (PARTITION BY html) AS first, CAST(unhex(digest) AS BIT)::VARCHAR AS bits FROM k
 )
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          1 + CAST(list_sum(list_transform(range(5), lambda b: CAST(substr(bits, CAST(i * 5 + b + 1 AS BIGINT), 1) AS INTEGER) * CAST(16 >> CAST(b AS INTEGER) AS INTEGER))) AS BIGINT), 1)), '') AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, url_key, ts, position
 FROM f
 """

@@ -215,7 +215,16 @@ def test_warc(spark):
     assert len(found) == len(rows)
     assert {(r.page_id, r.record_type, r.refers_to) for r in found} == {(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (None, "revisit", 2), (None, "response", None), (5, "response", None)}
     keys = [(r.url_key, r.ts, -1 if r.page_id is None else r.page_id) for r in found]
-    assert keys == sorted(keys)
+    assert keys == sorted(keys) and [r.position for r in found] == list(range(len(rows)))
+    # many archives, many ranges
+    old, warc.ARCHIVE_RECORDS = warc.ARCHIVE_RECORDS, 2
+    out = work_path(spark, "test-warc")
+    try:
+        warc.write_warc(pages, out)
+    finally:
+        warc.ARCHIVE_RECORDS = old
+    again = warc.merge_runs(warc.read_warc(spark, out), range_rows=1).orderBy("position").collect()
+    assert len({r.run for r in again}) >= 4 and [(r.url_key, r.ts, r.page_id) for r in again] == [(r.url_key, r.ts, r.page_id) for r in found]
     assert next(r.payload_bytes for r in found if r.page_id == 5) == len(rows[-1][2].encode())
     out = work_path(spark, "test-warc")
     warc.write_warc(pages, out, min_bytes=2)
