@@ -14,19 +14,26 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table, without, work_path
 
-BUCKETS = 32
+#: Buckets of a new index: one for each BUCKET_ROWS of the digests that it is made for (some 50 bytes each), within these bounds.
+BUCKET_ROWS, FEWEST, MOST = 2_000_000, 32, 50_000
 
 
 class DigestIndex:
-    """Digest -> document that stays, kept in `path`, hash-bucketed into `buckets` sorted buckets.
+    """Digest -> document that stays, kept in `path`, hash-bucketed into sorted buckets.
 
-    The bucket count belongs to the path: open an index with the count that it was made with.
-    A digest is in the index once at most. Appends go through Spark's committer, so that a lost
-    executor leaves either the whole batch or nothing.
+    A new index has as many buckets as the digests that it is made for (`rows`) need, or `buckets`;
+    the number is kept with it. A digest is in the index once at most. Appends go through Spark's
+    committer, so that a lost executor leaves either the whole batch or nothing. close() takes the
+    index out of the session's catalog; its files stay.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, rows: int = 0):
+        self.spark, self.path = spark, path
+        kept = f"{path}/_buckets"  # not part of the table, as its name starts with a low line
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(kept)
+        if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+            spark.range(1).select(F.lit(buckets or min(MOST, max(FEWEST, -(-rows // BUCKET_ROWS)))).alias("buckets")).write.parquet(kept)
+        self.buckets = buckets = spark.read.parquet(kept).first()[0]
         self.name = f"digest_index_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
@@ -36,6 +43,9 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append(self, fresh: DataFrame) -> None:
         """Adds rows (digest, keep_id); each bucket is written by one task as one sorted file."""
         rows = fresh.select("digest", F.col("keep_id").cast("bigint").alias("keep_id"))
@@ -63,7 +73,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
       same document: each is returned, with the same values.
     * A null id stays only if all ids of the text are null; such rows can't be told apart and all
       stay, with a null keep_id.
-    * An empty table gives an empty result; other columns are not read.
+    * An empty table gives an empty result; other columns are not read. Texts are read whole, of any
+      length, and only their digests move.
     * One text may be a third of all rows: it is pre-aggregated before the shuffle, and the join
       that hands results back has plain exchanges on both sides, whose large partitions Spark splits.
     """
@@ -89,7 +100,11 @@ def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents into a new index."""
-    return exact_dedup(table(spark, sf_dir, "documents"), DigestIndex(spark, work_path(spark, "digest-index")))
+    docs = table(spark, sf_dir, "documents")
+    index = DigestIndex(spark, work_path(spark, "digest-index"), rows=docs.count())
+    found = exact_dedup(docs, index)
+    index.close()
+    return found
 
 
 OP3_SQL = """

@@ -43,7 +43,10 @@ def test_exact_dedup(spark, docs, nothing):
     # a later batch, over an index that is opened again
     again = exact_dedup(docs.where("doc_id = 1").union(docs.where("doc_id = 5").withColumn("text", F.lit("fresh"))), DigestIndex(spark, path, 4))
     assert {(r.doc_id, r.keep_id, r.kept) for r in again.collect()} == {(1, 2, False), (5, 5, True)}
-    assert DigestIndex(spark, path, 4).read().count() == 6
+    assert DigestIndex(spark, path).read().count() == 6 and DigestIndex(spark, path).buckets == 4
+    DigestIndex(spark, path).close()
+    assert DigestIndex(spark, path).read().count() == 6  # opened again
+    assert DigestIndex(spark, work_path(spark, "test-index"), rows=10**9).buckets == 500
     assert exact_dedup(nothing, DigestIndex(spark, work_path(spark, "test-index"), 4)).count() == 0
     kept = drop_copies(docs, DigestIndex(spark, work_path(spark, "test-index"), 4))
     assert kept.columns == docs.columns and kept.count() == 6
