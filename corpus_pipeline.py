@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import materialize, table, work_path
+from tessera.llm.common import saved, table, work_path
 from tessera.llm.exact_dedup import DigestIndex, drop_copies
 from tessera.llm.mixing import mix_documents
 from tessera.llm.ngram_join import drop_near_copies
@@ -19,7 +19,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
-    return drop_copies(docs, DigestIndex(spark, work_path(spark, "digest-index")))
+    index = DigestIndex(spark, work_path(spark, "digest-index"), rows=docs.count())
+    kept = drop_copies(docs, index)
+    index.close()
+    return kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again for the next."""
+    """All stages over documents, each written and read again for the next; what a stage leaves on its way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = saved(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs
