@@ -95,14 +95,21 @@ def changed_area(path: Column) -> Column:
     return out
 
 
+# Roles of top-level directories by their whole name.
+LAYER_ROLES = {
+    "cli": "Command-line interface", "cmd": "Command-line interface", "bin": "Command-line interface",
+    "api": "API/Server layer", "server": "API/Server layer", "web": "API/Server layer",
+    "core": "Core library", "lib": "Core library", "src": "Core library",
+    "test": "Test suite", "tests": "Test suite", "crates": "Workspace crates", "docs": "Documentation", "doc": "Documentation",
+}
+
+
 def layer_role(name: Column) -> Column:
-    """What a top-level directory is likely for."""
-    low = F.lower(name)
-    return (
-        F.when(low.rlike("api|server|http|grpc|mcp"), "Interface layer").when(low.rlike("cli|cmd|bin"), "Command line")
-        .when(low.rlike("test|spec|e2e"), "Tests").when(low.rlike("doc"), "Documentation")
-        .when(low.rlike("core|lib|src|engine|domain"), "Core logic").when(low.rlike("util|common|shared|helper"), "Shared utilities").otherwise("Module")
-    )
+    """What a top-level directory is likely for, by its whole name in any case."""
+    out = F.lit("Module")
+    for directory, role in LAYER_ROLES.items():
+        out = F.when(F.lower(name) == directory, role).otherwise(out)
+    return out
 
 
 def glob_regex(glob: str) -> str:

@@ -174,7 +174,7 @@ ORACLE_SQL = {
         z AS (SELECT file_path, max(end_line) AS size FROM r GROUP BY 1), p AS (SELECT directory, file_path, symbol, max(n) AS n FROM r WHERE symbol IS NOT NULL GROUP BY ALL),
         s AS (SELECT directory, symbol, round(sum(least(n, size) / size), 6) AS score FROM p JOIN z USING (file_path) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY score DESC, symbol) AS rank FROM s)
         SELECT * FROM k WHERE rank <= 5""",
-    "overview_layers": f"WITH {CHUNKS} SELECT string_split(file_path, '/')[1] AS layer, count(DISTINCT file_path) AS files, 'Core logic' AS role FROM chunks GROUP BY 1",
+    "overview_layers": f"WITH {CHUNKS} SELECT string_split(file_path, '/')[1] AS layer, count(DISTINCT file_path) AS files, 'Module' AS role FROM chunks GROUP BY 1",
     "index_stats": f"""WITH {CHUNKS} SELECT CASE regexp_extract(file_path, '[^.]*$') WHEN 'md' THEN 'markdown' WHEN 'py' THEN 'python' WHEN 'yaml' THEN 'yaml' WHEN 'rs' THEN 'rust' ELSE 'unknown' END AS language,
         count(DISTINCT file_path) AS files, count(*) AS chunks, CAST(sum(end_line - start_line + 1) AS BIGINT) AS lines FROM chunks GROUP BY 1""",
     "repo_signals": f"""WITH {FILES} SELECT count(*) AS files, count(*) FILTER (ends_with(file_path, '.md')) AS docs, count(*) FILTER (ends_with(file_path, '.yaml')) AS configs,

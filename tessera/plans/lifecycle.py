@@ -220,6 +220,6 @@ ORACLE_SQL = {
           CASE {_when((f"'{n}'", p) for n, p, _ in orient.BOUNDARIES)} END AS boundary, CAST(CASE {_when((v, p) for _, p, v in orient.BOUNDARIES)} END AS DOUBLE) AS confidence FROM l""",
     "orient_anchors": f"WITH {_ANCHORS} SELECT kind, file_path, priority FROM anchors",
     "meaning_pack": f"""WITH {_ANCHORS}, r AS (SELECT 0 AS s, 'ANCHORS' AS section, -priority AS o, 'A ' || kind || ' ' || file_path AS line FROM anchors
-        UNION ALL SELECT 1, 'MAP', -count(*), 'M ' || string_split(file_path, '/')[1] || ' Core logic ' || count(*) FROM files GROUP BY string_split(file_path, '/')[1]),
+        UNION ALL SELECT 1, 'MAP', -count(*), 'M ' || string_split(file_path, '/')[1] || ' Module ' || count(*) FROM files GROUP BY string_split(file_path, '/')[1]),
         w AS (SELECT section, line, row_number() OVER x AS ord, sum(length(line) + 1) OVER (x ROWS UNBOUNDED PRECEDING) AS used FROM r WINDOW x AS (ORDER BY s, o, line)) SELECT section, ord, line FROM w WHERE used <= 4000""",
 }

@@ -342,3 +342,15 @@ def test_long_texts_are_searched_whole(spark):
     files = spark.createDataFrame([("long.txt", content)], "file_path string, content string")
     assert len(content) > 2_000_000
     assert [(r.n, r.column) for r in lines.literal_search(files, "needle").collect()] == [(2301, 5)]
+
+
+def test_layer_roles_go_by_whole_names(spark):
+    from tessera.functions.paths import layer_role
+
+    wanted = {
+        "cli": "Command-line interface", "CMD": "Command-line interface", "bin": "Command-line interface", "api": "API/Server layer", "Server": "API/Server layer",
+        "web": "API/Server layer", "core": "Core library", "lib": "Core library", "src": "Core library", "test": "Test suite", "tests": "Test suite",
+        "crates": "Workspace crates", "docs": "Documentation", "doc": "Documentation", "src0": "Module", "combined": "Module", "apis": "Module", "": "Module",
+    }
+    rows = spark.createDataFrame([(n,) for n in wanted], "name string")
+    assert {r.name: r.role for r in rows.select("name", layer_role(rows.name).alias("role")).collect()} == wanted
