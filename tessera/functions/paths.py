@@ -33,12 +33,32 @@ TYPE_PRIORITY = {
 # Extensions of files that are never read, and names that are exempt.
 SECRET_EXTENSIONS = ("pem", "key", "p12", "pfx", "env")
 SECRET_EXEMPT = (".env.example", ".env.sample", ".env.template", ".env.dist")
-#: Areas of a changed path, by the first rule that holds.
-AREAS = (
-    ("interfaces", r"(^|/)(proto|contracts?|openapi|schemas?|api)/|\.(proto|graphql|avsc)$"), ("ci", r"(^|/)(\.github|\.gitlab|ci)/|jenkinsfile|\.gitlab-ci"),
-    ("docs", r"(^|/)docs?/|\.(md|mdx|rst|adoc)$"), ("infra", r"(^|/)(infra|deploy|terraform|k8s|helm|docker)/|dockerfile|\.(tf|tfvars)$"),
-    ("tooling", r"(^|/)(scripts|tools|bin|xtask)/|makefile|justfile"), ("outputs", r"(^|/)(out|dist|artifacts|results|reports?)/"),
-    ("experiments", r"(^|/)(experiments?|notebooks?|bench|benches)/|\.ipynb$"), ("core", r"(^|/)(src|lib|crates|packages|app)/"),
+# Directories and extensions of descriptions of interfaces.
+INTERFACE_ROOTS = ("contracts", "proto")
+CONTRACT_ROOTS = ("schemas", "schema", "spec", "specs", "protocol", "protocols")
+INTERFACE_NESTED = ("contracts", "contract", "schemas", "schema", "specs", "spec", "protocols", "protocol")
+INTERFACE_EXTENSIONS = ("proto", "avsc", "yaml", "yml", "json", "toml", "md", "rst", "txt")
+INDEX_NAMES = ("readme.md", "readme.rst", "readme.txt", "index.md")
+# Areas of changed paths in the order of a report, and what speaks for them.
+AREA_ORDER = ("interfaces", "core", "ci", "docs", "tooling", "infra", "outputs", "experiments")
+CI_NAMES = (".gitlab-ci.yml", "jenkinsfile")
+INFRA_AREA = ("k8s", "kubernetes", "manifests", "gitops", "infra", "terraform", "charts")
+OUTPUT_SCOPES = (
+    "artifacts", "artifact", "results", "runs", "outputs", "output", "checkpoints", "checkpoint",
+    "data", "dataset", "datasets", "corpus", "corpora", "weights",
+)
+EXPERIMENT_ROOTS = ("experiments", "experiment", "baselines", "baseline", "bench", "benches")
+EXPERIMENT_NESTED = ("eval", "evaluation", "analysis", "notebooks")
+TOOLING_NAMES = ("makefile", "justfile", "cargo.toml", "package.json", "pyproject.toml")
+CODE_EXTENSIONS = ("rs", "py", "js", "ts", "tsx", "go", "java", "kt", "c", "cc", "cpp", "cxx", "h", "hpp", "cs", "rb", "php", "swift")
+PROSE_EXTENSIONS = ("md", "rst", "txt")
+# Names of entry points at the root and in a source directory.
+ENTRY_ROOT = (
+    "main.rs", "main.py", "__main__.py", "app.py", "server.py", "index.js", "server.js", "main.ts", "server.ts",
+    "main.c", "main.cpp", "main.cc", "main.cxx",
+)
+ENTRY_SRC = (
+    "main.rs", "main.py", "__main__.py", "app.py", "server.py", "index.js", "index.ts", "main.c", "main.cpp", "main.cc", "main.cxx",
 )
 
 
@@ -87,14 +107,39 @@ def directory_key(path: Column, depth: int) -> Column:
     return F.when(F.size(dirs) == 0, ".").otherwise(F.array_join(dirs, "/"))
 
 
-def changed_area(path: Column) -> Column:
-    """Area of a changed path, null if no rule holds."""
-    low, out = F.lower(path), F.lit(None).cast("string")
-    for area, pattern in reversed(AREAS):
-        out = F.when(low.rlike(pattern), area).otherwise(out)
+def below(low: Column, top: Iterable[str] = (), nested: Iterable[str] = ()) -> Column:
+    """Whether a path starts with a directory of `top` or has one of `nested` further down."""
+    out = F.lit(False)
+    if top:
+        out = out | low.rlike(f"^({'|'.join(map(re.escape, top))})/")
+    if nested:
+        out = out | low.rlike(f"/({'|'.join(map(re.escape, nested))})/")
     return out
 
 
+def changed_area(path: Column) -> Column:
+    """Area of a changed path, null if no rule holds; those of the store of working copies have none."""
+    low = ascii_lower(F.trim(path))
+    name, last = base_name(low), F.substring_index(low, ".", -1)
+    described = low.rlike(rf"\.({'|'.join(INTERFACE_EXTENSIONS)})$") | (name == "")
+    return (
+        F.when((low == "") | (low == ".worktrees") | F.startswith(low, F.lit(".worktrees/")), None)
+        .when(below(low, INTERFACE_ROOTS, INTERFACE_NESTED) & described & ~name.isin(*INDEX_NAMES), "interfaces")
+        .when(name.isin(*CI_NAMES) | F.startswith(low, F.lit(".github/workflows/")), "ci")
+        .when(below(low, INFRA_AREA, INFRA_AREA), "infra")
+        .when(artifact_scope(low), "outputs")
+        .when(below(low, EXPERIMENT_ROOTS, EXPERIMENT_NESTED), "experiments")
+        .when(name.isin(*TOOLING_NAMES) | below(low, ["scripts"]), "tooling")
+        .when(last.isin(*CODE_EXTENSIONS), "core")
+        .when(below(low, ["docs"]) | last.isin(*PROSE_EXTENSIONS), "docs")
+    )
+
+
+def artifact_scope(low: Column) -> Column:
+    """Whether the first part of a path in lower case is a place for results or data."""
+    return F.trim(F.substring_index(low, "/", 1)).isin(*OUTPUT_SCOPES)
+
+
 # Roles of top-level directories by their whole name.
 LAYER_ROLES = {
     "cli": "Command-line interface", "cmd": "Command-line interface", "bin": "Command-line interface",
@@ -158,16 +203,16 @@ def path_weight(path: Column, profile: Profile, kind: Column) -> Column:
 def path_allowed(path: Column, include: list[str], exclude: list[str], pattern: str | None = None) -> Column:
     """Below one of the included prefixes (any if there are none) and of no excluded one, and matching a glob or substring."""
 
-    def below(prefixes: list[str]) -> Column:
+    def within(prefixes: list[str]) -> Column:
         out = F.lit(False)
         for prefix in (p.strip().strip("/").removeprefix("./") for p in prefixes):
             if prefix:
                 out = out | (path == prefix) | F.startswith(path, F.lit(f"{prefix}/"))
         return out
 
-    allowed = ~below(exclude)
+    allowed = ~within(exclude)
     if any(p.strip() for p in include):
-        allowed = allowed & below(include)
+        allowed = allowed & within(include)
     if pattern and pattern.strip():
         glob = any(c in pattern for c in "*?")
         # a glob without a directory is held against the name alone
@@ -183,19 +228,36 @@ def is_secret_file(path: Column) -> Column:
     return F.coalesce(secret, F.lit(False)) & ~name.isin(*SECRET_EXEMPT)
 
 
-#: Paths of entry points, the likeliest first, and of descriptions of interfaces.
-ENTRY_PATTERNS = (r"(^|/)main\.(rs|py|go|ts|js)$", r"(^|/)(index|app|server)\.(ts|tsx|js|py)$", r"(^|/)(lib\.rs|__main__\.py|mod\.rs)$", r"(^|/)(cli|cmd)/")
-CONTRACT_PATTERN = r"\.(proto|avsc|graphql)$|(openapi|asyncapi|swagger)[^/]*\.(json|ya?ml)$|(^|/)contracts?/"
-
-
 def entrypoint_rank(path: Column) -> Column:
-    """Rank of a file as an entry point, null if it is none."""
-    low, out = F.lower(path), F.lit(None).cast("int")
-    for rank, pattern in reversed(list(enumerate(ENTRY_PATTERNS))):
-        out = F.when(low.rlike(pattern), rank).otherwise(out)
-    return out
+    """Rank of a file as the place to start reading, null if it is none: mains at the root, then in sources, then roots of libraries."""
+    low = ascii_lower(path)
+    name, folder = base_name(low), F.regexp_replace(low, "[^/]*$", "")
+    in_src = F.endswith(folder, F.lit("/src/"))
+    return (
+        F.when((folder == "") & name.isin(*ENTRY_ROOT), 0)
+        .when((folder == "src/") & name.isin(*ENTRY_SRC), 1)
+        .when(in_src & name.isin(*ENTRY_SRC), 2)
+        .when((name == "main.go") & ((folder == "") | F.startswith(folder, F.lit("cmd/"))), 2)
+        .when((name == "lib.rs") & (folder.isin("", "src/") | in_src), 3)
+        .when((name == "__init__.py") & (folder == "src/"), 3)
+        .when((name == "__init__.py") & folder.rlike("^src/[^/]*/$"), 4)
+    )
 
 
 def is_contract(path: Column) -> Column:
     """Whether a file describes an interface."""
-    return F.lower(path).rlike(CONTRACT_PATTERN)
+    low = ascii_lower(path)
+    described = low.rlike(rf"\.({'|'.join(INTERFACE_EXTENSIONS)})$")
+    return (
+        (below(low, INTERFACE_ROOTS + CONTRACT_ROOTS, INTERFACE_NESTED) & described) | below(low, INTERFACE_ROOTS)
+        | low.rlike(r"\.(proto|schema\.json)$|(openapi|asyncapi)\.(json|yaml|yml)$|/(openapi|asyncapi)\.")
+    )
+
+
+def contract_kind(path: Column) -> Column:
+    """What a description of an interface is written in."""
+    low = ascii_lower(path)
+    return (
+        F.when(F.endswith(low, F.lit(".proto")) | below(low, ["proto"]), "proto").when(F.endswith(low, F.lit(".schema.json")), "jsonschema")
+        .when(low.rlike(r"openapi\.(json|yaml|yml)$|/openapi\."), "openapi").when(low.rlike(r"asyncapi\.(json|yaml|yml)$|/asyncapi\."), "asyncapi").otherwise("contract")
+    )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions.paths import AREAS, changed_area, directory_key, entrypoint_rank, is_contract, layer_role
+from tessera.functions.paths import AREA_ORDER, artifact_scope, base_name, below, changed_area, contract_kind, directory_key, entrypoint_rank, is_contract, layer_role
+from tessera.functions.text import ascii_lower
 from tessera.operators.lines import explode_lines
 
 # Kinds of anchors with their priority and the paths that qualify, in order of preference.
@@ -17,22 +18,81 @@ ANCHORS = (
     ("infra", 60, r"(^|/)(infra|deploy|k8s)/|dockerfile|\.ya?ml$"), ("entrypoint", 55, r"(^|/)(main|lib|app|index)\.[a-z]+$|\.py$"),
 )
 MAX_ANCHORS = 7
-# Boundaries of a system by path, with the confidence in them.
-BOUNDARIES = (
-    ("http", r"(^|/)(routes?|handlers?|controllers?|api)(/|\.)|openapi", 0.8), ("cli", r"(^|/)(cli|cmd|bin)/", 0.85), ("event", r"asyncapi|(^|/)(events?|consumers?|producers?)/", 0.75),
-    ("env", r"\.env(\.|$)", 0.9), ("config", r"(^|/)configs?/|\.(toml|ya?ml|ini)$", 0.7), ("db", r"(^|/)(migrations?|db)/|\.sql$", 0.8),
+# Names of files that stand for the build, for an environment and for continuous integration.
+CONFIG_NAMES = (
+    "cargo.toml", "package.json", "pyproject.toml", "go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "makefile", "justfile",
+    ".github/workflows/ci.yml", ".github/workflows/ci.yaml",
 )
+ENV_NAMES = (".env.example", ".env.sample", ".env.template", ".env.dist")
+# Directories of deployments, and names of files that belong to one wherever they are.
+DEPLOY_DIRS = ("k8s", "kubernetes", "manifests", "deploy", "kustomize")
+GITOPS_DIRS = ("argocd", "argo", "flux", "gitops", "clusters")
+TERRAFORM_DIRS = ("terraform", "infra")
+INFRA_STEMS = ("values", "helmfile", "helmrelease", "kustomization", "skaffold", "werf", "devspace")
+TERRAFORM_NAMES = ("main.tf", "variables.tf", "versions.tf", "provider.tf", "providers.tf", "backend.tf", "outputs.tf", "terraform.tf", "terragrunt.hcl")
+# Patterns of infrastructure files in lower case, the most telling first, with the confidence in them.
+INFRA = (
+    (r"(^|/)chart\.yaml$", 0.9), (r"(^|/)values\.ya?ml$", 0.85), (r"(^|/)helmfile\.ya?ml$", 0.82), (r"(^|/)helmrelease\.ya?ml$", 0.83),
+    (r"(^|/)kustomization\.ya?ml$", 0.85), (rf"(^|/)({'|'.join(GITOPS_DIRS)})/(.*/)?application(set)?\.ya?ml$", 0.82), (r"(^|/)terragrunt\.hcl$", 0.85),
+    (r"(^|/)skaffold\.ya?ml$", 0.83), (r"^tiltfile$", 0.83), (r"(^|/)werf\.ya?ml$", 0.82), (r"(^|/)devspace\.ya?ml$", 0.82), (r"ingress", 0.8),
+    (r"service", 0.78), (r"deployment|statefulset", 0.78), (r"(^|/)main\.tf$", 0.85), (r"(^|/)variables\.tf$", 0.82),
+    (r"(^|/)(versions|providers?|backend|outputs|terraform)\.tf$", 0.8), (r"\.(tf|tfvars|hcl)$", 0.78), (r"", 0.75),
+)
+MAX_INFRA = 8
+# Kinds of boundaries in the order of a report.
+BOUNDARY_ORDER = ("http", "cli", "event", "env", "config", "db")
 STEPS = (("setup", r"\b(install|setup|bootstrap)\b"), ("build", r"\b(build|compile|make)\b"), ("test", r"\b(test|check|lint)\b"), ("run", r"\b(run|serve|start)\b"), ("deploy", r"\b(deploy|release|publish)\b"))
 
 
+def _boundary(kind: str, confidence: float | Column) -> Column:
+    return F.struct(F.lit(kind).alias("boundary"), F.lit(confidence).cast("double").alias("confidence"))
+
+
+def infra_rank(low: Column) -> Column:
+    """Place of a path in lower case among INFRA, null if it doesn't belong to a deployment."""
+    name, rank = base_name(low), F.lit(None).cast("int")
+    for i, (pattern, _) in reversed(list(enumerate(INFRA))):
+        rank = F.when(low.rlike(pattern), i).otherwise(rank)
+    deployed = below(low, (*DEPLOY_DIRS, *GITOPS_DIRS, "charts"), (*DEPLOY_DIRS, *GITOPS_DIRS, "charts", "helm"))
+    named = name.rlike(rf"^(chart\.yaml|({'|'.join(INFRA_STEMS)})\.ya?ml)$")
+    yaml = low.rlike(r"\.ya?ml$") & (deployed | named)
+    terraform = low.rlike(r"\.(tf|tfvars|hcl)$") & (below(low, TERRAFORM_DIRS, TERRAFORM_DIRS) | name.isin(*TERRAFORM_NAMES))
+    return F.when(yaml | terraform | (low == "tiltfile"), rank)
+
+
 def classify_files(files: DataFrame) -> DataFrame:
-    """file_path, entry_rank, contract, boundary, confidence: the first boundary that a path speaks for."""
-    low, boundary, confidence = F.lower("file_path"), F.lit(None).cast("string"), F.lit(None).cast("double")
-    for name, pattern, value in reversed(BOUNDARIES):
-        boundary = F.when(low.rlike(pattern), name).otherwise(boundary)
-        confidence = F.when(low.rlike(pattern), value).otherwise(confidence)
+    """file_path, entry_rank, contract, contract_kind, boundary, confidence: a row for each of the files, which are distinct.
+
+    Files of results and data are no entry points or contracts, and an entry point is no contract. The boundary
+    is that of the first of these that holds: files of the build, entry points, the MAX_INFRA most telling
+    infrastructure files of all, databases, events. A null path has nulls only.
+    """
     path = F.col("file_path")
-    return files.select("file_path", entrypoint_rank(path).alias("entry_rank"), is_contract(path).alias("contract"), boundary.alias("boundary"), confidence.alias("confidence"))
+    low = ascii_lower(path)
+    rank = F.when(~artifact_scope(low), entrypoint_rank(path))
+    contract = F.coalesce(is_contract(path) & ~artifact_scope(low) & rank.isNull(), F.lit(False))
+    known = files.select("file_path", rank.alias("entry_rank"), contract.alias("contract"), infra_rank(low).alias("_infra"))
+    # MAX_INFRA rows, whatever the number of files
+    told = known.where("_infra IS NOT NULL").orderBy("_infra", "file_path").limit(MAX_INFRA).select("file_path", F.lit(True).alias("_told"))
+    confidence = F.element_at(F.array(*(F.lit(c) for _, c in INFRA)), F.col("_infra") + 1)
+    event = below(low, ["events", "messages"], ["events", "messages"]) | low.rlike(r"^asyncapi\.(json|yaml|yml)$|/asyncapi\.|\.avsc$")
+    boundary = (
+        F.when(low.isin(*CONFIG_NAMES), _boundary("config", 1.0)).when(low.isin(*ENV_NAMES), _boundary("env", 1.0))
+        .when(F.col("entry_rank").isNotNull() & low.rlike(r"/server\.|/api/|/http/"), _boundary("http", 0.7))
+        .when(F.col("entry_rank").isNotNull() & low.rlike("/(cli|cmd|bin)/"), _boundary("cli", 0.7))
+        .when(F.col("entry_rank").isNotNull(), _boundary("cli", 0.55))
+        .when(F.col("_told"), _boundary("config", confidence))
+        .when(below(low, ["migrations", "prisma"], ["migrations"]) | low.rlike(r"schema\.(sql|prisma)$"), _boundary("db", 0.85))
+        .when(event, _boundary("event", F.when(F.contains(low, F.lit("asyncapi")), 1.0).when(F.endswith(low, F.lit(".avsc")), 0.9).otherwise(0.75)))
+    )
+    met = known.join(F.broadcast(told), "file_path", "left").withColumn("_b", boundary)
+    return met.select("file_path", "entry_rank", "contract", F.when(F.col("contract"), contract_kind(path)).alias("contract_kind"), "_b.boundary", "_b.confidence")
+
+
+def ordered_boundaries(classified: DataFrame) -> DataFrame:
+    """The rows of classify_files() that are boundaries, by kind, then path."""
+    place = F.array_position(F.array(*map(F.lit, BOUNDARY_ORDER)), F.col("boundary"))
+    return classified.where("boundary IS NOT NULL").orderBy(place, "file_path")
 
 
 def select_anchors(files: DataFrame, k: int = MAX_ANCHORS) -> DataFrame:
@@ -86,7 +146,7 @@ def notebook_staleness(pointers: DataFrame, files: DataFrame) -> DataFrame:
 
 def touched_areas(changes: DataFrame, k: int = 5) -> DataFrame:
     """worktree, areas: distinct areas of changed paths (worktree, path), in the order of the areas, k at most."""
-    order = F.create_map(*(F.lit(x) for i, (name, _) in enumerate(AREAS) for x in (name, i)))
+    order = F.create_map(*(F.lit(x) for i, name in enumerate(AREA_ORDER) for x in (name, i)))
     area = changed_area(F.col("path"))
     found = changes.withColumn("area", area).where("area IS NOT NULL").select("worktree", F.struct(order[F.col("area")].alias("o"), "area").alias("a"))
     return found.groupBy("worktree").agg(F.transform(F.slice(F.array_sort(F.collect_set("a")), 1, k), lambda a: a["area"]).alias("areas"))

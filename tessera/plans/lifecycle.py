@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.functions.paths import CONTRACT_PATTERN, ENTRY_PATTERNS, path_kind
+from tessera.functions.paths import changed_area, path_kind
 from tessera.operators import aggregates, evaluate, orient, packing, ranking, vector
-from tessera.plans.base import FILES, QUERIES as QUERY_TABLE, files, queries, table, words_sql
+from tessera.plans.base import FILES, LOWERED, QUERIES as QUERY_TABLE, files, queries, table, words_sql
 from tessera.plans.search import _ASKED, _topk_sql, asked, vectors
 from tessera.sources import sinks
 from tessera.streaming import debounce
@@ -143,9 +143,38 @@ def context_pack(spark, sf_dir):
     return packing.context_pack(first, parts, max_chars=6000)
 
 
+#: Paths of a repository, as lines: every rule of orientation has one at least. They are taken at the root and within each source.
+LAYOUT = """main.rs src/main.py src/__main__.py crates/a/src/main.rs main.go cmd/tool/main.go lib.rs src/lib.rs crates/a/src/lib.rs src/__init__.py src/pkg/__init__.py
+src/pkg/deep/__init__.py server.py src/server.py api/src/app.py svc/cli/src/main.rs data/src/main.py results/contracts/a.json contracts/a.proto proto/readme.txt docs/spec/x.md
+docs/specs/readme.md schemas/user.schema.json specs/a.rs b/schema/x.toml a/openapi.ts openapi.yaml api/asyncapi.json asyncapi.yml x/events/asyncapi.yaml Cargo.toml
+package.json Makefile .env.example .env .github/workflows/ci.yml .github/workflows/release.yml .gitlab-ci.yml Jenkinsfile k8s/service.yaml k8s/ingress.yml deploy/deployment.yaml
+charts/a/Chart.yaml charts/a/values.yaml a/helm/extra.yaml helmfile.yml a/helmrelease.yaml kustomization.yaml argocd/application.yaml clusters/x/applicationset.yml application.yaml
+skaffold.yaml Tiltfile werf.yml devspace.yaml main.tf a/variables.tf versions.tf infra/network.tf other/network.tf terraform/x.tfvars terragrunt.hcl migrations/1.sql a/schema.sql
+prisma/schema.prisma events/user.json messages/a.txt a/b.avsc artifacts/model.bin runs/1.log corpus/a.txt experiments/run.py baseline/x.json a/eval/x.py a/notebooks/n.ipynb
+scripts/build.sh pyproject.toml src/util.cc src/x.TSX c docs/guide.html notes.rst README.md .worktrees/a/main.rs image.png contracts/ a/contract/index.md"""
+
+
+def layout(spark, sf_dir) -> DataFrame:
+    """file_path: LAYOUT, the same within each source, and the pages."""
+    listed = F.explode(F.lit(LAYOUT.split()))
+    top = spark.range(1).select(listed.alias("file_path"))
+    within = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source").distinct().select("source", listed.alias("p")).select(F.concat_ws("/", "source", "p").alias("file_path"))
+    pages = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("file_path")).where("file_path IS NOT NULL")
+    return top.unionByName(within).unionByName(pages).distinct()
+
+
 def orient_files(spark, sf_dir):
-    f = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("file_path"))
-    return orient.classify_files(f.distinct())
+    return orient.classify_files(layout(spark, sf_dir))
+
+
+def changed_areas(spark, sf_dir):
+    """Areas of paths."""
+    return layout(spark, sf_dir).select("file_path", changed_area(F.col("file_path")).alias("area"))
+
+
+def touched_areas(spark, sf_dir):
+    """Areas that changed in working copies, which are told apart by the lengths of paths."""
+    return orient.touched_areas(layout(spark, sf_dir).select(F.length("file_path").alias("worktree"), F.col("file_path").alias("path"))).withColumn("areas", F.array_join("areas", ","))
 
 
 def orient_anchors(spark, sf_dir):
@@ -166,7 +195,7 @@ def kind_order(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     eval_cases, eval_summary, eval_compare, precision_at_k, compare_overlap, purge_missing, changed_files, corpus_upsert, drift_repair, fs_watermark, staleness,
-    debounce_batch, event_dedup, session_counts, rolling_p95, memory_rank, context_pack, orient_files, orient_anchors, meaning_pack, kind_order,
+    debounce_batch, event_dedup, session_counts, rolling_p95, memory_rank, context_pack, orient_files, changed_areas, touched_areas, orient_anchors, meaning_pack, kind_order,
 )}
 
 _CASES = """{0} AS (SELECT e.case_id, coalesce(1.0::DOUBLE / min(r.rank + 1), 0) AS mrr, count(r.item) / any_value(n) AS recall, count(r.item) / (any_value(n) + any_value(k) - count(r.item)) AS overlap
@@ -184,6 +213,20 @@ def _when(rules) -> str:
 
 _ANCHORS = f"""{FILES}, l AS (SELECT file_path, lower(file_path) AS low FROM files), k AS (SELECT file_path, CASE {_when((f"'{n}'", p) for n, _, p in orient.ANCHORS)} END AS kind, CASE {_when((v, p) for _, v, p in orient.ANCHORS)} END AS priority FROM l),
   anchors AS (SELECT kind, priority, arg_min(file_path, {{'depth': len(string_split(file_path, '/')), 'path': file_path}}) AS file_path FROM k WHERE kind IS NOT NULL GROUP BY ALL ORDER BY priority DESC LIMIT {orient.MAX_ANCHORS})"""
+_DESCRIBED = r"regexp_matches(low, '\.(proto|avsc|yaml|yml|json|toml|md|rst|txt)$')"
+_LAYOUT = f"""p AS (SELECT unnest(string_split('{" ".join(LAYOUT.split())}', ' ')) AS p),
+  f AS (SELECT p AS file_path FROM p UNION SELECT s.source || '/' || p FROM p, (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s
+    UNION SELECT regexp_replace(url, '^[a-z]+://', '') FROM pages WHERE url IS NOT NULL),
+  n AS (SELECT file_path, {LOWERED.format('file_path')} AS low FROM f),
+  l AS (SELECT *, string_split(low, '/')[-1] AS name, string_split(low, '/')[1] IN ('artifacts', 'artifact', 'results', 'runs', 'outputs', 'output', 'checkpoints', 'checkpoint', 'data', 'dataset', 'datasets', 'corpus', 'corpora', 'weights') AS scope FROM n)"""
+_AREAS = rf"""{_LAYOUT}, a AS (SELECT file_path, CASE WHEN regexp_matches(low, '^\.worktrees(/|$)') THEN NULL
+    WHEN regexp_matches(low, '(^(contracts|proto)|/(contracts?|schemas?|specs?|protocols?))/') AND (name = '' OR {_DESCRIBED}) AND name NOT IN ('readme.md', 'readme.rst', 'readme.txt', 'index.md') THEN 'interfaces'
+    WHEN name IN ('.gitlab-ci.yml', 'jenkinsfile') OR starts_with(low, '.github/workflows/') THEN 'ci'
+    WHEN regexp_matches(low, '(^|/)(k8s|kubernetes|manifests|gitops|infra|terraform|charts)/') THEN 'infra' WHEN scope THEN 'outputs'
+    WHEN regexp_matches(low, '^(experiments?|baselines?|bench|benches)/|/(eval|evaluation|analysis|notebooks)/') THEN 'experiments'
+    WHEN name IN ('makefile', 'justfile', 'cargo.toml', 'package.json', 'pyproject.toml') OR starts_with(low, 'scripts/') THEN 'tooling'
+    WHEN regexp_matches(low, '(^|\.)(rs|py|js|ts|tsx|go|java|kt|c|cc|cpp|cxx|h|hpp|cs|rb|php|swift)$') THEN 'core'
+    WHEN starts_with(low, 'docs/') OR regexp_matches(low, '(^|\.)(md|rst|txt)$') THEN 'docs' END AS area FROM l)"""
 ORACLE_SQL = {
     "eval_cases": f"WITH {_EVAL} SELECT case_id, round(mrr, 6) AS mrr, round(recall, 6) AS recall, round(overlap, 6) AS overlap FROM ca",
     "eval_summary": f"""WITH {_EVAL} SELECT count(*) AS cases, round(avg(mrr), 6) AS mean_mrr, round(avg(recall), 6) AS mean_recall, round(avg(overlap), 6) AS mean_overlap,
@@ -215,9 +258,37 @@ ORACLE_SQL = {
         SELECT query_id, conv_id, turn, rank FROM k WHERE rank <= 3""",
     "kind_order": f"""WITH {FILES}, f AS (SELECT doc_id, CASE WHEN ends_with(file_path, '.md') THEN 'docs' WHEN ends_with(file_path, '.yaml') THEN 'config' ELSE 'code' END AS kind, length(content) AS score FROM files),
         r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, doc_id) - 1 AS rank FROM f) SELECT * FROM r WHERE rank < 5""",
-    "orient_files": f"""WITH f AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS file_path FROM pages), l AS (SELECT *, lower(file_path) AS low FROM f)
-        SELECT file_path, CASE {_when((i, p) for i, p in enumerate(ENTRY_PATTERNS))} END AS entry_rank, regexp_matches(low, '{CONTRACT_PATTERN}') AS contract,
-          CASE {_when((f"'{n}'", p) for n, p, _ in orient.BOUNDARIES)} END AS boundary, CAST(CASE {_when((v, p) for _, p, v in orient.BOUNDARIES)} END AS DOUBLE) AS confidence FROM l""",
+    "orient_files": rf"""WITH {_LAYOUT}, r AS (SELECT *, CASE
+          WHEN scope THEN NULL WHEN regexp_matches(low, '^(main\.(rs|py|ts|c|cpp|cc|cxx)|__main__\.py|app\.py|server\.(py|js|ts)|index\.js)$') THEN 0
+          WHEN regexp_matches(low, '^src/(main\.(rs|py|c|cpp|cc|cxx)|__main__\.py|app\.py|server\.py|index\.(js|ts))$') THEN 1
+          WHEN regexp_matches(low, '/src/(main\.(rs|py|c|cpp|cc|cxx)|__main__\.py|app\.py|server\.py|index\.(js|ts))$') OR regexp_matches(low, '^(cmd/(.*/)?)?main\.go$') THEN 2
+          WHEN regexp_matches(low, '^((.*/)?src/)?lib\.rs$') OR low = 'src/__init__.py' THEN 3 WHEN regexp_matches(low, '^src/[^/]*/__init__\.py$') THEN 4 END AS entry_rank,
+          NOT scope AND (regexp_matches(low, '(^(contracts|proto|schemas?|specs?|protocols?)|/(contracts?|schemas?|specs?|protocols?))/') AND {_DESCRIBED}
+            OR starts_with(low, 'contracts/') OR starts_with(low, 'proto/') OR contains(low, '/openapi.') OR contains(low, '/asyncapi.') OR ends_with(low, '.proto') OR ends_with(low, '.schema.json')
+            OR regexp_matches(low, '(openapi|asyncapi)\.(json|ya?ml)$')) AS described,
+          CASE WHEN regexp_matches(low, '\.ya?ml$') AND (regexp_matches(low, '(^|/)(k8s|kubernetes|manifests|deploy|kustomize|argocd|argo|flux|gitops|clusters|charts)/|/helm/')
+              OR name = 'chart.yaml' OR regexp_matches(name, '^(values|helmfile|helmrelease|kustomization|skaffold|werf|devspace)\.ya?ml$'))
+            OR regexp_matches(low, '\.(tf|tfvars|hcl)$') AND (regexp_matches(low, '(^|/)(terraform|infra)/') OR regexp_matches(name, '^(main|variables|versions|providers?|backend|outputs|terraform)\.tf$|^terragrunt\.hcl$'))
+            OR low = 'tiltfile' THEN CASE WHEN name = 'chart.yaml' THEN 0 WHEN name IN ('values.yaml', 'values.yml') THEN 1 WHEN name IN ('helmfile.yaml', 'helmfile.yml') THEN 2
+              WHEN name IN ('helmrelease.yaml', 'helmrelease.yml') THEN 3 WHEN name IN ('kustomization.yaml', 'kustomization.yml') THEN 4
+              WHEN name IN ('application.yaml', 'application.yml', 'applicationset.yaml', 'applicationset.yml') AND regexp_matches(low, '(^|/)(argocd|argo|flux|gitops|clusters)/') THEN 5
+              WHEN name = 'terragrunt.hcl' THEN 6 WHEN name IN ('skaffold.yaml', 'skaffold.yml') THEN 7 WHEN low = 'tiltfile' THEN 8 WHEN name IN ('werf.yaml', 'werf.yml') THEN 9
+              WHEN name IN ('devspace.yaml', 'devspace.yml') THEN 10 WHEN contains(low, 'ingress') THEN 11 WHEN contains(low, 'service') THEN 12
+              WHEN contains(low, 'deployment') OR contains(low, 'statefulset') THEN 13 WHEN name = 'main.tf' THEN 14 WHEN name = 'variables.tf' THEN 15
+              WHEN name IN ('versions.tf', 'provider.tf', 'providers.tf', 'backend.tf', 'outputs.tf', 'terraform.tf') THEN 16 WHEN NOT regexp_matches(low, '\.ya?ml$') THEN 17 ELSE 18 END END AS infra FROM l),
+        t AS (SELECT *, infra IS NOT NULL AND row_number() OVER (ORDER BY infra NULLS LAST, file_path) <= 8 AS told, described AND entry_rank IS NULL AS contract FROM r),
+        k AS (SELECT *, CASE WHEN low IN ('cargo.toml', 'package.json', 'pyproject.toml', 'go.mod', 'pom.xml', 'build.gradle', 'build.gradle.kts', 'makefile', 'justfile', '.github/workflows/ci.yml', '.github/workflows/ci.yaml') THEN 'config 1.0'
+          WHEN low IN ('.env.example', '.env.sample', '.env.template', '.env.dist') THEN 'env 1.0' WHEN entry_rank IS NOT NULL AND regexp_matches(low, '/server\.|/api/|/http/') THEN 'http 0.7'
+          WHEN entry_rank IS NOT NULL AND regexp_matches(low, '/(cli|cmd|bin)/') THEN 'cli 0.7' WHEN entry_rank IS NOT NULL THEN 'cli 0.55'
+          WHEN told THEN 'config ' || [0.9, 0.85, 0.82, 0.83, 0.85, 0.82, 0.85, 0.83, 0.83, 0.82, 0.82, 0.8, 0.78, 0.78, 0.85, 0.82, 0.8, 0.78, 0.75][infra + 1]
+          WHEN regexp_matches(low, '(^|/)migrations/|^prisma/|schema\.(sql|prisma)$') THEN 'db 0.85'
+          WHEN regexp_matches(low, '^asyncapi\.(ya?ml|json)$|/asyncapi\.|\.avsc$|(^|/)(events|messages)/') THEN CASE WHEN contains(low, 'asyncapi') THEN 'event 1.0' WHEN ends_with(low, '.avsc') THEN 'event 0.9' ELSE 'event 0.75' END END AS b FROM t)
+        SELECT file_path, entry_rank, contract, CASE WHEN NOT contract THEN NULL WHEN ends_with(low, '.proto') OR starts_with(low, 'proto/') THEN 'proto' WHEN ends_with(low, '.schema.json') THEN 'jsonschema'
+          WHEN regexp_matches(low, 'openapi\.(json|ya?ml)$|/openapi\.') THEN 'openapi' WHEN regexp_matches(low, 'asyncapi\.(json|ya?ml)$|/asyncapi\.') THEN 'asyncapi' ELSE 'contract' END AS contract_kind,
+          string_split(b, ' ')[1] AS boundary, CAST(string_split(b, ' ')[2] AS DOUBLE) AS confidence FROM k""",
+    "changed_areas": f"WITH {_AREAS} SELECT file_path, area FROM a",
+    "touched_areas": f"""WITH {_AREAS}, d AS (SELECT DISTINCT length(file_path) AS worktree, area, list_position(['interfaces', 'core', 'ci', 'docs', 'tooling', 'infra', 'outputs', 'experiments'], area) AS o FROM a WHERE area IS NOT NULL)
+        SELECT CAST(worktree AS INTEGER) AS worktree, array_to_string(list(area ORDER BY o)[1:5], ',') AS areas FROM d GROUP BY worktree""",
     "orient_anchors": f"WITH {_ANCHORS} SELECT kind, file_path, priority FROM anchors",
     "meaning_pack": f"""WITH {_ANCHORS}, r AS (SELECT 0 AS s, 'ANCHORS' AS section, -priority AS o, 'A ' || kind || ' ' || file_path AS line FROM anchors
         UNION ALL SELECT 1, 'MAP', -count(*), 'M ' || string_split(file_path, '/')[1] || ' Module ' || count(*) FROM files GROUP BY string_split(file_path, '/')[1]),

@@ -322,7 +322,7 @@ def test_versions_and_health(spark, tmp_path):
 
 def test_more_orientation(spark):
     changes = spark.createDataFrame([("w", "src/a.rs"), ("w", "docs/a.md"), ("w", "docs/b.md"), ("v", "zzz")], "worktree string, path string")
-    assert [(r.worktree, r.areas) for r in orient.touched_areas(changes).collect()] == [("w", ["docs", "core"])]
+    assert [(r.worktree, r.areas) for r in orient.touched_areas(changes).collect()] == [("w", ["core", "docs"])]
     api = json.dumps({"asyncapi": "2", "channels": {"a/b": {"publish": {}}, "c": {"subscribe": {}, "publish": {}}}})
     files = spark.createDataFrame([("svc/api.json", api), ("compose.yml", "image: redis"), ("x.yaml", "a: kafka")], "file_path string, content string")
     entries = spark.createDataFrame([("svc/main.rs",), ("a/main.rs",)], "file_path string")
@@ -354,3 +354,23 @@ def test_layer_roles_go_by_whole_names(spark):
     }
     rows = spark.createDataFrame([(n,) for n in wanted], "name string")
     assert {r.name: r.role for r in rows.select("name", layer_role(rows.name).alias("role")).collect()} == wanted
+
+
+def test_entry_points_contracts_and_boundaries(spark):
+    expected = {
+        "main.py": (0, False, None, "cli", 0.55), "src/main.py": (1, False, None, "cli", 0.55), "crates/a/src/main.rs": (2, False, None, "cli", 0.55), "cmd/x/main.go": (2, False, None, "cli", 0.55),
+        "svc/api/src/app.py": (2, False, None, "http", 0.7), "src/server.py": (1, False, None, "http", 0.7), "a/cli/src/main.rs": (2, False, None, "cli", 0.7), "src/pkg/__init__.py": (4, False, None, "cli", 0.55),
+        "data/src/main.py": (None, False, None, None, None), "src0/x.rs": (None, False, None, None, None), "contracts/main.py": (None, True, "contract", None, None), "results/a.proto": (None, False, None, None, None),
+        "a/openapi.yaml": (None, True, "openapi", None, None), "a/x.schema.json": (None, True, "jsonschema", None, None), "docs/spec/asyncapi.yml": (None, True, "asyncapi", "event", 1.0),
+        "Cargo.toml": (None, False, None, "config", 1.0), ".env.dist": (None, False, None, "env", 1.0), "migrations/1.sql": (None, False, None, "db", 0.85), "a/b.avsc": (None, False, None, "event", 0.9),
+        "k8s/x.yaml": (None, False, None, "config", 0.75), "x.yaml": (None, False, None, None, None), None: (None, False, None, None, None),
+    }
+    files = spark.createDataFrame([(p,) for p in expected], "file_path string")
+    classified = orient.classify_files(files)
+    assert {r.file_path: tuple(r)[1:] for r in classified.collect()} == expected
+    listed = [(r.boundary, r.file_path) for r in orient.ordered_boundaries(classified).collect()]
+    assert listed == sorted(listed, key=lambda x: (orient.BOUNDARY_ORDER.index(x[0]), x[1]))
+    # of many infrastructure files the most telling ones are boundaries, ties by path
+    many = spark.createDataFrame([(f"k8s/{i:02}/service.yaml",) for i in range(20)] + [("charts/z/Chart.yaml",)], "file_path string")
+    assert {r.file_path for r in orient.classify_files(many).where("boundary IS NOT NULL").collect()} == {"charts/z/Chart.yaml", *(f"k8s/{i:02}/service.yaml" for i in range(7))}
+    assert orient.classify_files(files.limit(0)).count() == 0
