@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions.text import ascii_lower, word_position
 from tessera.operators.lines import grep_hunks
-from tessera.operators.ranking import RRF_K, normalize_scores, rrf
+from tessera.operators.ranking import RRF_K, against_all, normalize_scores, rrf
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def direct_paths(files: DataFrame, queries: DataFrame) -> DataFrame:
     ended = files.select("file_path", F.explode(suffixes).alias("_q"))
     found = ended.join(asked, "_q").withColumn("tier", F.when(low == F.col("_q"), 0).otherwise(1))
     rest = asked.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    within = files.select("file_path").join(F.broadcast(rest), F.contains(low, F.col("_q"))).withColumn("tier", F.lit(2))  # the queries that are left
+    within = against_all(files.select("file_path"), rest).where(F.contains(low, F.col("_q"))).withColumn("tier", F.lit(2))  # the queries that are left
     every = found.select("query_id", "file_path", "tier").unionByName(within.select("query_id", "file_path", "tier"))
     best = every.withColumn("_best", F.min("tier").over(W.partitionBy("query_id"))).where(F.col("tier") == F.col("_best")).drop("_best")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("file_path")) - 1

@@ -90,14 +90,21 @@ def context_pack(primaries: DataFrame, related: DataFrame, max_chars: int = 20_0
 def memory_rank(candidates: DataFrame, queries: DataFrame, priority: dict[str, int], k: int = 3, per_kind: int = 2) -> DataFrame:
     """query_id, conv_id, turn, rank: records (conv_id, turn, kind, text) with words of the query first, then the rest by priority and recency.
 
-    At most per_kind of a kind, k in all.
+    At most per_kind of a kind, k in all. Records without such words rank alike for all queries, so that only the
+    first of each kind meet the queries: a kind with fewer than per_kind hits is filled from twice as many.
     """
     order = F.lit(99)
     for kind, p in priority.items():
         order = F.when(F.col("kind") == kind, p).otherwise(order)
-    pairs = against_all(candidates.withColumn("_low", F.lower("text")), queries.select("query_id", "terms"))
-    hits = F.size(F.filter("terms", lambda t: F.contains("_low", t)))
-    scored = pairs.select("query_id", "conv_id", "turn", "kind", order.alias("_p"), hits.alias("_hits"))
+    rows = candidates.select("conv_id", "turn", "kind", order.alias("_p"), F.lower("text").alias("_low"))
+    first = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("turn"), "conv_id"))
+    fill = rows.withColumn("_n", first).where(F.col("_n") < 2 * per_kind).drop("_n")
+    hits = F.coalesce(F.size(F.filter("terms", lambda t: F.contains("_low", t))), F.lit(0))
+
+    def met(records: DataFrame) -> DataFrame:
+        return against_all(records, queries.select("query_id", "terms")).select("query_id", "conv_id", "turn", "kind", "_p", hits.alias("_hits"))
+
+    scored = met(rows).where("_hits > 0").unionByName(met(fill).where("_hits = 0"))
     best = [F.desc(F.col("_hits") > 0), F.col("_p"), F.desc("_hits"), F.desc("turn"), F.col("conv_id")]
     capped = scored.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "kind").orderBy(*best))).where(F.col("_n") <= per_kind)
     return capped.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "conv_id", "turn", "rank")

@@ -17,12 +17,15 @@ OTHER_CAP = 2
 def against_all(rows: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """Every row beside every query of a stated set, block by block.
 
-    One block of queries is broadcast; of more, each row goes to every block by an equi-join.
+    One block of queries is broadcast. Of more, rows go to every block by an equi-join on block and slice,
+    so that a block is met by as many tasks as there are slices; rows are sliced by a hash of all they hold.
     """
     blocks = max(1, -(-queries.count() // block))
-    dealt = queries.withColumn("_block", F.pmod(F.hash(*queries.columns), F.lit(blocks)))
-    copies = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return copies.join(F.broadcast(dealt) if blocks == 1 else dealt, "_block").drop("_block")
+    slices = 1 if blocks == 1 else -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    keys = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = queries.withColumn("_block", F.pmod(F.hash(*queries.columns), F.lit(blocks))).withColumn("_slice", keys(slices))
+    copies = rows.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(slices)).cast("int")).withColumn("_block", keys(blocks))
+    return copies.join(F.broadcast(dealt) if blocks == 1 else dealt, ["_block", "_slice"]).drop("_block", "_slice")
 
 
 def ranked(rows: DataFrame, by: list[str | Column], *order: Column | str) -> DataFrame:

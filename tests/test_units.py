@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import numpy as np
 import pytest
@@ -374,3 +375,31 @@ def test_entry_points_contracts_and_boundaries(spark):
     many = spark.createDataFrame([(f"k8s/{i:02}/service.yaml",) for i in range(20)] + [("charts/z/Chart.yaml",)], "file_path string")
     assert {r.file_path for r in orient.classify_files(many).where("boundary IS NOT NULL").collect()} == {"charts/z/Chart.yaml", *(f"k8s/{i:02}/service.yaml" for i in range(7))}
     assert orient.classify_files(files.limit(0)).count() == 0
+
+
+def test_blocks_of_queries_meet_every_row_once(spark):
+    rows = spark.createDataFrame([(i % 7, f"t{i % 5}") for i in range(40)], "item int, text string")
+    asked = spark.createDataFrame([(q,) for q in range(23)], "query_id int")
+    for block in (1000, 10, 1):
+        met = ranking.against_all(rows, asked, block)
+        assert met.columns == ["item", "text", "query_id"]
+        assert sorted(map(tuple, met.collect())) == sorted((i % 7, f"t{i % 5}", q) for i in range(40) for q in range(23))
+    assert ranking.against_all(rows, asked.limit(0)).count() == 0
+
+
+def test_memory_rank_equals_brute_force(spark):
+    rng = random.Random(5)
+    records = [(i // 6, i % 6, rng.choice(["system", "user", "assistant", "tool"]), rng.choice([None, "", "Red fox", "blue dog", "red dog", "owl"])) for i in range(120)]
+    asked = {1: ["red", "dog"], 2: ["owl"], 3: ["absent"], 4: [], 5: ["o"]}
+    priority = {"system": 0, "assistant": 1, "user": 2}
+    expected = set()
+    for q, terms in asked.items():
+        scored = [(conv, turn, kind, sum(t in (text or "").lower() for t in terms)) for conv, turn, kind, text in records]
+        kept = []
+        for conv, turn, kind, _ in sorted(scored, key=lambda r: (r[3] == 0, priority.get(r[2], 99), -r[3], -r[1], r[0])):
+            if sum(k == kind for *_, k in kept) < 2:
+                kept.append((conv, turn, kind))
+        expected |= {(q, conv, turn, n + 1) for n, (conv, turn, _) in enumerate(kept[:3])}
+    candidates = spark.createDataFrame(records, "conv_id int, turn int, kind string, text string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id int, terms array<string>")
+    assert {tuple(r) for r in packing.memory_rank(candidates, queries, priority).collect()} == expected
