@@ -153,7 +153,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
       occur. Nothing but the text enters a score.
     * A null text is the empty text and is scored like any other. A null id is not held out.
     * Without labelled rows every score is 0.5; with one class only, both classes share its moments.
-    * predicted is 1 where score >= 0.5. An empty table gives an empty result.
+    * predicted is 1 where score >= 0.5, ties at 0.5 included. An empty table gives an empty result; columns
+      of docs other than id and text are not read, whatever their names. Whole texts are read, of any length.
     """
     features = materialize(featurize(docs, id_col, text_col), "quality-features")
     model = fit_quality(features, labels, id_col, label_col)
@@ -169,7 +170,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of docs that score_quality() predicts as 1, with all their columns; texts are not shuffled."""
+    """The rows of docs that score_quality() predicts as 1, with all their columns; texts are not shuffled.
+
+    Nulls, empty texts, repeated rows and labels are as there; without labelled rows all rows stay. Whole texts
+    are read, of any length, one Arrow batch at a time. An empty table gives an empty result.
+    """
     model = fit_quality(featurize(docs, id_col, text_col), labels, id_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
