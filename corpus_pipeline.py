@@ -13,12 +13,12 @@ from tessera.llm.quality import keep_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null and empty texts are scored as empty ones, and without usable labels all stay."""
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
+    """Of equal texts the one with the largest id stays; null counts as empty, rows that repeat an id and its text are one document, a text without any id stays."""
     index = DigestIndex(spark, work_path(spark, "digest-index"), rows=docs.count())
     kept = drop_copies(docs, index)
     index.close()
@@ -26,17 +26,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the one with the least id stays."""
+    """Of near copies the one with the least id stays; texts without words and rows without id stay, and so do all texts of that least id."""
     return drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target weights of sources, languages and topics."""
+    """Documents are sampled to the target weights of sources, languages and topics, small cells more than once; null source and language are values of their own."""
     return mix_documents(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become token ids."""
+    """Texts become token ids; null and empty texts have none, and columns of the added names are replaced."""
     return token_rows(docs)
 
 
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again for the next; what a stage leaves on its way is deleted."""
+    """All stages over documents, each written and read again for the next; what a stage leaves on its way is deleted.
+
+    Texts are taken whole, of any length; further columns go along; an empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
