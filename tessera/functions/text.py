@@ -194,3 +194,33 @@ def fnv1a64(data: bytes) -> int:
     for byte in data:
         out = (out ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
     return out
+
+
+# Parts of queries that ask for a section, in English and Russian.
+SECTION_HINTS = {
+    "entrypoints": ("entrypoint", "entrypoints", "main", "cli", "точка входа", "точки входа", "входная точка", "входные точки", "запуск", "старт"),
+    "contracts": (
+        "contract", "contracts", "openapi", "asyncapi", "schema", "proto", "grpc", "api",
+        "контракт", "контракты", "схема", "схемы", "спека", "спеки", "спецификац", "прото", "протокол", "апи",
+    ),
+    "brokers": ("broker", "brokers", "kafka", "nats", "amqp", "rabbit", "rabbitmq", "redis", "брокер", "брокеры", "кафка", "натс", "очеред", "шина"),
+    "infra": (
+        "infra", "config", "configs", "env", "environment", "settings", "deploy", "k8s", "kubernetes", "helm", "terraform", "gitops", "boundary",
+        "инфра", "конфиг", "конфиги", "переменн", "окружен", "настройк", "деплой", "развер",
+    ),
+    "ci": ("ci", "workflow", "workflows", "github actions", "pipeline", "pipelines", "пайплайн", "гейт", "гейты", "экшн", "actions", "воркфло"),
+    "artifacts": (
+        "artifact", "artifacts", "output", "outputs", "result", "results", "checkpoint", "checkpoints",
+        "артефакт", "артефакты", "вывод", "результат", "результаты", "чекпоинт", "чекпоинты",
+    ),
+    "experiments": (
+        "experiment", "experiments", "baseline", "baselines", "bench", "benchmark", "eval", "evaluation", "research", "analysis", "notebook",
+        "эксперимент", "эксперименты", "бейслайн", "бенч", "оценк", "исслед", "анализ", "ноутбук",
+    ),
+}
+
+
+def section_hints(query: Column) -> dict[str, Column]:
+    """For each section, whether a query asks for it."""
+    low = F.lower(query)
+    return {section: low.rlike("|".join(needles)) for section, needles in SECTION_HINTS.items()}

@@ -35,14 +35,14 @@ def detect_anchor(query: str) -> Anchor | None:
     return None
 
 
-def symbol_anchor(query: str) -> str | None:
-    """The token that looks most like an identifier: by length, and more for underscores, digits and mixed case."""
-
-    def score(t: str) -> int:
-        return len(t) + 50 * ("_" in t) + 20 * any(map(str.isdigit, t)) + 30 * (t != t.lower() and t != t.upper())
-
-    tokens = [t for t in re.findall(r"[A-Za-z_]\w+", query) if score(t) > len(t)]
-    return max(tokens, key=score, default=None)
+def symbol_anchor(query: Column) -> Column:
+    """The token of a query that looks most like an identifier, null if none does: by length in bytes, and more
+    for underscores, digits and mixed case, of equal ones the first. Of a qualified name the last part counts."""
+    bare = F.transform(F.split(query, r"\s+"), lambda t: F.regexp_replace(F.regexp_replace(t, r"^[^A-Za-z0-9_:]+|[^A-Za-z0-9_:]+$", ""), "^.*::", ""))
+    mixed = lambda t: t.rlike("[a-z]") & t.rlike("[A-Z]")
+    score = lambda t: F.octet_length(t) + F.when(F.contains(t, F.lit("_")), 50).otherwise(0) + F.when(t.rlike("[0-9]"), 20).otherwise(0) + F.when(mixed(t), 30).otherwise(0)
+    named = F.filter(F.transform(bare, lambda t, i: F.struct(score(t).alias("score"), (-i).alias("place"), t.alias("token"))), lambda x: x["token"].rlike("[_0-9]") | mixed(x["token"]))
+    return F.array_max(named)["token"]
 
 
 def mentions(anchor: Anchor, path: Column, content: Column) -> Column:
@@ -67,36 +67,37 @@ def anchor_hits(results: DataFrame, anchor: Anchor, k: int) -> DataFrame:
     return results.where(F.col("rank") < k).groupBy("query_id").agg(F.bool_or(mentions(anchor, F.col("file_path"), F.col("content"))).alias("hit"))
 
 
+def normal_path(path: Column) -> Column:
+    """A path for comparisons: without quotes around it and ./ before it, with slashes, ASCII letters in lower case."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"^\s+|\s+$", ""), "^[\"']+|[\"']+$", "")
+    return ascii_lower(F.regexp_replace(F.translate(bare, "\\", "/"), r"^(\./)+", ""))
+
+
 def direct_paths(files: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, file_path, tier, score: files for queries of one path, only those of the best tier (0 equal, 1 suffix, 2 within).
 
-    Files meet a query by their name when the query ends in one, so only rows that may match are compared.
+    Equal paths meet by an equi-join; only the queries without one are compared with every path.
     """
-    asked = queries.select("query_id", ascii_lower("query").alias("_q")).where(F.col("_q").rlike(r"^\S*[/.]\S*$"))
-    low = ascii_lower(F.col("file_path"))
-    # every trailing part of a path that starts at a directory is one of its suffixes
-    parts = F.split(low, "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    ended = files.select("file_path", F.explode(suffixes).alias("_q"))
-    found = ended.join(asked, "_q").withColumn("tier", F.when(low == F.col("_q"), 0).otherwise(1))
-    rest = asked.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    within = against_all(files.select("file_path"), rest).where(F.contains(low, F.col("_q"))).withColumn("tier", F.lit(2))  # the queries that are left
-    every = found.select("query_id", "file_path", "tier").unionByName(within.select("query_id", "file_path", "tier"))
-    best = every.withColumn("_best", F.min("tier").over(W.partitionBy("query_id"))).where(F.col("tier") == F.col("_best")).drop("_best")
+    token = F.regexp_replace("query", r"^\s+|\s+$", "")
+    asked = queries.where(token.rlike(r"^\S+$") & (token.rlike(r"[/\\]") | token.rlike(r"\.[A-Za-z0-9]{1,6}$"))).select("query_id", normal_path(F.col("query")).alias("_q")).where("_q <> ''")
+    own = files.select("file_path", normal_path(F.col("file_path")).alias("_path"))
+    equal = own.join(asked, F.col("_path") == F.col("_q")).select("query_id", "file_path", F.lit(0).alias("tier"))
+    rest = asked.join(equal.select("query_id").distinct(), "query_id", "left_anti")
+    within = against_all(own, rest).where(F.contains("_path", F.col("_q"))).select("query_id", "file_path", F.when(F.endswith("_path", F.col("_q")), 1).otherwise(2).alias("tier"))
+    best = equal.unionByName(within).withColumn("_best", F.min("tier").over(W.partitionBy("query_id"))).where(F.col("tier") == F.col("_best")).drop("_best")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("file_path")) - 1
-    return best.withColumn("score", 1 - 0.001 * rank)
+    return best.withColumn("score", F.greatest(1 - 0.001 * rank, F.lit(0.0)))
 
 
 def direct_symbols(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, item, file_path: chunks named like the query; a lone hit in a mod.rs gives way to the sibling file of the symbol's name, if there is one."""
+    """query_id, item, file_path: chunks named like the query; a lone hit in a mod.rs gives way to the chunks of the sibling file of the symbol's name, if there are any."""
     asked = queries.select("query_id", ascii_lower("query").alias("_q"))
-    hits = chunks.withColumn("_q", ascii_lower("symbol")).join(asked, "_q").select("query_id", "item", "file_path", "_q")
-    n = F.count(F.lit(1)).over(W.partitionBy("query_id"))
-    lone = hits.withColumn("_lone", (n == 1) & F.endswith("file_path", F.lit("/mod.rs"))).withColumn("_to", F.concat(F.regexp_replace("file_path", "mod.rs$", ""), F.col("_q"), F.lit(".rs")))
-    there = chunks.groupBy(F.col("file_path").alias("_to")).agg(F.min("item").alias("_item"))
-    moved = lone.join(there, "_to", "left")
-    use = F.col("_lone") & F.col("_item").isNotNull()
-    return moved.select("query_id", F.when(use, F.col("_item")).otherwise(F.col("item")).alias("item"), F.when(use, F.col("_to")).otherwise(F.col("file_path")).alias("file_path"))
+    hits = chunks.select("item", "file_path", ascii_lower("symbol").alias("_q")).join(asked, "_q")
+    lone = hits.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("query_id"))).where((F.col("_n") == 1) & F.endswith("file_path", F.lit("/mod.rs")))
+    sibling = F.concat(F.regexp_replace("file_path", "mod.rs$", ""), F.col("_q"), F.lit(".rs"))
+    moved = lone.select("query_id", sibling.alias("file_path")).join(chunks.select("item", "file_path"), "file_path").select("query_id", "item", "file_path")
+    kept = hits.join(moved.select("query_id").distinct(), "query_id", "left_anti")
+    return kept.select("query_id", "item", "file_path").unionByName(moved)
 
 
 def reasons(query: Column, content: Column, symbol: Column) -> Column:

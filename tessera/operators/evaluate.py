@@ -46,3 +46,47 @@ def precision_at_k(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame
 def overlap_with_baseline(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
     """case_id, overlap: items of both result lists over the limit."""
     return a.select("case_id", "item").intersect(b.select("case_id", "item")).groupBy("case_id").agg((F.count(F.lit(1)) / limit).alias("overlap"))
+
+
+def run_summary(cases: DataFrame) -> DataFrame:
+    """One row for a run (latency_ms, bytes, anchor_hit; null for cases without an anchor): means, nearest-rank percentiles, and the share of anchors that no result has."""
+    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency_ms)").cast("bigint")
+    anchored, hit = F.count("anchor_hit"), F.count_if(F.col("anchor_hit"))
+    none = F.lit(0.0)
+    return cases.agg(
+        F.coalesce(F.avg("latency_ms"), none).alias("mean_latency_ms"), F.coalesce(rank(0.5), F.lit(0)).alias("p50_latency_ms"), F.coalesce(rank(0.95), F.lit(0)).alias("p95_latency_ms"),
+        F.coalesce(F.avg("bytes"), none).alias("mean_bytes"), anchored.alias("anchor_cases"), hit.alias("anchor_hit_cases"), (anchored - hit).alias("anchorless_cases"),
+        F.when(anchored > 0, (anchored - hit) / anchored).otherwise(none).alias("anchorless_rate"),
+    )
+
+
+def compare_summary(cases: DataFrame) -> DataFrame:
+    """One row for compared queries (baseline_ms, context_ms, overlap, related): means, zeros for no query."""
+    names = {"baseline_ms": "avg_baseline_ms", "context_ms": "avg_context_ms", "overlap": "avg_overlap_ratio", "related": "avg_related_chunks"}
+    return cases.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(name) for c, name in names.items()))
+
+
+# Directories that are noise in a map, by their last name, and those under which all are.
+NOISE_NAMES = (
+    "dist", "build", "out", "target", "node_modules", "data", "dataset", "datasets", "artifacts", "results", "corpus",
+    ".worktrees", ".cache", ".venv", ".mypy_cache", ".pytest_cache", ".ruff_cache",
+)
+NOISE_ROOTS = ("dist", "build", "out", "target", "node_modules", "data", "dataset", "datasets", "artifacts", "results", "corpus", ".worktrees", ".cache")
+
+
+def is_noise_directory(directory: Column) -> Column:
+    """Whether a directory says nothing about the code."""
+    low = F.regexp_replace(F.translate(F.regexp_replace(directory, r"^\s+|\s+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"^(\./)+", "")
+    return F.substring_index(low, "/", -1).isin(*NOISE_NAMES) | (F.contains(low, F.lit("/")) & F.substring_index(low, "/", 1).isin(*NOISE_ROOTS))
+
+
+def map_noise(rows: DataFrame) -> DataFrame:
+    """case_id, entries, noise, ratio: of the directories in each case's map, how many are noise."""
+    noise = F.count_if(is_noise_directory(F.col("directory")))
+    return rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("entries"), noise.alias("noise"), (noise / F.count(F.lit(1))).alias("ratio"))
+
+
+def token_saved(used: Column, evidence: Column, anchors: Column) -> Column:
+    """Share of characters that a pack saves against reading its evidence or its anchors, whichever is more; null without either."""
+    baseline = F.greatest(evidence, anchors)
+    return F.when(baseline > 0, 1 - used / baseline)

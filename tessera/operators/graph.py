@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.text import word_position
+from tessera.operators.vector import vector_topk
 
 # What a relation counts for relevance, and its rank in orders of paths.
 RELEVANCE = {"Calls": 1.0, "Uses": 0.8, "Contains": 0.7, "Extends": 0.6, "Imports": 0.5, "TestedBy": 0.4}
@@ -171,3 +174,43 @@ def mermaid(edges: DataFrame, limit: int = 10) -> DataFrame:
     line = F.concat(F.lit("  "), F.col("src"), F.lit(" -->|"), F.col("rel"), F.lit("| "), F.col("dst"))
     first = edges.orderBy("src", "dst", "rel").limit(limit)
     return first.agg(F.concat(F.lit("graph LR\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("diagram"))
+
+
+def context_nodes(nodes: DataFrame, edges: DataFrame, names: DataFrame, depth: int) -> DataFrame:
+    """name, node: the node of each name (the last one so named) and all within `depth` hops, once each; an unknown name is an error."""
+    last = F.row_number().over(W.partitionBy("name").orderBy(F.desc("node")))
+    known = nodes.select("name", "node").withColumn("_n", last).where("_n = 1").drop("_n")
+    found = names.select("name").distinct().join(known, "name", "left")
+    start = F.when(F.col("node").isNull(), F.raise_error(F.concat(F.lit("unknown symbol "), F.coalesce("name", F.lit("null"))))).otherwise(F.col("node"))
+    own = found.select("name", start.alias("node"))
+    near = reach(edges, own, depth).select(F.col("start").alias("_start"), F.col("node").alias("_to"))
+    return own.unionByName(own.join(near, F.col("node") == F.col("_start")).select("name", F.col("_to").alias("node"))).distinct()
+
+
+def usages_with_text(usages: DataFrame, hits: DataFrame, limit: int = IMPACT_LIMIT) -> DataFrame:
+    """start, file_path, line, origin: usages in the graph, then occurrences in texts at other places, `limit` in all.
+
+    As many occurrences are looked at as places are left after the graph's usages, the first in order.
+    """
+    place = ["file_path", "line"]
+    order = F.row_number().over(W.partitionBy("start").orderBy(*place))
+    direct = usages.select("start", *place).distinct().withColumn("_n", order).where(F.col("_n") <= limit).drop("_n")
+    left = direct.groupBy("start").agg((limit - F.count(F.lit(1))).alias("_left"))
+    near = hits.select("start", *place).distinct().withColumn("_n", order).where(F.col("_n") <= limit)
+    more = near.join(left, "start", "left").where(F.col("_n") <= F.coalesce("_left", F.lit(limit))).select("start", *place)
+    unseen = more.join(direct, ["start", *place], "left_anti")
+    return direct.withColumn("origin", F.lit("graph")).unionByName(unseen.withColumn("origin", F.lit("text")))
+
+
+def update_doc_store(store: DataFrame, docs: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """node, doc_hash, vector, reused: the graph documents (node, doc, doc_hash) with the vectors of `store` (node, doc_hash, vector) where
+    neither node nor hash has changed, else embedded anew; nodes that are no more are left out."""
+    known = store.select("node", "doc_hash", "vector").dropDuplicates(["node", "doc_hash"])
+    kept = docs.join(known, ["node", "doc_hash"]).select("node", "doc_hash", "vector", F.lit(True).alias("reused"))
+    fresh = docs.join(known, ["node", "doc_hash"], "left_anti").select("node", "doc_hash", embed(F.col("doc")).alias("vector"), F.lit(False).alias("reused"))
+    return kept.unionByName(fresh)
+
+
+def search_doc_store(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, item, score, rank: the nodes whose documents are nearest to each query (query_id, q)."""
+    return vector_topk(store.select("node", F.col("vector").alias("embedding")), queries, k, "node")

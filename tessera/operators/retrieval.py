@@ -168,14 +168,16 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, lim
     """query_id, item, score, rank: the best chunks for each query.
 
     chunks: item, file_path, symbol, content, chunk_type, documented, in_context; vectors: item, embedding;
-    queries: query_id, query, q (vector, null for none: then the fuzzy list stands alone). Both lists are
-    cut to the query's pool, fused by rank with the weights of its kind, boosted, filtered, reranked by
-    lexical statistics over the candidates, weighted by path and scaled per query.
+    queries: query_id, query, q (vector, null for none: then the fuzzy list stands alone) and, if the fuzzy
+    matcher is to look for something else than the query, fuzzy_query. Both lists are cut to the query's
+    pool, fused by rank with the weights of its kind, boosted, filtered, reranked by lexical statistics over
+    the candidates, weighted by path and scaled per query.
     Intermediate lists, a pool for each query, are written and read again: each is used more than once.
     In batch mode all queries have the largest pool, and candidates must share a term with the query.
     """
     weights = text.query_weights(F.col("query"))
-    asked = held(queries.select("query_id", "query", "q", text.query_kind(F.col("query")).alias("kind"), text.query_tokens(F.col("query")).alias("terms"), weights["semantic"].alias("w_sem"), weights["fuzzy"].alias("w_fuz"), (F.greatest(weights["multiplier"], F.lit(4)) * max(limit, 1)).alias("pool")), "queries")
+    fuzzy_query = F.coalesce("fuzzy_query", "query") if "fuzzy_query" in queries.columns else F.col("query")
+    asked = held(queries.select("query_id", "query", "q", fuzzy_query.alias("fuzzy_query"), text.query_kind(F.col("query")).alias("kind"), text.query_tokens(F.col("query")).alias("terms"), weights["semantic"].alias("w_sem"), weights["fuzzy"].alias("w_fuz"), (F.greatest(weights["multiplier"], F.lit(4)) * max(limit, 1)).alias("pool")), "queries")
     if batch:
         most = asked.agg(F.max("pool")).first()[0] or 0
         asked = asked.withColumn("pool", F.lit(most))
@@ -183,7 +185,7 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, lim
     pools = asked.select("query_id", "pool", "w_sem", "w_fuz")
     semantic = vector_topk(vectors, asked.where("q IS NOT NULL").select("query_id", "q"), 6 * max(limit, 1), "item").join(pools, "query_id").where(F.col("rank") < F.col("pool"))
     semantic = held(semantic.join(allowed.select("item"), "item", "left_semi"), "semantic")
-    fuzzy = fuzzy_match(chunks, asked.select("query_id", "query", "pool"), F.col("pool")).where(F.col("fuzzy") >= profile.min_fuzzy)
+    fuzzy = fuzzy_match(chunks, asked.select("query_id", F.col("fuzzy_query").alias("query"), "pool"), F.col("pool")).where(F.col("fuzzy") >= profile.min_fuzzy)
     fuzzy = held(fuzzy.join(allowed.select("item"), "item", "left_semi"), "fuzzy")
     # ranks count what is left of each list
     sem_list = top_k(semantic.select("query_id", "item", "score"), ["query_id"], 2**31 - 1, F.desc("score"), "item").join(pools, "query_id").select("query_id", "item", "rank", F.col("w_sem").alias("weight"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import chunks, graphs, lifecycle, scalars, search
+from tessera.plans import chunks, graphs, lifecycle, routes, scalars, search
 
-_MODULES = (scalars, chunks, search, graphs, lifecycle)
+_MODULES = (scalars, chunks, search, graphs, lifecycle, routes)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = search.hybrid_search

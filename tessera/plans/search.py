@@ -187,7 +187,7 @@ _LOWPATH = LOWERED.format("file_path")
 _KIND = "CASE WHEN contains(query, '_') OR regexp_matches(query, '[0-9]') AND NOT contains(query, ' ') THEN 'identifier' ELSE 'conceptual' END"
 
 
-def _hybrid_sql(batch: bool) -> str:
+def hybrid_sql(batch: bool, chunks: str = _CHUNKS, queries: str = QUERY_TABLE) -> str:
     """Queries of the benchmark are plain lower-case words without digits, so all of them are conceptual."""
     words = "len(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> ''))"
     overlap = f"AND (len(terms) = 0 OR len(list_filter(terms, lambda t: contains({_LOWPATH}, t) OR contains({LOWERED.format('content')}, t) OR contains({LOWERED.format(chr(99) + 'oalesce(symbol, ' + chr(39) * 2 + ')')}, t))) > 0)" if batch else ""
@@ -195,7 +195,7 @@ def _hybrid_sql(batch: bool) -> str:
     boost = f"""(CASE WHEN chunk_type = 'function' THEN 1.18 ELSE 1.0 END * CASE WHEN documented THEN 1.1 ELSE 1.0 END)::DOUBLE"""
     bonus = f"""(CASE WHEN len(list_filter(terms, lambda t: contains({_LOWPATH}, t))) > 0 THEN {GENERAL.path_boost} + CASE WHEN ends_with(file_path, '.yaml') THEN {GENERAL.yaml_boost} ELSE 0 END ELSE 0 END
       + CASE WHEN len(list_filter(terms, lambda t: contains({LOWERED.format('symbol')}, t))) > 0 THEN {GENERAL.symbol_boost} ELSE 0 END)::DOUBLE"""
-    return f"""WITH {_CHUNKS}, {QUERY_TABLE}, {_TERMS}, ok AS (SELECT item FROM chunks WHERE NOT {rejected}),
+    return f"""WITH {chunks}, {queries}, {_TERMS}, ok AS (SELECT item FROM chunks WHERE NOT {rejected}),
   q AS (SELECT query_id, e.embedding AS q FROM queries JOIN embeddings e ON e.vec_id = query_id AND e.embedding IS NOT NULL),
   wt AS (SELECT query_id, CASE WHEN {words} >= 4 THEN 0.9 ELSE 0.8 END::DOUBLE AS w_sem, CASE WHEN {words} >= 4 THEN 0.1 ELSE 0.2 END::DOUBLE AS w_fuz FROM queries),
   sm AS (SELECT * FROM ({_topk_sql('embedding', 'q.q', 60)}) SEMI JOIN ok USING (item)), {_FUZZY},
@@ -233,6 +233,6 @@ ORACLE_SQL = {
     "round_robin_related": """WITH r AS (SELECT l_suppkey % 5 AS query_id, l_suppkey AS primary_rank, CASE l_linenumber WHEN 1 THEN 'Calls' WHEN 2 THEN 'Extends' ELSE 'TestedBy' END AS relation, l_orderkey * 10 + l_linenumber AS related_id, l_extendedprice AS relevance FROM lineitem),
         c AS (SELECT *, row_number() OVER (PARTITION BY query_id, primary_rank, relation ORDER BY relevance DESC, related_id) AS n FROM r), k AS (SELECT * FROM c WHERE n <= CASE relation WHEN 'Calls' THEN 6 WHEN 'Extends' THEN 3 ELSE 2 END),
         t AS (SELECT *, row_number() OVER (PARTITION BY query_id, primary_rank ORDER BY relevance DESC, related_id) - 1 AS turn FROM k) SELECT query_id, primary_rank, relation, related_id, turn FROM t WHERE turn < 8""",
-    "hybrid_search": _hybrid_sql(False),
-    "hybrid_batch": _hybrid_sql(True),
+    "hybrid_search": hybrid_sql(False),
+    "hybrid_batch": hybrid_sql(True),
 }

@@ -11,10 +11,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text, vectors
-from tessera.operators import anchors, chunking, graph, lines, orient, packing, ranking, retrieval, vector
+from tessera.operators import anchors, chunking, evaluate, graph, lines, orient, packing, ranking, retrieval, routed, vector
 from tessera.profile import GENERAL, BARE, PathRule, load_profile
 from tessera.sources import files as sources
-from tessera.sources import sinks
+from tessera.sources import sinks, stores
 from tessera.streaming import debounce
 
 PYTHON = '''import os, sys
@@ -275,16 +275,24 @@ def test_anchor_is_within_the_query(query):
 def test_directives():
     d = anchors.parse_directives("deep k:3 in:src not:src/x fp:*.rs where is it lit:a: b c")
     assert (d.mode, d.k, d.include, d.exclude, d.pattern, d.text, d.literal) == ("deep", 3, ["src"], ["src/x"], "*.rs", "where is it", "a: b c")
-    assert anchors.parse_directives("index:5s x").index_ms == 5000 and anchors.symbol_anchor("find get_user2 here") == "get_user2"
+    assert anchors.parse_directives("index:5s x").index_ms == 5000
+
+
+def test_symbol_anchor(spark):
+    cases = {"find get_user2 here": "get_user2", "what does `Foo::barBaz()` do": "barBaz", "plain words only": None, "aB cD": "aB", "ABC x1": "x1", "": None}
+    rows = spark.createDataFrame(list(cases.items()), "query string, wanted string").select("query", "wanted", anchors.symbol_anchor(F.col("query")).alias("found")).collect()
+    assert [(r.query, r.found) for r in rows] == [(r.query, r.wanted) for r in rows]
 
 
 def test_direct_matches(spark):
     files = spark.createDataFrame([("src/a/b.rs",), ("x/a/b.rs",), ("src/a/bb.rs",)], "file_path string")
-    queries = spark.createDataFrame([(1, "a/b.rs"), (2, "src/a/b.rs"), (3, "bb.r"), (4, "no words")], "query_id int, query string")
-    assert {(r.query_id, r.file_path, r.tier) for r in anchors.direct_paths(files, queries).collect()} == {(1, "src/a/b.rs", 1), (1, "x/a/b.rs", 1), (2, "src/a/b.rs", 0), (3, "src/a/bb.rs", 2)}
-    chunks = spark.createDataFrame([(1, "s/mod.rs", "Engine"), (2, "s/engine.rs", "run"), (3, "t/x.rs", "run")], "item int, file_path string, symbol string")
+    queries = spark.createDataFrame([(1, "a/b.rs"), (2, "src/a/b.rs"), (3, "bb.r"), (4, "no words"), (5, " './X\\A\\B.rs' "), (6, "/b")], "query_id int, query string")
+    found = {(r.query_id, r.file_path, r.tier) for r in anchors.direct_paths(files, queries).collect()}
+    # a suffix need not start at a directory
+    assert found == {(1, "src/a/b.rs", 1), (1, "x/a/b.rs", 1), (2, "src/a/b.rs", 0), (3, "src/a/bb.rs", 2), (5, "x/a/b.rs", 0), (6, "src/a/b.rs", 2), (6, "x/a/b.rs", 2), (6, "src/a/bb.rs", 2)}
+    chunks = spark.createDataFrame([(1, "s/mod.rs", "Engine"), (2, "s/engine.rs", "run"), (3, "t/x.rs", "run"), (4, "s/engine.rs", None)], "item int, file_path string, symbol string")
     asked = spark.createDataFrame([(1, "engine"), (2, "RUN")], "query_id int, query string")
-    assert {(r.query_id, r.item) for r in anchors.direct_symbols(chunks, asked).collect()} == {(1, 2), (2, 2), (2, 3)}
+    assert {(r.query_id, r.item) for r in anchors.direct_symbols(chunks, asked).collect()} == {(1, 2), (1, 4), (2, 2), (2, 3)}
 
 
 def test_guard_and_focus(spark):
@@ -403,3 +411,70 @@ def test_memory_rank_equals_brute_force(spark):
     candidates = spark.createDataFrame(records, "conv_id int, turn int, kind string, text string")
     queries = spark.createDataFrame(list(asked.items()), "query_id int, terms array<string>")
     assert {tuple(r) for r in packing.memory_rank(candidates, queries, priority).collect()} == expected
+
+
+def test_routed_search(spark):
+    chunks = spark.createDataFrame(
+        [(1, "a/x.rs", "Engine", "fn engine", "function"), (2, "a/x.rs", "run_it", "fn run_it", "function"), (3, "b/y.md", None, "engine words", None)],
+        "item long, file_path string, symbol string, content string, chunk_type string",
+    ).withColumns({"documented": F.lit(False), "in_context": F.lit(False)})
+    embed = vectors.stub_embed(8)
+    stored = chunks.select("item", embed(F.col("content")).alias("embedding"))
+    asked = spark.createDataFrame([(1, "a/x.rs"), (2, "how does run_it() work"), (3, " Engine "), (4, "engine words")], "query_id long, query string")
+    found = routed.routed_search(chunks, stored, asked, embed, profile=BARE).collect()
+    assert {(r.query_id, r.item, r.rank, r.route) for r in found if r.query_id < 4} == {(1, 1, 0, "path"), (1, 2, 1, "path"), (2, 2, 0, "anchor"), (3, 1, 0, "symbol")}
+    assert {r.route for r in found if r.query_id == 4} == {"ranked"}
+    with pytest.raises(Exception, match="empty query"):
+        routed.trimmed(spark.createDataFrame([(1, " ")], "query_id int, query string")).collect()
+
+
+def test_search_by_text(spark):
+    embed = vectors.stub_embed(16)
+    words = ["search", "store build", "nothing"]
+    stored = spark.createDataFrame(list(enumerate(words)), "vec_id int, w string").select("vec_id", embed(F.col("w")).alias("embedding"))
+    asked = spark.createDataFrame([(7, "search")], "query_id int, query string")
+    # the expansion of a query is what is embedded
+    q = np.float32(vectors.stub_vector("search find query lookup retrieve", 16)).astype(float)
+    scores = [float(q @ np.float32(vectors.stub_vector(w, 16)).astype(float)) for w in words]
+    best = sorted(range(3), key=lambda i: (-scores[i], i))[:2]
+    assert [r.item for r in routed.search_by_text(stored, asked, embed, 2).orderBy("rank").collect()] == best
+
+
+def test_graph_context_and_impact(spark):
+    nodes = spark.createDataFrame([("a1", "f"), ("a2", "f"), ("b", "g"), ("c", "h")], "node string, name string")
+    edges = spark.createDataFrame([("a2", "b", "Calls"), ("b", "c", "Calls"), ("a1", "c", "Calls")], "src string, dst string, rel string")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    assert {tuple(r) for r in graph.context_nodes(nodes, edges, names("f"), 1).collect()} == {("f", "a2"), ("f", "b")}
+    with pytest.raises(Exception, match="unknown symbol nope"):
+        graph.context_nodes(nodes, edges, names("nope"), 1).collect()
+    place = "start int, file_path string, line int"
+    used, hits = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "b", 2)], place), spark.createDataFrame([(1, "a", 1), (1, "c", 3), (1, "d", 4), (2, "z", 9)], place)
+    # two places are left for texts; the first occurrence is known already
+    assert {tuple(r) for r in graph.usages_with_text(used, hits, 4).collect()} == {(1, "a", 1, "graph"), (1, "b", 2, "graph"), (1, "c", 3, "text"), (2, "z", 9, "text")}
+    assert {tuple(r) for r in graph.usages_with_text(used, hits, 1).where("start = 1").collect()} == {(1, "a", 1, "graph")}
+
+
+def test_doc_store(spark):
+    embed = vectors.stub_embed(4)
+    store = spark.createDataFrame([("a", "h1", [1.0, 0.0, 0.0, 0.0]), ("gone", "h", [0.0, 1.0, 0.0, 0.0])], "node string, doc_hash string, vector array<float>")
+    docs = spark.createDataFrame([("a", "same", "h1"), ("b", "new", "h2")], "node string, doc string, doc_hash string")
+    now = graph.update_doc_store(store, docs, embed)
+    assert {(r.node, r.reused) for r in now.collect()} == {("a", True), ("b", False)}
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "query_id int, q array<float>")
+    assert graph.search_doc_store(now, asked, 1).first().item == "a"
+
+
+def test_vector_scan(spark):
+    chunks = spark.createDataFrame([(1, "a"), (2, "b")], "item int, file_path string")
+    scan = lambda *rows: stores.vector_scan(spark.createDataFrame(list(rows), "item int, embedding array<float>"), chunks, 2)
+    assert [(r.item, r.file_path) for r in scan((1, [0.0, 1.0]), (9, [1.0, 1.0])).collect()] == [(1, "a")]
+    for broken in ([1.0], None, [1.0, None], [1.0, float("nan")]):
+        with pytest.raises(Exception, match="corrupt vector 2"):
+            scan((2, broken)).collect()
+
+
+def test_summaries_of_nothing(spark):
+    none = spark.createDataFrame([], "latency_ms long, bytes long, anchor_hit boolean")
+    assert tuple(evaluate.run_summary(none).first()) == (0.0, 0, 0, 0.0, 0, 0, 0, 0.0)
+    none = spark.createDataFrame([], "baseline_ms double, context_ms double, overlap double, related double")
+    assert tuple(evaluate.compare_summary(none).first()) == (0.0, 0.0, 0.0, 0.0)
