@@ -110,22 +110,32 @@ def memory_rank(candidates: DataFrame, queries: DataFrame, priority: dict[str, i
     return capped.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "conv_id", "turn", "rank")
 
 
-def shrink_to(value: dict[str, Any], items: str, max_chars: int) -> dict[str, Any]:
-    """Pops items from a list in `value` until its JSON fits, with used_chars as what that JSON has; too small a budget is an error."""
-    out = value | {items: list(value[items]), "truncated": False}
-    while True:
-        out["used_chars"] = 0
-        for _ in range(8):
-            size = len(json.dumps(out, ensure_ascii=False))
-            if out["used_chars"] == size:
-                break
-            out["used_chars"] = size
-        if out["used_chars"] <= max_chars:
-            return out
-        if not out[items]:
+def json_chars(value: dict[str, Any]) -> int:
+    """Characters of a value's JSON; its used_chars is set such that it counts itself."""
+    value["used_chars"] = 0
+    for _ in range(8):
+        size = len(json.dumps(value, ensure_ascii=False))
+        if value["used_chars"] == size:
+            break
+        value["used_chars"] = size
+    return value["used_chars"]
+
+
+def fit(value: dict[str, Any], lists: list[tuple[str, int]], max_chars: int) -> dict[str, Any]:
+    """Pops items from lists in `value` until its JSON fits, from the first list that has more than its least number; too small a budget is an error."""
+    out = value | {name: list(value[name]) for name, _ in lists} | {"truncated": False}
+    while json_chars(out) > max_chars:
+        name = next((name for name, least in lists if len(out[name]) > least), None)
+        if name is None:
             raise ValueError(f"a budget of {max_chars} characters is too small")
-        out[items].pop()
+        out[name].pop()
         out["truncated"] = True
+    return out
+
+
+def shrink_to(value: dict[str, Any], items: str, max_chars: int) -> dict[str, Any]:
+    """Pops items from one list in `value` until its JSON fits, with used_chars as what that JSON has."""
+    return fit(value, [(items, 0)], max_chars)
 
 
 def encode_cursor(cursor: dict) -> str:

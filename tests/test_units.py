@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text, vectors
-from tessera.operators import anchors, chunking, evaluate, graph, lines, orient, packing, ranking, retrieval, routed, vector
+from tessera.operators import actions, anchors, chunking, evaluate, graph, lines, orient, packing, ranking, retrieval, routed, vector
 from tessera.profile import GENERAL, BARE, PathRule, load_profile
 from tessera.sources import files as sources
 from tessera.sources import sinks, stores
@@ -478,3 +478,72 @@ def test_summaries_of_nothing(spark):
     assert tuple(evaluate.run_summary(none).first()) == (0.0, 0, 0, 0.0, 0, 0, 0, 0.0)
     none = spark.createDataFrame([], "baseline_ms double, context_ms double, overlap double, related double")
     assert tuple(evaluate.compare_summary(none).first()) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_task_pack(spark):
+    rows = [(1, 0, "primary", "b.rs", "run", None, None), (1, 1, "primary", "a.rs", "", None, None), (1, 2, "primary", "b.rs", None, None, None), (1, 3, "related", "c.rs", "use_it", "Calls", 1)]
+    pack = spark.createDataFrame(rows, "query_id int, position int, role string, file_path string, symbol string, relation string, distance int")
+    assert [r.why for r in actions.task_items(pack).orderBy("position").collect()] == [
+        ["Primary match", "Symbol: run"], ["Primary match"], ["Primary match"], ["Related context", "Symbol: use_it", "Relationship: Calls", "Graph distance: 1"],
+    ]
+    intents = spark.createDataFrame([(1, " fix it "), (2, "other")], "query_id int, query string")
+    found = {r.query_id: (r.digest, r.next_files) for r in actions.task_pack(pack, intents).collect()}
+    assert found == {1: ("Intent: fix it. Pack: 3 primary / 1 related. Top files: b.rs, a.rs.", ["b.rs", "a.rs"]), 2: ("Intent: other. Pack: 0 primary / 0 related.", [])}
+    with pytest.raises(Exception, match="empty query"):
+        actions.task_pack(pack, spark.createDataFrame([(1, None)], "query_id int, query string")).collect()
+
+
+def test_onboarding_pack(spark):
+    files = spark.createDataFrame([("README.md", "hello\nworld"), ("docs/a.md", "x" * 50), ("src/m.py", "1\n2\n3")], "file_path string, content string")
+    chunks = spark.createDataFrame([("src/m.py", 1, 3), ("docs/a.md", 1, 1)], "file_path string, start_line int, end_line int")
+    full = actions.onboarding_pack(chunks, files, ["docs/a.md", "none.md", "README.md"], ["search", "map"])
+    assert [d["file_path"] for d in full["docs"]] == ["docs/a.md", "README.md"] and [m["directory"] for m in full["map"]] == ["src", "docs"] and not full["truncated"]
+    kept = lambda n: [len((out := actions.onboarding_pack(chunks, files, ["docs/a.md", "README.md"], ["search", "map"], max_chars=n))[k]) for k in ("map", "next_actions", "docs")] + [out["truncated"]]
+    size = full["used_chars"]
+    assert kept(size) == [2, 2, 2, False] and kept(size - 1) == [1, 2, 2, True]
+    lean = len(json.dumps(full | {"map": [], "next_actions": ["search"]}))
+    assert kept(lean)[:3] == [0, 1, 2] and kept(lean - 10)[:3] == [0, 1, 1] and kept(110) == [0, 1, 0, True]
+    with pytest.raises(ValueError):
+        kept(10)
+
+
+def test_batch(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "n int, s string")
+    known = {"rows": lambda least: table.where(F.col("n") >= least), "echo": lambda x: x, "fail": lambda: 1 / 0}
+    items = [
+        {"id": " one ", "action": "rows", "payload": {"least": 2}}, {"id": "two", "action": "echo", "payload": {"x": {"$ref": "#/items/one/data/0/s"}}}, {"id": "", "action": "echo"},
+        {"id": "one", "action": "echo", "payload": {"x": 1}}, {"id": "in", "action": "batch"}, {"id": "bad", "action": "fail"}, {"id": "what", "action": "nothing"}, {"id": "end", "action": "echo", "payload": {"x": 5}},
+    ]
+    out = actions.run_batch(items, known)
+    assert [(i["id"], i["status"]) for i in out["items"]] == [("one", "ok"), ("two", "ok"), ("", "error"), ("one", "error"), ("in", "error"), ("bad", "error"), ("what", "error"), ("end", "ok")]
+    assert out["items"][0]["data"] == [{"n": 2, "s": "b"}] and out["items"][1]["data"] == "b" and out["used_chars"] == len(json.dumps(out, ensure_ascii=False))
+    assert len(actions.run_batch(items, known, stop_on_error=True)["items"]) == 3
+    short = actions.run_batch(items, known, max_chars=200)
+    assert short["truncated"] and len(short["items"]) < 8 and len(json.dumps(short)) <= 200
+    with pytest.raises(ValueError):
+        actions.run_batch(items, known, max_chars=5)
+
+
+def test_read_pack(spark):
+    intents = {
+        "file": {"file": "a.rs"}, "grep": {"pattern": "x", "file": "a.rs"}, "query": {"query": "find words"}, "onboarding": {"query": "how to run it"}, "recall": {"questions": ["", "who calls it"]}, "memory": {},
+    }
+    assert {name: actions.read_intent(r) for name, r in intents.items()} == {name: name for name in intents}
+    assert actions.read_intent({"cursor": packing.encode_cursor({"tool": "rg"}), "query": "x"}) == "grep"
+    with pytest.raises(ValueError):
+        actions.read_intent({"cursor": packing.encode_cursor({"tool": "ls"})})
+    rows = spark.range(100).orderBy("id")
+    out = actions.read_pack({"pattern": "x"}, {"grep": lambda _: rows}, 300)
+    assert out["intent"] == "grep" and out["truncated"] and [r["id"] for r in out["items"]] == list(range(len(out["items"])))
+
+
+def test_gates(spark):
+    assert actions.freshness_gate(True, [], "fail") == [] and len(actions.freshness_gate(True, ["mtime"], "warn")) == 1
+    assert actions.freshness_gate(False, [], "auto", lambda: (True, [])) == []
+    for state in ((False, [], "warn"), (True, ["mtime"], "fail"), (False, [], "auto")):
+        with pytest.raises(LookupError):
+            actions.freshness_gate(*state)
+    assert actions.run_within(spark, 60, lambda check: spark.range(5).count()) == 5
+    with pytest.raises(TimeoutError):
+        actions.run_within(spark, 0.3, lambda check: spark.range(0, 10**12, 1, 4).selectExpr("sum(hash(id))").collect())
+    assert spark.range(3).count() == 3
