@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.bit_sliced import OP8_SQL, op8_bit_sliced_topk
 from tessera.llm.chat import OP4_SQL, op4_chat_formatting
 from tessera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tessera.llm.itemsets import OP12_SQL, op12_itemsets
 from tessera.llm.mixing import OP6_SQL, op6_mixing
 from tessera.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from tessera.llm.pieces import op9_sentencepiece
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bit_sliced_topk": op8_bit_sliced_topk,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_qda": op10_quality_qda,
+    "op12_itemsets": op12_itemsets,
 }
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op6_mixing": OP6_SQL,
     "op7_warc": OP7_SQL,
     "op8_bit_sliced_topk": OP8_SQL,
+    "op12_itemsets": OP12_SQL,
 }
