@@ -8,6 +8,7 @@ from tessera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tessera.llm.itemsets import OP12_SQL, op12_itemsets
 from tessera.llm.mixing import OP6_SQL, op6_mixing
 from tessera.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
+from tessera.llm.phrases import OP13_SQL, op13_phrases
 from tessera.llm.pieces import op9_sentencepiece
 from tessera.llm.quality import op10_quality_qda
 from tessera.llm.secrets import OP5_SQL, op5_secret_scans
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_qda": op10_quality_qda,
     "op12_itemsets": op12_itemsets,
+    "op13_phrases": op13_phrases,
 }
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
@@ -36,4 +38,5 @@ ORACLE_SQL = {
     "op7_warc": OP7_SQL,
     "op8_bit_sliced_topk": OP8_SQL,
     "op12_itemsets": OP12_SQL,
+    "op13_phrases": OP13_SQL,
 }
