@@ -27,6 +27,10 @@ DEPTH, LEAST = 4, 30
 TOP, SUBSUMED = 2000, 80
 #: Words of a shard, and bytes of text for each range of hashes of word pairs.
 SHARD_WORDS, RANGE_BYTES = 250_000, 8_000_000
+#: Distinct words whose counts a task adds up before it writes them.
+HELD_WORDS = 1_000_000
+#: Parts of a language that find their first phrases apart.
+RANK_PARTS = 64
 
 #: By byte: 0 belongs to a word, 1 ends it, 2 also ends the piece.
 _KIND = np.zeros(256, np.uint8)
@@ -73,24 +77,64 @@ class Shard:
         seed = xxhash.xxh3_64_intdigest(self.lang)
         return np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.vocabulary.to_pylist()], np.uint64)
 
-    def hashes(self) -> np.ndarray:
-        """For each word a 48-bit hash of it and the word before, in the upper bits; 0 where it begins a piece."""
+    def hashes(self, k: int) -> np.ndarray:
+        """For each word a 48-bit hash of the k words that end with it, in the upper bits; 0 where a piece begins among them."""
         own = self.word_hashes()[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
-        pairs = np.zeros(len(own), np.uint64)
-        pairs[1:] = (_scattered(own[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:]) | np.uint64(1 << 16)) & np.uint64(0xFFFFFFFFFFFF0000)
-        pairs[self.new] = 0
-        return pairs
+        mixed = np.zeros(len(own), np.uint64)
+        whole = np.zeros(len(own), bool)
+        whole[k - 1 :] = True
+        for back in reversed(range(k)):
+            mixed[k - 1 :] = _scattered(mixed[k - 1 :] * np.uint64(0x9E3779B97F4A7C15) + own[k - 1 - back : len(own) - back])
+            if back < k - 1:
+                whole[k - 1 :] &= ~self.new[k - 1 - back : len(own) - back]
+        return np.where(whole, (mixed | np.uint64(1 << 16)) & np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0))
+
+    def live(self, k: int, often: list[bytes]) -> np.ndarray:
+        """For each word whether the k words that end with it have one of these hashes."""
+        often = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_whole(x, 6, "<u8") for x in often)]))
+        own = self.hashes(k) >> np.uint64(16)
+        if not len(often):
+            return np.zeros(len(own), bool)
+        return (own > 0) & (often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own)
+
+    def rows(self, name: str, k: int, parts: int) -> Iterator[tuple]:
+        """The shard, and for each range of hashes those of its substrings of k words."""
+        words = b"\n".join(self.vocabulary.to_pylist())  # words hold no line break
+        yield self.lang, name, None, len(self.ids), _planes(self.ids.astype(np.int32), 4), np.packbits(self.new).tobytes(), words, None, None
+        found = self.hashes(k)
+        found, n = np.unique(found[found > 0], return_counts=True)
+        found = found >> np.uint64(16)
+        of = ((found >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash
+        first = np.flatnonzero(np.diff(of, prepend=np.uint64(2**63)))
+        for a, b in zip(first, np.append(first[1:], len(found))[: len(first)], strict=True):
+            yield self.lang, name, int(of[a]), None, None, None, None, _planes(found[a:b], 6), _planes(n[a:b].astype(np.uint32), 4)
+
+    @classmethod
+    def read(cls, rows: list[dict]) -> tuple[Shard, list[bytes]]:
+        """A shard, and the hashes sent back to it, from the rows with its name."""
+        row = next(r for r in rows if r["ids"] is not None)
+        ids = _whole(row["ids"], 4, "<i4").astype(np.int64)
+        new = np.unpackbits(np.frombuffer(row["new"], np.uint8), count=len(ids)).astype(bool)
+        vocabulary = pa.array(row["words"].split(b"\n") if len(ids) else [], pa.binary())
+        return cls(row["lang"], ids, new, vocabulary), [r["hashes"] for r in rows if r["ids"] is None]
+
+    def runs(self, live: np.ndarray) -> Shard:
+        """The words that are in live pairs only; a run of them is a piece."""
+        kept = live.copy()
+        kept[:-1] |= live[1:]
+        names, ids = np.unique(self.ids[kept], return_inverse=True)
+        return Shard(self.lang, ids, ~live[kept], self.vocabulary.take(pa.array(names)))
 
 
 class SuffixAutomaton:
     """Generalised suffix automaton of a shard's pieces, for substrings of up to `depth` words.
 
-    Only pairs of neighbours in `live` are walked; all others are taken as borders. Level k
+    Words that are `new` begin a piece. Three words are walked only where their last one is in `live`, if given. Level k
     has the substrings of k words by number, each with its endpos count, one of its ends, and its link: the
     number of its suffix of k - 1 words on the level before.
     """
 
-    def __init__(self, ids: np.ndarray, live: np.ndarray, words: int, depth: int = DEPTH) -> None:
+    def __init__(self, ids: np.ndarray, new: np.ndarray, words: int, depth: int = DEPTH, live: np.ndarray | None = None) -> None:
         self.ids = ids
         self.counts = [np.bincount(ids, minlength=words)]
         self.ends = [np.zeros(words, np.int64)]
@@ -98,8 +142,10 @@ class SuffixAutomaton:
         self.links = [np.zeros(words, np.int64)]
         ends, state = np.arange(len(ids)), ids
         for k in range(2, depth + 1):
-            # a substring of k words ends where one of k - 1 ends, if its first word is a live pair with the word before
-            more = (ends >= k - 1) & live[np.maximum(ends - (k - 2), 0)]
+            # a substring of k words ends where one of k - 1 ends, if the first of those doesn't begin a piece
+            more = (ends >= k - 1) & ~new[np.maximum(ends - (k - 2), 0)]
+            if live is not None and k > 2:
+                more &= live[np.maximum(ends - (k - 3), 0)]
             ends, state = ends[more], state[more]
             codes, at, own, n = np.unique(state * words + ids[ends - (k - 1)], return_index=True, return_inverse=True, return_counts=True)
             self.links.append(codes // max(words, 1))
@@ -137,44 +183,56 @@ def _whole(data: bytes, width: int, kind: str) -> np.ndarray:
     return out.view(kind).ravel()
 
 
+def batch_of(rows: list[tuple], schema: pa.Schema = SHARDS_ARROW) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def _shards(parts: int):  # noqa: ANN202
-    """Cuts texts into shards; a shard is a row with its words (which hold no line break), and for each range of hashes a row with those of its pairs."""
+    """Cuts texts into shards; a shard has a row, and for each range of hashes one with those of its pairs; so have the words of a task."""
+
+    words: dict[str, list[pa.Table]] = {}
 
     def cut(lang: str, pieces: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        words = pa.concat_arrays([w for w, _ in pieces]).dictionary_encode()
-        ids = words.indices.to_numpy().astype(np.int32)
-        shard = Shard(lang, ids, np.concatenate([n for _, n in pieces]), words.dictionary)
-        name = uuid.uuid4().hex
-        row = (lang, name, None, len(ids), _planes(ids, 4), np.packbits(shard.new).tobytes(), b"\n".join(words.dictionary.to_pylist()), None, None)
-        pairs = shard.hashes()
-        pairs, n = np.unique(pairs[pairs > 0], return_counts=True)
-        pairs = pairs >> np.uint64(16)
-        of = ((pairs >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash
-        first = np.flatnonzero(np.diff(of, prepend=np.uint64(2**63)))
-        rows = [
-            (lang, name, int(of[a]), None, None, None, None, _planes(pairs[a:b], 6), _planes(n[a:b].astype(np.uint32), 4))
-            for a, b in zip(first, np.append(first[1:], len(pairs)), strict=True)
-        ]
-        for some in ([row], rows):
-            if some:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), SHARDS_ARROW.types, strict=True)], schema=SHARDS_ARROW)
+        coded = pa.concat_arrays([w for w, _ in pieces]).dictionary_encode()
+        ids = coded.indices.to_numpy().astype(np.int32)
+        shard = Shard(lang, ids, np.concatenate([n for _, n in pieces]), coded.dictionary)
+        words.setdefault(lang, []).append(pa.table({"word": coded.dictionary, "n": np.bincount(ids, minlength=len(coded.dictionary))}))
+        yield batch_of(list(shard.rows(uuid.uuid4().hex, 2, parts)))
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        """What `words` holds, summed, in ranges of the words' hashes."""
+        for lang, some in words.items():
+            found = pa.concat_tables(some).group_by("word").aggregate([("n", "sum")])
+            word, n = found.column("word").combine_chunks(), found.column("n_sum").to_numpy()
+            seed = xxhash.xxh3_64_intdigest(lang)
+            of = np.array([xxhash.xxh3_64_intdigest(w, seed) % parts for w in word.to_pylist()], np.int64)
+            order = np.argsort(of, kind="stable")
+            word, n, of = word.take(pa.array(order)).to_pylist(), n[order], of[order]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            rows = [(lang, None, int(of[a]), None, None, None, b"\n".join(word[a:b]), None, _planes(n[a:b], 8)) for a, b in zip(first, np.append(first[1:], len(of)), strict=True)]
+            yield batch_of(rows)
+        words.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.clear()
         held: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
         total = 0
         for batch in batches:
             for lang in batch.column("lang").unique().to_pylist():
-                words, new = words_of(batch.filter(pc.equal(batch.column("lang"), lang)).column("text"))
-                for at in range(0, len(words), SHARD_WORDS):  # a cut is put where a piece begins, so long pieces make longer shards
-                    held.setdefault(lang, []).append((words.slice(at, SHARD_WORDS), new[at : at + SHARD_WORDS]))
+                own, new = words_of(batch.filter(pc.equal(batch.column("lang"), lang)).column("text"))
+                for at in range(0, len(own), SHARD_WORDS):  # a cut is put where a piece begins, so long pieces make longer shards
+                    held.setdefault(lang, []).append((own.slice(at, SHARD_WORDS), new[at : at + SHARD_WORDS]))
                     total += len(held[lang][-1][1])
                     rest = new[at + SHARD_WORDS :]
                     if total >= SHARD_WORDS and (not len(rest) or rest[0]):
                         for name, pieces in held.items():
                             yield from cut(name, pieces)
                         held, total = {}, 0
+                        if sum(x.num_rows for some in words.values() for x in some) >= HELD_WORDS:
+                            yield from counted()
         for name, pieces in held.items():
             yield from cut(name, pieces)
+        yield from counted()
 
     return run
 
@@ -197,30 +255,47 @@ def _frequent(least: int):  # noqa: ANN202
     return run
 
 
+def _words(least: int):  # noqa: ANN202
+    """Sums the words of a range of hashes over all tasks: lang, word, count of those that are frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in arrow_groups(batches, "part"):
+            for lang in group.column("lang").unique().to_pylist():
+                own = group.filter(pc.equal(group.column("lang"), lang))
+                word = pa.array([w for x in own.column("words").to_pylist() for w in x.split(b"\n")], pa.binary())
+                n = np.concatenate([_whole(x, 8, "<i8") for x in own.column("counts").to_pylist()])
+                found = pa.table({"word": word, "n": n}).group_by("word").aggregate([("n", "sum")])
+                found = found.filter(pc.greater_equal(found.column("n_sum"), least))
+                phrase = found.column("word").cast(pa.string()).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(phrase)), phrase, found.column("n_sum").combine_chunks()], ["lang", "phrase", "f"])
+
+    return run
+
+
+def _runs(parts: int):  # noqa: ANN202
+    """Cuts shards down to what is in frequent pairs, again with the hashes of their substrings, now of three words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, group in arrow_groups(batches, "shard"):
+            shard, often = Shard.read(group.to_pylist())
+            yield batch_of(list(shard.runs(shard.live(2, often)).rows(name, 3, parts)))
+
+    return run
+
+
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The states of each shard's automaton over its frequent pairs: lang, longest phrase, its words, words of the shortest, count."""
+    """The states of each shard's automaton, from two words on: lang, longest phrase, its words, words of the shortest, count."""
     for _, group in arrow_groups(batches, "shard"):
-        rows = group.to_pylist()
-        row = next(r for r in rows if r["ids"] is not None)
-        ids = _whole(row["ids"], 4, "<i4").astype(np.int64)
-        vocabulary = pa.array(row["words"].split(b"\n") if len(ids) else [], pa.binary())
-        new = np.unpackbits(np.frombuffer(row["new"], np.uint8), count=len(ids)).astype(bool)
-        shard = Shard(row["lang"], ids, new, vocabulary)
-        often = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_whole(r["hashes"], 6, "<u8") for r in rows if r["ids"] is None)]))
-        pairs = shard.hashes()
-        live = np.zeros(len(ids), bool)
-        if len(often):
-            at = np.minimum(np.searchsorted(often, pairs >> np.uint64(16)), len(often) - 1)
-            live = (pairs > 0) & (often[at] == pairs >> np.uint64(16))
-        text = vocabulary.cast(pa.string())
-        for ends, shortest, n, k in SuffixAutomaton(ids, live, len(vocabulary)).states():
-            if len(ends):
-                parts = [text.take(pa.array(ids[ends - back])) for back in reversed(range(k))]
-                phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
+        shard, often = Shard.read(group.to_pylist())
+        text, ids = shard.vocabulary.cast(pa.string()), shard.ids
+        for ends, shortest, n, k in SuffixAutomaton(ids, shard.new, len(text), live=shard.live(3, often)).states():
+            if k > 1 and len(ends):
+                phrase = pc.binary_join_element_wise(*(text.take(pa.array(ids[ends - back])) for back in reversed(range(k))), " ")
+                shortest = np.maximum(shortest, 2)  # words are counted apart
                 for a in range(0, len(ends), 20_000):
                     own = slice(a, a + 20_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(pa.scalar(row["lang"]), len(ends[own])), phrase.slice(a, 20_000), pa.repeat(pa.scalar(k, pa.int32()), len(ends[own])), pa.array(shortest[own], pa.int32()), pa.array(n[own], pa.int64())],
+                        [pa.repeat(pa.scalar(shard.lang), len(ends[own])), phrase.slice(a, 20_000), pa.repeat(pa.scalar(k, pa.int32()), len(ends[own])), pa.array(shortest[own], pa.int32()), pa.array(n[own], pa.int64())],
                         ["lang", "phrase", "words", "shortest", "n"],
                     )
 
@@ -230,9 +305,10 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     * A null text is empty, a null language is `und`; rows that repeat are further occurrences; an empty table gives empty results.
       Texts may have any length; other columns are not read.
-    * Texts are read once. Hashes of neighbouring words are summed by ranges of the hash, of which there are the more the more text there is;
-      what is frequent goes back to the shards that have it, so that their automata walk few words. Hashes only widen what is
-      walked: counts are of the phrases themselves. A word that all documents share is one row of each shard, in any range.
+    * Texts are read once. Hashes of two neighbouring words, then of three, are summed by ranges of the hash, of which there are the more the more
+      text there is; what is frequent goes back to the shards that have it, so that their automata walk few words. Hashes only widen what is
+      walked: counts are of the phrases themselves. Words are added up in each task and then by ranges of their hash, so that one
+      that all documents share is one entry of each task.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -240,18 +316,25 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + total // RANGE_BYTES
     shards = materialize(rows.mapInArrow(bounded(_shards(parts)), SHARDS), "phrase-shards", compression="zstd")
-    pairs = shards.where("hashes IS NOT NULL").select("part", "shard", "hashes", "counts")
-    often = pairs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(bounded(_frequent(least)), "shard string, hashes binary")
+    words = shards.where("words IS NOT NULL AND ids IS NULL").select("part", "lang", "words", "counts")
+    single = words.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(bounded(_words(least)), "lang string, phrase string, f long")
     none = lambda name: F.lit(None).cast(shards.schema[name].dataType).alias(name)
-    whole = shards.where("ids IS NOT NULL").select("shard", "lang", "ids", "new", "words", "hashes").unionByName(
-        often.select("shard", *map(none, ("lang", "ids", "new", "words")), "hashes")
-    )
-    states = whole.repartition("shard").sortWithinPartitions("shard").mapInArrow(bounded(_phrases), "lang string, phrase string, words int, shortest int, n long")
+
+    def with_frequent(shards: DataFrame) -> DataFrame:
+        """Shards with the frequent ones of their hashes, by name."""
+        sent = shards.where("hashes IS NOT NULL").select("part", "shard", "hashes", "counts").repartition(parts, "part").sortWithinPartitions("part")
+        often = sent.mapInArrow(bounded(_frequent(least)), "shard string, hashes binary")
+        own = shards.where("ids IS NOT NULL").select("shard", "lang", "ids", "new", "words", none("hashes"))
+        return own.unionByName(often.select("shard", *map(none, ("lang", "ids", "new", "words")), "hashes")).repartition("shard").sortWithinPartitions("shard")
+
+    runs = materialize(with_frequent(shards).mapInArrow(bounded(_runs(parts)), SHARDS), "phrase-runs", compression="zstd")
+    states = with_frequent(runs).mapInArrow(bounded(_phrases), "lang string, phrase string, words int, shortest int, n long")
     suffixes = F.when(F.col("shortest") == F.col("words"), F.array("words")).otherwise(F.sequence("shortest", "words"))
     each = states.select("lang", "phrase", "words", "n", F.explode(suffixes).alias("k")).select(
         "lang", F.when(F.col("k") == F.col("words"), F.col("phrase")).otherwise(F.expr("substring_index(phrase, ' ', -k)")).alias("phrase"), F.col("k").alias("words"), "n"
     )
     counts = each.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    counts = counts.unionByName(single.select("lang", "phrase", F.lit(1).alias("words"), "f"))
     return materialize(counts, "phrase-counts"), shards.where("ids IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
@@ -284,8 +367,10 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     cut = cut.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"])
     cut = cut.withColumns({"top": F.col("a").cast(whole) * F.lit(2_000_000).cast("decimal(8,0)"), "sum": (F.col("l") + F.col("r")).cast(whole)}).withColumn("score", F.expr("top div sum"))
     best = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
-    order = W.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    first = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("best.score"), F.desc("a"), F.asc("phrase"))
+    first = best
+    for keys in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))], ["lang"]):
+        first = first.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
     return first.join(words.hint("merge"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", F.col("best.score").alias("score"))
 
 

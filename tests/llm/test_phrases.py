@@ -82,7 +82,7 @@ def test_no_phrases(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 5))
 def test_states_hold_all_substrings(ids, depth):
-    automaton = SuffixAutomaton(np.array(ids, np.int64), np.arange(len(ids)) > 0, 4, depth)
+    automaton = SuffixAutomaton(np.array(ids, np.int64), np.arange(len(ids)) == 0, 4, depth)
     found, ends_of = Counter(), {}
     for ends, shortest, n, k in automaton.states():
         for end, least, count in zip(ends.tolist(), shortest.tolist(), n.tolist(), strict=True):
