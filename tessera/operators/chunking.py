@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import language_of
 from tessera.functions.text import lines_of, token_estimate
+from tessera.operators.syntax import BRACES, scopes_of
 from tessera.schemas import CHUNKS
 
 # Caps on imports, lines read for them, and tokens of the presets (target, maximum).
@@ -201,16 +203,6 @@ def _chunk(path: str, language: str, start: int, end: int, lines: list[str], **m
     return out | {"tokens": _total(out)}
 
 
-# Kinds of blocks that the scanner for brace languages knows.
-BLOCKS = {
-    "rust": ((r"(?:pub(?:\([^)]*\))? )?(?:async |const |unsafe )*fn (\w+)", "function"), (r"(?:pub(?:\([^)]*\))? )?struct (\w+)", "struct"), (r"(?:pub(?:\([^)]*\))? )?enum (\w+)", "enum"), (r"(?:pub(?:\([^)]*\))? )?trait (\w+)", "interface"), (r"(?:pub(?:\([^)]*\))? )?(?:const|static) (\w+)", "const")),
-    "javascript": ((r"(?:async )?function\*? (\w+)", "function"),),
-    "typescript": ((r"(?:async )?function\*? (\w+)", "function"), (r"interface (\w+)", "interface"), (r"enum (\w+)", "enum")),
-}
-CONTAINERS = {"rust": r"impl(?:<[^>]*>)? (?:[\w:<>]+ for )?(\w+)", "javascript": r"class (\w+)", "typescript": r"class (\w+)"}
-MEMBERS = {"rust": BLOCKS["rust"][0][0], "javascript": r"(?:static |async |get |set )*(\w+)\s*\([^)]*\)\s*\{", "typescript": r"(?:public |private |protected |static |async |readonly )*(\w+)\s*\([^)]*\)[^;{]*\{"}
-
-
 def _comment_above(lines: list[str], start: int, mark: str) -> str | None:
     found, at = [], start - 2
     while at >= 0 and (not lines[at].strip() or lines[at].strip().startswith(mark)):
@@ -244,41 +236,29 @@ def python_chunks(path: str, lines: list[str]) -> list[dict]:
     return out
 
 
-def _block_end(lines: list[str], start: int) -> int:
-    """Line on which the braces opened from `start` on are closed again, or the statement's end."""
-    depth, opened = 0, False
-    for at in range(start, len(lines) + 1):
-        bare = re.sub(r'"(?:\\.|[^"\\])*"|//.*', "", lines[at - 1])
-        depth += bare.count("{") - bare.count("}")
-        opened |= "{" in bare
-        if (opened and depth <= 0) or (not opened and bare.rstrip().endswith(";")):
-            return at
-    return len(lines)
+# How a line of documentation above an item starts.
+DOC_LINES = {"rust": ("///", "//!", "/**"), "javascript": ("//", "/*", "*"), "typescript": ("//", "/*", "*")}
+
+
+def doc_lines(language: str, lines: list[str], start: int) -> str | None:
+    """Lines of documentation right above line `start`, as they stand; blank ones between them are skipped."""
+    found: list[str] = []
+    for line in reversed(lines[: start - 1]):
+        if line.strip().startswith(DOC_LINES[language]):
+            found.append(line)
+        elif line.strip():
+            break
+    return "\n".join(reversed(found)) or None
 
 
 def brace_chunks(path: str, language: str, lines: list[str]) -> list[dict]:
-    """Blocks of a brace language by a line scanner (approximate: no parser is at hand)."""
-    out, at = [], 1
-    while at <= len(lines):
-        line, end = lines[at - 1].strip(), at
-        if box := re.match(CONTAINERS[language], line):
-            end = _block_end(lines, at)
-            inner = at + 1
-            while inner < end:
-                member = re.match(MEMBERS[language], lines[inner - 1].strip())
-                if member and member[1] not in ("if", "for", "while", "switch", "catch", "return"):
-                    last = _block_end(lines, inner)
-                    name = f"{box[1]}::{member[1]}" if language == "rust" else None
-                    out.append(_chunk(path, language, inner, last, lines, chunk_type="method", symbol_name=member[1], parent_scope=box[1], qualified_name=name, documentation=_comment_above(lines, inner, "//")))
-                    inner = last
-                inner += 1
-        else:
-            for pattern, kind in BLOCKS[language]:
-                if found := re.match(pattern, line):
-                    end = _block_end(lines, at)
-                    out.append(_chunk(path, language, at, end, lines, chunk_type=kind, symbol_name=found[1], qualified_name=found[1], documentation=_comment_above(lines, at, "//")))
-                    break
-        at = end + 1
+    """Items of a file in Rust, JavaScript or TypeScript and members of its types; methods of Rust are qualified by their type."""
+    text, out = "\n".join(lines), []
+    ends = [i for i, c in enumerate(text) if c == "\n"]
+    for s in scopes_of(language, text):
+        first, last = (bisect_left(ends, at) + 1 for at in (s.start, s.stop - 1))
+        name = f"{s.parent}::{s.name}" if language == "rust" and s.chunk_type == "method" else s.name
+        out.append(_chunk(path, language, first, last, lines, content=text[s.start : s.stop], chunk_type=s.chunk_type, symbol_name=s.name, parent_scope=s.parent, qualified_name=name, documentation=doc_lines(language, lines, first)))
     return out
 
 
@@ -290,7 +270,7 @@ def chunk_source(path: str, language: str, content: str, config: ChunkConfig) ->
         return []
     if language == "python":
         found = python_chunks(path, lines)
-    elif language in BLOCKS:
+    elif language in BRACES:
         found = brace_chunks(path, language, lines)
     else:
         found, start, total = [], 1, 0

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.functions.paths import language_of
 from tessera.functions.text import word_position
+from tessera.operators.syntax import BRACES, references_of
 from tessera.operators.vector import vector_topk
 
 # What a relation counts for relevance, and its rank in orders of paths.
@@ -16,24 +19,27 @@ RELEVANCE = {"Calls": 1.0, "Uses": 0.8, "Contains": 0.7, "Extends": 0.6, "Import
 DEPTHS = {"direct": 1, "extended": 2, "deep": 3}
 CALL_WEIGHT, USE_WEIGHT = 1.0, 0.5
 IMPACT_LIMIT = 200
-KEYWORDS = ("if", "for", "while", "switch", "match", "return", "fn", "def", "class", "catch")
 
 
 def build_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of chunks (file_path, start_line, end_line, content, symbol_name, ...).
 
-    A chunk is a node; what it calls or names as a type becomes an edge to the last chunk defining that
-    name. Calls and types are found by patterns (no parser is at hand); parallel and self edges stay.
+    A chunk is a node; what its text calls or names as a type becomes an edge to the last chunk defining that
+    name, whatever its file. Parallel and self edges stay; chunks of other languages than Rust, Python, JavaScript and
+    TypeScript have none. build_code_graph() does the same from files, without reading nested text again.
     """
     ids = F.concat_ws(":", "file_path", "start_line", "end_line")
     nodes = chunks.select(ids.alias("node"), F.coalesce("symbol_name", F.lit("unknown")).alias("name"), "file_path", "start_line", "end_line", "chunk_type", "content")
-    last = F.row_number().over(W.partitionBy("name").orderBy(F.desc("file_path"), F.desc("start_line")))
-    defined = nodes.withColumn("_n", last).where("_n = 1").select("name", F.col("node").alias("dst"))
-    calls = F.filter(F.regexp_extract_all("content", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)), lambda x: ~x.isin(*KEYWORDS))
-    types = F.regexp_extract_all("content", F.lit(r"(?:[:<&]|->)\s*([A-Z]\w*)"), F.lit(1))
-    named = nodes.select("node", F.explode(calls).alias("name"), F.lit("Calls").alias("rel"), F.lit(CALL_WEIGHT).alias("weight")).unionByName(
-        nodes.select("node", F.explode(types).alias("name"), F.lit("Uses").alias("rel"), F.lit(USE_WEIGHT).alias("weight"))
-    )
+    defined = nodes.groupBy("name").agg(F.max_by("node", F.struct("file_path", "start_line")).alias("dst"))
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(node, name, rel) for node, language, text in part.itertuples(index=False) for rel, name, _ in references_of(language, text)]
+            yield pd.DataFrame(rows, columns=["node", "name", "rel"])
+
+    source = nodes.select("node", language_of(F.col("file_path")).alias("language"), "content").where(F.col("language").isin(*BRACES, "python"))
+    weight = F.when(F.col("rel") == "Calls", F.lit(CALL_WEIGHT)).otherwise(F.lit(USE_WEIGHT))
+    named = source.mapInPandas(read, "node string, name string, rel string").withColumn("weight", weight)
     return nodes.drop("content"), named.join(defined, "name").select(F.col("node").alias("src"), "dst", "rel", "weight")
 
 

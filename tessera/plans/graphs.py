@@ -99,14 +99,6 @@ def text_usages(spark, sf_dir):
     return graph.text_usages(chunk_by_lines(files(spark, sf_dir), CHUNK_LINES), "token").select("file_path", F.col("line").cast("bigint").alias("line"))
 
 
-def code_graph(spark, sf_dir):
-    """Edges among the chunks of all files, with the degree of their targets."""
-    from tessera.operators.chunking import chunk_files
-
-    _, found = graph.build_graph(chunk_files(files(spark, sf_dir).select("file_path", "content")))
-    return found.groupBy("dst", "rel").agg(F.count(F.lit(1)).alias("n"))
-
-
 def context_nodes(spark, sf_dir):
     """Symbols of all customers with all within two hops."""
     return graph.context_nodes(nodes(spark, sf_dir), edges(spark, sf_dir), _of(spark, sf_dir, "c").withColumnRenamed("node", "name"), 2)
@@ -130,7 +122,7 @@ def graph_store_update(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     context_nodes, impact_usages, graph_store_update,
     graph_callers, graph_callees, graph_usages, graph_related_depth2, graph_transitive_usages, graph_shortest_path, graph_entry_points, graph_hotspots, graph_stats,
-    impact_summary, graph_docs, graph_mermaid, text_usages, code_graph,
+    impact_summary, graph_docs, graph_mermaid, text_usages,
 )}
 
 
