@@ -50,7 +50,7 @@ class Scope(NamedTuple):
 _RUST = re.compile(r"""//[^\n]*|(?P<deep>/\*)|(?P<text>b?r(?P<hash>\#*)".*?"(?P=hash)|b?"(?:\\.|[^"\\])*"|b?'(?:\\(?:u\{\w+\}|x\w\w|.)|[^'\\])')|(?P<life>'\w+)|(?P<word>r\#\w+|\w+)|(?P<sign>->|=>|::|\.\.=?|\S)""", re.S)
 _SCRIPT = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<text>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<back>`)|(?P<word>[\w$#]+)|(?P<sign>=>|\?\.|\.\.\.|\S)""", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*")
-_BACK = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(`|\$\{|\Z)", re.S)
+_BACK = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(`|\$\{|\\?\Z)", re.S)
 _BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; => return typeof case".split())
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
 
@@ -133,6 +133,8 @@ def _rust(tokens: list[Token], text: str, first: int, last: int, parent: str | N
             at += 1
             if tokens[at].text == "(" and tokens[at - 1].text == "pub":
                 at = _closing(tokens, at) + 1
+        if at >= last:
+            break
         word = tokens[at].text
         end = _until(tokens, at, ";", word not in ("const", "static", "type", "use", "let"))
         span = (tokens[start].start, tokens[end].stop)
@@ -140,7 +142,7 @@ def _rust(tokens: list[Token], text: str, first: int, last: int, parent: str | N
         if word == "impl":
             body = _until(tokens, at, "{;", False)
             head = at + 1
-            if tokens[head].text == "<":
+            if head < body and tokens[head].text == "<":
                 depth = 0
                 while head < body:
                     depth += {"<": 1, ">": -1}.get(tokens[head].text, 0)
