@@ -126,11 +126,9 @@ def format_conversations(
 
     * Turns are ordered by turn, those that tie by role and text; repeated rows are turns each. Nulls
       come first; a null role or text is empty; rows without conv_id are one conversation.
-    * A conversation is streamed in order, and its turns are held until its first part is complete,
-      as long as the stated context is put to the proof; those of a template that depends on all turns
-      are always held. Texts may have any length; a turn is rendered as a whole.
-    * Where a stated context proves wrong, all whole prefixes of the conversation are rendered; if its
-      first part is written already, that is an error.
+    * A conversation is one task's, which holds its turns and parts until its last turn, as the stated context is put to the
+      proof on all of it. Texts may have any length; a turn is rendered as a whole.
+    * Where a stated context proves wrong, whenever that is, all whole prefixes of the conversation are rendered.
     * Of a template that rewrites history only the last rendering of the conversation is written, as
       one part without a mask, rewritten set. A text that can't be located in its span has no mask.
     * An empty table gives no parts; other columns are not read.
@@ -172,28 +170,20 @@ class _Conversation:
 
     def __init__(self, conv_id: int | None, template: Template, learn_role: str):
         self.conv_id, self.template, self.learn_role = conv_id, template, learn_role
-        self.turns: list[Turn] = []  # until the first part is complete
-        self.part, self.added = 0, 0
+        self.turns: list[Turn] = []
         self._start(template.context)
 
     def _start(self, context: int | None) -> None:
         self.context, self.renderer = context, Renderer(self.template, context)
+        self.parts: list[tuple[str, list[dict]]] = []  # complete ones
         self.texts, self.loss, self.size = [self.renderer.opening], [], len(self.renderer.opening)
 
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        """A part, if the turn completes one."""
-        if not self.part:
-            self.turns.append((role, text))
-        self.added += 1
+    def add(self, role: str, text: str) -> None:
+        self.turns.append((role, text))
         self._render(role, text)
-        if self.context is None:
-            return  # what the template has given may yet be rewritten
-        complete = self.size >= PART_CHARS
-        if self.renderer.rewritten or (not self.part and (complete or not self.added & (self.added - 1))):
+        n = len(self.turns)
+        if self.context is not None and (self.renderer.rewritten or not n & (n - 1)):
             self._prove()
-        if complete and self.context is not None:
-            yield self.conv_id, self.part, "".join(self.texts), self.loss, False
-            self.part, self.texts, self.loss, self.size, self.turns = self.part + 1, [], [], 0, []
 
     def _render(self, role: str, text: str) -> None:
         if span := self.renderer.add(role, text):
@@ -201,23 +191,27 @@ class _Conversation:
                 self.loss.append({"start": self.size + span.text_start, "end": self.size + span.text_end})
             self.texts.append(span.added)
             self.size += len(span.added)
+        if self.size >= PART_CHARS:
+            self.parts.append(("".join(self.texts), self.loss))
+            self.texts, self.loss, self.size = [], [], 0
 
     def _prove(self) -> None:
-        """Holds the joined spans against the whole prefix, and renders all whole prefixes if they differ."""
-        if self.part:
-            raise ValueError(f"the template depends on more than the {self.template.context} turns that it states")
-        if self.renderer.rewritten or "".join(self.texts) != self.template.render(self.turns):
+        """Holds all joined spans against the whole prefix, and renders all whole prefixes if they differ."""
+        if self.renderer.rewritten or "".join([*(text for text, _ in self.parts), *self.texts]) != self.template.render(self.turns):
             self._start(None)
             for turn in self.turns:
                 self._render(*turn)
 
     def close(self) -> Iterator[tuple]:
-        if self.context is not None and not self.part:
+        if self.context is not None:
             self._prove()
         if self.renderer.rewritten:
             yield self.conv_id, 0, self.renderer.before, [], True
-        elif self.texts:
-            yield self.conv_id, self.part, "".join(self.texts), self.loss, False
+            return
+        if self.texts:
+            self.parts.append(("".join(self.texts), self.loss))
+        for part, (text, loss) in enumerate(self.parts):
+            yield self.conv_id, part, text, loss, False
 
 
 def _formatted(turns: Iterator[tuple], template: Template, learn_role: str) -> Iterator[tuple]:
@@ -228,7 +222,7 @@ def _formatted(turns: Iterator[tuple], template: Template, learn_role: str) -> I
             if now:
                 yield from now.close()
             now = _Conversation(conv_id, template, learn_role)
-        yield from now.add(role or "", text or "")
+        now.add(role or "", text or "")
     if now:
         yield from now.close()
 

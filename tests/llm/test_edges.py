@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import math
+import operator
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -193,10 +195,23 @@ def test_stated_context_is_proved():
         assert row == (7, 0, Numbered().render(said), row[3], False) and [row[2][s["start"] : s["end"]] for s in row[3]] == [t for _, t in said[1:]]
         (row,) = chat._formatted(((7, *t) for t in said), Mistaken(), "assistant")
         assert row == ((7, 0, Mistaken().render(said), [], True) if n > 1 else (7, 0, "system: t0\n", [], False))
-    # what is wrong only after the first part is refused
+    # what is wrong only after the first part
     late = [("user", "x")] * 2 + [("user", "y" * chat.PART_CHARS), ("user", "long"), ("user", "long")]
-    with pytest.raises(ValueError, match="states"):
-        list(chat._formatted(((7, *t) for t in late), Late(), "assistant"))
+    (row,) = chat._formatted(((7, *t) for t in late), Late(), "assistant")
+    assert row == (7, 0, Late().render(late), [], True)
+    long = [("user", "z" * 5000)] * 700
+    (row,) = chat._formatted(((7, *t) for t in long), Shortened(), "assistant")
+    assert row == (7, 0, Shortened().render(long), [], True)
+    rows = list(chat._formatted(((7, *t) for t in long[:600]), Shortened(), "user"))
+    assert len(rows) > 2 and "".join(r[2] for r in rows) == Shortened().render(long[:600]) and sum(len(r[3]) for r in rows) == 600
+    assert [r[1] for r in rows] == list(range(len(rows)))
+
+
+class Shortened(chat.MarkedTurns):
+    """Says that turns don't depend on each other, and shortens the first of more than 600."""
+
+    def render(self, turns):
+        return super().render([(r, t[:10] if not i and len(turns) > 600 else t) for i, (r, t) in enumerate(turns)])
 
 
 class Late(chat.MarkedTurns):
@@ -237,6 +252,19 @@ def test_warc(spark):
     assert warc.merge_runs(warc.read_warc(spark, out)).count() == 0
 
 
+def test_warc_of_far_ids(spark):
+    ids = [0, 1, 2**62, -(2**62), 300_000_000_000, 251_698_233_599, 251_698_233_600, -63_839_664_000, -63_839_664_001, None]
+    pages = spark.createDataFrame([(i, "http://a.example/", str(i)) for i in ids], "page_id long, url string, html string")
+    out = work_path(spark, "test-warc")
+    warc.write_warc(pages, out)
+    found = warc.merge_runs(warc.read_warc(spark, out)).orderBy("position").collect()
+    assert [r.page_id for r in found if r.page_id is not None] == sorted(i for i in ids if i is not None)
+    assert {r.page_id: r.ts for r in found} | {None: ""} == {
+        0: "20240101000000", 1: "20240101000001", 2**62: "99991231235959", -(2**62): "00010101000000", 300_000_000_000: "99991231235959", 251_698_233_599: "99991231235959", 251_698_233_600: "99991231235959",
+        -63_839_664_000: "00010101000000", -63_839_664_001: "00010101000000", None: "",
+    }
+
+
 def test_loser_tree_merges():
     rng = random.Random(1)
     for _ in range(200):
@@ -269,15 +297,18 @@ def test_bit_sliced_takes_the_valid_one_of_repeated_queries(spark):
         assert {(r.query_id, r.vec_id) for r in found} == {(50, 1), (100, 1), (150, 2)} and len(found) == 3
 
 
-def test_bit_sliced_is_exact_or_refuses(spark):
-    schema = "vec_id long, embedding array<double>"
-    vectors = spark.createDataFrame([(50, [1.0, 1.0]), (1, [1e12, 0.0]), (2, [-1e12, 5e11]), (3, [0.0, 3.0])], schema)
-    found = bit_sliced.bit_sliced_topk(vectors, vectors.where("vec_id = 50")).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in found] == [(1, 256 * 256 * 10**12), (3, 3 * 256 * 256), (2, -256 * 256 * 5 * 10**11)]
-    for x in (1e18, 1e17):
-        large = vectors.union(spark.createDataFrame([(4, [x, 0.0]), (100, [x, 0.0])], schema))
-        with pytest.raises(Exception, match="magnitude"):
-            bit_sliced.bit_sliced_topk(large, large.where("vec_id = 100")).collect()
+@pytest.mark.parametrize("more", [[], [(4, [1e18, 0.0]), (100, [1e17, 0.0])], [(4, [1e300, -1e308]), (100, [-1e308, 1.5]), (150, [1e7, 1e12]), (151, [1e13, -1e13])]])
+def test_bit_sliced_is_exact_for_any_finite_components(spark, more):
+    rows = [(50, [1e7, 0.0]), (51, [1.0, 1.0]), (1, [1e12, 0.0]), (2, [-1e12, 5e11]), (3, [0.0, 3.0]), (200, [1.0, 1.0]), *more]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(Fraction(v) * 256) for v in x] for i, x in rows}
+    found = bit_sliced.bit_sliced_topk(vectors, vectors.where("vec_id % 50 = 0"), k=4, block_rows=64).collect()
+    for q in (i for i, _ in rows if i % 50 == 0):
+        best = sorted((-sum(map(operator.mul, whole[q], x)), i) for i, x in whole.items() if i != q)[:4]
+        wanted = [(-s if -(2**63) <= -s < 2**63 else None, i) for s, i in best]
+        assert [(r.score, r.vec_id) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == wanted
+    scores = [0, -1, 1, -9, -10, 10, 9, 2**70, -(2**70), 10**40, -(10**40)]
+    assert sorted(scores) == sorted(scores, key=bit_sliced._sortable)
 
 
 def test_grid_and_signed_digits():
