@@ -27,8 +27,9 @@ from tessera.llm.common import arrow_groups, bounded, importable, materialize, t
 REVISIT_BYTES = 0
 #: Records of an archive file at most, and entries that a task merges in the mean at most.
 ARCHIVE_RECORDS, RANGE_ROWS = 10_000, 200_000
-#: Seconds since 1970 of the capture with id 0; captures are a second apart.
+#: Seconds since 1970 of the capture with id 0; captures are a second apart, within the years 1 to 9999 that a date has room for.
 FIRST_CAPTURE = 1_704_067_200
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 BASE32_HEX, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRIES = "run string, url_key string, ts string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, length long"
@@ -53,6 +54,8 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
       all rows; ids are pre-aggregated, and the join that hands the response's id back has plain
       exchanges on both sides, which Spark splits where they are skewed. Payloads then move at most
       once, by id and digest, to meet the ids they refer to.
+    * The date of a record is as many seconds after FIRST_CAPTURE as its id says; ids beyond the years 1 to 9999 have the first or the
+      last second of these, and are put in order by the id itself.
     * Payloads may have any length. An empty table gives no records; other columns are not read.
     """
     spark = pages.sparkSession
@@ -73,7 +76,10 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     page = page.withColumns({"key": F.coalesce("id", F.lit(-1)), "none": F.col("id").isNull()})
     older = older.select(F.col("id").alias("key"), "none", "digest", "first")
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    date = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.coalesce("id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    second = F.lit(FIRST_CAPTURE) + F.least(F.greatest(F.coalesce("id", F.lit(0)), F.lit(FIRST_SECOND - FIRST_CAPTURE)), F.lit(LAST_SECOND - FIRST_CAPTURE))
+    seconds_of = lambda unit: F.lpad(F.pmod(F.floor(second / unit), F.lit(24 if unit == 3600 else 60)).cast("string"), 2, "0")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(second / 86_400).cast("int"))  # a date has no zone
+    date = F.concat(F.lpad(F.year(day).cast("string"), 4, "0"), F.date_format(day, "-MM-dd'T'"), seconds_of(3600), F.lit(":"), seconds_of(60), F.lit(":"), seconds_of(1), F.lit("Z"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload"), F.lit(CRLF * 2))
     is_revisit = F.col("first").isNotNull()
     block = F.concat(http, F.when(is_revisit, "").otherwise(F.col("payload")))
@@ -272,7 +278,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest, lower(regexp_replace(coalesce(url, ''), '[\r\n]', '', 'g')) AS url,
-         strftime(make_timestamp((1704067200 + coalesce(page_id, 0)) * 1000000), '%Y%m%d%H%M%S') AS ts
+         strftime(make_timestamp((1704067200 + least(greatest(coalesce(page_id, 0), -62135596800 - 1704067200), 253402300799 - 1704067200)) * 1000000), '%Y%m%d%H%M%S') AS ts
   FROM pages
 ), u AS (
   SELECT *, regexp_replace(regexp_replace(regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '') AS host,
