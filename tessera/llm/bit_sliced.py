@@ -11,6 +11,7 @@ are resolved exactly, by their integer scores and ids.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -31,10 +32,12 @@ QUERY_ROWS = 256
 BLOCK_CELLS = 1 << 21
 #: Tiles of the grid on which blocks meet batches of queries; a block takes about BLOCK_WEIGHT times the bytes of a batch.
 TILES, BLOCK_WEIGHT = 4096, 20
-#: Magnitudes from which integers are refused.
+#: Magnitude from which integers have no slices, and scores are not added up from slices but in integers of any length.
 LIMIT = 1 << 62
 INDEX = "dim int, n int, ids binary, lows binary, digits int, slices binary"
 QUERIES = "dim int, batch long, ids binary, x binary"
+INDEX_ARROW = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("lows", pa.binary()), ("digits", pa.int32()), ("slices", pa.binary())])
+QUERIES_ARROW = pa.schema([("dim", pa.int32()), ("batch", pa.int64()), ("ids", pa.binary()), ("x", pa.binary())])
 
 
 def slice_block(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,17 +134,47 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & fine & (F.size("x") > 0))
 
 
+def _integer(x: float, scale: int) -> int:
+    """floor(scale * x) of any finite x."""
+    product = x * scale
+    return math.floor(product) if math.isfinite(product) else int(x) * scale
+
+
 def _matrix(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimension, ids, quantised vectors) for each dimension in a batch."""
+    """(dimension, ids, quantised vectors) for each dimension in a batch; vectors with a component of LIMIT or more come apart, as Python integers."""
     x, ids = batch.column("x"), batch.column("id").to_numpy(zero_copy_only=False)
     dims = np.diff(x.offsets.to_numpy())
     for dim in np.unique(dims):
         own = np.flatnonzero(dims == dim)
         values = x.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim)
-        scaled = np.floor(values * scale)
-        if not (np.abs(scaled) < LIMIT).all():
-            raise ValueError(f"a component times {scale} has a magnitude of {LIMIT} or more")
-        yield int(dim), ids[own], scaled.astype(np.int64)
+        with np.errstate(over="ignore"):
+            scaled = np.floor(values * scale)
+        narrow = (np.abs(scaled) < LIMIT).all(1)
+        if narrow.any():
+            yield int(dim), ids[own[narrow]], scaled[narrow].astype(np.int64)
+        if not narrow.all():
+            yield int(dim), ids[own[~narrow]], np.array([[_integer(v, scale) for v in row] for row in values[~narrow].tolist()], object)
+
+
+def _written(x: np.ndarray) -> bytes:
+    """Integers of 64 bits as they are after a 0, of any length as text after a 1."""
+    return b"\1" + " ".join(map(str, x.ravel())).encode() if x.dtype == object else b"\0" + x.astype("<i8").tobytes()
+
+
+def _read(data: bytes, dim: int) -> np.ndarray:
+    x = np.frombuffer(data, "<i8", offset=1) if data[:1] == b"\0" else np.array([int(v) for v in data[1:].split()], object)
+    return x.reshape(-1, dim)
+
+
+def _sortable(score: int) -> str:
+    """Text that is in order as the integers are."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):05d}{digits}"
+    return f"0{99_999 - len(digits):05d}" + digits.translate(_NINES)
+
+
+_NINES = str.maketrans("0123456789", "9876543210")
 
 
 def build_index(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -153,13 +186,19 @@ def build_index(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id",
 
         def block(dim: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             order = np.argsort(ids, kind="stable")
-            lows, slices = slice_block(x[order])
-            row = [[dim], [len(ids)], [ids[order].astype("<i8").tobytes()], [lows.astype("<i8").tobytes()], [slices.shape[1]], [slices.tobytes()]]
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["dim", "n", "ids", "lows", "digits", "slices"])
+            if x.dtype == object:  # no digits: the integers themselves
+                lows, digits, slices = b"", 0, _written(x[order])
+            else:
+                lows, slices = slice_block(x[order])
+                lows, digits, slices = lows.astype("<i8").tobytes(), slices.shape[1], slices.tobytes()
+            row = (dim, len(ids), ids[order].astype("<i8").tobytes(), lows, digits, slices)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, INDEX_ARROW.types, strict=True)], schema=INDEX_ARROW)
 
         for batch in batches:
             for dim, ids, x in _matrix(batch, scale):
+                if x.dtype == object:
+                    yield block(dim, ids, x)
+                    continue
                 own, most = held.setdefault(dim, []), min(block_rows, max(64, BLOCK_CELLS // dim // 64 * 64))
                 own.append((ids, x))
                 if sum(len(i) for i, _ in own) >= most:
@@ -184,9 +223,8 @@ def batch_queries(queries: DataFrame, scale: int, id_col: str, vector_col: str,
         for batch in batches:
             for dim, ids, x in _matrix(batch, scale):
                 for at in range(0, len(ids), query_rows):
-                    row = [[dim], [int(ids[at])], [ids[at : at + query_rows].astype("<i8").tobytes()], [x[at : at + query_rows].astype("<i8").tobytes()]]
-                    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["dim", "batch", "ids", "x"])
+                    row = (dim, int(ids[at]), ids[at : at + query_rows].astype("<i8").tobytes(), _written(x[at : at + query_rows]))
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, QUERIES_ARROW.types, strict=True)], schema=QUERIES_ARROW)
 
     once = _valid(queries, id_col, vector_col).groupBy("id").agg(F.min("x").alias("x"))
     return once.mapInArrow(bounded(run), QUERIES)
@@ -204,39 +242,61 @@ def grid(blocks: int, batches: int, tiles: int = TILES) -> tuple[int, int]:
     return rows, max(1, min(batches, tiles // rows))
 
 
+class Block:
+    """A block of the index, scored query by query."""
+
+    def __init__(self, dim: int, n: int, ids: bytes, lows: bytes, digits: int, slices: bytes) -> None:
+        self.n, self.ids, self.lows = n, np.frombuffer(ids, "<i8"), np.frombuffer(lows, "<i8")
+        self.exact: np.ndarray | None = None  # Python integers, where they are needed
+        self.slices = None
+        if digits:
+            self.slices = np.frombuffer(slices, "<u8").reshape(dim, digits, -1)
+            self.inverted = ~self.slices
+            self.largest = np.maximum(np.abs(self.lows.astype(float)), np.abs(self.lows + float((1 << digits) - 1)))
+            self.everything = np.packbits(np.arange(self.slices.shape[2] * 64) < n, bitorder="little").view("<u8")
+        else:
+            self.exact = _read(slices, dim)
+
+    def best(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        """Places and scores of the k best rows without the query's own."""
+        own = range(*np.searchsorted(self.ids, [query_id, query_id + 1]))
+        if self.slices is not None and q.dtype != object and np.abs(q.astype(float)) @ self.largest < LIMIT:
+            total, _ = score_slices(self.slices, self.inverted, self.lows, q)
+            rows = self.everything.copy()
+            for at in own:
+                rows[at >> 6] &= ~np.uint64(1 << (at & 63))
+            places = select_top(total, rows, k)
+            return places, (values_at(self.slices, self.lows, places) @ q).tolist()
+        if self.exact is None:
+            self.exact = values_at(self.slices, self.lows, np.arange(self.n)).astype(object)
+        scores = (self.exact @ q.astype(object)).tolist()
+        places = heapq.nsmallest(k, (i for i in range(self.n) if i not in own), key=lambda i: (-scores[i], i))
+        return np.array(places, np.int64), [scores[i] for i in places]
+
+
 def topk_blocks(index: DataFrame, batches: DataFrame, k: int) -> DataFrame:
-    """Each query's k best rows of each block; blocks meet all batches of queries of their dimension, tile by tile of a grid."""
+    """Each query's k best rows of each block (score null where it is no long, and `place`, a text in the order of the scores);
+    blocks meet all batches of queries of their dimension, tile by tile of a grid."""
 
     def run(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pair in pairs:
             for at in range(pair.num_rows):
                 get = lambda name, pair=pair, at=at: pair.column(name)[at].as_py()
-                dim, n, digits = get("dim"), get("n"), get("digits")
-                ids, lows = np.frombuffer(get("ids"), "<i8"), np.frombuffer(get("lows"), "<i8")
-                slices = np.frombuffer(get("slices"), "<u8").reshape(dim, digits, -1)
-                inverted, largest = ~slices, np.maximum(np.abs(lows.astype(float)), np.abs(lows + float((1 << digits) - 1)))
-                everything = np.packbits(np.arange(slices.shape[2] * 64) < n, bitorder="little").view("<u8")
+                block = Block(*map(get, ("dim", "n", "ids", "lows", "digits", "slices")))
                 query_ids = np.frombuffer(get("query_ids"), "<i8")
-                queries = np.frombuffer(get("x"), "<i8").reshape(len(query_ids), dim)
-                out: list[tuple[np.ndarray, ...]] = []
-                for query_id, q in zip(query_ids, queries, strict=True):
-                    if np.abs(q.astype(float)) @ largest >= LIMIT:
-                        raise ValueError(f"scores of vector {query_id} may have a magnitude of {LIMIT} or more")
-                    total, _ = score_slices(slices, inverted, lows, q)
-                    rows = everything.copy()
-                    for own in range(*np.searchsorted(ids, [query_id, query_id + 1])):
-                        rows[own >> 6] &= ~np.uint64(1 << (own & 63))
-                    places = select_top(total, rows, k)
-                    out.append((np.full(len(places), query_id), ids[places], values_at(slices, lows, places) @ q))
+                out: list[tuple] = []
+                for query_id, q in zip(query_ids.tolist(), _read(get("x"), get("dim")), strict=True):
+                    places, scores = block.best(query_id, q, k)
+                    out += [(query_id, vec_id, x if -(1 << 63) <= x < 1 << 63 else None, _sortable(x)) for vec_id, x in zip(block.ids[places].tolist(), scores, strict=True)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["query_id", "vec_id", "score", "place"])
 
     rows, columns = grid(index.count(), batches.count())
     tile = lambda name, n, key: F.pmod(F.xxhash64(key), F.lit(n)).alias(name)
     every = lambda name, n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(name)
     dealt = batches.withColumnRenamed("ids", "query_ids").select("*", tile("column", columns, "batch")).select("*", every("row", rows))
     copies = index.select("*", tile("row", rows, "ids")).select("*", every("column", columns))
-    return copies.join(dealt, ["dim", "row", "column"]).mapInArrow(bounded(run), "query_id long, vec_id long, score long")
+    return copies.join(dealt, ["dim", "row", "column"]).mapInArrow(bounded(run), "query_id long, vec_id long, score long, place string")
 
 
 def bit_sliced_topk(
@@ -252,13 +312,14 @@ def bit_sliced_topk(
     * Rows that repeat an id are candidates each; a repeated query is answered once, for the
       least of its valid vectors. Fewer than k candidates are all returned; an empty table gives an
       empty result. Other columns are not read.
-    * All arithmetic is exact: components and scores that might reach 2**62 raise an error. Vectors
+    * All arithmetic is exact for any finite components. Where a component or a score of a block might reach 2**62, that block and query
+      are taken in Python integers; a score that is no long is null, in its right rank. Vectors
       may have any length; a block of the index has BLOCK_CELLS components at most, or 64 rows.
     """
     index = materialize(build_index(vectors, scale, id_col, vector_col, block_rows), "bit-slices", compression="none")
     batches = materialize(batch_queries(queries, scale, id_col, vector_col, query_rows), "bit-queries")
     best = topk_blocks(index, batches, k)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("place"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
