@@ -26,7 +26,7 @@ DEPTH, LEAST = 4, 30
 #: Rows of a language in the report; of a phrase within a longer one that has so many of 100 of its occurrences, only the longer is kept.
 TOP, SUBSUMED = 2000, 80
 #: Words of a shard, and bytes of text for each range of hashes of word pairs.
-SHARD_WORDS, RANGE_BYTES = 250_000, 8_000_000
+SHARD_WORDS, RANGE_BYTES = 500_000, 8_000_000
 #: Distinct words whose counts a task adds up before it writes them.
 HELD_WORDS = 1_000_000
 #: Parts of a language that find their first phrases apart.
@@ -89,34 +89,40 @@ class Shard:
                 whole[k - 1 :] &= ~self.new[k - 1 - back : len(own) - back]
         return np.where(whole, (mixed | np.uint64(1 << 16)) & np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0))
 
-    def live(self, k: int, often: list[bytes]) -> np.ndarray:
-        """For each word whether the k words that end with it have one of these hashes."""
-        often = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_whole(x, 6, "<u8") for x in often)]))
+    def distinct(self, k: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of k words in order, their counts, the range of each (which rises too), and for each word the place of its hash (-1: none)."""
         own = self.hashes(k) >> np.uint64(16)
-        if not len(often):
-            return np.zeros(len(own), bool)
-        return (own > 0) & (often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own)
+        found, at, n = np.unique(own[own > 0], return_inverse=True, return_counts=True)
+        places = np.full(len(own), -1)
+        places[own > 0] = at
+        return found, n, ((found >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32), places
+
+    def live(self, k: int, parts: int, often: list[tuple[int, bytes]]) -> np.ndarray:
+        """For each word whether the k words that end with it are frequent; often has a bit for each hash of a range."""
+        found, _, of, places = self.distinct(k, parts)
+        known = np.zeros(len(found) + 1, bool)  # the last stands for none
+        for part, bits in often:
+            a, b = np.searchsorted(of, np.array([part, part + 1], of.dtype))
+            known[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+        return known[places]
 
     def rows(self, name: str, k: int, parts: int) -> Iterator[tuple]:
         """The shard, and for each range of hashes those of its substrings of k words."""
         words = b"\n".join(self.vocabulary.to_pylist())  # words hold no line break
         yield self.lang, name, None, len(self.ids), _planes(self.ids.astype(np.int32), 4), np.packbits(self.new).tobytes(), words, None, None
-        found = self.hashes(k)
-        found, n = np.unique(found[found > 0], return_counts=True)
-        found = found >> np.uint64(16)
-        of = ((found >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash
+        found, n, of, _ = self.distinct(k, parts)
         first = np.flatnonzero(np.diff(of, prepend=np.uint64(2**63)))
         for a, b in zip(first, np.append(first[1:], len(found))[: len(first)], strict=True):
             yield self.lang, name, int(of[a]), None, None, None, None, _planes(found[a:b], 6), _planes(n[a:b].astype(np.uint32), 4)
 
     @classmethod
-    def read(cls, rows: list[dict]) -> tuple[Shard, list[bytes]]:
-        """A shard, and the hashes sent back to it, from the rows with its name."""
+    def read(cls, rows: list[dict]) -> tuple[Shard, list[tuple[int, bytes]]]:
+        """A shard, and the (range, bits) sent back to it, from the rows with its name."""
         row = next(r for r in rows if r["ids"] is not None)
         ids = _whole(row["ids"], 4, "<i4").astype(np.int64)
         new = np.unpackbits(np.frombuffer(row["new"], np.uint8), count=len(ids)).astype(bool)
         vocabulary = pa.array(row["words"].split(b"\n") if len(ids) else [], pa.binary())
-        return cls(row["lang"], ids, new, vocabulary), [r["hashes"] for r in rows if r["ids"] is None]
+        return cls(row["lang"], ids, new, vocabulary), [(r["part"], r["hashes"]) for r in rows if r["ids"] is None]
 
     def runs(self, live: np.ndarray) -> Shard:
         """The words that are in live pairs only; a run of them is a piece."""
@@ -238,19 +244,19 @@ def _shards(parts: int):  # noqa: ANN202
 
 
 def _frequent(least: int):  # noqa: ANN202
-    """Sums the pairs of a range of hashes over all shards; each shard gets back those of its own that are frequent."""
+    """Sums the pairs of a range of hashes over all shards; each shard gets back a bit for each of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in arrow_groups(batches, "part"):
+        for part, group in arrow_groups(batches, "part"):
             hashes = [_whole(x, 6, "<u8") for x in group.column("hashes").to_pylist()]
             pairs, own = np.unique(np.concatenate(hashes), return_inverse=True)
             n = np.bincount(own, weights=np.concatenate([_whole(x, 4, "<u4") for x in group.column("counts").to_pylist()]))
             often = (n >= least)[own]
             at = np.cumsum([0, *map(len, hashes)])
-            kept = [_planes(x[often[a : a + len(x)]], 6) for x, a in zip(hashes, at, strict=False)]
-            out = [(shard, x) for shard, x in zip(group.column("shard").to_pylist(), kept, strict=True) if x]
+            bits = [often[a : a + len(x)] for x, a in zip(hashes, at, strict=False)]
+            out = [(shard, part, np.packbits(x).tobytes()) for shard, x in zip(group.column("shard").to_pylist(), bits, strict=True) if x.any()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.binary()), strict=True)], ["shard", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["shard", "part", "hashes"])
 
     return run
 
@@ -278,26 +284,30 @@ def _runs(parts: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, group in arrow_groups(batches, "shard"):
             shard, often = Shard.read(group.to_pylist())
-            yield batch_of(list(shard.runs(shard.live(2, often)).rows(name, 3, parts)))
+            yield batch_of(list(shard.runs(shard.live(2, parts, often)).rows(name, 3, parts)))
 
     return run
 
 
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _phrases(parts: int):  # noqa: ANN202
     """The states of each shard's automaton, from two words on: lang, longest phrase, its words, words of the shortest, count."""
-    for _, group in arrow_groups(batches, "shard"):
-        shard, often = Shard.read(group.to_pylist())
-        text, ids = shard.vocabulary.cast(pa.string()), shard.ids
-        for ends, shortest, n, k in SuffixAutomaton(ids, shard.new, len(text), live=shard.live(3, often)).states():
-            if k > 1 and len(ends):
-                phrase = pc.binary_join_element_wise(*(text.take(pa.array(ids[ends - back])) for back in reversed(range(k))), " ")
-                shortest = np.maximum(shortest, 2)  # words are counted apart
-                for a in range(0, len(ends), 20_000):
-                    own = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(pa.scalar(shard.lang), len(ends[own])), phrase.slice(a, 20_000), pa.repeat(pa.scalar(k, pa.int32()), len(ends[own])), pa.array(shortest[own], pa.int32()), pa.array(n[own], pa.int64())],
-                        ["lang", "phrase", "words", "shortest", "n"],
-                    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in arrow_groups(batches, "shard"):
+            shard, often = Shard.read(group.to_pylist())
+            text, ids = shard.vocabulary.cast(pa.string()), shard.ids
+            for ends, shortest, n, k in SuffixAutomaton(ids, shard.new, len(text), live=shard.live(3, parts, often)).states():
+                if k > 1 and len(ends):
+                    phrase = pc.binary_join_element_wise(*(text.take(pa.array(ids[ends - back])) for back in reversed(range(k))), " ")
+                    shortest = np.maximum(shortest, 2)  # words are counted apart
+                    for a in range(0, len(ends), 20_000):
+                        own = slice(a, a + 20_000)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(pa.scalar(shard.lang), len(ends[own])), phrase.slice(a, 20_000), pa.repeat(pa.scalar(k, pa.int32()), len(ends[own])), pa.array(shortest[own], pa.int32()), pa.array(n[own], pa.int64())],
+                            ["lang", "phrase", "words", "shortest", "n"],
+                        )
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -323,12 +333,12 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     def with_frequent(shards: DataFrame) -> DataFrame:
         """Shards with the frequent ones of their hashes, by name."""
         sent = shards.where("hashes IS NOT NULL").select("part", "shard", "hashes", "counts").repartition(parts, "part").sortWithinPartitions("part")
-        often = sent.mapInArrow(bounded(_frequent(least)), "shard string, hashes binary")
-        own = shards.where("ids IS NOT NULL").select("shard", "lang", "ids", "new", "words", none("hashes"))
-        return own.unionByName(often.select("shard", *map(none, ("lang", "ids", "new", "words")), "hashes")).repartition("shard").sortWithinPartitions("shard")
+        often = sent.mapInArrow(bounded(_frequent(least)), "shard string, part long, hashes binary")
+        own = shards.where("ids IS NOT NULL").select("shard", none("part"), "lang", "ids", "new", "words", none("hashes"))
+        return own.unionByName(often.select("shard", "part", *map(none, ("lang", "ids", "new", "words")), "hashes")).repartition("shard").sortWithinPartitions("shard")
 
     runs = materialize(with_frequent(shards).mapInArrow(bounded(_runs(parts)), SHARDS), "phrase-runs", compression="zstd")
-    states = with_frequent(runs).mapInArrow(bounded(_phrases), "lang string, phrase string, words int, shortest int, n long")
+    states = with_frequent(runs).mapInArrow(bounded(_phrases(parts)), "lang string, phrase string, words int, shortest int, n long")
     suffixes = F.when(F.col("shortest") == F.col("words"), F.array("words")).otherwise(F.sequence("shortest", "words"))
     each = states.select("lang", "phrase", "words", "n", F.explode(suffixes).alias("k")).select(
         "lang", F.when(F.col("k") == F.col("words"), F.col("phrase")).otherwise(F.expr("substring_index(phrase, ' ', -k)")).alias("phrase"), F.col("k").alias("words"), "n"
