@@ -5,6 +5,11 @@ from __future__ import annotations
 from tessera.functions.paths import path_allowed
 from tessera.operators.actions import freshness_gate, list_symbols, onboarding_pack, read_pack, run_batch, run_within, task_items, task_pack
 from tessera.operators.aggregates import directory_map, directory_symbols, index_stats, overview, repo_signals, rolling_percentile
+from tessera.operators.ann import GraphIndex
+from tessera.operators.ann import add as add_vectors
+from tessera.operators.ann import build_index as build_vector_index
+from tessera.operators.ann import remove as remove_vectors
+from tessera.operators.ann import search as search_vectors
 from tessera.operators.anchors import anchor_hits, detect_anchor, direct_paths, direct_symbols, first_source, focus_related, graph_boost, guard, lexical_fallback, parse_directives, reasons
 from tessera.operators.chunking import ChunkConfig, chunk_by_lines, chunk_by_tokens, chunk_files, chunk_stats, drop_shadowed
 from tessera.operators.evaluate import compare, compare_summary, map_noise, overlap_with_baseline, precision_at_k, run_summary, score_cases, summarize, token_saved
@@ -15,9 +20,11 @@ from tessera.operators.packing import context_pack, decode_cursor, encode_cursor
 from tessera.operators.ranking import normalize_scores, round_robin, rrf, running_budget
 from tessera.operators.retrieval import bm25, fuzzy_match, hybrid_search, term_hits
 from tessera.operators.routed import arrange_primaries, routed_search, search_by_text, without_docs
-from tessera.operators.vector import approximate_topk, embed_missing, multi_model, recall_at_k, vector_topk
+from tessera.operators.syntax import build_code_graph, code_references, code_scopes, within_scopes
+from tessera.operators.vector import embed_missing, multi_model, recall_at_k, vector_topk
 from tessera.profile import FAST, GENERAL, QUALITY, Profile, load_profile
 from tessera.sources.files import filter_paths, git_watermark, list_directory, load_cases, scan
+from tessera.sources.ignore import drop_ignored, ignore_rules
 from tessera.sources.sinks import changed_files, filesystem_watermark, missing_vectors, purge_missing, replace_table, staleness, upsert_files
 from tessera.streaming.debounce import debounce_batch, debounce_stream, dedup_stream, run_cycles
 

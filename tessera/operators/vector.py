@@ -1,13 +1,11 @@
-"""Vector search: exact top-k by cosine, a hyperplane-hashed approximation, stores of embeddings."""
+"""Vector search: exact top-k by cosine, recall of an approximation (see ann.py), stores of embeddings."""
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import cosine, dot, stub_embed
+from tessera.functions.vectors import cosine, stub_embed
 from tessera.operators.ranking import against_all, rrf, top_k
 
 
@@ -21,31 +19,6 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     return top_k(scored, ["query_id"], k, F.desc("score"), "item")
 
 
-def hyperplane_hash(vectors: DataFrame, dimension: int, tables: int, bits: int, seed: int, id_col: str = "vec_id") -> DataFrame:
-    """(item, table, bucket, embedding): signs of projections on seeded random directions."""
-    rng = random.Random(seed)
-
-    def bucket():
-        out = F.lit(0)
-        for b in range(bits):
-            plane = F.array(*(F.lit(rng.gauss(0, 1)) for _ in range(dimension)))
-            out = out + F.when(dot(F.col("embedding"), plane) >= 0, 1 << b).otherwise(0)
-        return out
-
-    hashes = F.array(*(F.struct(F.lit(t).alias("table"), bucket().alias("bucket")) for t in range(tables)))
-    return vectors.select(F.col(id_col).alias("item"), "embedding", F.explode(hashes).alias("h")).select("item", "embedding", "h.table", "h.bucket")
-
-
-def approximate_topk(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, tables: int = 16, bits: int = 4, seed: int = 3) -> DataFrame:
-    """As vector_topk(), over rows that share a bucket with the query in some table; candidates are ranked exactly."""
-    index = hyperplane_hash(vectors, dimension, tables, bits, seed)
-    asked = hyperplane_hash(queries.withColumnRenamed("q", "embedding"), dimension, tables, bits, seed, "query_id")
-    asked = asked.select(F.col("item").alias("query_id"), F.col("embedding").alias("_q"), "table", "bucket")
-    met = index.join(asked, ["table", "bucket"]).dropDuplicates(["query_id", "item"])
-    scored = met.select("query_id", "item", cosine(F.col("_q"), F.col("embedding")).alias("score"))
-    return top_k(scored, ["query_id"], k, F.desc("score"), "item")
-
-
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: share of the exact results that were found."""
     hit = exact.select("query_id", "item").join(found.select("query_id", "item", F.lit(1).alias("hit")), ["query_id", "item"], "left")

@@ -1,4 +1,4 @@
-"""Queries over source files written from the tables: regions and nations with their suppliers in Rust, customers with their orders in TypeScript.
+"""Queries over files and their rules, and over source files written from the tables: regions and nations with their suppliers in Rust, customers with their orders in TypeScript.
 
 The files grow with the tables, and what stands in them is known from the tables, so that SQL gives the same chunks and edges without reading code.
 """
@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, syntax
-from tessera.plans.base import table
+from tessera.plans.base import FILES, files, table
+from tessera.sources import ignore
 
 REGION = """pub trait Keeper{r} {
     fn load(&self);
@@ -99,7 +100,27 @@ def code_graph_innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir, True)
 
 
-QUERIES = {f.__name__: f for f in (code_chunks, code_graph, code_graph_innermost)}
+ROOT_RULES = """# what is made anew
+*.yaml
+!doc_*5.yaml
+/src1/en/
+**/es/doc_*7.rs
+src2/**/doc_1*.py
+
+doc_[0-3]?.md
+"""
+SOURCE_RULES = "fr/*  \n!fr/doc_*3.py\n!doc_2?.md\n"
+
+
+def ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files that rules at the root and in the directory of each source leave."""
+    named = files(spark, sf_dir)
+    nested = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.concat("source", F.lit("/.gitignore")).alias("file_path"), F.lit(SOURCE_RULES).alias("content")).distinct()
+    rules = ignore.ignore_rules(nested.unionByName(spark.createDataFrame([(".gitignore", ROOT_RULES)], nested.schema)))
+    return ignore.drop_ignored(named.select("doc_id", "file_path"), rules).select("doc_id", "file_path")
+
+
+QUERIES = {f.__name__: f for f in (code_chunks, code_graph, code_graph_innermost, ignored_files)}
 
 #: What the files hold, from the tables: file, type, name, parent, qualified name, documentation, lines.
 _SCOPES = """s AS (
@@ -138,6 +159,17 @@ _NAMED = """e AS (
 _TOTALS = "SELECT file_path || ':5:5' AS src, file_path || ':7:7' AS dst, 'Uses' AS rel, 1 AS n FROM s WHERE symbol_name = 'total'"
 
 ORACLE_SQL = {
+    # rules from the last to the first; a directory that is ignored comes before all of them
+    "ignored_files": f"""WITH {FILES}, f AS (SELECT files.doc_id, files.file_path, coalesce(source, '') AS source, coalesce(lang, '') AS lang, regexp_extract(files.file_path, '[^/]*$') AS name FROM files JOIN documents USING (doc_id))
+        SELECT doc_id, file_path FROM f WHERE NOT CASE
+          WHEN source = 'src1' AND lang = 'en' THEN true
+          WHEN source <> '' AND regexp_matches(name, '^doc_2.[.]md$') THEN false
+          WHEN source <> '' AND lang = 'fr' THEN NOT regexp_matches(name, '^doc_.*3[.]py$')
+          WHEN regexp_matches(name, '^doc_[0-3].[.]md$') THEN true
+          WHEN source = 'src2' AND regexp_matches(name, '^doc_1.*[.]py$') THEN true
+          WHEN lang = 'es' AND regexp_matches(name, '^doc_.*7[.]rs$') THEN true
+          WHEN regexp_matches(name, '^doc_.*5[.]yaml$') THEN false
+          ELSE ends_with(name, '.yaml') END""",
     "code_chunks": f"WITH {_SCOPES} SELECT * FROM s",
     **{
         name: f"WITH {_SCOPES}, {_NAMED} SELECT x.id AS src, y.id AS dst, rel, n FROM e JOIN i x ON x.name = a JOIN i y ON y.name = b {where} UNION ALL {_TOTALS}"

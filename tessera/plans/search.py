@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.vectors import stub_embed
-from tessera.operators import ranking, retrieval, vector
+from tessera.operators import ann, ranking, retrieval, vector
 from tessera.plans.base import FILES, LOWERED, QUERIES as QUERY_TABLE, files, queries, table, words_sql
 from tessera.plans.scalars import any_sql, weight_sql
 from tessera.profile import GENERAL
+from tessera.sources.work import held
 
 DIMENSION = 64
 
@@ -51,9 +52,36 @@ def rrf_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("query_id", "item", F.round("fused", 9).alias("fused"), F.round("score", 6).alias("score"))
 
 
+#: Vectors of a cell of the index, so that these tables have several.
+CELL_ROWS = 256
+
+
+def _ann(index: ann.GraphIndex, base: DataFrame) -> DataFrame:
+    """One row: whether 0.9 of the ten nearest of every twentieth vector are found, whether what a query met keeps within its bound, and the number of results looked for."""
+    q = base.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = held(ann.search(index, q, 10), "ann-recall")
+    bound = ann.PROBES * (ann.BEAM + ann.LAYER**2) * ann.MOST
+    met = found.agg((F.coalesce(F.max("met"), F.lit(0)) <= bound).alias("bounded"))
+    both = vector.recall_at_k(found, vector.vector_topk(base, q, 10)).withColumn("row", F.lit(1)).join(met.withColumn("row", F.lit(1)), "row")
+    return both.select((F.col("recall") >= 0.9).alias("reached"), "bounded", "n")
+
+
+def _index(base: DataFrame) -> ann.GraphIndex:
+    return ann.build_index(base.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), DIMENSION, CELL_ROWS)
+
+
 def ann_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, q = vectors(spark, sf_dir), asked(spark, sf_dir)
-    return vector.recall_at_k(vector.approximate_topk(base, q, 10, DIMENSION), vector.vector_topk(base, q, 10))
+    base = vectors(spark, sf_dir)
+    return _ann(_index(base), base)
+
+
+def ann_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after every third vector was removed, with cells built again, and every ninth was put back."""
+    base = vectors(spark, sf_dir)
+    gone, back = base.where("vec_id % 3 = 0"), base.where("vec_id % 9 = 0")
+    pairs = lambda df: df.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+    index = ann.add(ann.remove(_index(base), pairs(gone), tombstones=16), pairs(back))
+    return _ann(index, base.where("vec_id % 3 <> 0 OR vec_id % 9 = 0"))
 
 
 def stub_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +176,7 @@ def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_zero_norm, rrf_multi, ann_recall_at_k, stub_embedding, bm25_topk, fuzzy_sql, normalize_scores, threshold_filter, rrf_weighted, must_hit,
+    vector_topk, vector_zero_norm, rrf_multi, ann_recall_at_k, ann_after_changes, stub_embedding, bm25_topk, fuzzy_sql, normalize_scores, threshold_filter, rrf_weighted, must_hit,
     budget_prefix, round_robin_related, hybrid_search, hybrid_batch,
 )}
 
@@ -214,7 +242,11 @@ SELECT * FROM rr WHERE rank < 10"""
 
 
 _HALF = "embedding[{}:{}]"
+_ANN = "SELECT true AS reached, true AS bounded, sum(least(10, (SELECT count(*) FROM v)))::BIGINT AS n FROM v WHERE vec_id % 20 = 0"
+
 ORACLE_SQL = {
+    "ann_recall_at_k": f"WITH v AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL) {_ANN}",
+    "ann_after_changes": f"WITH v AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL AND (vec_id % 3 <> 0 OR vec_id % 9 = 0)) {_ANN}",
     "vector_topk": f"WITH {_ASKED} SELECT query_id, item, round(score, 6) AS score, rank FROM ({_topk_sql('embedding', 'q', 10)})",
     "vector_zero_norm": f"WITH {_ASKED}, r AS (SELECT query_id, vec_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) - 1 AS rank FROM q, embeddings WHERE embedding IS NOT NULL) SELECT query_id, item, 0.0::DOUBLE AS score, rank FROM r WHERE rank < 3",
     "rrf_multi": f"""WITH {_ASKED}, m AS (SELECT *, 'whole' AS model FROM ({_topk_sql('embedding', 'q', 20)}) UNION ALL SELECT *, 'turned' FROM ({_topk_sql('list_concat(embedding[33:64], embedding[1:32])', 'q', 20)}) UNION ALL SELECT *, 'half' FROM ({_topk_sql('embedding[1:32]', 'q[1:32]', 20)}))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import LANGUAGE_NAMES, LANGUAGES, base_name, extension, is_secret_file
 from tessera.schemas import CASES, WATERMARK
+from tessera.sources.ignore import drop_ignored, ignore_rules, read_rule_files
 
 MAX_BYTES = 1 << 20
 # Directories and names that are never indexed, hidden ones that are.
@@ -26,15 +27,19 @@ def indexable(path: Column, size: Column) -> Column:
     return (size <= MAX_BYTES) & known & ~hidden & ~F.exists(parts, lambda p: p.isin(*IGNORED)) & ~F.lower(base_name(path)).isin(*NOISE_NAMES) & ~is_secret_file(path)
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, ignore_files: bool = True) -> DataFrame:
     """file_path (below root), mtime_ms, bytes, content of all indexable files; contents of others are never read.
 
+    What the ignore files in the tree rule out is left out, unless ignore_files is false; the user's own global one is not read.
     Spark's file sources do not list hidden directories: name an allowed one (HIDDEN_ALLOWED) as a root of its own.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.col("path"), "^" + r"[a-z]+:/*" + root.strip("/").replace(".", r"\.") + "/", "")
     listed = found.where(F.col("length") <= MAX_BYTES).withColumn("file_path", path)
-    return listed.where(indexable(F.col("file_path"), F.col("length"))).select("file_path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("content"))
+    kept = listed.where(indexable(F.col("file_path"), F.col("length")))
+    if ignore_files:
+        kept = drop_ignored(kept, ignore_rules(read_rule_files(kept.select("file_path"), root)))
+    return kept.select("file_path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("content"))
 
 
 def filter_paths(paths: DataFrame) -> DataFrame:
