@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tessera.operators.ranking import top_k
 from tessera.sources.work import held
 
-#: Vectors of a cell in the mean, cells that a query looks into, and pivots that a task compares without an index of their own.
-CELL_ROWS, PROBES, FLAT_PIVOTS = 4096, 8, 2048
+#: Vectors of a cell without its copies, cells that a vector is in and that a query looks into, and pivots that a task compares without an index of their own.
+CELL_ROWS, COPIES, PROBES, FLAT_PIVOTS = 4096, 2, 8, 2048
 #: Links of a vector to near ones, to those of each layer, and with those that others have to it.
 NEAR, FAR, MOST = 12, 4, 32
 #: A vector of LAYER is in the next layer; width of the beam.
@@ -140,8 +140,8 @@ def _linked(nodes: DataFrame) -> DataFrame:
 
 
 def _dealt(vectors: DataFrame, pivots: DataFrame, dimension: int) -> DataFrame:
-    """Unlinked nodes of vectors (item, vector). Cells of far more than CELL_ROWS, as equal vectors make, are split by a hash of the ids."""
-    near = _nearest_pivots(vectors.select(F.col("item").alias("id"), "vector"), pivots, dimension, 1)
+    """Unlinked nodes of vectors (item, vector), each in the cells of its COPIES nearest pivots, so that one at a border is found from both sides."""
+    near = _nearest_pivots(vectors.select(F.col("item").alias("id"), "vector"), pivots, dimension, COPIES)
     return near.select("cell", F.col("id").alias("item"), "vector", F.array().cast("array<long>").alias("links"), F.lit(False).alias("dead"))
 
 
@@ -149,7 +149,7 @@ def build_index(vectors: DataFrame, dimension: int, cell_rows: int | None = None
     """An index of vectors (item, vector); null ones, those of another length and those of zero norm take no part, and of a repeated item one stays.
 
     Pivots are a sample by a hash of the ids, one in `cell_rows`. A cell's graph is built by one task; cells of more than
-    4 * cell_rows vectors, as many equal ones make, are split, and a query looks into all parts.
+    4 * cell_rows vectors, as many equal ones make, are split by a hash of the ids, and a query looks into all parts.
     """
     cell_rows = cell_rows or CELL_ROWS
     fine = F.col("vector").isNotNull() & (F.size("vector") == dimension) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v)) & F.exists("vector", lambda v: v != 0)
@@ -231,5 +231,6 @@ def search(index: GraphIndex, queries: DataFrame, k: int, beam: int | None = Non
     least = index.nodes.where("NOT dead").select("item").orderBy("item").limit(k).agg(F.sort_array(F.collect_list("item")).alias("ids"))
     ids = least.first().ids if zero.limit(1).count() else []
     none = zero.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array(*map(F.lit, ids)) if ids else F.array().cast("array<long>")).alias("item"), F.lit(0.0).alias("score"))
-    best = top_k(found.where("item IS NOT NULL").drop("met").unionByName(none), ["query_id"], k, F.desc("score"), "item")
+    once = found.where("item IS NOT NULL").groupBy("query_id", "item").agg(F.max("score").alias("score"))
+    best = top_k(once.unionByName(none), ["query_id"], k, F.desc("score"), "item")
     return best.join(found.groupBy("query_id").agg(F.sum("met").alias("met")), "query_id", "left").withColumn("met", F.coalesce("met", F.lit(0)))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from tessera.functions import paths, text
+from tessera.operators.alignment import aligned_pairs
 from tessera.operators.ranking import ADAPTIVE_K, QUERY_BLOCK, against_all, normalize_scores, passes_thresholds, ranked, rrf, top_k
 from tessera.operators.vector import vector_topk
 from tessera.profile import GENERAL, Profile
@@ -101,14 +102,16 @@ def fuzzy_pairs(small: DataFrame, queries: DataFrame) -> DataFrame:
     return small.mapInPandas(run, schema)
 
 
-def fuzzy_match(chunks: DataFrame, queries: DataFrame, limit: int | Column) -> DataFrame:
+def fuzzy_match(chunks: DataFrame, queries: DataFrame, limit: int | Column, aligned: bool = False) -> DataFrame:
     """query_id, item, fuzzy, rank: path, symbol and the start of the content of each chunk against each query.
 
-    A documented stand-in for a fuzzy matcher: points by target_points(), best target, in shares of the
-    query's best; an equal symbol is 1 and comes first; chunks without a match are left out.
+    Points of the best target, in shares of the query's best; an equal symbol is 1 and comes first; chunks
+    without a match are left out. Points are those of alignments (alignment.py) or, which SQL can express and so
+    the hybrid queries use, of target_points().
     """
     small = chunks.select("item", "file_path", "symbol", F.substring("content", 1, PREVIEW).alias("_preview"))
-    matched = fuzzy_pairs(small, queries.select("query_id", "query").where(F.trim("query") != "")).join(queries, "query_id")
+    pairs = aligned_pairs if aligned else fuzzy_pairs
+    matched = pairs(small, queries.select("query_id", "query").where(F.trim("query") != "")).join(queries, "query_id")
     first = ranked(matched, ["query_id"], F.desc("_exact"), F.desc("_points"), "item").withColumn("_most", F.max("_points").over(W.partitionBy("query_id")))
     share = F.when(F.col("_exact"), 1.0).otherwise(F.col("_points") / F.col("_most"))
     return first.where(F.col("rank") < limit).withColumn("fuzzy", share).drop("_points", "_exact", "_most")

@@ -110,6 +110,11 @@ def fuzzy_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.fuzzy_match(chunks(spark, sf_dir), queries(spark, sf_dir), 40), "fuzzy").select("query_id", "item", "fuzzy", "rank")
 
 
+def fuzzy_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by alignments, which the tests hold against a plain programme."""
+    return _rounded(retrieval.fuzzy_match(chunks(spark, sf_dir), queries(spark, sf_dir), 40, aligned=True), "fuzzy").select("query_id", "item", "fuzzy", "rank")
+
+
 def normalize_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer balances by nation; every seventh is not a number, one nation has equal ones."""
     c = table(spark, sf_dir, "customer")
@@ -176,7 +181,7 @@ def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_zero_norm, rrf_multi, ann_recall_at_k, ann_after_changes, stub_embedding, bm25_topk, fuzzy_sql, normalize_scores, threshold_filter, rrf_weighted, must_hit,
+    vector_topk, vector_zero_norm, rrf_multi, ann_recall_at_k, ann_after_changes, stub_embedding, bm25_topk, fuzzy_sql, fuzzy_alignment, normalize_scores, threshold_filter, rrf_weighted, must_hit,
     budget_prefix, round_robin_related, hybrid_search, hybrid_batch,
 )}
 

@@ -32,7 +32,7 @@ def recall(spark, found, vectors, queries, k=10):
 
 def test_recall_with_bounded_candidates(spark, vectors, queries, monkeypatch):
     index = ann.build_index(vectors, 24, cell_rows=500)
-    assert index.nodes.groupBy("cell").count().count() >= 4 and index.nodes.count() == 3400
+    assert index.nodes.groupBy("cell").count().count() >= 4 and index.nodes.select("item").distinct().count() == 3400
     found = ann.search(index, queries, 10)
     assert recall(spark, found, vectors, queries) >= 0.9
     assert found.agg(F.max("met")).first()[0] <= ann.PROBES * (ann.BEAM + ann.LAYER**2) * ann.MOST
@@ -54,15 +54,15 @@ def test_odd_queries(spark, vectors):
 def test_remove_rebuild_and_add(spark, vectors, queries):
     index = ann.build_index(vectors, 24, cell_rows=1000)
     few = ann.remove(index, vectors.where("item % 10 = 3").select("item"), tombstones=1)
-    assert few.nodes.where("dead").count() == 340
+    assert few.nodes.where("dead").select("item").distinct().count() == 340
     left = vectors.where("item % 10 <> 3")
     assert recall(spark, ann.search(few, queries, 10), left, queries) >= 0.9
     many = ann.remove(few, vectors.where("item % 2 = 0").select("item"), tombstones=1)
-    assert many.nodes.where("dead").count() == 0 and many.nodes.count() == 3400 - 340 - 1700
-    kept = ann.remove(index, vectors.where("item % 2 = 0").select("item"))
-    assert kept.nodes.where("dead").count() == 1700  # fewer than 1,024 in each cell
+    assert many.nodes.where("dead").count() == 0 and many.nodes.select("item").distinct().count() == 3400 - 340 - 1700
+    kept = ann.remove(index, vectors.where("item % 2 = 0").select("item"), tombstones=10_000)
+    assert kept.nodes.where("dead").select("item").distinct().count() == 1700
     back = ann.add(many, vectors.where("item % 2 = 0 AND item < 3400"))
     now = vectors.where("item % 10 <> 3")
-    assert back.nodes.where("NOT dead").count() == 3400 - 340 and recall(spark, ann.search(back, queries, 10), now, queries) >= 0.9
+    assert back.nodes.where("NOT dead").select("item").distinct().count() == 3400 - 340 and recall(spark, ann.search(back, queries, 10), now, queries) >= 0.9
     other = spark.createDataFrame([(7, [5.0] + [0.0] * 23)], "item long, vector array<float>")
     assert ann.search(ann.add(back, other), other.select(F.lit(1).alias("query_id"), F.col("vector").alias("q")), 1).first().item == 7
