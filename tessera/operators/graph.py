@@ -138,6 +138,59 @@ def impact(nodes: DataFrame, edges: DataFrame, of: DataFrame, depth: int) -> Dat
     return of.select(F.col("node").alias("start")).join(counted, "start", "left").select("start", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("direct", "transitive", "files")))
 
 
+def _skipped(name: Column, path: Column) -> Column:
+    """Nodes that are no usages: nameless ones and Markdown."""
+    return (name == "unknown") | F.lower(path).rlike(r"\.md$")
+
+
+def word_hits(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """start, file_path, line: the first whole-word occurrence of each name (start, name, node) in each chunk (node, file_path, start_line, content) but its own and Markdown.
+
+    Words of the chunks meet the names by an equi-join, so that only chunks with a name leave their task.
+    """
+    lines = chunks.where(~F.lower("file_path").rlike(r"\.md$")).select(F.col("node").alias("_chunk"), "file_path", "start_line", F.posexplode(F.split("content", "\n")).alias("_n", "_text"))
+    words = lines.select("_chunk", "file_path", (F.col("start_line") + F.col("_n")).alias("line"), F.explode(F.array_distinct(F.split("_text", r"[^A-Za-z0-9_]+"))).alias("name")).where("name <> ''")
+    met = words.join(names.select("start", "name", F.col("node").alias("_own")), "name").where("_chunk <> _own")
+    return met.groupBy("start", "_chunk", "file_path").agg(F.min("line").alias("line")).select("start", "file_path", "line")
+
+
+def impact_report(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, of: DataFrame, depth: int = 2, limit: int = IMPACT_LIMIT) -> DataFrame:
+    """A row for each node in `of`: start, file_path, line (of its definition), direct, transitive, tests, public, usages, files.
+
+    * nodes: node, name, file_path, start_line; chunks: node, file_path, start_line, content.
+    * direct and transitive list (file_path, line, symbol, rel) in order of file and line, one for each place, `limit` at most; rel of a further
+      usage names the relations on the way. Nodes without a name and Markdown are no usages. Places left in direct
+      are filled with the first occurrences of the name in other chunks (rel TextMatch), those of known places left out after counting.
+    * tests are places (file:line) of tests within three hops, public says whether the definition is, usages and files count direct and transitive.
+    """
+    info = nodes.select("node", F.col("name").alias("symbol"), "file_path", F.col("start_line").alias("line"))
+    place = ["start", "file_path", "line"]
+    first = F.row_number().over(W.partitionBy("start").orderBy("file_path", "line"))
+
+    def listed(usages: DataFrame) -> DataFrame:
+        """The first places of usages (start, node, rel)."""
+        known = usages.join(info, "node").where(~_skipped(F.col("symbol"), F.col("file_path")))
+        return known.groupBy(*place).agg(F.min(F.struct("symbol", "rel")).alias("_u")).select(*place, "_u.*").withColumn("_n", first).where(F.col("_n") <= limit).drop("_n")
+
+    direct = listed(neighbours(edges, of, forward=False))
+    names = of.select(F.col("node").alias("start")).join(info.select(F.col("node").alias("start"), F.col("symbol").alias("name"), F.col("file_path").alias("_file"), F.col("line").alias("_line")), "start")
+    hits = usages_with_text(direct, word_hits(chunks, names.select("start", "name", F.col("start").alias("node"))), limit).where("origin = 'text'")
+    direct = direct.unionByName(hits.join(names.select("start", F.col("name").alias("symbol")), "start").select(*place, "symbol", F.lit("TextMatch").alias("rel")))
+    further = reach(edges, of, depth, forward=False).where("distance > 1").select("start", "node", F.array_join("path", " -> ").alias("rel"))
+    both = direct.withColumn("_part", F.lit("direct")).unionByName(listed(further).withColumn("_part", F.lit("transitive")))
+    usage = F.struct("file_path", "line", "symbol", "rel")
+    part = lambda name: F.array_sort(F.collect_list(F.when(F.col("_part") == name, usage))).alias(name)
+    lists = both.groupBy("start").agg(part("direct"), part("transitive"), F.count(F.lit(1)).alias("usages"), F.count_distinct("file_path").alias("files"))
+    tests = related_tests(nodes, edges, of).join(info, "node").groupBy("start").agg(F.array_sort(F.collect_set(F.concat_ws(":", "file_path", "line"))).alias("tests"))
+    public = public_nodes(nodes, edges, chunks).select(F.col("node").alias("start"), F.lit(True).alias("public"))
+    none = "array<struct<file_path:string,line:int,symbol:string,rel:string>>"
+    out = names.join(lists, "start", "left").join(tests, "start", "left").join(public, "start", "left")
+    return out.select(
+        "start", F.col("_file").alias("file_path"), F.col("_line").alias("line"), *(F.coalesce(F.col(c).cast(none), F.array().cast(none)).alias(c) for c in ("direct", "transitive")),
+        F.coalesce("tests", F.array().cast("array<string>")).alias("tests"), F.coalesce("public", F.lit(False)).alias("public"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("usages", "files")),
+    )
+
+
 def related_tests(nodes: DataFrame, edges: DataFrame, of: DataFrame) -> DataFrame:
     """start, node: nodes within three reverse hops that are tests by their id or name."""
     near = reach(edges, of, 3, forward=False).join(nodes.select("node", "name"), "node")

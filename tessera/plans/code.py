@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, syntax
+from tessera.operators import chunking, graph, syntax
 from tessera.plans.base import FILES, files, table
 from tessera.sources import ignore
+from tessera.sources.work import held
 
 REGION = """pub trait Keeper{r} {
     fn load(&self);
@@ -100,6 +101,18 @@ def code_graph_innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir, True)
 
 
+def impact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usages of all regions and of the methods of all nations, with their digests."""
+    written = held(code_files(spark, sf_dir), "code-files")
+    nodes, edges = syntax.build_code_graph(written)
+    edges = held(edges, "code-edges")
+    chunks = chunking.chunk_files(written).select(F.concat_ws(":", "file_path", "start_line", "end_line").alias("node"), "file_path", "start_line", "content")
+    of = nodes.where("name LIKE 'Region%' OR name LIKE 'load_%'").select("node")
+    found = graph.impact_report(nodes, edges, chunks, of)
+    shown = lambda c: F.sha2(F.array_join(F.transform(c, lambda u: F.concat_ws(":", u["file_path"], u["line"], u["symbol"], u["rel"])), ","), 256).alias(c)
+    return found.select("start", F.col("line").cast("bigint").alias("line"), F.size("direct").cast("bigint").alias("n_direct"), F.size("transitive").cast("bigint").alias("n_transitive"), shown("direct"), shown("transitive"), F.size("tests").cast("bigint").alias("n_tests"), "public", "usages", "files")
+
+
 ROOT_RULES = """# what is made anew
 *.yaml
 !doc_*5.yaml
@@ -120,7 +133,7 @@ def ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ignore.drop_ignored(named.select("doc_id", "file_path"), rules).select("doc_id", "file_path")
 
 
-QUERIES = {f.__name__: f for f in (code_chunks, code_graph, code_graph_innermost, ignored_files)}
+QUERIES = {f.__name__: f for f in (code_chunks, code_graph, code_graph_innermost, impact_report, ignored_files)}
 
 #: What the files hold, from the tables: file, type, name, parent, qualified name, documentation, lines.
 _SCOPES = """s AS (
@@ -158,7 +171,28 @@ _NAMED = """e AS (
 #: Members named `total` stand in each customer's file and use its interface; the name stands for the last of them.
 _TOTALS = "SELECT file_path || ':5:5' AS src, file_path || ':7:7' AS dst, 'Uses' AS rel, 1 AS n FROM s WHERE symbol_name = 'total'"
 
+#: Usages by the tables: suppliers, modules and orders call a nation's method, which uses its region; places in order, the first 200.
+_IMPACT = """l AS (
+  SELECT n_nationkey AS k, n_regionkey AS r, 'src/nation_' || n_nationkey || '.rs' AS file_path, 18 AS line, 'suppliers_' || n_nationkey AS symbol FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
+  UNION ALL SELECT n_nationkey, n_regionkey, 'src/nation_' || n_nationkey || '.rs', 19 + row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey), 'supplier_' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey
+  UNION ALL SELECT n_nationkey, n_regionkey, 'web/customer_' || c_custkey || '.ts', 7 + row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey), 'order_' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+), u AS (
+  SELECT 'src/nation_' || k || '.rs:11:15' AS start, 'direct' AS part, file_path, line, symbol, 'Calls' AS rel FROM l
+  UNION ALL SELECT 'src/region_' || r || '.rs:4:4', 'transitive', file_path, line, symbol, 'Uses -> Calls' FROM l
+  UNION ALL SELECT 'src/region_' || n_regionkey || '.rs:4:4', 'direct', 'src/nation_' || n_nationkey || '.rs', 11, 'load_' || n_nationkey, 'Uses' FROM nation
+  UNION ALL SELECT 'src/region_' || r_regionkey || '.rs:4:4', 'direct', 'src/region_' || r_regionkey || '.rs', 4, 'Region' || r_regionkey, 'Uses' FROM region
+  UNION ALL SELECT 'src/region_' || r_regionkey || '.rs:4:4', 'direct', 'src/region_' || r_regionkey || '.rs', 5, 'open_' || r_regionkey, 'Uses' FROM region
+), c AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY start, part ORDER BY file_path, line) <= 200),
+a AS (
+  SELECT start, count(*) FILTER (part = 'direct') AS n_direct, count(*) FILTER (part = 'transitive') AS n_transitive, count(*) AS usages, count(DISTINCT file_path) AS files,
+         string_agg(file_path || ':' || line || ':' || symbol || ':' || rel, ',' ORDER BY file_path, line) FILTER (part = 'direct') AS direct, string_agg(file_path || ':' || line || ':' || symbol || ':' || rel, ',' ORDER BY file_path, line) FILTER (part = 'transitive') AS transitive
+  FROM c GROUP BY start
+), d AS (SELECT 'src/nation_' || n_nationkey || '.rs:11:15' AS start, 11 AS line, false AS public FROM nation UNION ALL SELECT 'src/region_' || r_regionkey || '.rs:4:4', 4, true FROM region)
+SELECT start, line::BIGINT AS line, coalesce(n_direct, 0) AS n_direct, coalesce(n_transitive, 0) AS n_transitive, sha256(coalesce(direct, '')) AS direct, sha256(coalesce(transitive, '')) AS transitive, 0::BIGINT AS n_tests, public, coalesce(usages, 0) AS usages, coalesce(files, 0) AS files
+FROM d LEFT JOIN a USING (start)"""
+
 ORACLE_SQL = {
+    "impact_report": f"WITH {_IMPACT}",
     # rules from the last to the first; a directory that is ignored comes before all of them
     "ignored_files": f"""WITH {FILES}, f AS (SELECT files.doc_id, files.file_path, coalesce(source, '') AS source, coalesce(lang, '') AS lang, regexp_extract(files.file_path, '[^/]*$') AS name FROM files JOIN documents USING (doc_id))
         SELECT doc_id, file_path FROM f WHERE NOT CASE
