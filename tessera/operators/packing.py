@@ -5,14 +5,20 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from typing import Any
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tessera.operators.ranking import OTHER_CAP, RELATION_CAPS, against_all
+from tessera.operators.ranking import OTHER_CAP, QUERY_BLOCK, RELATION_CAPS, against_all
 
 ITEM_COST = 128
 PACK = "query_id long, position int, role string, item string, relation string, cost long, used long, truncated boolean"
@@ -87,6 +93,45 @@ def context_pack(primaries: DataFrame, related: DataFrame, max_chars: int = 20_0
     return rows.groupBy("query_id").applyInPandas(pack, PACK)
 
 
+def term_hits(records: DataFrame, queries: DataFrame, text: str) -> DataFrame:
+    """query_id, the columns of records but `text`, _hits: how many of a query's terms stand in the text, where any does.
+
+    Queries (query_id, terms) go to the tasks in blocks of QUERY_BLOCK; a block's terms are found in one pass over each text, whatever their number.
+    """
+    rest = [c for c in records.columns if c != text]
+    schema = StructType([queries.schema["query_id"], *(records.schema[c] for c in rest), StructField("_hits", IntegerType())])
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
+        by_term: dict[str, list] = {}
+        for r in own.select("query_id", "terms").collect():
+            for term in r.terms or ():
+                by_term.setdefault(term, []).append(r.query_id)
+        empty = by_term.pop("", [])  # stands in every text
+
+        def run(batches: Iterator[pa.RecordBatch], by_term=by_term, empty=empty) -> Iterator[pa.RecordBatch]:
+            finder = ahocorasick.Automaton()
+            for term, asked in by_term.items():
+                finder.add_word(term, (term, asked))
+            finder.make_automaton()
+            for batch in batches:
+                at, query_ids, hits = [], [], []
+                for i, said in enumerate(batch.column(text).to_pylist()):
+                    found = Counter(empty)
+                    if by_term and said is not None:
+                        found.update(q for asked in dict(v for _, v in finder.iter(said)).values() for q in asked)
+                    at += [i] * len(found)
+                    query_ids += found.keys()
+                    hits += found.values()
+                own = [c.take(pa.array(at, pa.int64())) for c in batch.select(rest).columns]
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids, to_arrow_type(schema[0].dataType)), *own, pa.array(hits, pa.int32())], names=schema.names)
+
+        found = records.select(*rest, text).mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def memory_rank(candidates: DataFrame, queries: DataFrame, priority: dict[str, int], k: int = 3, per_kind: int = 2) -> DataFrame:
     """query_id, conv_id, turn, rank: records (conv_id, turn, kind, text) with words of the query first, then the rest by priority and recency.
 
@@ -104,7 +149,7 @@ def memory_rank(candidates: DataFrame, queries: DataFrame, priority: dict[str, i
     def met(records: DataFrame) -> DataFrame:
         return against_all(records, queries.select("query_id", "terms")).select("query_id", "conv_id", "turn", "kind", "_p", hits.alias("_hits"))
 
-    scored = met(rows).where("_hits > 0").unionByName(met(fill).where("_hits = 0"))
+    scored = term_hits(rows, queries, "_low").unionByName(met(fill).where("_hits = 0"))
     best = [F.desc(F.col("_hits") > 0), F.col("_p"), F.desc("_hits"), F.desc("turn"), F.col("conv_id")]
     capped = scored.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "kind").orderBy(*best))).where(F.col("_n") <= per_kind)
     return capped.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "conv_id", "turn", "rank")

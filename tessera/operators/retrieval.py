@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from tessera.functions import paths, text
 from tessera.operators.alignment import aligned_pairs
@@ -19,20 +22,42 @@ from tessera.sources.work import held
 
 PREVIEW = 200
 MIN_AVGDL = 1e-3
+#: Distinct terms of all queries that are sent to the tasks.
+MANY_TERMS = 100_000
 
 
 def term_hits(chunks: DataFrame, queries: DataFrame, window: int) -> DataFrame:
     """query_id, item, hits: the query terms of each chunk in order, the first `window` of them.
 
     chunks: item, content; queries: query_id, terms. Words meet terms by an equi-join, so only rows with a
-    term leave their task.
+    term leave their task; up to MANY_TERMS terms are sent to the tasks first, so that other words are no rows at all.
     """
     terms = queries.select("query_id", F.explode("terms").alias("term"))
-    words = chunks.select("item", F.posexplode(text.words_of(F.col("content"))).alias("pos", "term"))
+    known = [r.term for r in terms.select("term").distinct().limit(MANY_TERMS + 1).collect()]
+    said = chunks.select("item", text.words_of(F.col("content")).alias("words"))
+    words = said.select("item", F.posexplode("words").alias("pos", "term")) if len(known) > MANY_TERMS else _known_words(said, known)
     found = words.join(terms, "term").groupBy("query_id", "item").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("all"))
     return found.select("query_id", "item", F.transform(F.slice("all", 1, window), lambda x: x["term"]).alias("hits"))
 
 
+def _known_words(said: DataFrame, known: list[str]) -> DataFrame:
+    """item, pos, term: the places of known words in lists of words."""
+    schema = StructType([said.schema["item"], StructField("pos", IntegerType()), StructField("term", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(known, pa.string())
+        for batch in batches:
+            lists = batch.column("words")
+            flat = lists.flatten()
+            at = pc.indices_nonzero(pc.is_in(flat, value_set=wanted)).to_numpy()
+            ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+            row = np.searchsorted(ends, at, side="right")
+            pos = at.astype(np.int64) - np.concatenate(([0], ends))[row]
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(row)), pa.array(pos, pa.int32()), flat.take(pa.array(at)).cast(pa.string())], names=schema.names)
+
+    return said.mapInArrow(run, schema)
+
+
 def bm25(hits: DataFrame, k1: float, b: float, weight: float) -> DataFrame:
     """query_id, item, bm25: statistics over the candidates with a hit; a length is the number of hits."""
     rows = hits.where(F.size("hits") > 0)
