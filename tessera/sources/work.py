@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,18 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir; a temporary one only where none is named and all runs on one machine, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def _work(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera-held/{spark.sparkContext.applicationId}"
+
+
+def clear_held(spark: SparkSession) -> None:
+    """Deletes all that this application has held; call it once results are saved, as they read from there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held(df: DataFrame, name: str) -> DataFrame:
     """Writes df and reads it back: what is built on it neither computes nor plans it again, and it outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-work/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_work(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
