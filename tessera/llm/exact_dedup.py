@@ -98,13 +98,36 @@ def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     return without(docs, dropped, (F.col(id_col).cast("bigint"), "doc_id"), (digest, "text_sha256"))
 
 
+def dedup_in_batches(docs: DataFrame, path: str, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As exact_dedup(), of a table that comes in batches of falling ids: each is held against the index at `path` as the batches before it have left it.
+
+    * The largest id of a text is in the batch that comes first with it, so that the result is that of one batch; group_size counts the rows
+      of all batches. Batches are cut at quantiles of the ids, and rows without an id come in the last one.
+    * The index is opened anew for each batch. A batch's results are written before the next one starts, so that a lost executor repeats one batch
+      at most. Repeated rows, ties, nulls, empty tables and further columns: see exact_dedup().
+    """
+    spark = docs.sparkSession
+    key = F.col(id_col).cast("bigint")
+    shares = [i / batches for i in range(1, batches)]
+    found = docs.agg(F.percentile_approx(key, shares, 1000)).first()[0] if shares else None
+    cuts = sorted(set(found or ()), reverse=True)
+    uppers, rows = [None, *cuts], docs.count()
+    out = None
+    for i, upper in enumerate(uppers):
+        own = F.lit(True) if upper is None else key < upper
+        lower = cuts[i] if i < len(cuts) else None
+        own = (own & (key >= lower)) if lower is not None else own | key.isNull() if upper is not None else own
+        index = DigestIndex(spark, path, rows=rows)
+        found = materialize(exact_dedup(docs.where(own), index, id_col, text_col), "digest-results")
+        index.close()
+        out = found if out is None else out.unionByName(found)
+    sizes = materialize(out.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size")), "digest-sizes")
+    return out.drop("group_size").join(sizes, "text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact dedup of all documents into a new index."""
-    docs = table(spark, sf_dir, "documents")
-    index = DigestIndex(spark, work_path(spark, "digest-index"), rows=docs.count())
-    found = exact_dedup(docs, index)
-    index.close()
-    return found
+    """Exact dedup of all documents, in two batches against one index."""
+    return dedup_in_batches(table(spark, sf_dir, "documents"), work_path(spark, "digest-index"))
 
 
 OP3_SQL = """

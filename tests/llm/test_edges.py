@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bit_sliced, chat, mixing, ngram_join, pieces, quality, secrets, simple8b, token_files, warc
 from tessera.llm.common import arrow_groups, clear_work, materialize, to_keys, work_path
 from tessera.llm.components import components
-from tessera.llm.exact_dedup import DigestIndex, drop_copies, exact_dedup
+from tessera.llm.exact_dedup import DigestIndex, dedup_in_batches, drop_copies, exact_dedup
 
 LONG = "word " * 60_000 + "end"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, key string, digest string, kept string, id string"
@@ -54,6 +54,19 @@ def test_exact_dedup(spark, docs, nothing):
     assert kept.columns == docs.columns and kept.count() == 6
 
 
+@pytest.mark.parametrize("batches", [1, 2, 4])
+def test_dedup_in_batches_equals_one_batch(spark, docs, nothing, batches):
+    more = docs.union(docs.where("doc_id = 2").withColumn("doc_id", F.lit(40).cast("long"))).union(docs.where("doc_id = 5").withColumn("doc_id", F.lit(-3).cast("long")))
+    listed = lambda df: sorted(map(tuple, df.collect()), key=str)
+    wanted = exact_dedup(more, DigestIndex(spark, work_path(spark, "test-index"), 4))
+    path = work_path(spark, "test-index")
+    assert listed(dedup_in_batches(more, path, batches)) == listed(wanted)
+    assert DigestIndex(spark, path).read().count() == wanted.select("text_sha256").distinct().count()
+    assert dedup_in_batches(nothing, work_path(spark, "test-index"), batches).count() == 0
+    none = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert dedup_in_batches(none, work_path(spark, "test-index"), batches).where("kept").count() == len(ROWS)
+
+
 def test_secrets_link_only_complementary_parts(spark, docs, nothing):
     key, ident = "aB3" + "x" * 37, "ZX81" + "Q" * 14
     texts = [f"id {ident} then {key} at https://x.example", f"only {key} here", f"only {ident} here", f"{ident}{' pad' * 200}{key}", f"password = {key} {ident}", f"token: short secret=token:abcdefgh AKIA{'A' * 16}"]
