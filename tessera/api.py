@@ -26,7 +26,9 @@ from tessera.profile import FAST, GENERAL, QUALITY, Profile, load_profile
 from tessera.sources.files import filter_paths, git_watermark, list_directory, load_cases, scan
 from tessera.sources.ignore import drop_ignored, ignore_rules
 from tessera.sources.sinks import changed_files, filesystem_watermark, missing_vectors, purge_missing, replace_table, staleness, upsert_files
+from tessera.sources.snapshots import SnapshotLog, index_cycle, index_on_batches
 from tessera.streaming.debounce import debounce_batch, debounce_stream, dedup_stream, run_cycles
+from tessera.streaming.windows import change_windows
 
 #: Action names with the function that answers them.
 ACTIONS = {

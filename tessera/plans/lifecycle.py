@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.paths import changed_area, path_kind
+from tessera.functions.vectors import stub_embed
 from tessera.operators import aggregates, evaluate, orient, packing, ranking, vector
-from tessera.plans.base import FILES, LOWERED, QUERIES as QUERY_TABLE, files, queries, table, words_sql
+from tessera.operators.chunking import chunk_by_lines
+from tessera.plans.base import CHUNK_LINES, FILES, LOWERED, QUERIES as QUERY_TABLE, files, queries, table, words_sql
+from tessera.plans.chunks import CHUNKS
 from tessera.plans.search import _ASKED, _topk_sql, asked, vectors
 from tessera.sources import sinks
+from tessera.sources.snapshots import SnapshotLog
+from tessera.sources.snapshots import index_cycle as cycle
+from tessera.sources.work import held_path
 from tessera.streaming import debounce
 
 GAP_S, CAP_S, REPEAT_S = 3600, 14_400, 7200
@@ -134,6 +140,21 @@ def memory_rank(spark, sf_dir):
     return packing.memory_rank(said, asked, {"system": 0, "assistant": 1, "user": 2}).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def index_cycle(spark, sf_dir):
+    """Chunks and their vectors after three cycles over the documents: without Spanish files and with other texts of those of even length, then
+    as they are without French ones, and the last batch again."""
+    live = table(spark, sf_dir, "documents").join(files(spark, sf_dir), "doc_id").select("lang", "file_path", F.col("n_chars").cast("long").alias("mtime_ms"), F.octet_length("content").cast("bigint").alias("bytes"), "content")
+    even = F.col("mtime_ms") % 2 == 0
+    early = live.where("lang <> 'es'").withColumns({"content": F.when(even, F.concat(F.lit("early\n"), "content")).otherwise(F.col("content")), "mtime_ms": F.when(even, F.col("mtime_ms") - 1).otherwise(F.col("mtime_ms"))})
+    log = SnapshotLog(spark, held_path(spark, "index-log"))
+    chunk = lambda df: chunk_by_lines(df, CHUNK_LINES)
+    for batch, state in (("early", early), ("late", live.where("lang <> 'fr'")), ("late", early)):
+        cycle(log, state.drop("lang"), batch, chunk, stub_embed(8))
+    key = ["file_path", "start_line", "end_line"]
+    both = log.read("chunks").join(log.read("vectors"), key).where("doc_hash = sha2(content, 256)")
+    return both.select("file_path", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), F.md5(F.col("content").cast("binary")).alias("content_md5"), F.size("vector").cast("bigint").alias("dimension"))
+
+
 def context_pack(spark, sf_dir):
     """Suppliers of a nation as primaries by balance, their parts as related items."""
     s, l = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
@@ -195,7 +216,7 @@ def kind_order(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     eval_cases, eval_summary, eval_compare, precision_at_k, compare_overlap, purge_missing, changed_files, corpus_upsert, drift_repair, fs_watermark, staleness,
-    debounce_batch, event_dedup, session_counts, rolling_p95, memory_rank, context_pack, orient_files, changed_areas, touched_areas, orient_anchors, meaning_pack, kind_order,
+    debounce_batch, event_dedup, session_counts, rolling_p95, memory_rank, index_cycle, context_pack, orient_files, changed_areas, touched_areas, orient_anchors, meaning_pack, kind_order,
 )}
 
 _CASES = """{0} AS (SELECT e.case_id, coalesce(1.0::DOUBLE / min(r.rank + 1), 0) AS mrr, count(r.item) / any_value(n) AS recall, count(r.item) / (any_value(n) + any_value(k) - count(r.item)) AS overlap
@@ -252,6 +273,7 @@ ORACLE_SQL = {
     "session_counts": f"""WITH l AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > {GAP_S}000000 THEN 1 ELSE 0 END AS f FROM events),
         s AS (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS largest FROM c GROUP BY 1""",
     "rolling_p95": "WITH l AS (SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 19 PRECEDING)) AS v FROM events WHERE value IS NOT NULL) SELECT event_id, v[greatest(CAST(ceil(len(v) * 0.95::DOUBLE) AS BIGINT), 1)] AS p FROM l",
+    "index_cycle": f"WITH {CHUNKS} SELECT file_path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, md5(content) AS content_md5, 8::BIGINT AS dimension FROM chunks WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'fr')",
     "memory_rank": f"""WITH {QUERY_TABLE}, t AS (SELECT query_id, list_sort(list_distinct({words_sql('query')})) AS terms FROM queries),
         s AS (SELECT query_id, conv_id, turn, role, CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 WHEN 'user' THEN 2 ELSE 99 END AS p, len(list_filter(terms, lambda x: contains(lower(coalesce(text, '')), x))) AS hits FROM t, conversations),
         c AS (SELECT *, row_number() OVER (PARTITION BY query_id, role ORDER BY hits > 0 DESC, p, hits DESC, turn DESC, conv_id) AS n FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits > 0 DESC, p, hits DESC, turn DESC, conv_id) AS rank FROM c WHERE n <= 2)

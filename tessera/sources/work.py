@@ -31,9 +31,14 @@ def clear_held(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def held_path(spark: SparkSession, name: str) -> str:
+    """A path of its own among what is held."""
+    return f"{_work(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def held(df: DataFrame, name: str) -> DataFrame:
     """Writes df and reads it back: what is built on it neither computes nor plans it again, and it outlives executors."""
     spark = df.sparkSession
-    path = f"{_work(spark)}/{name}-{uuid.uuid4().hex}"
+    path = held_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
