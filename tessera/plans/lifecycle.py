@@ -13,7 +13,7 @@ from tessera.operators.chunking import chunk_by_lines
 from tessera.plans.base import CHUNK_LINES, FILES, LOWERED, QUERIES as QUERY_TABLE, files, queries, table, words_sql
 from tessera.plans.chunks import CHUNKS
 from tessera.plans.search import _ASKED, _topk_sql, asked, vectors
-from tessera.sources import sinks
+from tessera.sources import notebook, sinks
 from tessera.sources.snapshots import SnapshotLog
 from tessera.sources.snapshots import index_cycle as cycle
 from tessera.sources.work import held_path
@@ -155,6 +155,24 @@ def index_cycle(spark, sf_dir):
     return both.select("file_path", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), F.md5(F.col("content").cast("binary")).alias("content_md5"), F.size("vector").cast("bigint").alias("dimension"))
 
 
+def _notebook(spark, sf_dir, label) -> DataFrame:
+    """Anchors of all suppliers."""
+    evidence = F.array(F.struct(F.concat(F.lit("s/"), "s_suppkey").alias("file_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit(None).cast("string").alias("sha256")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("canon").alias("kind"), label.alias("label"), evidence.alias("evidence"), F.lit(None).cast("string").alias("fingerprint"))
+
+
+def notebook_changes(spark, sf_dir):
+    """What a suggestion of anchors for all suppliers would change, after one for two thirds of them, edits of every fifth and anchors of
+    nobody's suggestion for every seventh."""
+    log = SnapshotLog(spark, held_path(spark, "notebook"))
+    own, books = _notebook(spark, sf_dir, F.col("s_name")), spark.createDataFrame([], notebook.RUNBOOKS)
+    notebook.apply_suggestion(log, own.where("s_suppkey % 3 <> 0").drop("s_suppkey"), books, "first")
+    stored = log.read("anchors")
+    notebook.edit(log, "changed", anchors=stored.where("CAST(substr(id, 2) AS BIGINT) % 5 = 0").withColumn("label", F.lit("by hand")))
+    notebook.edit(log, "added", anchors=own.where("s_suppkey % 7 = 0").drop("s_suppkey"))
+    return notebook.preview(log, _notebook(spark, sf_dir, F.concat("s_name", F.lit("!"))).drop("s_suppkey"), books)
+
+
 def context_pack(spark, sf_dir):
     """Suppliers of a nation as primaries by balance, their parts as related items."""
     s, l = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
@@ -216,7 +234,7 @@ def kind_order(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     eval_cases, eval_summary, eval_compare, precision_at_k, compare_overlap, purge_missing, changed_files, corpus_upsert, drift_repair, fs_watermark, staleness,
-    debounce_batch, event_dedup, session_counts, rolling_p95, memory_rank, index_cycle, context_pack, orient_files, changed_areas, touched_areas, orient_anchors, meaning_pack, kind_order,
+    debounce_batch, event_dedup, session_counts, rolling_p95, memory_rank, index_cycle, notebook_changes, context_pack, orient_files, changed_areas, touched_areas, orient_anchors, meaning_pack, kind_order,
 )}
 
 _CASES = """{0} AS (SELECT e.case_id, coalesce(1.0::DOUBLE / min(r.rank + 1), 0) AS mrr, count(r.item) / any_value(n) AS recall, count(r.item) / (any_value(n) + any_value(k) - count(r.item)) AS overlap
@@ -273,6 +291,8 @@ ORACLE_SQL = {
     "session_counts": f"""WITH l AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > {GAP_S}000000 THEN 1 ELSE 0 END AS f FROM events),
         s AS (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS largest FROM c GROUP BY 1""",
     "rolling_p95": "WITH l AS (SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 19 PRECEDING)) AS v FROM events WHERE value IS NOT NULL) SELECT event_id, v[greatest(CAST(ceil(len(v) * 0.95::DOUBLE) AS BIGINT), 1)] AS p FROM l",
+    "notebook_changes": """SELECT 'anchor' AS kind, 's' || s_suppkey AS id, CASE WHEN k % 7 = 0 OR (k % 3 <> 0 AND k % 5 = 0) THEN 'skip' WHEN k % 3 = 0 THEN 'create' ELSE 'update' END AS action,
+        CASE WHEN k % 7 = 0 THEN 'not_managed' WHEN k % 3 <> 0 AND k % 5 = 0 THEN 'manual_modified' END AS reason FROM (SELECT *, s_suppkey AS k FROM supplier)""",
     "index_cycle": f"WITH {CHUNKS} SELECT file_path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, md5(content) AS content_md5, 8::BIGINT AS dimension FROM chunks WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'fr')",
     "memory_rank": f"""WITH {QUERY_TABLE}, t AS (SELECT query_id, list_sort(list_distinct({words_sql('query')})) AS terms FROM queries),
         s AS (SELECT query_id, conv_id, turn, role, CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 WHEN 'user' THEN 2 ELSE 99 END AS p, len(list_filter(terms, lambda x: contains(lower(coalesce(text, '')), x))) AS hits FROM t, conversations),
