@@ -12,10 +12,11 @@ from tessera.operators.ann import remove as remove_vectors
 from tessera.operators.ann import search as search_vectors
 from tessera.operators.anchors import anchor_hits, detect_anchor, direct_paths, direct_symbols, first_source, focus_related, graph_boost, guard, lexical_fallback, parse_directives, reasons
 from tessera.operators.chunking import ChunkConfig, chunk_by_lines, chunk_by_tokens, chunk_files, chunk_stats, drop_shadowed
+from tessera.operators.configs import asyncapi_flows, build_steps, config_entries, pipeline_steps
 from tessera.operators.evaluate import compare, compare_summary, map_noise, overlap_with_baseline, precision_at_k, run_summary, score_cases, summarize, token_saved
 from tessera.operators.graph import assemble, build_graph, context_nodes, entry_points, explain, graph_docs, hotspots, impact, impact_report, mermaid, neighbours, reach, related_tests, search_doc_store, shortest_paths, text_usages, update_doc_store, usages_with_text
 from tessera.operators.lines import enclosing_chunks, evidence, grep_hunks, line_window, literal_search, merge_intervals, overlap_dedupe, similar_neighbours
-from tessera.operators.orient import classify_files, directory_rows, meaning_focus, meaning_pack, notebook_staleness, pipeline_steps, select_anchors, worktree_pack
+from tessera.operators.orient import classify_files, directory_rows, meaning_focus, meaning_pack, notebook_staleness, select_anchors, worktree_pack
 from tessera.operators.packing import context_pack, decode_cursor, encode_cursor, memory_rank, resolve_refs, shrink_to
 from tessera.operators.ranking import normalize_scores, round_robin, rrf, running_budget
 from tessera.operators.retrieval import bm25, fuzzy_match, hybrid_search, term_hits

@@ -41,7 +41,6 @@ INFRA = (
 MAX_INFRA = 8
 # Kinds of boundaries in the order of a report.
 BOUNDARY_ORDER = ("http", "cli", "event", "env", "config", "db")
-STEPS = (("setup", r"\b(install|setup|bootstrap)\b"), ("build", r"\b(build|compile|make)\b"), ("test", r"\b(test|check|lint)\b"), ("run", r"\b(run|serve|start)\b"), ("deploy", r"\b(deploy|release|publish)\b"))
 
 
 def _boundary(kind: str, confidence: float | Column) -> Column:
@@ -105,16 +104,6 @@ def select_anchors(files: DataFrame, k: int = MAX_ANCHORS) -> DataFrame:
     return best.orderBy(F.desc("priority")).limit(k).select("kind", "file_path", "priority")
 
 
-def pipeline_steps(files: DataFrame) -> DataFrame:
-    """file_path, n, kind, line: lines that look like commands of a step, the first of each kind and file."""
-    kind = F.lit(None).cast("string")
-    for name, pattern in reversed(STEPS):
-        kind = F.when(F.lower("line").rlike(pattern), name).otherwise(kind)
-    found = explode_lines(files.select("file_path", "content")).withColumn("kind", kind).where("kind IS NOT NULL")
-    first = F.row_number().over(W.partitionBy("file_path", "kind").orderBy("n"))
-    return found.withColumn("_n", first).where("_n = 1").select("file_path", "n", "kind", "line")
-
-
 def directory_rows(files: DataFrame, depth: int = 1) -> DataFrame:
     """directory, files, role, weight: rows of a map, by files and anchors within."""
     return files.groupBy(directory_key(F.col("file_path"), depth).alias("directory")).agg(F.count(F.lit(1)).alias("files")).withColumn("role", layer_role(F.col("directory")))
@@ -152,29 +141,6 @@ def touched_areas(changes: DataFrame, k: int = 5) -> DataFrame:
     return found.groupBy("worktree").agg(F.transform(F.slice(F.array_sort(F.collect_set("a")), 1, k), lambda a: a["area"]).alias("areas"))
 
 
-def asyncapi_flows(contracts: DataFrame, entries: DataFrame, limit: int = 10) -> DataFrame:
-    """file_path, channel, direction, actor: channels of AsyncAPI documents in JSON; the actor is the entry point that shares most directories.
-
-    contracts: file_path, content; entries: file_path.
-    """
-    channels = F.from_json(F.get_json_object("content", "$.channels"), "map<string,string>")
-    asyncapi = contracts.where(F.get_json_object("content", "$.asyncapi").isNotNull()).select("file_path", F.explode(channels).alias("channel", "body"))
-    first = F.row_number().over(W.partitionBy("file_path").orderBy("channel"))
-    kept = asyncapi.withColumn("_n", first).where(F.col("_n") <= limit)
-    sides = F.filter(F.array(*(F.when(F.get_json_object("body", f"$.{s}").isNotNull(), s) for s in ("publish", "subscribe"))), lambda x: x.isNotNull())
-    flows = kept.select("file_path", "channel", F.explode(sides).alias("direction"))
-
-    def prefixes(column: str):
-        """The directories above a path, from the top, each with all before it."""
-        parts = F.split(column, "/")
-        return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-
-    near = contracts.select("file_path", F.explode(prefixes("file_path")).alias("_dir")).distinct()
-    actors = entries.select(F.col("file_path").alias("actor"), F.explode(prefixes("file_path")).alias("_dir")).groupBy("_dir").agg(F.min("actor").alias("actor"))
-    actor = near.join(actors, "_dir").groupBy("file_path").agg(F.min_by("actor", F.struct((-F.length("_dir")).alias("n"), F.col("actor").alias("p"))).alias("actor"))
-    return flows.join(actor, "file_path", "left")
-
-
 # Protocols of message brokers with the words that name them.
 BROKERS = (("kafka", r"kafka"), ("amqp", r"rabbitmq|amqp"), ("nats", r"\bnats\b"), ("redis", r"\bredis\b"), ("mqtt", r"\bmqtt\b"))
 

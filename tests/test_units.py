@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text, vectors
-from tessera.operators import actions, anchors, chunking, evaluate, graph, lines, orient, packing, ranking, retrieval, routed, vector
+from tessera.operators import actions, anchors, chunking, configs, evaluate, graph, lines, orient, packing, ranking, retrieval, routed, vector
 from tessera.profile import GENERAL, BARE, PathRule, load_profile
 from tessera.sources import files as sources
 from tessera.sources import sinks, stores
@@ -233,7 +233,6 @@ def test_scan_and_cases(spark, tmp_path):
 def test_orientation(spark):
     files = spark.createDataFrame([("README.md", "run `make build`\ninstall it\n"), ("src/main.rs", "fn main() {}"), ("api/openapi.json", "{}"), ("docs/x.md", "y")], "file_path string, content string")
     assert {(r.kind, r.file_path) for r in orient.select_anchors(files).collect()} == {("canon", "README.md"), ("contract", "api/openapi.json"), ("entrypoint", "src/main.rs")}
-    assert {(r.n, r.kind) for r in orient.pipeline_steps(files).where("file_path = 'README.md'").collect()} == {(1, "build"), (2, "setup")}
     assert orient.meaning_pack(files, 40).count() < orient.meaning_pack(files, 4000).count()
 
 
@@ -335,7 +334,7 @@ def test_more_orientation(spark):
     api = json.dumps({"asyncapi": "2", "channels": {"a/b": {"publish": {}}, "c": {"subscribe": {}, "publish": {}}}})
     files = spark.createDataFrame([("svc/api.json", api), ("compose.yml", "image: redis"), ("x.yaml", "a: kafka")], "file_path string, content string")
     entries = spark.createDataFrame([("svc/main.rs",), ("a/main.rs",)], "file_path string")
-    assert {(r.channel, r.direction, r.actor) for r in orient.asyncapi_flows(files, entries).collect()} == {("a/b", "publish", "svc/main.rs"), ("c", "publish", "svc/main.rs"), ("c", "subscribe", "svc/main.rs")}
+    assert {(r.channel, r.direction, r.actor) for r in configs.asyncapi_flows(files, entries).collect()} == {("a/b", "publish", "svc/main.rs"), ("c", "publish", "svc/main.rs"), ("c", "subscribe", "svc/main.rs")}
     assert [(r.protocol, r.confidence) for r in orient.brokers(files).collect()] == [("redis", 0.9), ("kafka", 0.75)]
     assert orient.meaning_focus(files, "svc", 1000).count() >= 1 and orient.evidence_window(files).count() == 0
 
