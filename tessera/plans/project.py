@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import configs
+from tessera.operators import configs, packs
 from tessera.plans.base import table
 from tessera.plans.code import _parts, _written
 
@@ -82,7 +82,34 @@ def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configs.pipeline_steps(build_files(spark, sf_dir)).withColumn("n", F.col("n").cast("bigint"))
 
 
-QUERIES = {f.__name__: f for f in (asyncapi_flows, config_entries, pipeline_steps)}
+def orientation_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack of all these files."""
+    mains = entries(spark, sf_dir).withColumn("content", F.lit("fn main() {}\n"))
+    return packs.orientation_pack(contracts(spark, sf_dir).unionByName(mains).unionByName(build_files(spark, sf_dir)), "contracts of nations", 3000, "tables")
+
+
+def pack_shrinking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack for each customer, with a claim for each order, within 330 characters."""
+    o = F.col("o_orderkey")
+    of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    pack = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    tag = of([t for t, _ in PACK_TAGS], o % len(PACK_TAGS))
+    turn = F.floor(o / len(PACK_TAGS))
+    kind = F.when(tag == "STEP", of(("setup", "test", "odd", "run"), turn % 4)).when(tag == "CONTRACT", of(("openapi", "proto", "contract"), turn % 3)).when(tag == "ANCHOR", of(("canon", "contract", "infra"), turn % 3)).otherwise("x")
+    file = of(PACK_FILES, o % len(PACK_FILES))
+    part = lambda name, value, coded: F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(coded).alias("coded"))
+    orders = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL")
+    claims = orders.select(pack("o_custkey").alias("pack_id"), of([s for _, s in PACK_TAGS], o % len(PACK_TAGS)).alias("section"), o.alias("place"), tag.alias("tag"), kind.alias("kind"), file.alias("file"), F.array(part("kind", kind, False), part("file", file, True)).alias("parts"))
+    heads = table(spark, sf_dir, "customer").select(pack("c_custkey").alias("pack_id"), F.lit("r").alias("root"), F.lit("q").alias("query"))
+    proofs = F.array(*(F.struct(F.lit(f).alias("file"), F.lit(i).alias("place")) for i, f in enumerate(PACK_FILES[:-1])))
+    evidence = heads.select("pack_id", F.explode(proofs).alias("e")).select("pack_id", "e.file", F.lit("x").alias("kind"), F.lit(1).alias("first"), (F.col("e.place") + 10).alias("last"), F.lit(None).cast("string").alias("sha256"), "e.place")
+    return packs.shrink_packs(heads, claims, evidence, 330)
+
+
+PACK_TAGS = (("ANCHOR", "ANCHORS"), ("STEP", "CANON"), ("BOUNDARY", "BOUNDARIES"), ("AREA", "MAP"), ("MAP", "MAP"), ("ENTRY", "ENTRYPOINTS"), ("CONTRACT", "CONTRACTS"), ("FLOW", "FLOWS"), ("BROKER", "BROKERS"))
+PACK_FILES = ("f0.md", "f1.rs", "f2/README.md", "f3.json", "f4.toml")
+
+QUERIES = {f.__name__: f for f in (asyncapi_flows, config_entries, pipeline_steps, orientation_pack, pack_shrinking)}
 
 _OWN = "SELECT n_nationkey AS k, n_regionkey AS r, 'r_' || n_regionkey || '/svc_' || n_nationkey AS dir FROM nation"
 _SIDES = "s_suppkey % 2 = 0 AND d = 'publish' OR s_suppkey % 3 = 0 AND d = 'subscribe'"
@@ -121,4 +148,34 @@ ORACLE_SQL = {
         SELECT 'c_' || c || '/ci.yml' AS file_path, n, kind, label, confidence::DOUBLE AS confidence FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY c ORDER BY n) <= {configs.MAX_STEPS})
         UNION ALL SELECT 'c_' || c || '/Makefile', min(n), kind, 'make ' || label, 0.9::DOUBLE FROM l JOIN made ON o % {len(TARGETS)} = i WHERE c % 3 = 1 GROUP BY c, kind, label
         UNION ALL SELECT DISTINCT 'c_' || c || '/package.json', NULL::BIGINT, kind, 'npm run ' || label, 0.85::DOUBLE FROM l JOIN named ON o % {len(SCRIPTS)} = i WHERE c % 3 = 2""",
+    "pack_shrinking": """WITH cl AS (SELECT 'c' || o_custkey AS p, o_orderkey AS o, ['ANCHOR', 'STEP', 'BOUNDARY', 'AREA', 'MAP', 'ENTRY', 'CONTRACT', 'FLOW', 'BROKER'][o_orderkey % 9 + 1] AS tag,
+          [1, 2, 3, 4, 4, 6, 7, 8, 9][o_orderkey % 9 + 1] AS sec, o_orderkey // 9 AS turn, o_orderkey % 5 AS f FROM orders WHERE o_custkey IS NOT NULL),
+        ck AS (SELECT *, CASE tag WHEN 'STEP' THEN ['setup', 'test', 'odd', 'run'][turn % 4 + 1] WHEN 'CONTRACT' THEN ['openapi', 'proto', 'contract'][turn % 3 + 1] WHEN 'ANCHOR' THEN ['canon', 'contract', 'infra'][turn % 3 + 1] ELSE 'x' END AS kind
+          FROM cl SEMI JOIN (SELECT 'c' || c_custkey AS p FROM customer) USING (p) WHERE f < 4 OR tag NOT IN ('BOUNDARY', 'ENTRY', 'CONTRACT')),
+        cn AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY sec, o) AS n, list_position(['MAP', 'SYM', 'FLOW', 'BROKER', 'ENTRY', 'CONTRACT', 'BOUNDARY', 'STEP', 'AREA', 'ANCHOR'], tag) AS pol,
+          CASE tag WHEN 'STEP' THEN CASE kind WHEN 'setup' THEN 100 WHEN 'test' THEN 40 WHEN 'run' THEN 60 ELSE 95 END
+            WHEN 'CONTRACT' THEN greatest(CASE kind WHEN 'openapi' THEN 40 WHEN 'proto' THEN 55 ELSE 75 END, CASE f WHEN 0 THEN 95 WHEN 2 THEN 110 ELSE 0 END) ELSE 0 END AS loss FROM ck),
+        ct AS (SELECT *, row_number() OVER (PARTITION BY p, tag ORDER BY loss DESC, n DESC) AS turn_, count(*) OVER (PARTITION BY p, tag) - [0, 0, 0, 0, 2, 1, 0, 1, 1, 3][pol] AS gone FROM cn),
+        cv AS (SELECT *, CASE WHEN turn_ <= gone THEN row_number() OVER (PARTITION BY p ORDER BY turn_ <= gone DESC, pol, turn_) ELSE 9999999 END AS life FROM ct),
+        d AS (SELECT p, f, max(life) AS life, row_number() OVER (PARTITION BY p ORDER BY f) - 1 AS d FROM cv GROUP BY p, f),
+        names(f, name) AS (VALUES (0, 'f0.md'), (1, 'f1.rs'), (2, 'f2/README.md'), (3, 'f3.json'), (4, 'f4.toml')),
+        heads AS (SELECT 'c' || c_custkey AS p FROM customer),
+        ev AS (SELECT p, f, life, 'EV ev' || f || ' kind=x file=d' || d || ' L1-L' || (f + 10) AS line, 'D d' || d || ' "' || name || '"' AS word, 'NBA evidence_fetch {"items":[{"file":"' || name || '","start_line":1,"end_line":' || (f + 10) || '}]}' AS nba
+          FROM d JOIN names USING (f)),
+        top AS (SELECT p, unnest([0, 1, 2]) AS n, unnest(['CPV1', 'ROOT_FP r', 'QUERY "q"']) AS line FROM heads),
+        body AS (SELECT p, sec + 1 AS s, n, tag || ' kind=' || kind || ' file=d' || d || CASE WHEN f < 4 THEN ' ev=ev' || f ELSE '' END AS line, cv.life FROM cv JOIN d USING (p, f)
+          UNION ALL SELECT p, 1, f, word, life FROM ev UNION ALL SELECT p, 98, f, line, life FROM ev WHERE f < 4),
+        l AS (SELECT * FROM body UNION ALL SELECT p, s, -1, 'S ' || CASE s WHEN 1 THEN 'DICT' WHEN 98 THEN 'EVIDENCE' ELSE ['ANCHORS', 'CANON', 'BOUNDARIES', 'MAP', 'OUTPUTS', 'ENTRYPOINTS', 'CONTRACTS', 'FLOWS', 'BROKERS'][s - 1] END, max(life) FROM body GROUP BY p, s
+          UNION ALL SELECT p, 0, n, line, 9999999 FROM top
+          UNION ALL SELECT heads.p, 99, 0, coalesce(arg_min(nba, f), 'NBA map'), 9999999 FROM heads LEFT JOIN (SELECT * FROM ev WHERE f < 4) e ON e.p = heads.p GROUP BY heads.p),
+        cuts AS (SELECT p, CASE WHEN (SELECT sum(length(line) + 1) FROM l WHERE l.p = h.p) <= 330 THEN 0 ELSE min(life) FILTER (life < 9999999 AND rest <= 330) END AS cut
+          FROM (SELECT p, life, coalesce(sum(sum(length(line) + 1)) OVER (PARTITION BY p ORDER BY life DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM l GROUP BY p, life) h GROUP BY p),
+        best AS (SELECT p, arg_min(f, (CASE WHEN tag = 'STEP' THEN 1 WHEN tag = 'ANCHOR' AND kind = 'canon' THEN 2 WHEN tag = 'CONTRACT' THEN 3 WHEN tag = 'ANCHOR' AND kind = 'contract' THEN 4 WHEN tag = 'ENTRY' THEN 5
+              WHEN tag = 'ANCHOR' THEN 7 ELSE 99 END * 1000 + CASE WHEN tag <> 'STEP' THEN 500 ELSE CASE kind WHEN 'test' THEN 0 WHEN 'run' THEN 20 WHEN 'odd' THEN 55 ELSE 60 END END)::BIGINT * 1000000 + CASE WHEN tag = 'STEP' THEN f * 10000 ELSE 0 END + n) AS f
+          FROM cv JOIN cuts USING (p) WHERE cut IS NULL AND life = 9999999 AND f < 4 GROUP BY p),
+        few AS (SELECT p, unnest([1, 2, 3, 4, 5]) AS n, unnest(['S DICT', word, 'S EVIDENCE', line, nba]) AS line FROM ev JOIN best USING (p, f)),
+        kept AS (SELECT p, s, n, line FROM l JOIN cuts USING (p) WHERE life > cut
+          UNION ALL SELECT p, 0, n, line FROM top SEMI JOIN (SELECT p FROM cuts WHERE cut IS NULL) USING (p) UNION ALL SELECT p, 1, n, line FROM few
+          UNION ALL SELECT p, 99, 0, 'NBA map' FROM cuts ANTI JOIN best USING (p) WHERE cut IS NULL)
+        SELECT p AS pack_id, row_number() OVER (PARTITION BY p ORDER BY s, n, line) AS ord, line FROM kept""",
 }
