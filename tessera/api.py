@@ -18,13 +18,15 @@ from tessera.operators.graph import assemble, build_graph, context_nodes, entry_
 from tessera.operators.lines import enclosing_chunks, evidence, grep_hunks, line_window, literal_search, merge_intervals, overlap_dedupe, similar_neighbours
 from tessera.operators.orient import classify_files, directory_rows, meaning_focus, meaning_pack, notebook_staleness, select_anchors, worktree_pack
 from tessera.operators.packing import context_pack, decode_cursor, encode_cursor, memory_rank, resolve_refs, shrink_to
+from tessera.operators.packs import orientation_pack, pack_texts, shrink_packs
 from tessera.operators.ranking import normalize_scores, round_robin, rrf, running_budget
 from tessera.operators.retrieval import bm25, fuzzy_match, hybrid_search, term_hits
 from tessera.operators.routed import arrange_primaries, routed_search, search_by_text, without_docs
 from tessera.operators.syntax import build_code_graph, code_references, code_scopes, within_scopes
 from tessera.operators.vector import embed_missing, multi_model, recall_at_k, vector_topk
 from tessera.profile import FAST, GENERAL, QUALITY, Profile, load_profile
-from tessera.sources.files import filter_paths, git_watermark, list_directory, load_cases, scan
+from tessera.sources.files import filter_paths, list_directory, load_cases, scan
+from tessera.sources.git import changed_paths, copy_areas, git_watermark, working_copies
 from tessera.sources.ignore import drop_ignored, ignore_rules
 from tessera.sources.sinks import changed_files, filesystem_watermark, missing_vectors, purge_missing, replace_table, staleness, upsert_files
 from tessera.sources.snapshots import SnapshotLog, index_cycle, index_on_batches

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.work import importable
+
 #: Lines of a chunk of the line-count chunker: a tenth of the target tokens, ten at least.
 TARGET_TOKENS = 512
 CHUNK_LINES = max(TARGET_TOKENS // 10, 10)
@@ -13,6 +15,7 @@ _EXTENSIONS = {"en": ".md", "fr": ".py", "de": ".yaml", "es": ".rs"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

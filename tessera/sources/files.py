@@ -1,15 +1,14 @@
-"""Sources: files of a directory, evaluation sets, version control."""
+"""Sources: files of a directory, evaluation sets."""
 
 from __future__ import annotations
 
 import json
-import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import LANGUAGE_NAMES, LANGUAGES, base_name, extension, is_secret_file
-from tessera.schemas import CASES, WATERMARK
+from tessera.schemas import CASES
 from tessera.sources.ignore import drop_ignored, ignore_rules, read_rule_files
 
 MAX_BYTES = 1 << 20
@@ -69,14 +68,3 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
     if len({r[0] for r in rows}) < len(rows):
         raise ValueError("case ids repeat")
     return spark.createDataFrame(rows, CASES)
-
-
-def git_watermark(spark: SparkSession, root: str) -> DataFrame:
-    """One row for a working copy: its head, whether it is dirty, and a hash of its status."""
-    run = lambda *a: subprocess.run(["git", "-C", root, *a], capture_output=True, text=True, check=True).stdout
-    head, status = run("rev-parse", "HEAD").strip(), run("status", "--porcelain")
-    row = spark.createDataFrame([("git", head, bool(status.strip()), status)], "kind string, git_head string, git_dirty boolean, status string")
-    out = row.withColumn("dirty_hash", F.when(F.col("git_dirty"), F.sha2("status", 256)))
-    for name in ("file_count", "max_mtime_ms", "total_bytes"):
-        out = out.withColumn(name, F.lit(None).cast("long"))
-    return out.select(*(c.split()[0] for c in WATERMARK.split(", ")))
