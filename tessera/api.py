@@ -15,7 +15,7 @@ from tessera.operators.chunking import ChunkConfig, chunk_by_lines, chunk_by_tok
 from tessera.operators.configs import asyncapi_flows, build_steps, config_entries, pipeline_steps
 from tessera.operators.evaluate import compare, compare_summary, map_noise, overlap_with_baseline, precision_at_k, run_summary, score_cases, summarize, token_saved
 from tessera.operators.graph import assemble, build_graph, context_nodes, entry_points, explain, graph_docs, hotspots, impact, impact_report, mermaid, neighbours, reach, related_tests, search_doc_store, shortest_paths, text_usages, update_doc_store, usages_with_text
-from tessera.operators.lines import enclosing_chunks, evidence, grep_hunks, line_window, literal_search, merge_intervals, overlap_dedupe, similar_neighbours
+from tessera.operators.lines import enclosing_chunks, evidence, grep_hunks, grep_page, line_window, literal_search, merge_intervals, overlap_dedupe, similar_neighbours
 from tessera.operators.orient import classify_files, directory_rows, meaning_focus, meaning_pack, notebook_staleness, select_anchors, worktree_pack
 from tessera.operators.packing import context_pack, decode_cursor, encode_cursor, memory_rank, resolve_refs, shrink_to
 from tessera.operators.packs import orientation_pack, pack_texts, shrink_packs
@@ -35,8 +35,8 @@ from tessera.streaming.windows import change_windows
 
 #: Action names with the function that answers them.
 ACTIONS = {
-    "search": routed_search, "search_with_context": assemble, "context_pack": context_pack, "meaning_pack": meaning_pack, "meaning_focus": meaning_focus,
-    "task_pack": task_pack, "text_search": literal_search, "grep": grep_hunks, "evidence_fetch": evidence, "index": chunk_files, "get_context": enclosing_chunks,
+    "search": routed_search, "search_with_context": assemble, "context_pack": context_pack, "meaning_pack": orientation_pack, "meaning_focus": meaning_focus,
+    "task_pack": task_pack, "text_search": literal_search, "grep": grep_page, "evidence_fetch": evidence, "index": chunk_files, "get_context": enclosing_chunks,
     "list_symbols": list_symbols, "compare_search": overlap_with_baseline, "map": directory_map, "repo_onboarding_pack": onboarding_pack, "eval": score_cases,
     "eval_compare": compare, "impact": impact_report, "trace": shortest_paths, "explain": explain, "overview": overview, "ls": list_directory, "cat": line_window,
     "worktree_pack": worktree_pack, "notebook_pack": notebook_staleness, "batch": run_batch, "read_pack": read_pack,

@@ -71,6 +71,36 @@ def grep_hunks(files: DataFrame, pattern: str, before: int, after: int) -> DataF
     return merge_intervals(ranges, ["file_path"], "first", "last").withColumnRenamed("n", "n_matches")
 
 
+def grep_page(files: DataFrame, pattern: str, before: int, after: int, max_matches: int = 200, max_hunks: int = 8, max_chars: int = 2000, start: tuple[str, int] | None = None) -> DataFrame:
+    """file_path, first, last, n_matches, content, complete: a page of hunks in the order of files (distinct) and lines, as numbered lines.
+
+    The first max_matches matching lines make hunks, of which max_hunks come, and of these the lines that max_chars characters with their line
+    feeds hold; a matching line at the end of the budget is cut, and its hunk not complete. A hunk that is left without a matching line is dropped. `start` is the file and line
+    from which on to read, thus the line after `last` of a page's last row, in its file.
+    """
+    read = files.select("file_path", "content")
+    from_line = F.lit(1)
+    if start is not None:
+        read = read.where(F.col("file_path") >= start[0])
+        from_line = F.when(F.col("file_path") == start[0], start[1]).otherwise(1)
+    lines = explode_lines(read.withColumn("_total", F.size(lines_of(F.col("content")))))
+    hits = lines.where(F.col("line").rlike(pattern) & (F.col("n") >= from_line)).select("file_path", "n", "_total").orderBy("file_path", "n").limit(max_matches)
+    ranges = hits.select("file_path", F.greatest(F.col("n") - before, from_line).alias("first"), F.least(F.col("n") + after, F.col("_total")).alias("last"))
+    hunks = merge_intervals(ranges, ["file_path"], "first", "last").drop("n").orderBy("file_path", "first").limit(max_hunks)
+    # max_hunks rows of at most max_matches * (before + after + 1) lines
+    text = read.join(F.broadcast(hunks), "file_path")
+    shown = text.select("file_path", "first", F.col("last").alias("_end"), F.posexplode(F.slice(lines_of(F.col("content")), F.col("first"), F.col("last") - F.col("first") + 1)).alias("_i", "line"))
+    hit = F.col("line").rlike(pattern)
+    numbered = shown.select("file_path", "first", "_end", (F.col("first") + F.col("_i")).alias("n"), hit.alias("hit"), F.concat((F.col("first") + F.col("_i")).cast("string"), F.when(hit, ":* ").otherwise(":  "), "line").alias("text"))
+    used = F.sum(F.length("text") + 1).over(W.orderBy("file_path", "n")) - F.length("text") - 1
+    left = F.lit(max_chars) - F.col("_used") - 1
+    fits = F.length("text") <= left
+    kept = numbered.withColumn("_used", used).where(fits | (F.col("hit") & (left > 0))).withColumn("_cut", ~fits)
+    kept = kept.withColumn("text", F.when(fits, F.col("text")).otherwise(F.substring(F.col("text"), F.lit(1), left.cast("int"))))
+    by = kept.groupBy("file_path", "first", "_end").agg(F.max("n").alias("last"), F.count_if("hit").alias("n_matches"), F.bool_or("_cut").alias("_cut"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    return by.where("n_matches > 0").select("file_path", "first", "last", "n_matches", "content", ((F.col("last") == F.col("_end")) & ~F.col("_cut")).alias("complete"))
+
+
 def similar_neighbours(chunks: DataFrame, gap: int = 10, least: float = 0.8) -> DataFrame:
     """Neighbouring chunks of a file at most `gap` lines apart, with the similarity of their word sets and whether it is enough to join them."""
     order = W.partitionBy("file_path").orderBy("start_line", "end_line")

@@ -63,6 +63,12 @@ def grep_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hunks.select("file_path", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "n_matches")
 
 
+def grep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the same lines."""
+    page = lines.grep_page(files(spark, sf_dir), r"(?i)\bthe\b.*\bof\b", 1, 2, 60, 20, 12_000)
+    return page.select("file_path", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "n_matches", "content", "complete")
+
+
 def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = lines.similar_neighbours(chunking.chunk_by_lines(files(spark, sf_dir), 10))
     return near.select("file_path", F.col("start_line").cast("bigint").alias("start_line"), F.col("next_start").cast("bigint").alias("next_start"), "similarity", "similar")
@@ -127,7 +133,7 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_lines, chunk_tokens, chunk_source, chunk_stats, line_window, enclosing_chunk, text_search_literal, grep_hunks, near_dup_jaccard, shadowed_chunks,
+    chunk_lines, chunk_tokens, chunk_source, chunk_stats, line_window, enclosing_chunk, text_search_literal, grep_hunks, grep_page, near_dup_jaccard, shadowed_chunks,
     dedup_spans, overlap_dedupe, dir_map, dir_top_symbols, overview_layers, index_stats, repo_signals, evidence_fetch, keyset_page,
 )} | {"chunk_overlap_fixed_lines": chunk_overlap}
 
@@ -158,6 +164,14 @@ ORACLE_SQL = {
     "grep_hunks": f"""WITH {LINES}, a AS (SELECT file_path, max(n) AS total FROM lines GROUP BY 1),
         m AS (SELECT file_path, greatest(n - 1, 1) AS first, least(n + 2, total) AS last FROM lines JOIN a USING (file_path) WHERE regexp_matches(line, '(?i)\\bthe\\b.*\\bof\\b')), {_ISLANDS.format(s='first', e='last', t='m')}
         SELECT file_path, min(first) AS first, max(last) AS last, count(*) AS n_matches FROM g GROUP BY file_path, island""",
+    "grep_page": f"""WITH {LINES}, a AS (SELECT file_path, max(n) AS total FROM lines GROUP BY 1),
+        h AS (SELECT file_path, n FROM lines WHERE regexp_matches(line, '(?i)\\bthe\\b.*\\bof\\b') ORDER BY file_path, n LIMIT 60),
+        m AS (SELECT file_path, greatest(n - 1, 1) AS first, least(n + 2, total) AS last FROM h JOIN a USING (file_path)), {_ISLANDS.format(s='first', e='last', t='m')},
+        k AS (SELECT file_path, min(first) AS first, max(last) AS ende FROM g GROUP BY file_path, island ORDER BY 1, 2 LIMIT 20),
+        s AS (SELECT k.*, n, regexp_matches(line, '(?i)\\bthe\\b.*\\bof\\b') AS hit, n || CASE WHEN hit THEN ':* ' ELSE ':  ' END || line AS text FROM k JOIN lines l ON l.file_path = k.file_path AND n BETWEEN first AND ende),
+        u AS (SELECT *, 12000 - sum(length(text) + 1) OVER (ORDER BY file_path, n) + length(text) AS rest FROM s)
+        SELECT file_path, first, max(n) AS last, count(*) FILTER (hit) AS n_matches, string_agg(CASE WHEN length(text) <= rest THEN text ELSE left(text, rest::BIGINT) END, chr(10) ORDER BY n) AS content, max(n) = ende AND bool_and(length(text) <= rest) AS complete
+        FROM u WHERE length(text) <= rest OR (hit AND rest > 0) GROUP BY file_path, first, ende HAVING count(*) FILTER (hit) > 0""",
     "near_dup_jaccard": rf"""WITH {LINES}, c AS ({_SIZED.format(10)}), w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '')) AS words FROM c),
         p AS (SELECT *, lead(start_line) OVER o AS next_start, lead(words) OVER o AS nxt FROM w WINDOW o AS (PARTITION BY file_path ORDER BY start_line, end_line)),
         s AS (SELECT file_path, start_line, next_start, len(list_intersect(words, nxt)) AS shared, len(list_distinct(list_concat(words, nxt))) AS either FROM p WHERE next_start <= end_line + 10)

@@ -546,3 +546,17 @@ def test_gates(spark):
     with pytest.raises(TimeoutError):
         actions.run_within(spark, 0.3, lambda check: spark.range(0, 10**12, 1, 4).selectExpr("sum(hash(id))").collect())
     assert spark.range(3).count() == 3
+
+
+def test_pages_of_hunks(spark):
+    text = "\n".join("hit" if n in (3, 4, 12, 20) else f"line {n}" for n in range(1, 21))
+    files = spark.createDataFrame([("b", text), ("a", "x\nhit " + "y" * 50), ("c", ""), ("d", None)], "file_path string, content string")
+    rows = lambda *a, **k: [tuple(r)[:4] + (r.complete,) for r in lines.grep_page(files, "hit", 1, 1, *a, **k).orderBy("file_path", "first").collect()]
+    whole = [("a", 1, 2, 1, True), ("b", 2, 5, 2, True), ("b", 11, 13, 1, True), ("b", 19, 20, 1, True)]
+    assert rows() == whole and rows(3) == whole[:2] and rows(200, 3) == whole[:3]
+    assert rows(start=("b", 4)) == [("b", 4, 5, 1, True), *whole[2:]] and rows(start=("b", 21)) == []
+    first = lines.grep_page(files, "hit", 1, 1, max_chars=20).collect()
+    assert [(r.file_path, r.content, r.complete) for r in first] == [("a", "1:  x\n2:* hit yyyyy", False)]
+    cut = lines.grep_page(files, "hit", 1, 1, max_chars=85).orderBy("file_path", "first").collect()
+    assert [(r.file_path, r.last, r.n_matches, r.complete) for r in cut] == [("a", 2, 1, True), ("b", 3, 1, False)]
+    assert lines.grep_page(files.limit(0), "hit", 1, 1).count() == 0
