@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, replace
 
 
@@ -97,6 +98,20 @@ class Profile:
     graph_top_k: int = 25
     graph_neighbors: int = 12
     experts: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(EXPERTS))
+    graph_enabled: bool = True
+    graph_experts: tuple[str, ...] = ("bge-small",)
+    max_chars: int = 8192
+    query_templates: dict[str, str] = field(default_factory=lambda: dict(QUERY_TEMPLATES))
+    document_templates: dict[str, str] = field(default_factory=lambda: dict(DOCUMENT_TEMPLATES))
+    graph_template: str = "Graph: {text}"
+
+    def query_template(self, kind: str) -> str:
+        """The template of a query kind, else the default one."""
+        return self.query_templates.get(kind, self.query_templates["default"])
+
+    def document_template(self, kind: str) -> str:
+        """The template of a kind of path, else the default one."""
+        return self.document_templates.get(kind, self.document_templates["default"])
 
     def models(self, kind: str) -> tuple[str, ...]:
         """Model roster of a query kind, else the default one."""
@@ -129,6 +144,41 @@ def _rules(raw: list[dict], where: str) -> tuple[PathRule, ...]:
     return tuple(out)
 
 
+_GRAPH_KEYS = {"enabled": "graph_enabled", "weight": "graph_weight", "top_k": "graph_top_k", "max_neighbors_per_relation": "graph_neighbors"}
+# Kinds that have templates, and what these may name.
+_TEMPLATES = {"query": ("default", "identifier", "path", "conceptual"), "document": ("default", "code", "docs", "config", "test"), "graph_node": ("default",)}
+_PLACES = ("path", "doc_kind", "language", "chunk_type", "qualified_name", "parent_scope", "documentation", "imports", "text")
+
+
+def _known(raw: dict, allowed, where: str) -> dict:  # noqa: ANN001
+    unknown = set(raw) - set(allowed)
+    if unknown:
+        raise ValueError(f"{where}: unknown keys {sorted(unknown)}")
+    return raw
+
+
+def _templates(raw: dict, group: str) -> dict[str, str]:
+    """Templates of a group by kind."""
+    for kind, template in _known(raw, _TEMPLATES[group], f"embedding.{group}").items():
+        unknown = set(re.findall(r"\{([^{}]*)\}", template)) - set(_PLACES)
+        if unknown:
+            raise ValueError(f"embedding.{group}.{kind}: unknown placeholders {sorted(unknown)}")
+    return raw
+
+
+def _embedding(raw: dict, base: Profile) -> dict:
+    _known(raw, ("schema_version", "max_chars", *_TEMPLATES), "embedding")
+    if raw.get("schema_version", 1) != 1:
+        raise ValueError("embedding: schema_version must be 1")
+    if int(raw.get("max_chars", 1)) < 1:
+        raise ValueError("embedding.max_chars must be positive")
+    return {
+        "max_chars": int(raw.get("max_chars", base.max_chars)), "query_templates": base.query_templates | _templates(raw.get("query", {}), "query"),
+        "document_templates": base.document_templates | _templates(raw.get("document", {}), "document"),
+        "graph_template": _templates(raw.get("graph_node", {}), "graph_node").get("default", base.graph_template),
+    }
+
+
 def load_profile(text: str, base: Profile = BARE) -> Profile:
     """A profile from JSON laid over `base`; rule lists replace those of the base, unknown keys are errors."""
     raw = json.loads(text)
@@ -147,8 +197,15 @@ def load_profile(text: str, base: Profile = BARE) -> Profile:
             if key not in _KEYS.get(section, {}):
                 raise ValueError(f"rerank.{section}: unknown key {key}")
             changes[_KEYS[section][key]] = value
+    changes |= {_GRAPH_KEYS[k]: v for k, v in _known(raw.get("graph_nodes", {}), _GRAPH_KEYS, "graph_nodes").items()}
+    if "embedding" in raw:
+        changes |= _embedding(raw["embedding"], base)
     if "experts" in raw:
-        changes["experts"] = base.experts | {k: tuple(v) for k, v in raw["experts"].get("semantic", {}).items()}
+        experts = _known(raw["experts"], ("schema_version", "semantic", "graph_nodes"), "experts")
+        if experts.get("schema_version", 1) != 1:
+            raise ValueError("experts: schema_version must be 1")
+        changes["experts"] = base.experts | {k: tuple(v) for k, v in experts.get("semantic", {}).items()}
+        changes["graph_experts"] = tuple(_known(experts.get("graph_nodes", {}), ("default",), "experts.graph_nodes").get("default", base.graph_experts))
     return replace(base, **changes)
 
 

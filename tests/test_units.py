@@ -560,3 +560,15 @@ def test_pages_of_hunks(spark):
     cut = lines.grep_page(files, "hit", 1, 1, max_chars=85).orderBy("file_path", "first").collect()
     assert [(r.file_path, r.last, r.n_matches, r.complete) for r in cut] == [("a", 2, 1, True), ("b", 3, 1, False)]
     assert lines.grep_page(files.limit(0), "hit", 1, 1).count() == 0
+
+
+def test_profiles_keep_graphs_and_templates():
+    p = load_profile(json.dumps({
+        "graph_nodes": {"enabled": False, "weight": 0.5, "top_k": 3, "max_neighbors_per_relation": 2}, "experts": {"graph_nodes": {"default": ["m"]}},
+        "embedding": {"max_chars": 100, "query": {"path": "P {text}"}, "document": {"docs": "{path} {text}"}, "graph_node": {"default": "N {text}"}},
+    }))
+    assert (p.graph_enabled, p.graph_weight, p.graph_top_k, p.graph_neighbors, p.graph_experts, p.max_chars, p.graph_template) == (False, 0.5, 3, 2, ("m",), 100, "N {text}")
+    assert (p.query_template("path"), p.query_template("other"), p.document_template("docs"), p.document_template("other")[:5]) == ("P {text}", "Query: {text}", "{path} {text}", "File:")
+    for wrong in ({"graph_nodes": {"top": 1}}, {"embedding": {"max_chars": 0}}, {"embedding": {"query": {"path": "{text} {nope}"}}}, {"embedding": {"schema_version": 2}}, {"experts": {"schema_version": 2}}, {"embedding": {"x": 1}}, {"experts": {"x": {}}}):
+        with pytest.raises(ValueError):
+            load_profile(json.dumps(wrong))
