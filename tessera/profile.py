@@ -147,7 +147,10 @@ def _rules(raw: list[dict], where: str) -> tuple[PathRule, ...]:
 _GRAPH_KEYS = {"enabled": "graph_enabled", "weight": "graph_weight", "top_k": "graph_top_k", "max_neighbors_per_relation": "graph_neighbors"}
 # Kinds that have templates, and what these may name.
 _TEMPLATES = {"query": ("default", "identifier", "path", "conceptual"), "document": ("default", "code", "docs", "config", "test"), "graph_node": ("default",)}
-_PLACES = ("path", "doc_kind", "language", "chunk_type", "qualified_name", "parent_scope", "documentation", "imports", "text")
+_PLACES = (
+    "text", "path", "language", "chunk_type", "symbol", "qualified_name", "parent_scope", "documentation", "imports", "tags", "bundle_tags", "related_paths", "chunk_id",
+    "start_line", "end_line", "doc_kind", "query_kind",
+)
 
 
 def _known(raw: dict, allowed, where: str) -> dict:  # noqa: ANN001
