@@ -179,7 +179,7 @@ def orientation_pack(files: DataFrame, query: str = "", max_chars: int = 2000, r
     """shrink_packs() of all that is known of the files (file_path, content): anchors, steps, boundaries, a map, entry points, contracts, flows, brokers.
 
     Directories of the map are ordered by the weight of the evidence within them, then by files. A section has MAX_ROWS rows at most, the
-    map MAX_DIRECTORIES. Without files only the head is left.
+    map MAX_DIRECTORIES. Paths are distinct; null ones are left out. Without files only the head is left.
     """
     spark = files.sparkSession
     path = F.col("file_path")
