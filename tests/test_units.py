@@ -94,6 +94,15 @@ def test_python_chunks():
     assert found[0]["context_imports"] == ["from json import loads", "import os, sys"] and found[0]["documentation"] == "opens things" and found[1]["documentation"] == "Gives it."
 
 
+DEEP = ("-" * 200_000 + "1", "f" + "()" * 50_000, "not " * 20_000 + "x")
+
+
+@pytest.mark.parametrize("text", DEEP)
+def test_python_deeper_than_the_parser_is_one_chunk(text):
+    found = chunking.chunk_source("a/b.py", "python", text + "\n", chunking.ChunkConfig(overlap="lines:2"))
+    assert [(c["chunk_type"], c["start_line"], c["end_line"], c["content"]) for c in found] == [(None, 1, 1, text)]
+
+
 def test_rust_chunks_and_graph(spark):
     found = chunking.chunk_source("a/b.rs", "rust", RUST, chunking.ChunkConfig(minimum=1))
     assert [(c["symbol_name"], c["qualified_name"]) for c in found] == [("Box", "Box"), ("get", "Box::get"), ("helper", "helper")]
