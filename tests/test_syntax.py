@@ -101,6 +101,12 @@ def test_chunks_of_braces():
     assert [(c["chunk_type"], c["start_line"], c["end_line"]) for c in plain] == [(None, 1, 1)]
 
 
+def test_files_deeper_than_the_parser(spark):
+    files = spark.createDataFrame([("a.py", "not " * 20_000 + "x\n"), ("b.py", "def f():\n    return g(1, 2) + g(3, 4) + g(5, 6) + g(7, 8)\n")], "file_path string, content string")
+    assert {(r.file_path, r.symbol_name) for r in chunking.chunk_files(files).collect()} == {("a.py", None), ("b.py", "f")}
+    assert syntax.references_of("python", "f" + "()" * 50_000) == []
+
+
 def test_graphs_of_chunks(spark):
     columns = "file_path string, start_line int, end_line int, content string, symbol_name string, chunk_type string"
     chunks = [("a.rs", 1, 9, "impl S { fn caller(&self) { self.foo(); } }", "caller", "method"), ("a.rs", 20, 29, "impl S { fn foo(&self) {} }", "foo", "method"), ("b.rs", 1, 2, "fn scoped() { crate::foo(); }", "scoped", "function"), ("c.md", 1, 2, "foo()", None, None)]
