@@ -581,3 +581,42 @@ def test_profiles_keep_graphs_and_templates():
     for wrong in ({"graph_nodes": {"top": 1}}, {"embedding": {"max_chars": 0}}, {"embedding": {"query": {"path": "{text} {nope}"}}}, {"embedding": {"schema_version": 2}}, {"experts": {"schema_version": 2}}, {"embedding": {"x": 1}}, {"experts": {"x": {}}}):
         with pytest.raises(ValueError):
             load_profile(json.dumps(wrong))
+
+
+def test_paths_grow_once_for_all_pairs_of_an_end(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(graph, "held", lambda df, name: (written.setdefault(name, []).append(df.count()), df)[1])
+    edges = spark.createDataFrame([(f"o{i}", f"c{i % 3}", "Calls", 1.0) for i in range(30)] + [(f"c{i}", "n", "Calls", 0.5) for i in range(3)], "src string, dst string, rel string, weight double")
+    pairs = spark.createDataFrame([(f"o{i}", t) for i in range(30) for t in ("n", "x", "y", "z")], "source string, target string")
+    found = graph.shortest_paths(edges, pairs, 3, cost="weights").collect()
+    assert {(r.source, r.target, r.cost, r.hops, tuple(r.path)) for r in found} == {(f"o{i}", "n", 1, 2, (f"o{i}", f"c{i % 3}", "n")) for i in range(30)}
+    assert written["paths"] == [3, 30, 0]
+
+
+def test_reach_plans_no_hop_twice(spark):
+    edges = spark.createDataFrame([("a", "b", "Calls", 1.0), ("b", "c", "Uses", 1.0)], "src string, dst string, rel string, weight double")
+    found = graph.reach(edges, spark.createDataFrame([("a",)], "node string"), 3)
+    assert {(r.node, r.distance, tuple(r.path)) for r in found.collect()} == {("b", 1, ("Calls",)), ("c", 2, ("Calls", "Uses"))}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "Join" not in plan
+
+
+def test_topk_leaves_few_rows_to_spark(spark):
+    from tessera.operators.vector import vector_topk
+
+    odd = [(100, None), (101, [1.0]), (102, [None, 1.0]), (103, [float("nan"), 1.0])]
+    rows = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(60)] + odd, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 0.0]), (3, None)], "query_id long, q array<float>")
+    found = vector_topk(rows, asked, 3)
+    best = {q: [r.item for r in found.where(f"query_id = {q}").orderBy("rank").collect()] for q in (1, 2, 3)}
+    assert best == {1: [103, 1, 4], 2: [103, 0, 1], 3: []}  # as cosine() has it, nothing that is no number is zero
+    many = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(1200)], "query_id long, q array<float>")
+    assert {tuple(r) for r in vector_topk(rows.where("vec_id < 100"), many, 2).groupBy("item", "rank").count().collect()} == {(2, 0, 1200), (5, 1, 1200)}
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString() and "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_side_by_side():
+    from tessera.functions.text import fnv1a64, fnv1a64_all
+
+    data = [b"", b"x", *(bytes([i]) * (i * 7 % 90) for i in range(100))]
+    assert fnv1a64_all(data).tolist() == [fnv1a64(d) for d in data]
