@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fnv1a64
+from tessera.functions.text import fnv1a64, fnv1a64_all
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,9 +26,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def stub_vector(text: str, dimension: int) -> np.ndarray:
     """A unit vector that depends on the text only: a splitmix64 stream seeded by FNV-1a, mapped to [-1, 1)."""
+    return _from_hash(fnv1a64(text.encode()), dimension)
+
+
+def _from_hash(hashed: int, dimension: int) -> np.ndarray:
     gamma = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        x = np.uint64(fnv1a64(text.encode()) ^ dimension) + gamma * np.arange(1, dimension + 1, dtype=np.uint64)
+        x = np.uint64(hashed ^ dimension) + gamma * np.arange(1, dimension + 1, dtype=np.uint64)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x = x ^ (x >> np.uint64(31))
@@ -42,7 +46,8 @@ def stub_embed(dimension: int):
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: stub_vector(t or "", dimension).astype(np.float32))
+        hashes = fnv1a64_all([(t or "").encode() for t in texts])
+        return pd.Series([_from_hash(h, dimension).astype(np.float32) for h in hashes.tolist()], texts.index)
 
     return embed
 

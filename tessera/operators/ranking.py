@@ -20,12 +20,19 @@ def against_all(rows: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -
     One block of queries is broadcast. Of more, rows go to every block by an equi-join on block and slice,
     so that a block is met by as many tasks as there are slices; rows are sliced by a hash of all they hold.
     """
+    copies, asked = dealt(rows, queries, block)
+    one = queries.count() <= block
+    return copies.join(F.broadcast(asked) if one else asked, ["_block", "_slice"]).drop("_block", "_slice")
+
+
+def dealt(rows: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """rows and queries with _block and _slice, so that those of equal ones meet; of several blocks each has `least` slices of the rows or more."""
     blocks = max(1, -(-queries.count() // block))
-    slices = 1 if blocks == 1 else -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    slices = 1 if blocks == 1 else max(least, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
     keys = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = queries.withColumn("_block", F.pmod(F.hash(*queries.columns), F.lit(blocks))).withColumn("_slice", keys(slices))
+    asked = queries.withColumn("_block", F.pmod(F.hash(*queries.columns), F.lit(blocks))).withColumn("_slice", keys(slices))
     copies = rows.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(slices)).cast("int")).withColumn("_block", keys(blocks))
-    return copies.join(F.broadcast(dealt) if blocks == 1 else dealt, ["_block", "_slice"]).drop("_block", "_slice")
+    return copies, asked
 
 
 def ranked(rows: DataFrame, by: list[str | Column], *order: Column | str) -> DataFrame:

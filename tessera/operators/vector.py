@@ -2,21 +2,118 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from tessera.functions.vectors import stub_embed
+from tessera.operators.ranking import QUERY_BLOCK, dealt, rrf, top_k
+
+
+#: Vectors that are compared with a block of queries at once, and those of a slice where there are several blocks.
+PIECE, SLICE_ROWS = 4096, 20_000
+
+
+def _by_length(lists: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of lists their places, their values, a row each, and whether none of them is null."""
+    lengths = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int64)
+    flat = lists.flatten()
+    values, null = flat.cast(pa.float64()).to_numpy(zero_copy_only=False), flat.is_null().to_numpy(zero_copy_only=False)
+    ends, out = np.cumsum(np.maximum(lengths, 0)), {}
+    for length in np.unique(lengths[lengths >= 0]).tolist():
+        rows = np.flatnonzero(lengths == length)
+        at = (ends[rows] - length)[:, None] + np.arange(length)
+        out[length] = rows, values[at], ~null[at].any(axis=1)
+    return out
+
+
+def _dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products, added up in the order of the components as vectors.dot() does, so that equal vectors have equal ones."""
+    out = np.zeros((len(q), len(x)))
+    columns, step = np.ascontiguousarray(x.T), max(1, 2**17 // max(len(q), 1))
+    for at in range(0, len(x), step):
+        part = out[:, at : at + step]
+        sums, product = np.zeros(part.shape), np.empty(part.shape)
+        for j in range(x.shape[1]):
+            np.multiply(q[:, j, None], columns[None, j, at : at + step], out=product)
+            sums += product
+        part[:] = sums
+    return out
+
 
-from tessera.functions.vectors import cosine, stub_embed
-from tessera.operators.ranking import against_all, rrf, top_k
+def _norms(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * x[:, j]
+    return np.sqrt(out)
+
+
+def _nearest(items: pa.Array, vectors: pa.Array, ids: pa.Array, asked: pa.Array, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(query, item, score) of the k best of these vectors for each query of their length, as vectors.cosine() scores them."""
+    queries = _by_length(asked)
+    for length, (rows, x, whole) in _by_length(vectors).items():
+        if length not in queries:
+            continue
+        own, q, q_whole = queries[length]
+        q_norms = _norms(q)
+        for at in range(0, len(rows), PIECE):
+            part, here = x[at : at + PIECE], rows[at : at + PIECE]
+            size = q_norms[:, None] * _norms(part)[None, :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.where(size == 0, 0.0, _dots(q, part) / size)
+            known = q_whole[:, None] & whole[None, at : at + PIECE]
+            key = -np.where(known, np.where(np.isnan(score), np.inf, score), -np.inf)  # as Spark sorts: not a number first, null last
+            limit = np.partition(key, k - 1, axis=1)[:, k - 1] if len(here) > k else np.full(len(q), np.inf)
+            asks, places = np.nonzero(key <= limit[:, None])
+            found = items.take(pa.array(here[places]))
+            if len(here) > k and len(asks) > k * len(q) and not found.null_count:  # of equal scores the smaller ids
+                order = pc.sort_indices(pa.table({"q": pa.array(asks), "s": pa.array(key[asks, places]), "i": found}), [("q", "ascending"), ("s", "ascending"), ("i", "ascending")]).to_numpy()
+                asks, places, found = asks[order], places[order], found.take(pa.array(order))
+                first = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
+                asks, places, found = asks[first], places[first], found.filter(pa.array(first))
+            scores = pa.array(score[asks, places], pa.float64(), mask=~known[asks, places])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[asks])), found, scores], names=names)
+
+
+def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
     """query_id, item, score, rank: the k nearest vectors of each query (query_id, q), ties to the smaller id.
 
     A query of zero norm gets the smallest ids with score 0; vectors of other lengths than the query's take no part.
+    One block of queries goes to the tasks, so that vectors stay where they are; blocks of more meet slices of the vectors by a shuffle. Tasks
+    compare batches and give the k best of each.
     """
-    pairs = against_all(vectors.select(F.col(id_col).alias("item"), F.col("embedding").alias("_v")), queries.select("query_id", F.col("q").alias("_q")))
-    scored = pairs.where(F.size("_v") == F.size("_q")).select("query_id", "item", cosine(F.col("_q"), F.col("_v")).alias("score"))
-    return top_k(scored, ["query_id"], k, F.desc("score"), "item")
+    rows = vectors.select(F.col(id_col).alias("item"), F.col("embedding").cast("array<double>").alias("_v")).where("_v IS NOT NULL")
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("_q")).where("_q IS NOT NULL")
+    schema = StructType([asked.schema["query_id"], rows.schema["item"], StructField("score", DoubleType())])
+    block = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if block.num_rows <= QUERY_BLOCK:
+        ids, q = _one(block["query_id"]), _one(block["_q"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _nearest(batch.column("item"), batch.column("_v"), ids, q, k, schema.names)
+
+        found = rows.mapInArrow(run, schema)
+    else:
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            parts = _nearest(_one(left["item"]), _one(left["_v"]), _one(right["query_id"]), _one(right["_q"]), k, schema.names) if left.num_rows and right.num_rows else ()
+            return pa.Table.from_batches(parts, to_arrow_schema(schema))
+
+        by = ["_block", "_slice"]
+        sides = dealt(rows, asked, QUERY_BLOCK, -(-rows.count() // SLICE_ROWS))
+        found = sides[0].groupBy(*by).cogroup(sides[1].groupBy(*by)).applyInArrow(meet, schema)
+    return top_k(found, ["query_id"], k, F.desc("score"), "item")
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
