@@ -36,16 +36,77 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+class Subsequences:
+    """Where each character of an alphabet stands next after each place of texts, which are rows of characters padded beyond their length."""
+
+    def __init__(self, x: np.ndarray, length: np.ndarray, alphabet: set[str]) -> None:
+        n, self.width = x.shape
+        codes = np.array(sorted(map(ord, alphabet)), np.uint32)
+        self.place = {chr(c): i for i, c in enumerate(codes.tolist())}
+        at = np.minimum(np.searchsorted(codes, x), max(len(codes) - 1, 0))
+        known = (codes[at] == x) & (np.arange(self.width) < length[:, None]) if len(codes) else np.zeros(x.shape, bool)
+        # after[p, i, row]: the place after the next character i from p on; width + 1 if there is none
+        self.after = np.full((self.width + 2, len(codes), n), self.width + 1, np.int16 if self.width < 32_000 else np.int32)
+        for p in range(self.width - 1, -1, -1):
+            self.after[p] = self.after[p + 1]
+            rows = np.flatnonzero(known[:, p])
+            self.after[p, at[rows, p], rows] = p + 1
+
+    def holding(self, words: list[str], rows: np.ndarray) -> np.ndarray:
+        """Those of `rows` whose texts hold each of the words as a subsequence."""
+        for word in words:
+            at = np.zeros(len(rows), np.int64)
+            for c in word:
+                if not len(rows):
+                    return rows
+                at = self.after[at, self.place[c], rows]
+                alive = at <= self.width
+                if not alive.all():
+                    rows, at = rows[alive], at[alive]
+        return rows
+
+
+#: Entries of a table of next places, which bounds the texts that are looked at together.
+NEXT_PLACES = 1 << 24
+
+
+def pieces(texts: list[str], alphabet: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts, with their starts, whose table of next places stays within NEXT_PLACES, or of one text."""
+    start, width = 0, 0
+    for i, t in enumerate(texts):
+        wider = max(width, len(t))
+        if i > start and (i - start + 1) * (wider + 2) * max(alphabet, 1) > NEXT_PLACES:
+            yield start, texts[start:i]
+            start, wider = i, len(t)
+        width = wider
+    if start < len(texts):
+        yield start, texts[start:]
+
+
+def characters(texts: list[str]) -> np.ndarray:
+    """Texts as rows of characters, padded by zeros."""
+    width = max(map(len, texts), default=0)
+    return np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), width)
+
+
+def matches(texts: list[str], queries: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, places of texts): which texts hold each of a query's words as a subsequence; queries without any are left out."""
+    alphabet = set("".join(w for words in queries for w in words))
+    for start, part in pieces(texts, len(alphabet)):
+        x = characters(part)
+        table, every = Subsequences(x, np.array([len(t) for t in part]), alphabet), np.arange(len(part))
+        for i, words in enumerate(queries):
+            if len(rows := table.holding(words, every)):
+                yield i, rows + start
+
+
 class Targets:
     """Texts of a batch as matrices of characters, the places' bonuses, and a mask of the characters of each."""
 
     def __init__(self, texts: list[str]) -> None:
-        width = max(map(len, texts), default=0)
-        matrix = lambda rows: np.frombuffer("".join(r.ljust(width, "\0") for r in rows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), width)
-        self.exact, self.low = matrix(texts), matrix([lowered(t) for t in texts])
+        self.exact, self.low = characters(texts), characters([lowered(t) for t in texts])
         self.length = np.array([len(t) for t in texts], np.int64)
         self.bonus = self._bonuses()
-        self.masks = np.bitwise_or.reduce(np.uint64(1) << (self.low & 63).astype(np.uint64), axis=1) if width else np.zeros(len(texts), np.uint64)
 
     def _bonuses(self) -> np.ndarray:
         x = self.exact
@@ -61,26 +122,11 @@ class Targets:
 
     def points(self, word: str, rows: np.ndarray) -> np.ndarray:
         """Points of a word's best alignment with the texts in `rows`, NONE where it is no subsequence."""
-        low = lowered(word)
-        x = self.low if low == word else self.exact
-        needle = np.array([ord(c) for c in word], np.uint32)
-        out = np.full(len(rows), NONE, np.int32)
-        mask = np.bitwise_or.reduce(np.uint64(1) << np.array([ord(c) & 63 for c in low], np.uint64))
-        maybe = np.flatnonzero((self.masks[rows] & mask) == mask)
-        for at in (0, 1):  # characters in order, then the alignment of what is left
-            own = rows[maybe]
-            if not len(own):
-                return out
-            width = int(self.length[own].max())
-            if not at:
-                found = np.zeros(len(own), np.int64)
-                padded = np.append(needle, np.uint32(0xFFFFFFFF))
-                for j in range(width):
-                    found += x[own, j] == padded[found]
-                maybe = maybe[found == len(needle)]
-            else:
-                out[maybe] = self._aligned(x[own, :width], self.bonus[own, :width], needle)
-        return out
+        if not len(rows):
+            return np.zeros(0, np.int32)
+        x = self.low if lowered(word) == word else self.exact
+        width = int(self.length[rows].max())
+        return self._aligned(x[rows, :width], self.bonus[rows, :width], np.array([ord(c) for c in word], np.uint32))
 
     @staticmethod
     def _aligned(x: np.ndarray, bonus: np.ndarray, needle: np.ndarray) -> np.ndarray:
@@ -105,18 +151,25 @@ class Targets:
 
 
 def batch_points(columns: list[list[str]], queries: list[list[str]]) -> np.ndarray:
-    """points[query, row]: the best target's sum over the query's words, 0 where no target has all of them."""
+    """points[query, row]: the best target's sum over the query's words, 0 where no target has all of them.
+
+    Only texts that hold all words of a query as subsequences are aligned with them.
+    """
     out = np.zeros((len(queries), len(columns[0])), np.int64)
+    exact, low = ([[w for w in words if (lowered(w) == w) == small] for words in queries] for small in (False, True))
+    cased = any(map(any, exact))
     for texts in columns:
-        targets, known = Targets(texts), {}
-        every = np.arange(len(texts))
-        for i, words in enumerate(queries):
-            total = np.zeros(len(texts), np.int64)
-            for word in words:
-                if word not in known:
-                    known[word] = targets.points(word, every)
-                total = np.where((total >= 0) & (known[word] >= 0), total + known[word], NONE)
-            out[i] = np.maximum(out[i], total)
+        targets = Targets(texts)
+        # words in upper case are looked for in texts as they stand
+        held = {(i, r) for i, rows in matches(texts, exact) for r in rows.tolist()} if cased else None
+        for i, rows in matches([lowered(t) for t in texts], low):
+            if held is not None and exact[i]:
+                rows = np.array([r for r in rows.tolist() if (i, r) in held], np.int64)
+            total = np.zeros(len(rows), np.int64)
+            for word in queries[i]:
+                found = targets.points(word, rows)
+                total = np.where((total >= 0) & (found >= 0), total + found, NONE)
+            out[i, rows] = np.maximum(out[i, rows], total)
     return out
 
 

@@ -87,3 +87,13 @@ def test_fuzzy_match(spark, block, monkeypatch):
         wanted = {i: 1.0 if (rows[i][2] or "").lower() == query.lower() else s / most for i, s in sums.items() if s}
         assert {r.item: r.fuzzy for r in found if r.query_id == query_id} == pytest.approx(wanted)
     assert retrieval.fuzzy_match(chunks.limit(0), spark.createDataFrame(queries, "query_id long, query string"), 9, aligned=True).count() == 0
+
+
+def test_only_texts_with_all_words_are_aligned(monkeypatch):
+    seen = []
+    aligned = al.Targets._aligned
+    monkeypatch.setattr(al.Targets, "_aligned", staticmethod(lambda x, bonus, needle: (seen.append(len(x)), aligned(x, bonus, needle))[1]))
+    texts = ["alpha beta", "alpha", "beta", "Alpha gamma", ""]
+    points = al.batch_points([texts], [["alpha", "beta"], ["Alpha"], ["zz"], []])
+    assert seen == [1, 1, 1] and (points > 0).tolist() == [[True, False, False, False, False], [False, False, False, True, False], [False] * 5, [False] * 5]
+    assert [(i, r.tolist()) for i, r in al.matches(["abc", "acb"], [["ab"], ["abc"], ["d"]])] == [(0, [0, 1]), (1, [0])]
