@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from tessera.functions import paths, text
-from tessera.operators.alignment import aligned_pairs
+from tessera.operators.alignment import aligned_pairs, matches
 from tessera.operators.ranking import ADAPTIVE_K, QUERY_BLOCK, against_all, normalize_scores, passes_thresholds, ranked, rrf, top_k
 from tessera.operators.vector import vector_topk
 from tessera.profile import GENERAL, Profile
@@ -114,15 +114,14 @@ def fuzzy_pairs(small: DataFrame, queries: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for item, *targets in zip(part["item"], part["file_path"], part["symbol"], part["_preview"], strict=True):
-                targets = [t or "" for t in targets]
-                named = targets[1].lower()
-                for query_id, query, atoms in asked:
-                    points = max(target_points(t, atoms) for t in targets)
-                    if points:
-                        rows.append((query_id, item, points, named == query))
-            yield pd.DataFrame(rows, columns=schema.names)
+            items, targets = part["item"].to_numpy(), [[t or "" for t in part[c]] for c in ("file_path", "symbol", "_preview")]
+            named, best = [t.lower() for t in targets[1]], {}
+            # every kind of match is a subsequence
+            for texts in targets:
+                for i, rows in matches([t.lower() for t in texts], [atoms for _, _, atoms in asked]):
+                    for row in rows.tolist():
+                        best[i, row] = max(best.get((i, row), 0), target_points(texts[row], asked[i][2]))
+            yield pd.DataFrame([(asked[i][0], items[row], points, named[row] == asked[i][1]) for (i, row), points in best.items() if points], columns=schema.names)
 
     return small.mapInPandas(run, schema)
 
