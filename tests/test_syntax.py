@@ -120,3 +120,17 @@ def test_innermost_scopes(spark):
     line = "a.rs:202:202"
     assert ends(False) == {("a.rs:1:203", line), (line, line), ("a.rs:204:204", line)}
     assert ends(True) == {(line, line), ("a.rs:204:204", line)}
+
+
+def test_frequent_names_stay_in_their_tasks(spark, monkeypatch):
+    files = spark.createDataFrame([("a.rs", "fn f() { g(); h(); }\nfn k() { g(); g(); }"), ("b.rs", "fn g() {}\nfn h() {}")], "file_path string, content string")
+    ends = lambda: sorted((r.src, r.dst) for r in syntax.build_code_graph(files)[1].collect())
+    before = ends()
+    monkeypatch.setattr(syntax, "OFTEN", 2)
+    assert ends() == before == [("a.rs:1:1", "b.rs:1:1"), ("a.rs:1:1", "b.rs:2:2"), ("a.rs:2:2", "b.rs:1:1"), ("a.rs:2:2", "b.rs:1:1")]
+
+
+def test_chunks_leave_the_worker_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "OUT_ROWS", 2)
+    files = spark.createDataFrame([("a.rs", "\n".join(f"fn f{i}() {{}}" for i in range(7)))], "file_path string, content string")
+    assert sorted(r.symbol_name for r in chunking.chunk_files(files).collect()) == [f"f{i}" for i in range(7)]
