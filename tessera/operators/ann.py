@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import top_k
+from tessera.operators.vector import recall_at_k, vector_topk
 from tessera.sources.work import held
 
 #: Vectors of a cell without its copies, cells that a vector is in and that a query looks into, and pivots that a task compares without an index of their own.
@@ -30,17 +31,20 @@ LAYER, BEAM = 16, 160
 TOMBSTONES = 1024
 #: Queries that a task takes to a cell.
 CELL_QUERIES = 5000
+#: Vectors that calibrated() asks for, and the share of their nearest ones that it wants found.
+CALIBRATION, CALIBRATED = 400, 0.95
 NODES = "cell long, item long, vector array<float>, links array<long>, dead boolean"
 LAYERS_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class GraphIndex:
-    """nodes (cell, item, vector, links, dead) and pivots (cell, vector), both written tables."""
+    """nodes (cell, item, vector, links, dead) and pivots (cell, vector), both written tables, and the cells that a query looks into (see calibrated())."""
 
     nodes: DataFrame
     pivots: DataFrame
     dimension: int
+    probes: int = PROBES
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -181,7 +185,7 @@ def add(index: GraphIndex, vectors: DataFrame) -> GraphIndex:
     touched = fresh.select("cell").distinct()
     old = index.nodes.join(touched, "cell", "left_semi").where("NOT dead")
     same = index.nodes.join(touched, "cell", "left_anti")
-    return GraphIndex(held(same.unionByName(_linked(old.unionByName(fresh))), "ann-nodes"), index.pivots, index.dimension)
+    return GraphIndex(held(same.unionByName(_linked(old.unionByName(fresh))), "ann-nodes"), index.pivots, index.dimension, index.probes)
 
 
 def remove(index: GraphIndex, items: DataFrame, tombstones: int = TOMBSTONES) -> GraphIndex:
@@ -191,10 +195,24 @@ def remove(index: GraphIndex, items: DataFrame, tombstones: int = TOMBSTONES) ->
     dead = F.count_if("dead")
     full = nodes.groupBy("cell").agg(dead.alias("gone"), F.count(F.lit(1)).alias("n")).where((F.col("gone") >= tombstones) & (F.col("gone") * 4 > F.col("n"))).select("cell")
     again = nodes.join(full, "cell", "left_semi").where("NOT dead")
-    return GraphIndex(held(nodes.join(full, "cell", "left_anti").unionByName(_linked(again)), "ann-nodes"), index.pivots, index.dimension)
+    return GraphIndex(held(nodes.join(full, "cell", "left_anti").unionByName(_linked(again)), "ann-nodes"), index.pivots, index.dimension, index.probes)
 
 
-def search(index: GraphIndex, queries: DataFrame, k: int, beam: int | None = None, probes: int = PROBES) -> DataFrame:
+def calibrated(index: GraphIndex, k: int = 10, target: float = CALIBRATED) -> GraphIndex:
+    """The index with the least number of cells to look into, doubled from its own on, that finds `target` of the k nearest of a sample.
+
+    The sample are CALIBRATION live vectors by a hash of their ids, compared with all live vectors. The doubling ends where all cells are looked into.
+    """
+    live = index.nodes.where("NOT dead").select("item", "vector").dropDuplicates(["item"])
+    sample = held(live.orderBy(F.xxhash64(F.lit(2), "item"), "item").limit(CALIBRATION).select(F.col("item").alias("query_id"), F.col("vector").alias("q")), "ann-sample")
+    exact = held(vector_topk(live.withColumnRenamed("vector", "embedding"), sample, k, "item"), "ann-exact")
+    cells, probes = index.pivots.count(), index.probes
+    while probes < cells and (recall_at_k(search(index, sample, k, probes=probes), exact).first().recall or 0.0) < target:
+        probes = min(2 * probes, cells)
+    return replace(index, probes=probes)
+
+
+def search(index: GraphIndex, queries: DataFrame, k: int, beam: int | None = None, probes: int | None = None) -> DataFrame:
     """query_id, item, score (cosine), rank, met: k near vectors of each query (query_id, q), ties to the smaller id; `met` counts the vectors that it was compared with.
 
     Cells and their queries meet in the cells' tasks, of which a cell with many queries has several. A query of zero norm gets the smallest
@@ -203,7 +221,7 @@ def search(index: GraphIndex, queries: DataFrame, k: int, beam: int | None = Non
     width = max(beam or BEAM, 4 * k)
     asked = queries.select("query_id", F.col("q").cast("array<float>").alias("vector")).where(F.size("vector") == index.dimension)
     zero = asked.where(~F.exists("vector", lambda v: v != 0))
-    routed = _nearest_pivots(asked.where(F.exists("vector", lambda v: v != 0)).select(F.col("query_id").cast("long").alias("id"), "vector"), index.pivots, index.dimension, probes)
+    routed = _nearest_pivots(asked.where(F.exists("vector", lambda v: v != 0)).select(F.col("query_id").cast("long").alias("id"), "vector"), index.pivots, index.dimension, probes or index.probes)
     routed = held(routed, "ann-routed")
     slices = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("slices"))
     cells = index.nodes.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")

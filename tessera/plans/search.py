@@ -59,8 +59,9 @@ CELL_ROWS = 256
 def _ann(index: ann.GraphIndex, base: DataFrame) -> DataFrame:
     """One row: whether 0.9 of the ten nearest of every twentieth vector are found, whether what a query met keeps within its bound, and the number of results looked for."""
     q = base.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    index = ann.calibrated(index)
     found = held(ann.search(index, q, 10), "ann-recall")
-    bound = ann.PROBES * (ann.BEAM + ann.LAYER**2) * ann.MOST
+    bound = index.probes * (ann.BEAM + ann.LAYER**2) * ann.MOST
     met = found.agg((F.coalesce(F.max("met"), F.lit(0)) <= bound).alias("bounded"))
     both = vector.recall_at_k(found, vector.vector_topk(base, q, 10)).withColumn("row", F.lit(1)).join(met.withColumn("row", F.lit(1)), "row")
     return both.select((F.col("recall") >= 0.9).alias("reached"), "bounded", "n")

@@ -66,3 +66,15 @@ def test_remove_rebuild_and_add(spark, vectors, queries):
     assert back.nodes.where("NOT dead").select("item").distinct().count() == 3400 - 340 and recall(spark, ann.search(back, queries, 10), now, queries) >= 0.9
     other = spark.createDataFrame([(7, [5.0] + [0.0] * 23)], "item long, vector array<float>")
     assert ann.search(ann.add(back, other), other.select(F.lit(1).alias("query_id"), F.col("vector").alias("q")), 1).first().item == 7
+
+
+def test_probes_rise_until_the_recall_is_reached(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=24).astype(np.float32).tolist()) for i in range(1500)]
+    index = ann.build_index(spark.createDataFrame(rows, "item long, vector array<float>"), 24, cell_rows=50)
+    monkeypatch.setattr(ann, "CALIBRATION", 40)
+    fitted = ann.calibrated(index)
+    assert index.probes == ann.PROBES < fitted.probes <= index.pivots.count()
+    asked = spark.createDataFrame(rows[::50], "query_id long, q array<float>")
+    exact = vector.vector_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), asked, 10)
+    assert vector.recall_at_k(ann.search(fitted, asked, 10), exact).first().recall >= 0.9
