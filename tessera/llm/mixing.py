@@ -7,6 +7,7 @@ by lot. Documents never move: the cells, at most one for each combination, come
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,26 +80,71 @@ def present_targets(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str
     return out
 
 
+def _fit(sums: np.ndarray, shares: list[np.ndarray]) -> tuple[np.ndarray, float, float]:
+    """Factors that bring the sums, an axis for each dimension, to the shares of one dimension after the other; what they then add up to, and how far they are off."""
+    factors = np.ones_like(sums)
+    others = lambda axis: tuple(i for i in range(sums.ndim) if i != axis)
+    for axis, share in enumerate(shares):
+        held = (sums * factors).sum(axis=others(axis), keepdims=True)
+        factors *= np.divide(share.reshape(held.shape), held, out=np.zeros_like(held), where=held > 0)
+    fitted = sums * factors
+    whole = fitted.sum()
+    if not whole > 0:
+        return factors, 0.0, 1.0
+    far = (np.abs(fitted.sum(axis=others(axis))[share > 0] / whole / share[share > 0] - 1).max(initial=0.0) for axis, share in enumerate(shares))
+    return factors, float(whole), float(max(far, default=0.0))
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], bounded: frozenset[str], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (one column for each dimension, tokens) with w, raked to the targets (dimension, target).
 
     Shares of a target are taken among the values that occur, so they need not add up to 1. A value
-    without a target keeps nothing. Dimensions in `bounded` have a proven number of values. Where
-    cells without tokens make targets impossible the rounds end with what they have reached; marginals()
-    tells how far that is.
+    without a target keeps nothing. The first dimension may have any number of values; the others are
+    in `bounded`, which have a proven number of them. The cells of a value of the first dimension are one
+    row; a round is one aggregate of these rows by the other dimensions, and its sums, as many as
+    these have combinations, give their factors. The first dimension's factors follow from those.
+    Where cells without tokens make targets impossible the rounds end with what they have reached;
+    marginals() tells how far that is.
     """
+    first, *rest = targets
+    if not bounded.issuperset(rest):
+        raise ValueError("only the first dimension may have any number of values")
     targets = present_targets(cells, targets)
-    weighted = cells.withColumn("w", F.col("tokens").cast("double"))
+    shares, place = [], F.lit(0)
+    for name in rest:
+        rows = targets[name].collect()  # a bounded number
+        shares.append(np.array([0.0, *(r.target for r in rows)]))  # place 0: values without a target
+        values = F.array(*(F.lit(r[name]) for r in rows)).cast(f"array<{cells.schema[name].dataType.simpleString()}>")
+        place = place * len(shares[-1]) + F.coalesce(F.array_position(values, F.col(name)), F.lit(0))
+    cell = F.struct(F.struct("*").alias("cell"), place.cast("int").alias("place"), F.col("tokens").cast("double").alias("n"))
+    grouped = materialize(cells.groupBy(first).agg(F.collect_list(cell).alias("_cells")).join(targets[first], first, "left"), "raked")
+
+    def sum_of(factors: np.ndarray) -> Column:
+        return F.aggregate("_cells", F.lit(0.0), lambda s, c: s + c["n"] * F.get(F.lit(factors.ravel()), c["place"]))
+
+    def weights(own: Column, factors: np.ndarray) -> Column:
+        kept = F.when(own > 0, F.coalesce(F.col("target"), F.lit(0.0)) / own).otherwise(0.0)
+        return F.transform("_cells", lambda c: F.struct(c["cell"].alias("cell"), c["place"].alias("place"), (c["n"] * kept * F.get(F.lit(factors.ravel()), c["place"])).alias("w")))
+
+    before, now, whole, off = None, np.ones([len(s) for s in shares]), 0.0, 1.0
     for _ in range(iterations):
-        for name, target in targets.items():
-            factor = weighted.groupBy(name).agg(F.sum("w").alias("s")).join(target, name).where("s > 0").select(name, (F.col("target") / F.col("s")).alias("factor"))
-            factor = F.broadcast(factor) if name in bounded else factor
-            weighted = weighted.join(factor, name, "left").withColumn("w", F.coalesce(F.col("w") * F.col("factor"), F.lit(0.0))).drop("factor")
-        weighted = materialize(weighted, "raked")
-        off = marginals(weighted, "w", targets).agg(F.max(F.abs(F.col("share") / F.col("target") - 1))).first()[0]
-        if off is None or off <= tolerance:
+        far = F.lit(1.0)
+        if before is not None and whole > 0:
+            far = F.when(F.col("_before") > 0, F.abs(F.col("_now") / F.col("_before") / whole - 1)).otherwise(1.0)
+        sums = grouped.withColumns({"_now": sum_of(now), "_before": F.lit(0.0) if before is None else sum_of(before)})
+        sums = sums.select(F.when(F.col("target").isNotNull(), far).alias("far"), F.inline(weights(F.col("_now"), now)))
+        found = sums.groupBy("place").agg(F.sum("w").alias("w"), F.max("far").alias("far")).collect()  # combinations of the bounded dimensions
+        if before is not None and max([off, *(r.far for r in found if r.far is not None)]) <= tolerance:
             break
-    return weighted
+        dealt = np.zeros(now.size)
+        for r in found:
+            dealt[r.place] = r.w
+        factors, whole, off = _fit(dealt.reshape(now.shape), shares)
+        before, now = now, now * factors
+    if before is None:
+        return cells.withColumn("w", F.col("tokens").cast("double"))
+    raked = grouped.withColumn("_before", sum_of(before)).select(F.inline(weights(F.col("_before"), now)))
+    return raked.select("cell.*", "w")
 
 
 def _cells_of(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:

@@ -485,6 +485,28 @@ def test_raking_meets_its_marginals(spark):
         assert {r[0]: round(r[1], 6) for r in raked.groupBy(name).agg(F.sum("w")).collect()} == wanted
 
 
+def test_raking_joins_nothing_in_its_rounds(spark, monkeypatch):
+    """The cells are written once however many rounds there are, and no factors are broadcast to them; values without a target or a name keep nothing."""
+    written = []
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    rows = [("a", "en", "long", 5), ("a", "fr", "brief", 2), ("b", "en", "brief", 3), ("b", "fr", "long", 1), ("b", "xx", "long", 4), (None, "en", "long", 2), ("a", None, "long", 1), ("c", "en", "long", 0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    share = lambda name, **s: spark.createDataFrame(list(s.items()), f"{name} string, target double")
+    targets = {"source": share("source", a=0.5, b=0.5, c=1.0), "lang": share("lang", en=0.8, fr=0.2), "topic": share("topic", brief=0.4, long=0.6)}
+    raked = mixing.rake(cells, targets, frozenset({"lang", "topic"}))
+    assert written.count("raked") == 1 and "Join" not in raked._jdf.queryExecution().executedPlan().toString()
+    w = {(r.source, r.lang, r.topic): r.w for r in raked.collect()}
+    # brute force
+    found = {r[:3]: float(r[3]) for r in rows}
+    wanted = {0: {"a": 0.5, "b": 0.5}, 1: {"en": 0.8, "fr": 0.2}, 2: {"brief": 0.4, "long": 0.6}}
+    for _ in range(mixing.ITERATIONS):
+        for i, target in wanted.items():
+            sums = {v: sum(x for k, x in found.items() if k[i] == v) for v in target}
+            found = {k: x * target[k[i]] / sums[k[i]] if k[i] in target and sums[k[i]] else 0.0 for k, x in found.items()}
+    assert w.keys() == found.keys() and all(w[k] == pytest.approx(x, abs=1e-9) for k, x in found.items())
+    assert [tuple(r) for r in mixing.rake(cells.limit(0), targets, frozenset({"lang", "topic"})).collect()] == []
+
+
 def test_arrow_groups_cross_batches():
     import pyarrow as pa
 
