@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.operators.ranking import OTHER_CAP, QUERY_BLOCK, RELATION_CAPS, against_all
+from tessera.sources.work import held
 
 ITEM_COST = 128
 PACK = "query_id long, position int, role string, item string, relation string, cost long, used long, truncated boolean"
@@ -73,15 +74,31 @@ def pack_items(primaries: list[dict], related: dict[str, list[dict]], max_chars:
 def context_pack(primaries: DataFrame, related: DataFrame, max_chars: int = 20_000, per_primary: int = 3) -> DataFrame:
     """Packs each query's primaries (query_id, item, rank, cost) and related items (query_id, primary, item, relation, relevance, cost).
 
-    Groups are a query's candidates, which the search limits; the greedy choice is made on the group.
+    The greedy choice is made on what it can come to of a query: primaries up to the first over the budget and, where there is none, of each
+    relation of a primary the first distinct items, as many as may be taken or be in the pack already. Related items of no primary of their query go.
     """
+    place = lambda c: F.when(~F.isnan(c), c).alias("order")
+    ordered = [F.col("order").asc_nulls_last(), F.col("item").asc_nulls_last(), F.col("cost")]
+    rank = F.col("rank").cast("double")
+    first = primaries.select("query_id", "item", place(rank), "cost").withColumn("_n", F.row_number().over(W.partitionBy("query_id", "item").orderBy(*ordered))).where("_n = 1").drop("_n")
+    so_far = W.partitionBy("query_id").orderBy(*ordered).rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = first.withColumn("_over", F.sum("cost").over(so_far) > max_chars).withColumn("_overs", F.count_if("_over").over(so_far)).where("_overs <= 1")
+    first = held(first.select("query_id", "item", "order", "cost", "_over"), "pack-primaries")
+
+    # what a pack may hold bounds how many items of a queue are passed over
+    fits = first.groupBy("query_id").agg(F.bool_or("_over").alias("_full"), F.count(F.lit(1)).alias("_many")).where("NOT _full")
+    fits = fits.select(F.col("query_id").alias("_query"), (F.col("_many") * (1 + per_primary) + per_primary + 1).alias("_most"))
+    fits = first.join(fits, F.col("query_id").eqNullSafe(F.col("_query"))).select("_query", F.col("item").alias("_item"), "_most")
+    met = related.join(fits, F.col("query_id").eqNullSafe(F.col("_query")) & (F.col("primary") == F.col("_item")))
+    met = met.select("query_id", "primary", "item", "relation", place(-F.col("relevance").cast("double")), "cost", "_most")
+    queue = W.partitionBy("query_id", "primary", "relation")
+    once = met.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "primary", "relation", "item").orderBy(*ordered))).where("_n = 1")
+    near = once.withColumn("_n", F.row_number().over(queue.orderBy(*ordered))).where("_n <= _most").drop("_n", "_most")
     none = F.lit(None).cast("string")
-    rows = primaries.select("query_id", none.alias("primary"), "item", none.alias("relation"), F.col("rank").cast("double").alias("order"), "cost").unionByName(
-        related.select("query_id", "primary", "item", "relation", (-F.col("relevance")).alias("order"), "cost")
-    )
+    rows = first.select("query_id", none.alias("primary"), "item", none.alias("relation"), "order", "cost").unionByName(near)
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["order", "item"])
+        part = part.sort_values(["order", "item", "relation", "cost"])
         queues: dict[str, list[dict]] = {}
         for r in part[part["primary"].notna()].to_dict("records"):
             queues.setdefault(r["primary"], []).append({"item": r["item"], "relation": r["relation"], "cost": r["cost"]})

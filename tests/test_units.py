@@ -196,6 +196,35 @@ def test_pack_stops_at_first_overflow():
     assert [o["item"] for o in out] == ["a", "c", "t0", "u", "t1"]
 
 
+def test_context_pack_takes_what_the_whole_queues_give(spark, monkeypatch):
+    """The choice among the rows that come to a query's task is that among all of its rows, and these rows are bounded by the pack."""
+    rnd, sizes = random.Random(5), []
+    first = [(q, f"p{i}", float(rnd.randrange(4)), 10 if q else 300) for q in range(6) for i in range(1 + q)] + [(0, f"p{i}", 9.0, 300) for i in range(1, 200)]
+    more = [(q, f"p{rnd.randrange(1 + q)}", f"i{rnd.randrange(40)}" if rnd.random() < 0.5 else f"j{n}", rnd.choice(["Calls", "Extends", "TestedBy", "x"]), float(rnd.randrange(90)), 20) for n in range(6000) for q in [n % 6]]
+    more += [(0, f"p{n % 200}", f"k{n}", "Calls", 1.0, 1) for n in range(3000)]
+    primaries = spark.createDataFrame(first, "query_id long, item string, rank double, cost long")
+    related = spark.createDataFrame(more, "query_id long, primary string, item string, relation string, relevance double, cost long")
+    for budget in (130, 400, 2000):
+        found = packing.context_pack(primaries, related, max_chars=budget).collect()
+        for q in range(6):
+            own = [{"item": i, "cost": c} for _, i, _, c in sorted((r for r in first if r[0] == q), key=lambda r: (r[2], r[1]))]
+            queues = {}
+            for _, p, i, relation, _, c in sorted((r for r in more if r[0] == q), key=lambda r: (-r[4], r[2], r[3], r[5])):
+                queues.setdefault(p, []).append({"item": i, "relation": relation, "cost": c})
+            wanted = packing.pack_items(own, queues, budget, 3)
+            assert [(r["position"], r["item"], r["relation"], r["used"], r["truncated"]) for r in wanted] == [(r.position, r.item, r.relation, r.used, r.truncated) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.position)]
+    seen = spark.sparkContext.accumulator(0)
+    whole = packing.pack_items
+
+    def counted(own, queues, *limits):
+        seen.add(len(own) + sum(map(len, queues.values())))
+        return whole(own, queues, *limits)
+
+    monkeypatch.setattr(packing, "pack_items", counted)
+    packing.context_pack(primaries.where("query_id = 0"), related.where("query_id = 0"), max_chars=2000).collect()
+    assert seen.value <= 8  # six primaries and the one over the budget; all 4,200 rows came before
+
+
 @settings(max_examples=50)
 @given(st.lists(st.text(max_size=20), max_size=20), st.integers(60, 400))
 def test_budget_is_never_exceeded(items, budget):
