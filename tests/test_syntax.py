@@ -134,3 +134,18 @@ def test_chunks_leave_the_worker_in_runs(spark, monkeypatch):
     monkeypatch.setattr(chunking, "OUT_ROWS", 2)
     files = spark.createDataFrame([("a.rs", "\n".join(f"fn f{i}() {{}}" for i in range(7)))], "file_path string, content string")
     assert sorted(r.symbol_name for r in chunking.chunk_files(files).collect()) == [f"f{i}" for i in range(7)]
+
+
+def test_odd_files_are_chunked():
+    """Lines that end in carriage returns, documentation with halves of characters, modules and types of Rust nested deeply, and a script that ends within brackets."""
+    config = chunking.ChunkConfig()
+    chunks = lambda language, text: chunking.chunk_source("p", language, text, config)
+    two = chunks("python", "# a\r\r\ndef f():\r  pass\r\n# b\ndef g():\n  pass\n" + "x = 1\n" * 9)
+    assert [(c["symbol_name"], c["start_line"], c["end_line"], c["documentation"]) for c in two] == [("f", 2, 2, "a"), ("g", 4, 5, "b")]
+    assert [c["documentation"] for c in chunks("python", 'def f():\n  """a \\ud800 b, long enough for a chunk of its own"""\n')] == ["a ? b, long enough for a chunk of its own"]
+    for opening in ("mod a { ", "impl A { "):
+        chunks("rust", opening * 1200 + "fn f() { let some = 1; let more = 2; let most = 3; }" + "}" * 1200)
+    deep = syntax.scopes_of("rust", "mod a { " * 1200 + "fn f() {}" + "}" * 1200 + " fn g() {}")
+    assert len(deep) == 1202 and [s.name for s in deep[-2:]] == ["f", "g"]
+    assert len(chunks("typescript", "function f(" * 50)) == 1
+    chunks("javascript", "function a(b, c")
