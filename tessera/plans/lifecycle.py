@@ -143,7 +143,7 @@ def memory_rank(spark, sf_dir):
 def index_cycle(spark, sf_dir):
     """Chunks and their vectors after three cycles over the documents: without Spanish files and with other texts of those of even length, then
     as they are without French ones, and the last batch again."""
-    live = table(spark, sf_dir, "documents").join(files(spark, sf_dir), "doc_id").select("lang", "file_path", F.col("n_chars").cast("long").alias("mtime_ms"), F.octet_length("content").cast("bigint").alias("bytes"), "content")
+    live = files(spark, sf_dir, "lang", "n_chars").where("doc_id IS NOT NULL").select("lang", "file_path", F.col("n_chars").cast("long").alias("mtime_ms"), F.octet_length("content").cast("bigint").alias("bytes"), "content")
     even = F.col("mtime_ms") % 2 == 0
     early = live.where("lang <> 'es'").withColumns({"content": F.when(even, F.concat(F.lit("early\n"), "content")).otherwise(F.col("content")), "mtime_ms": F.when(even, F.col("mtime_ms") - 1).otherwise(F.col("mtime_ms"))})
     log = SnapshotLog(spark, held_path(spark, "index-log"))
@@ -151,8 +151,9 @@ def index_cycle(spark, sf_dir):
     for batch, state in (("early", early), ("late", live.where("lang <> 'fr'")), ("late", early)):
         cycle(log, state.drop("lang"), batch, chunk, stub_embed(8))
     key = ["file_path", "start_line", "end_line"]
-    both = log.read("chunks").join(log.read("vectors"), key).where("doc_hash = sha2(content, 256)")
-    return both.select("file_path", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), F.md5(F.col("content").cast("binary")).alias("content_md5"), F.size("vector").cast("bigint").alias("dimension"))
+    held = log.read("chunks").select(*key, F.sha2("content", 256).alias("doc_hash"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    both = held.join(log.read("vectors"), [*key, "doc_hash"])
+    return both.select("file_path", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "content_md5", F.size("vector").cast("bigint").alias("dimension"))
 
 
 def _notebook(spark, sf_dir, label) -> DataFrame:

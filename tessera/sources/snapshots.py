@@ -74,8 +74,14 @@ class SnapshotLog:
         now = self.snapshot(sequence)
         return self.spark.read.parquet(now.tables[name]) if now and name in now.tables else None
 
-    def commit(self, tables: dict[str, DataFrame], batch: str, after: int | None = None) -> Snapshot:
-        """Writes the tables and makes them the next snapshot after `after` (the last one), which keeps that one's other tables."""
+    def stage(self, name: str, df: DataFrame) -> tuple[str, DataFrame]:
+        """Writes a table in a folder of its own below the data, for a later commit; gives its path and what is read back."""
+        path = f"{self.root}/data/work-{uuid.uuid4().hex}/{name}"
+        df.write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
+
+    def commit(self, tables: dict[str, DataFrame], batch: str, after: int | None = None, staged: dict[str, str] | None = None) -> Snapshot:
+        """Writes the tables and makes them, with those that stage() has written (paths by name), the next snapshot after `after` (the last one), which keeps that one's other tables."""
         if done := self.committed(batch):
             return done
         before = self.snapshot(after)
@@ -83,7 +89,7 @@ class SnapshotLog:
         folder = f"{self.root}/data/{sequence:012d}-{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{folder}/{name}")
-        return self._put(Snapshot(sequence, batch, FORMAT, (before.tables if before else {}) | {name: f"{folder}/{name}" for name in tables}))
+        return self._put(Snapshot(sequence, batch, FORMAT, (before.tables if before else {}) | {name: f"{folder}/{name}" for name in tables} | (staged or {})))
 
     def _put(self, new: Snapshot) -> Snapshot:
         text = json.dumps({"batch": new.batch, "format": new.format, "tables": new.tables}, sort_keys=True)
@@ -151,9 +157,7 @@ def index_cycle(log: SnapshotLog, live: DataFrame, batch: str, chunk: Callable[[
     fresh = chunk(changed.select("file_path", "content"))
     # files that have become empty have no chunks, but replace what is stored
     chunks = fresh if not stored or full else purge_missing(stored["chunks"], state).join(changed.select("file_path"), "file_path", "left_anti").unionByName(fresh)
-    log_chunks = f"{log.root}/data/work-{uuid.uuid4().hex}"
-    chunks.write.parquet(log_chunks)
-    chunks = log.spark.read.schema(chunks.schema).parquet(log_chunks)
+    path, chunks = log.stage("chunks", chunks)
     hashed = chunks.withColumn("doc_hash", F.sha2("content", 256))
     key = [*place, "doc_hash"]
     if stored:
@@ -162,7 +166,7 @@ def index_cycle(log: SnapshotLog, live: DataFrame, batch: str, chunk: Callable[[
         vectors = known.select(*key, "vector").unionByName(missing.select(*key, embed(F.col("content")).alias("vector")))
     else:
         vectors = hashed.select(*key, embed(F.col("content")).alias("vector"))
-    return log.commit({"files": state, "chunks": chunks, "vectors": vectors, "watermark": filesystem_watermark(state)}, batch, before.sequence if before else None)
+    return log.commit({"files": state, "vectors": vectors, "watermark": filesystem_watermark(state)}, batch, before.sequence if before else None, {"chunks": path})
 
 
 def index_on_batches(log: SnapshotLog, name: str, scan: Callable[[], DataFrame], chunk: Callable[[DataFrame], DataFrame], embed: Callable[[Column], Column]) -> Callable[[DataFrame, int], None]:

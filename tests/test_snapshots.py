@@ -94,3 +94,16 @@ def test_stream_of_batches(spark, tmp_path):
     assert state(log) == [("a.rs", 1, "other"), ("b.rs", 1, "two")]
     cycle(spark.createDataFrame([("k", True)], "key string, full_scan boolean"), 1)  # the last batch again
     assert log.snapshot().sequence == 2
+
+
+def test_chunks_are_written_once(spark, tmp_path):
+    """The chunks that a cycle reads again for their vectors are those of its snapshot, which an expiry leaves."""
+    live = spark.createDataFrame([("a", 1, 3, "one"), ("b", 1, 3, "two")], "file_path string, mtime_ms long, bytes long, content string")
+    chunk = lambda df: df.select("file_path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "content")
+    log = SnapshotLog(spark, str(tmp_path / "log"))
+    for batch, state in (("first", live), ("second", live.withColumns({"mtime_ms": F.col("mtime_ms") + 1, "content": F.concat("content", F.lit("!"))}))):
+        index_cycle(log, state, batch, chunk, lambda c: F.array(F.length(c).cast("float")))
+    written = [p for p in (tmp_path / "log" / "data").rglob("*.parquet") if "content" in spark.read.parquet(str(p)).columns and spark.read.parquet(str(p)).count()]
+    assert sum(spark.read.parquet(str(p)).count() for p in written) == 4  # two files in each of two cycles
+    log.expire(keep=1)
+    assert sorted(r.content for r in log.read("chunks").collect()) == ["one!", "two!"] and log.read("vectors").count() == 2
