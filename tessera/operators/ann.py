@@ -2,8 +2,9 @@
 
 Vectors are dealt to cells by their nearest pivots, which are a sample of them; a cell has a graph of its own, whose
 rows link to near vectors of the cell and, on sparser and sparser layers, to far ones. A query looks into a fixed number
-of cells and walks each graph with a beam of fixed width, so that what it meets does not grow with the table. Removed
-vectors stay as stepping stones until a quarter of a cell is dead, and then the cell is built again.
+of cells and walks each graph with a beam of fixed width, so that what it meets does not grow with the table. Of equal
+vectors one stands in a cell's graph, so that they neither fill a beam nor link to each other only. Removed vectors stay
+as stepping stones until a quarter of a cell is dead, and then the cell is built again.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import top_k
-from tessera.operators.vector import recall_at_k, vector_topk
+from tessera.operators.vector import _dots, _norms, recall_at_k, vector_topk
 from tessera.sources.work import held
 
 #: Vectors of a cell without its copies, cells that a vector is in and that a query looks into, and pivots that a task compares without an index of their own.
@@ -52,6 +53,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def _fine(dimension: int) -> Column:
+    """Whether a vector takes part: one of this length, without null components or such that are not numbers, not of zero norm."""
+    return F.col("vector").isNotNull() & (F.size("vector") == dimension) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v)) & F.exists("vector", lambda v: v != 0)
+
+
+def _equal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each set of equal vectors, in their order, and for each vector the number of its set."""
+    rows = np.ascontiguousarray(x + np.float32(0))  # one zero
+    _, first, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return first[order], number[group.ravel()]
+
+
 def _layers(items: np.ndarray) -> list[np.ndarray]:
     """Places of the vectors of each layer above the ground, by a hash of their ids; the last has about LAYER of them."""
     mixed = items.astype(np.uint64) * LAYERS_SEED
@@ -132,13 +148,14 @@ def _nearest_pivots(vectors: DataFrame, pivots: DataFrame, dimension: int, n: in
 
 
 def _linked(nodes: DataFrame) -> DataFrame:
-    """Nodes with the links of their cells' graphs."""
+    """Nodes with the links of their cells' graphs. Of equal vectors that of the least item has the links, the others link to it."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("item", ignore_index=True)
-        items = part["item"].to_numpy()
-        graph = link(items, _unit(np.stack(part["vector"].to_numpy()).astype(np.float32)))
-        return part.assign(links=[items[places] for places in graph])
+        items, x = part["item"].to_numpy(), np.stack(part["vector"].to_numpy()).astype(np.float32)
+        first, group = _equal(x)
+        graph = link(items[first], _unit(x[first]))
+        return part.assign(links=[items[first[graph[g]]] if first[g] == at else items[first[g : g + 1]] for at, g in enumerate(group.tolist())])
 
     return nodes.groupBy("cell").applyInPandas(run, NODES)
 
@@ -156,8 +173,7 @@ def build_index(vectors: DataFrame, dimension: int, cell_rows: int | None = None
     4 * cell_rows vectors, as many equal ones make, are split by a hash of the ids, and a query looks into all parts.
     """
     cell_rows = cell_rows or CELL_ROWS
-    fine = F.col("vector").isNotNull() & (F.size("vector") == dimension) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v)) & F.exists("vector", lambda v: v != 0)
-    rows = held(vectors.select(F.col("item").cast("long").alias("item"), F.col("vector").cast("array<float>").alias("vector")).where(F.col("item").isNotNull() & fine).groupBy("item").agg(F.min("vector").alias("vector")), "ann-vectors")
+    rows = held(vectors.select(F.col("item").cast("long").alias("item"), F.col("vector").cast("array<float>").alias("vector")).where(F.col("item").isNotNull() & _fine(dimension)).groupBy("item").agg(F.min("vector").alias("vector")), "ann-vectors")
     n = rows.count()
     sample = rows.where(F.pmod(F.xxhash64("item"), F.lit(cell_rows)) == 0) if n > 4 * cell_rows else rows.orderBy(F.xxhash64("item"), "item").limit(max(1, n // cell_rows))
     if sample.limit(1).count() == 0:
@@ -180,7 +196,7 @@ def build_index(vectors: DataFrame, dimension: int, cell_rows: int | None = None
 def add(index: GraphIndex, vectors: DataFrame) -> GraphIndex:
     """The index with further vectors (item, vector), which replace those of the same items; only cells that get some are linked anew."""
     index = remove(index, vectors.select("item"))
-    fine = vectors.where(F.col("item").isNotNull() & (F.size("vector") == index.dimension) & F.exists("vector", lambda v: v != 0))
+    fine = vectors.where(F.col("item").isNotNull() & _fine(index.dimension))
     fresh = held(_dealt(fine.select(F.col("item").cast("long").alias("item"), F.col("vector").cast("array<float>").alias("vector")).dropDuplicates(["item"]), index.pivots, index.dimension), "ann-fresh")
     touched = fresh.select("cell").distinct()
     old = index.nodes.join(touched, "cell", "left_semi").where("NOT dead")
@@ -215,8 +231,9 @@ def calibrated(index: GraphIndex, k: int = 10, target: float = CALIBRATED) -> Gr
 def search(index: GraphIndex, queries: DataFrame, k: int, beam: int | None = None, probes: int | None = None) -> DataFrame:
     """query_id, item, score (cosine), rank, met: k near vectors of each query (query_id, q), ties to the smaller id; `met` counts the vectors that it was compared with.
 
-    Cells and their queries meet in the cells' tasks, of which a cell with many queries has several. A query of zero norm gets the smallest
-    ids with score 0; one that is null or of another length has no result.
+    Cells and their queries meet in the cells' tasks, of which a cell with many queries has several. What a walk finds is scored as vector_topk()
+    does, so that equal vectors have equal scores in all cells, and the k smallest ids of each of them are taken. A query of zero norm gets the
+    smallest ids with score 0; one that is null or of another length has no result.
     """
     width = max(beam or BEAM, 4 * k)
     asked = queries.select("query_id", F.col("q").cast("array<float>").alias("vector")).where(F.size("vector") == index.dimension)
@@ -231,18 +248,28 @@ def search(index: GraphIndex, queries: DataFrame, k: int, beam: int | None = Non
         out = []
         if len(nodes) and len(own):
             nodes = nodes.sort_values("item", ignore_index=True)
-            items, dead = nodes["item"].to_numpy(), nodes["dead"].to_numpy(bool)
-            x = _unit(np.stack(nodes["vector"].to_numpy()).astype(np.float32))
-            links = [np.searchsorted(items, places) for places in nodes["links"]]
-            entries = _layers(items)[-1]
-            q = _unit(np.stack(own["vector"].to_numpy()).astype(np.float32))
-            for query_id, v in zip(own["id"], q, strict=True):
-                places, near, met = walk(x, links, entries, v, width)
-                live = ~dead[places]
-                places, near = places[live], near[live]
-                best = np.lexsort((items[places], -near))[:k]
+            items, dead, x = nodes["item"].to_numpy(), nodes["dead"].to_numpy(bool), np.stack(nodes["vector"].to_numpy()).astype(np.float32)
+            first, group = _equal(x)
+            x, whole = _unit(x[first]), x[first].astype(float)
+            links = [np.searchsorted(items[first], places) for places in nodes["links"].iloc[first]]
+            entries, norms = _layers(items[first])[-1], _norms(whole)
+            live = np.flatnonzero(~dead)
+            live = live[np.argsort(group[live], kind="stable")]
+            starts = np.searchsorted(group[live], np.arange(len(first) + 1))  # a set's live items, the smallest first
+            sizes = np.minimum(np.diff(starts), k)
+            asked = np.stack(own["vector"].to_numpy()).astype(np.float32)
+            for query_id, v, q in zip(own["id"], asked.astype(float)[:, None], _unit(asked), strict=True):
+                places, _, met = walk(x, links, entries, q, width)
+                places = places[sizes[places] > 0]
+                near = _dots(v, whole[places])[0] / (_norms(v) * norms[places])
+                order = np.argsort(-near, kind="stable")
+                enough = np.searchsorted(np.cumsum(sizes[places[order]]), k)
+                order = order[near[order] >= near[order[min(enough, len(order) - 1)]]] if len(order) else order
+                equal = [live[starts[p] : starts[p] + sizes[p]] for p in places[order]]
+                found, score = items[np.concatenate([live[:0], *equal])], np.repeat(near[order], sizes[places[order]])
+                best = np.lexsort((found, -score))[:k]
                 out.append((query_id, None, None, met))
-                out += [(query_id, items[p], float(s), 0) for p, s in zip(places[best], near[best], strict=True)]
+                out += [(query_id, i, s, 0) for i, s in zip(found[best].tolist(), score[best].tolist(), strict=True)]
         return pd.DataFrame(out, columns=["query_id", "item", "score", "met"])
 
     found = held(cells.groupBy("cell", "slice").cogroup(part.groupBy("cell", "slice")).applyInPandas(run, "query_id long, item long, score double, met long"), "ann-found")

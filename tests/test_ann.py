@@ -78,3 +78,23 @@ def test_probes_rise_until_the_recall_is_reached(spark, monkeypatch):
     asked = spark.createDataFrame(rows[::50], "query_id long, q array<float>")
     exact = vector.vector_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), asked, 10)
     assert vector.recall_at_k(ann.search(fitted, asked, 10), exact).first().recall >= 0.9
+
+
+def test_equal_vectors_by_their_ids(spark):
+    rng = np.random.default_rng(6)
+    some = rng.normal(size=(40, 24)).astype(np.float32)
+    rows = [(i, some[i * 7 % 40].tolist()) for i in range(40 * 25)]
+    vectors = spark.createDataFrame(rows, "item long, vector array<float>")
+    index = ann.remove(ann.build_index(vectors, 24, cell_rows=600), vectors.where("item % 3 = 0"), tombstones=1000)
+    index = ann.add(index, vectors.where("item % 9 = 0"))
+    left = vectors.where("item % 3 <> 0 OR item % 9 = 0")
+    asked = left.where("item % 20 = 0").select(F.col("item").alias("query_id"), F.col("vector").alias("q"))
+    exact = vector.vector_topk(left.select(F.col("item").alias("vec_id"), F.col("vector").alias("embedding")), asked, 30)
+    plain = lambda df: sorted((r.query_id, r.rank, r.item, r.score) for r in df.select("query_id", "rank", "item", "score").collect())
+    assert plain(ann.search(index, asked, 30)) == plain(exact)  # more than the copies of one vector
+
+
+def test_added_vectors_that_are_no_numbers_take_no_part(spark):
+    index = ann.build_index(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "item long, vector array<float>"), 2)
+    odd = spark.createDataFrame([(30, [1.0, float("nan")]), (31, [1.0, None]), (32, [2.0, 1.0])], "item long, vector array<float>")
+    assert [r.item for r in ann.add(index, odd).nodes.where("item >= 30").select("item").distinct().collect()] == [32]
