@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions.vectors import stub_embed
-from tessera.operators.ranking import QUERY_BLOCK, dealt, rrf, top_k
+from tessera.operators.ranking import QUERY_BLOCK, dealt, top_k
 
 
 #: Vectors that are compared with a block of queries at once, and those of a slice where there are several blocks.
@@ -124,9 +124,8 @@ def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 def multi_model(results: DataFrame, k: int = 60) -> DataFrame:
     """query_id, item, fused, score: unweighted fusion over models (query_id, model, item, score); score is the best cosine."""
-    lists = top_k(results, ["query_id", "model"], 2**31 - 1, F.desc("score"), "item").withColumn("weight", F.lit(1.0))
-    best = results.groupBy("query_id", "item").agg(F.max("score").alias("score"))
-    return rrf(lists, k).join(best, ["query_id", "item"])
+    lists = top_k(results, ["query_id", "model"], 2**31 - 1, F.desc("score"), "item")
+    return lists.groupBy("query_id", "item").agg(F.sum(1.0 / (k + F.col("rank") + 1)).alias("fused"), F.max("score").alias("score"))
 
 
 def embed_missing(docs: DataFrame, cache: DataFrame, model_id: str, template_hash: str, dimension: int) -> DataFrame:

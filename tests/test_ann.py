@@ -98,3 +98,10 @@ def test_added_vectors_that_are_no_numbers_take_no_part(spark):
     index = ann.build_index(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "item long, vector array<float>"), 2)
     odd = spark.createDataFrame([(30, [1.0, float("nan")]), (31, [1.0, None]), (32, [2.0, 1.0])], "item long, vector array<float>")
     assert [r.item for r in ann.add(index, odd).nodes.where("item >= 30").select("item").distinct().collect()] == [32]
+
+
+def test_fusion_of_models_has_one_row_for_a_pair(spark, sf_dir):
+    from tessera.plans.registry import QUERIES
+
+    rows = QUERIES["rrf_multi"](spark, sf_dir).collect()
+    assert len({(r.query_id, r.item) for r in rows}) == len(rows) > 0
