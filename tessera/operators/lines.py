@@ -63,10 +63,15 @@ def merge_intervals(rows: DataFrame, keys: list[str], start: str, end: str) -> D
     return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
+def _matches(line: Column, pattern: str) -> Column:
+    """Whether a line holds the pattern. Lines end at line feeds only, so that a dot matches any other character and a dollar only the end."""
+    return line.rlike(f"(?d){pattern}")
+
+
 def grep_hunks(files: DataFrame, pattern: str, before: int, after: int) -> DataFrame:
     """file_path, first, last, n_matches: matching lines with their context, merged into hunks."""
     lines = files.withColumn("_total", F.size(lines_of(F.col("content"))))
-    hits = explode_lines(lines).where(F.col("line").rlike(pattern))
+    hits = explode_lines(lines).where(_matches(F.col("line"), pattern))
     ranges = hits.select("file_path", F.greatest(F.col("n") - before, F.lit(1)).alias("first"), F.least(F.col("n") + after, F.col("_total")).alias("last"))
     return merge_intervals(ranges, ["file_path"], "first", "last").withColumnRenamed("n", "n_matches")
 
@@ -84,13 +89,13 @@ def grep_page(files: DataFrame, pattern: str, before: int, after: int, max_match
         read = read.where(F.col("file_path") >= start[0])
         from_line = F.when(F.col("file_path") == start[0], start[1]).otherwise(1)
     lines = explode_lines(read.withColumn("_total", F.size(lines_of(F.col("content")))))
-    hits = lines.where(F.col("line").rlike(pattern) & (F.col("n") >= from_line)).select("file_path", "n", "_total").orderBy("file_path", "n").limit(max_matches)
+    hits = lines.where(_matches(F.col("line"), pattern) & (F.col("n") >= from_line)).select("file_path", "n", "_total").orderBy("file_path", "n").limit(max_matches)
     ranges = hits.select("file_path", F.greatest(F.col("n") - before, from_line).alias("first"), F.least(F.col("n") + after, F.col("_total")).alias("last"))
     hunks = merge_intervals(ranges, ["file_path"], "first", "last").drop("n").orderBy("file_path", "first").limit(max_hunks)
     # max_hunks rows of at most max_matches * (before + after + 1) lines
     text = read.join(F.broadcast(hunks), "file_path")
     shown = text.select("file_path", "first", F.col("last").alias("_end"), F.posexplode(F.slice(lines_of(F.col("content")), F.col("first"), F.col("last") - F.col("first") + 1)).alias("_i", "line"))
-    hit = F.col("line").rlike(pattern)
+    hit = _matches(F.col("line"), pattern)
     numbered = shown.select("file_path", "first", "_end", (F.col("first") + F.col("_i")).alias("n"), hit.alias("hit"), F.concat((F.col("first") + F.col("_i")).cast("string"), F.when(hit, ":* ").otherwise(":  "), "line").alias("text"))
     used = F.sum(F.length("text") + 1).over(W.orderBy("file_path", "n")) - F.length("text") - 1
     left = F.lit(max_chars) - F.col("_used") - 1
