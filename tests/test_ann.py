@@ -105,3 +105,56 @@ def test_fusion_of_models_has_one_row_for_a_pair(spark, sf_dir):
 
     rows = QUERIES["rrf_multi"](spark, sf_dir).collect()
     assert len({(r.query_id, r.item) for r in rows}) == len(rows) > 0
+
+
+def plain(df):
+    return sorted((r.query_id, r.rank, r.item, r.score) for r in df.select("query_id", "rank", "item", "score").collect())
+
+
+def test_small_cells_are_compared_whole(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=48).astype(np.float32).tolist()) for i in range(6000)]
+    vectors = spark.createDataFrame(rows, "item long, vector array<float>")
+    asked = vectors.where("item % 100 = 3").select(F.col("item").alias("query_id"), F.col("vector").alias("q"))
+    exact = plain(vector.vector_topk(vectors.select(F.col("item").alias("vec_id"), F.col("vector").alias("embedding")), asked, 10))
+    index = ann.build_index(vectors, 48, cell_rows=1500)
+    found = ann.search(index, asked, 10, probes=100)
+    assert plain(found) == exact and found.agg(F.min("met")).first()[0] == index.nodes.count() == 12_000
+    monkeypatch.setattr(ann, "WALKED", 0)
+    met = lambda: ann.search(index, asked, 10, probes=100)
+    assert len(set(plain(met())) & set(exact)) >= 0.6 * len(exact) and met().agg(F.max("met")).first()[0] < 2 * 6000
+
+
+@pytest.mark.parametrize("groups", [1, 5])
+def test_queries_go_to_the_groups_of_their_cells(groups):
+    cells = np.array([-(2**62), -5, 0, 7, 2**31, 2**62])
+    assert set(ann._group_of(cells, groups)) <= set(range(groups))
+
+
+def test_groups_of_cells_agree(spark):
+    cells = [-(2**63), -5, 0, 7, 2**31 - 1, 2**31, 2**63 - 1, *range(50, 90)]
+    rows = spark.createDataFrame([(c,) for c in cells], "cell long").select("cell", ann._group(F.col("cell"), 7).alias("g")).collect()
+    assert [r.g for r in rows] == ann._group_of(np.array([r.cell for r in rows]), 7).tolist()
+
+
+def test_nearest_equals_all_pairs(monkeypatch):
+    monkeypatch.setattr(vector, "TILE", 400)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6))
+    x[50:90] = x[:40]  # equal ones
+    x[90], x[91], x[92, 0], x[93, 0], x[94], x[95] = 0, x[3] * 1e-200, np.nan, np.inf, x[4] * 1e200, x[5] * 1e-30
+    q = np.concatenate([x[[0, 3, 60, 90, 91, 93, 94, 95]], rng.normal(size=(30, 6))])
+    whole, q_whole = rng.random(300) > 0.1, np.arange(len(q)) != 9
+    keys = rng.permutation(300)
+    best = vector.Nearest(q, 7, q_whole)
+    for at in (*range(0, 300, 70), 0):  # the first ones are met twice
+        best.meet(x[at : at + 70], keys[at : at + 70], whole=whole[at : at + 70])
+    asks, found, scores, null = best.rows()
+    with np.errstate(all="ignore"):
+        for i in range(len(q)):
+            size = vector._norms(q[i : i + 1]) * vector._norms(x)
+            score = np.where(size == 0, 0.0, vector._pairs(q, x, np.full(300, i), np.arange(300)) / size)
+            order = np.where(whole & q_whole[i], np.where(np.isnan(score), np.inf, score), -np.inf)
+            top = np.lexsort((keys, -order))[:7]
+            assert found[asks == i].tolist() == keys[top].tolist() and null[asks == i].tolist() == (order[top] == -np.inf).tolist()
+            np.testing.assert_array_equal(scores[asks == i][~null[asks == i]], score[top][order[top] > -np.inf])
