@@ -23,6 +23,10 @@ AFTER_SPACE, AFTER_SEPARATOR, AFTER_OTHER, NEW_CASE, IN_RUN, FIRST = 10, 9, 8, 5
 SEPARATORS = "/,:;|"
 PREVIEW_BYTES = 200
 NONE = -(10**6)
+#: Tasks a core.
+TASKS = 4
+#: Places of texts that are aligned together, and what lies between texts in sums over their places.
+CELLS, APART = 1 << 16, 1 << 40
 
 
 def preview(text: str) -> str:
@@ -124,30 +128,44 @@ class Targets:
         """Points of a word's best alignment with the texts in `rows`, NONE where it is no subsequence."""
         if not len(rows):
             return np.zeros(0, np.int32)
-        x = self.low if lowered(word) == word else self.exact
+        x, needle = self.low if lowered(word) == word else self.exact, np.array([ord(c) for c in word], np.uint32)
         width = int(self.length[rows].max())
-        return self._aligned(x[rows, :width], self.bonus[rows, :width], np.array([ord(c) for c in word], np.uint32))
+        step = max(1, CELLS // max(width, 1))
+        return np.concatenate([self._aligned(x[rows[at : at + step], :width], self.bonus[rows[at : at + step], :width], needle) for at in range(0, len(rows), step)])
 
     @staticmethod
     def _aligned(x: np.ndarray, bonus: np.ndarray, needle: np.ndarray) -> np.ndarray:
-        """Column by column: points with each character of the needle on this place, the run's bonus, and points with it before."""
-        shape = (len(x), len(needle))
-        here, run, before = np.full(shape, NONE, np.int32), np.zeros(shape, np.int32), np.full(shape, NONE, np.int32)
-        best = np.full(len(x), NONE, np.int32)
-        for j in range(x.shape[1]):
-            own = bonus[:, j, None]
-            same = x[:, j, None] == needle[None, :]
-            carried = np.maximum(run[:, :-1], IN_RUN)
-            carried = np.where((own >= AFTER_OTHER) & (own > carried), own, carried)
-            joined, apart = here[:, :-1] + np.maximum(carried, own), before[:, :-1] + own
-            points = np.concatenate([POINTS + FIRST * own, np.maximum(joined, apart) + POINTS], axis=1)
-            points = np.where(same & (points > 0), points, NONE).astype(np.int32)
-            skipped = np.maximum(here - GAP, before - LONGER)
-            before = np.where(np.maximum(here, before) >= 0, np.maximum(skipped, 0), NONE).astype(np.int32)
-            run = np.concatenate([own, np.where(joined > apart, carried, own)], axis=1)
-            here = points
-            best = np.maximum(best, here[:, -1])
-        return best
+        """Character by character of the needle, on the places that hold it and can be reached: points with it there, and the run's bonus.
+
+        A gap's cost grows evenly, so the best place before one is a running maximum over a text's places.
+        """
+        n, width = x.shape
+        x, bonus = np.ascontiguousarray(x), np.ascontiguousarray(bonus).ravel()
+        place = here = run = row = None
+        for c in needle:
+            found = np.flatnonzero(x == c)
+            own, its = bonus[found].astype(np.int64), found // max(width, 1)
+            at = found + 2 * its  # a place of all texts, which are two apart
+            if place is None:
+                place, here, run, row = at, POINTS + FIRST * own, own, its
+                continue
+            if not len(place):
+                break
+            # points and what a gap to this place would save, texts apart by more than these can be
+            best = np.maximum.accumulate(here + LONGER * place + row * APART)
+            after = np.searchsorted(place, at - 1)  # places before the last one
+            gap, next_ = np.maximum(after - 1, 0), np.minimum(after, len(place) - 1)
+            far, near = (after > 0) & (row[gap] == its), place[next_] == at - 1
+            apart = np.where(far, np.maximum(best[gap] - its * APART - LONGER * (at - 2) - GAP, 0) + own, NONE)
+            carried = np.maximum(np.maximum(run[next_], IN_RUN), np.where(own >= AFTER_OTHER, own, 0))
+            joined = np.where(near, here[next_] + np.maximum(carried, own), NONE)
+            kept = np.flatnonzero(far | near)
+            place, here, run, row = at[kept], (np.maximum(joined, apart) + POINTS)[kept], np.where(joined > apart, carried, own)[kept], its[kept]
+        out = np.full(n, NONE, np.int32)
+        if len(place):
+            rows, starts = np.unique(row, return_index=True)
+            out[rows] = np.maximum.reduceat(here, starts)
+        return out
 
 
 def batch_points(columns: list[list[str]], queries: list[list[str]]) -> np.ndarray:
@@ -173,30 +191,54 @@ def batch_points(columns: list[list[str]], queries: list[list[str]]) -> np.ndarr
     return out
 
 
-def aligned_pairs(small: DataFrame, queries: DataFrame) -> DataFrame:
+class Best:
+    """Which matches of a task can be among the first `limit` of a query by exactness and points, ties all of them; those of most points always stay."""
+
+    def __init__(self, queries: int, limit: int) -> None:
+        self.keys, self.most = np.full((queries, limit), -1, np.int64), np.zeros(queries, np.int64)
+
+    def staying(self, at: np.ndarray, points: np.ndarray, exact: np.ndarray) -> np.ndarray:
+        """Of matches (queries' places in order, points) those that stay."""
+        keys = points + (exact.astype(np.int64) << 40)
+        starts = np.searchsorted(at, np.arange(len(self.keys) + 1))
+        for i in np.unique(at).tolist():
+            own = slice(starts[i], starts[i + 1])
+            both = np.concatenate([self.keys[i], keys[own]])
+            self.keys[i] = np.partition(both, len(both) - self.keys.shape[1])[len(both) - self.keys.shape[1] :]
+            self.most[i] = max(self.most[i], points[own].max())
+        least = self.keys.min(axis=1) if self.keys.shape[1] else np.full(len(self.keys), np.iinfo(np.int64).max)
+        return (keys >= least[at]) | (points >= self.most[at])
+
+
+def aligned_pairs(small: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """query_id, item, _points, _exact of all matches of chunks (item, file_path, symbol, _preview) and queries (query_id, query).
 
-    Queries go to the tasks in blocks of QUERY_BLOCK, each of which reads the chunks once; only matches come back.
+    Queries go to the tasks in blocks of QUERY_BLOCK, each of which reads the chunks once, dealt out by their items, as a small file of many
+    chunks would be one task; only matches come back, and with a limit of each query's only those that can be among its first in a task.
     """
     schema = StructType([queries.schema["query_id"], small.schema["item"], StructField("_points", IntegerType()), StructField("_exact", BooleanType())])
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = small.select("item", "file_path", "symbol", "_preview").repartition(TASKS * small.sparkSession.sparkContext.defaultParallelism, "item")
     out = None
     for block in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
         asked = [(r.query_id, r.query, r.query.split()) for r in own.select("query_id", "query").collect()]
 
         def run(parts: Iterator[pd.DataFrame], asked=asked) -> Iterator[pd.DataFrame]:
+            best = None if limit is None else Best(len(asked), limit)
+            low = [query.lower() for _, query, _ in asked]
             for part in parts:
                 symbols = part["symbol"].fillna("").tolist()
                 columns = [part["file_path"].fillna("").tolist(), symbols, [preview(t) for t in part["_preview"].fillna("")]]
-                points = batch_points(columns, [words for _, _, words in asked]) if len(part) and asked else np.zeros((0, 0))
+                points = batch_points(columns, [words for _, _, words in asked]) if len(part) and asked else np.zeros((0, 0), np.int64)
                 at, rows = np.nonzero(points)
-                items = part["item"].to_numpy()
-                yield pd.DataFrame({
-                    "query_id": [asked[i][0] for i in at], "item": items[rows], "_points": points[at, rows].astype("int32"),
-                    "_exact": [symbols[r].lower() == asked[i][1].lower() for i, r in zip(at, rows, strict=True)],
-                })
-
-        found = small.select("item", "file_path", "symbol", "_preview").mapInPandas(run, schema)
+                symbols = [t.lower() for t in symbols]
+                exact, points = np.array([symbols[r] == low[i] for i, r in zip(at.tolist(), rows.tolist(), strict=True)], bool), points[at, rows]
+                if best is not None:
+                    stay = best.staying(at, points, exact)
+                    at, rows, points, exact = at[stay], rows[stay], points[stay], exact[stay]
+                yield pd.DataFrame({"query_id": [asked[i][0] for i in at], "item": part["item"].to_numpy()[rows], "_points": points.astype("int32"), "_exact": exact})
+
+        found = dealt.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
     return out

@@ -134,8 +134,9 @@ def fuzzy_match(chunks: DataFrame, queries: DataFrame, limit: int | Column, alig
     the hybrid queries use, of target_points().
     """
     small = chunks.select("item", "file_path", "symbol", F.substring("content", 1, PREVIEW).alias("_preview"))
-    pairs = aligned_pairs if aligned else fuzzy_pairs
-    matched = pairs(small, queries.select("query_id", "query").where(F.trim("query") != "")).join(queries, "query_id")
+    asked = queries.select("query_id", "query").where(F.trim("query") != "")
+    pairs = aligned_pairs(small, asked, limit if isinstance(limit, int) else None) if aligned else fuzzy_pairs(small, asked)
+    matched = pairs.join(queries, "query_id")
     first = ranked(matched, ["query_id"], F.desc("_exact"), F.desc("_points"), "item").withColumn("_most", F.max("_points").over(W.partitionBy("query_id")))
     share = F.when(F.col("_exact"), 1.0).otherwise(F.col("_points") / F.col("_most"))
     return first.where(F.col("rank") < limit).withColumn("fuzzy", share).drop("_points", "_exact", "_most")

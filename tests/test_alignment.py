@@ -97,3 +97,29 @@ def test_only_texts_with_all_words_are_aligned(monkeypatch):
     points = al.batch_points([texts], [["alpha", "beta"], ["Alpha"], ["zz"], []])
     assert seen == [1, 1, 1] and (points > 0).tolist() == [[True, False, False, False, False], [False, False, False, True, False], [False] * 5, [False] * 5]
     assert [(i, r.tolist()) for i, r in al.matches(["abc", "acb"], [["ab"], ["abc"], ["d"]])] == [(0, [0, 1]), (1, [0])]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abAB1_/ .é", max_size=40), min_size=1, max_size=5), st.text(alphabet="abAB1_/.é", min_size=1, max_size=9))
+def test_texts_aligned_together_and_alone_are_equal(texts, word):
+    together = al.Targets(texts).points(word, np.arange(len(texts)))
+    assert together.tolist() == [al.Targets([t]).points(word, np.arange(1))[0] for t in texts] and np.maximum(together, 0).tolist() == [plain(t, word) for t in texts]
+
+
+def test_tasks_give_what_can_be_first(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcd_/ ") for _ in range(n))
+    rows = [(i, text(6), "ab c" if i in (7, 70) else None, text(60)) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "item long, file_path string, symbol string, _preview string")
+    queries = spark.createDataFrame([(1, "ab c"), (2, "dab")], "query_id long, query string")
+    every, cut = al.aligned_pairs(chunks, queries), al.aligned_pairs(chunks, queries, 3)
+    first = lambda df, q: sorted(((-r._exact, -r._points, r.item) for r in df.where(f"query_id = {q}").collect()))[:3]
+    assert all(first(cut, q) == first(every, q) for q in (1, 2)) and cut.count() < every.count() / 2
+    most = lambda df: sorted((r.query_id, r["max(_points)"]) for r in df.groupBy("query_id").agg({"_points": "max"}).collect())
+    assert most(cut) == most(every) and every.rdd.getNumPartitions() > 1
+
+
+def test_one_row_group_is_dealt_to_many_tasks(spark):
+    chunks = spark.createDataFrame([(i, "abc", None, "abc") for i in range(50)], "item long, file_path string, symbol string, _preview string").coalesce(1)
+    found = al.aligned_pairs(chunks, spark.createDataFrame([(1, "abc")], "query_id long, query string"))
+    assert found.rdd.getNumPartitions() == al.TASKS * spark.sparkContext.defaultParallelism and found.count() == 50
