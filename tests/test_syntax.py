@@ -149,3 +149,32 @@ def test_odd_files_are_chunked():
     assert len(deep) == 1202 and [s.name for s in deep[-2:]] == ["f", "g"]
     assert len(chunks("typescript", "function f(" * 50)) == 1
     chunks("javascript", "function a(b, c")
+
+
+def _files(spark):
+    rust = "pub enum Red { A }\npub fn open(x: &str) -> Option<Red> { Some(Red::A) }\n"
+    rows = [("src/red.rs", rust), *((f"web/c{i}.ts", f"function f{i}(of: Red): number {{ return open(of); }}\n") for i in range(30)), ("doc.ts", "function g() { let a = 'Red'; }\n"), ("other.ts", "function h() { return 1; }\n")]
+    return spark.createDataFrame(rows, "file_path string, content string")
+
+
+def test_scopes_and_references_of_one_reading(spark):
+    scopes, references = syntax.code_parts(_files(spark))
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    assert plain(scopes.fillna("")) == plain(syntax.code_scopes(_files(spark)).fillna("")) and plain(references) == plain(syntax.code_references(_files(spark)))
+
+
+@pytest.mark.parametrize("limit", [5, 200])
+def test_report_chunks_the_files_that_it_looks_at(spark, limit, monkeypatch):
+    from pyspark.sql import functions as F
+
+    files = _files(spark)
+    nodes, edges = syntax.build_code_graph(files)
+    chunks = lambda wanted: chunking.chunk_files(files.where(wanted)).select(F.concat_ws(":", "file_path", "start_line", "end_line").alias("node"), "file_path", "start_line", "content")
+    read = []
+    report = lambda of: sorted(map(str, graph.impact_report(nodes, edges, of, nodes.where("name IN ('Red', 'open')").select("node"), limit=limit).collect()))
+    every = report(chunks(F.lit(True)))
+    assert report(lambda wanted: (read.append(wanted), chunks(wanted))[1]) == every and len(every) == 2
+    looked_at = {r.file_path for r in files.where(read[0]).collect()}
+    assert looked_at == ({"src/red.rs"} if limit == 5 else {r.file_path for r in files.collect()} - {"other.ts"})
+    monkeypatch.setattr(graph, "FILTERED", 0)
+    assert report(lambda wanted: (read.append(wanted), chunks(wanted))[1]) == every and files.where(read[1]).count() == 33
